@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.llm import sharding
+from millrace.llm import chat_format, decontaminate, near_dup, quality_rules, sharding
 
-_MODULES = (sharding,)
+_MODULES = (sharding, decontaminate, near_dup, quality_rules, chat_format)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
