@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, UPPER, materialize, table
+from millrace.llm.common import LOWER, UPPER, materialize, settings, table
 from millrace.llm.components import connected_components
 
 SHINGLE = 5
@@ -99,18 +99,19 @@ def table_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
-    import pandas as pd
+    import pyarrow as pa
     import xxhash
 
     known = WordHashes()
-    for pdf in batches:
+    for batch in batches:
         sizes, keys, signs = [], [], []
-        for text in pdf["text"]:
+        for text in batch.column("text").to_pylist():
             found = shingle_set(known.of(text or ""))
             sizes.append(len(found))
             keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             signs.append(minhashes(found).view(np.int32) if len(found) else None)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": sizes, "set_key": keys, "signature": signs})
+        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "signature"])
 
 
 def _keyed(batches):
@@ -273,7 +274,7 @@ def _cluster_links(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sign, "doc_id long, n_shingles long, set_key binary, signature array<int>")
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, signature array<int>")
     signed = materialize(signed, "signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
@@ -290,8 +291,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     clusters = connected_components(pairs.where(equal >= LIKELY).select(F.col("member").alias("u"), F.col("leader").alias("v")))
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "cluster")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    # the same plan at every size: a Bloom filter of the clusters' ids thins the texts out before they are shuffled
+    clusters = materialize(clusters, "clusters").where("cluster <= node").hint("merge")
     sets = texts.join(clusters, "node").select("cluster", "node", "text").mapInPandas(_with_sets, "cluster long, node long, shingles binary")
-    found = connected_components(_cluster_links(materialize(sets, "sets")))
+    with settings(docs.sparkSession, spark__sql__optimizer__runtime__bloomFilter__enabled="true", spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
+        sets = materialize(sets, "sets")
+    found = connected_components(_cluster_links(sets))
     placed = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     linked_rows = known.join(placed, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
