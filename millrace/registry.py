@@ -5,13 +5,15 @@ from __future__ import annotations
 FLAGSHIP = "chunk_eligibility_by_source"
 
 
-def _modules():
-    return ()
+def _catalogs():
+    from millrace.plans import aggregates, joins
+
+    return [m.catalog for m in (joins, aggregates)]
 
 
 def queries() -> dict:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for c in _catalogs() for name, f in c.queries.items()}
 
 
 def oracles() -> dict:
-    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+    return {name: sql for c in _catalogs() for name, sql in c.sql.items()}
