@@ -6,9 +6,9 @@ FLAGSHIP = "chunk_eligibility_by_source"
 
 
 def _catalogs():
-    from millrace.plans import aggregates, joins
+    from millrace.plans import aggregates, curation, joins, web
 
-    return [m.catalog for m in (joins, aggregates)]
+    return [m.catalog for m in (joins, aggregates, curation, web)]
 
 
 def queries() -> dict:

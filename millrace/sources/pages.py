@@ -1,0 +1,127 @@
+"""Reading web pages: plain text, links, URL screens and ranks, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions.text import host_of, squeeze, trim
+
+# Domains, endings, path parts and parameters that are never fetched.
+DENIED_DOMAINS = (
+    "facebook.com instagram.com twitter.com x.com tiktok.com youtube.com youtu.be linkedin.com pinterest.com reddit.com telegram.me t.me whatsapp.com "
+    "discord.com vimeo.com twitch.tv spotify.com quora.com medium.com hotmart.com kiwify.com.br eduzz.com amazon.com.br amazon.com mercadolivre.com.br "
+    "shopee.com.br aliexpress.com olx.com.br udemy.com apple.com google.com bing.com scribd.com passeidireto.com docsity.com brainly.com.br yumpu.com "
+    "issuu.com slideshare.net studocu.com academia.edu researchgate.net 4shared.com mega.nz drive.google.com docs.google.com dropbox.com "
+    "onedrive.live.com wattpad.com qconcursos.com tecconcursos.com.br pciconcursos.com.br concursosnobrasil.com.br jusbrasil.com.br g1.globo.com globo.com "
+    "folha.uol.com.br uol.com.br estadao.com.br terra.com.br r7.com cnnbrasil.com.br metropoles.com correiobraziliense.com.br gazetadopovo.com.br "
+    "veja.abril.com.br band.uol.com.br sbt.com.br"
+).split()
+DENIED_TLD = r"\.(cn|ru|mo|hk|jp|kr|tw|vn|th|ir|tr|pl|cz|ua|by|kz)$"
+DENIED_FILE = r"\.(zip|rar|7z|tar|gz|mp3|mp4|avi|mov|wmv|mkv|jpe?g|png|gif|svg|webp|pptx?|xlsx?|csv|exe|apk|dmg)$"
+DENIED_PATH = r"/(login|cadastro|carrinho|checkout|comprar|assinar|plano|premium|paywall|noticias?|news|tags?|categoria|category|author|autor|search|busca|feed)(/|$)"
+PAGINATION = r"/page/\d+|[?&](page|pagina)=\d+"
+TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid mc_cid mc_eid".split()
+TITLE_SPAM = r"simulado\s+gr[aá]tis|baixe\s+agora|curso\s+completo|promo[cç][aã]o|inscri[cç][oõ]es\s+abertas|edital\s+publicado"
+OUTPUT_POLICIES = (
+    ("script-exec", r"<script\b|javascript:|\bon(load|error|click|submit|mouseover)\s*="),
+    ("data-exfil", r"\b(webhook\.site|exfiltrat\w*|pastebin\.com|requestbin\w*|ngrok\.(io|dev|app)|pipedream\.net|burpcollaborator\.net)\b|\bcurl\b\s+https?:|\bnc\s+-e\b"),
+    ("tracking", r"\btracking\s+pixel\b|\butm_[a-z]+\b|\b(pixel|beacon)\.(gif|png|js)\b"),
+)
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
+
+
+def query_keys(url: Column) -> Column:
+    asked = F.regexp_extract(url, r"\?([^#]*)", 1)
+    return F.transform(F.filter(F.split(asked, "&"), lambda p: p != ""), lambda p: F.lower(F.substring_index(p, "=", 1)))
+
+
+def within(host: Column, domains: list[str]) -> Column:
+    """Host equals a domain or lies under it. Each of the host's endings is looked up in a set."""
+    parts = F.split(host, r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.arrays_overlap(endings, F.array(*[F.lit(d) for d in domains]))
+
+
+def reject_reason(url: Column, title: Column, denied: list[str] = DENIED_DOMAINS) -> Column:
+    """The first rule that turns a candidate away, or null."""
+    host, keys = host_of(url), query_keys(url)
+    like = lambda c, p: F.regexp_like(c, F.lit("(?iu)" + p))
+    return (
+        F.when(host == "", "bad_url")
+        .when(within(host, denied), "denylist_domain")
+        .when(like(host, DENIED_TLD), "denylist_tld")
+        .when(like(path_of(url), DENIED_FILE), "deny_file_type")
+        .when(like(path_of(url), DENIED_PATH), "deny_path")
+        .when(like(url, PAGINATION), "deny_pagination")
+        .when(F.size(keys) >= 3, "too_many_params")
+        .when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in TRACKING])), "tracking_param")
+        .when(like(title, TITLE_SPAM), "title_spam")
+    )
+
+
+def html_to_text(html: Column) -> Column:
+    """Plain text by ordered replacements; block ends become line ends."""
+    out = html
+    for pattern, to in (
+        (r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"(?is)<noscript.*?</noscript>", " "), (r"(?s)<!--.*?-->", " "),
+        (r"(?i)</(p|div|h[1-6]|li|tr|br|hr)[^>]*>", "\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", " "),
+    ):
+        out = F.regexp_replace(out, pattern, to)
+    for entity, char in ENTITIES:
+        out = F.regexp_replace(out, "(?i)" + entity, char)
+    for pattern, to in ((r"\s+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")):
+        out = F.regexp_replace(out, pattern, to)
+    return trim(out)
+
+
+def rough_text(html: Column) -> Column:
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " "), r"<[^>]+>", " ")
+    return squeeze(F.replace(F.replace(out, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&")))
+
+
+def title_of(html: Column) -> Column:
+    return squeeze(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def anchor_share(html: Column) -> Column:
+    """Share of the markup that lies in anchors."""
+    anchors = F.regexp_extract_all(html, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
+    total = F.aggregate(anchors, F.lit(0), lambda a, x: a + F.char_length(x))
+    return F.when(F.char_length(html) > 0, total / F.char_length(html)).otherwise(0.0)
+
+
+def links_of(pages: DataFrame, least_title: int = 1) -> DataFrame:
+    """page_id, pos, href, title: the first link of each href."""
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*href=\"([^\"]*)\"[^>]*>.*?</a>"), F.lit(1))
+    titles = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*href=\"[^\"]*\"[^>]*>(.*?)</a>"), F.lit(1))
+    rows = pages.select("page_id", F.posexplode(F.arrays_zip(found.alias("href"), titles.alias("title"))).alias("pos", "a"))
+    rows = rows.select("page_id", "pos", F.col("a.href").alias("href"), squeeze(F.regexp_replace(F.col("a.title"), "<[^>]+>", " ")).alias("title")).where(F.char_length("title") >= least_title)
+    first = F.min(F.struct("pos", "title")).alias("first")
+    return rows.groupBy("page_id", "href").agg(first).select("page_id", "href", "first.pos", "first.title")
+
+
+def blocked_by(text: Column) -> Column:
+    """The first output policy that the text violates, or null."""
+    first, *rest = OUTPUT_POLICIES
+    out = F.when(F.regexp_like(text, F.lit("(?i)" + first[1])), first[0])
+    for name, pattern in rest:
+        out = out.when(F.regexp_like(text, F.lit("(?i)" + pattern)), name)
+    return out
+
+
+def clamp01(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def page_rank(authority: Column, density: Column, relevance: Column, structure: Column, freshness: Column) -> Column:
+    return clamp01(0.35 * authority + 0.25 * density + 0.2 * relevance + 0.1 * structure + 0.1 * freshness)
+
+
+def structure_score(text: Column) -> Column:
+    like = lambda p, w: F.when(F.regexp_like(text, F.lit(p)), w).otherwise(0.0)
+    return clamp01(like(r"(?m)^#{1,3}\s|^\d+(\.\d+)*\s", 0.35) + like(r"(?i)por exemplo|exemplo:", 0.25) + like(r"(^|\n)\s*[-*•]\s|(^|\n)\s*\d+[.)]\s", 0.2) + like(r"(?i)art\.\s*\d+", 0.2))
