@@ -147,7 +147,8 @@ class ByteCNN:
         p = 1 / (1 + np.exp(-np.clip(x @ w["head"] + w["intercept"][0], -30, 30)))
         off = ((p - labels) / len(labels)).astype(np.float32)
         doc = np.repeat(np.arange(len(parts)), sizes)
-        top = best == x[doc, :FILTERS]
+        top = (best == x[doc, :FILTERS]).astype(np.float32)
+        top /= np.add.reduceat(top, starts)[doc]  # chunks that tie share what flows back
         down = off[doc, None] * (w["head"][FILTERS : 2 * FILTERS] / sizes[doc, None] + top * w["head"][:FILTERS]) * (best > 0)
         row, column = np.nonzero(down)
         value = down[row, column]
