@@ -449,12 +449,12 @@ def ambiguous_band(t):
 
 
 @query("cf_05", SIMS + """, r AS (SELECT vec_id, max(score) AS top, arg_max(node, (score, -node)) AS node, list_sort(list(score), 'DESC')[2] AS second FROM s GROUP BY 1)
-SELECT vec_id, node, round(least(0.85, 0.55 + top - second), 5) AS confidence FROM r WHERE top - second >= 0.08""")
+SELECT vec_id, node, round(least(0.85, 0.55 + top - second), 6) AS confidence FROM r WHERE top - second >= 0.08""")
 def nearest_centroid(t):
     w = W.partitionBy("vec_id").orderBy(F.desc("score"), "node")
     top = _similarities(t).withColumns({"rn": F.row_number().over(w), "second": F.lead("score").over(w)}).where("rn = 1")
     margin = F.col("score") - F.col("second")
-    return top.where(margin >= 0.08).select("vec_id", "node", F.round(F.least(F.lit(0.85), 0.55 + margin), 5).alias("confidence"))
+    return top.where(margin >= 0.08).select("vec_id", "node", F.round(F.least(F.lit(0.85), 0.55 + margin), 6).alias("confidence"))
 
 
 @query("mp_04", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
