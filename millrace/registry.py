@@ -6,9 +6,9 @@ FLAGSHIP = "chunk_eligibility_by_source"
 
 
 def _catalogs():
-    from millrace.plans import aggregates, curation, joins, states, web
+    from millrace.plans import aggregates, curation, items, joins, states, web
 
-    return [m.catalog for m in (joins, aggregates, curation, web, states)]
+    return [m.catalog for m in (joins, aggregates, curation, web, states, items)]
 
 
 def queries() -> dict:
