@@ -55,15 +55,18 @@ def _fnv(data: str, start: int = 2166136261) -> int:
 
 
 def minhash_words(words: list[str]) -> np.ndarray:
-    """128 least FNV hashes of "seed:word" over the words; all ones without words."""
-    out = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
+    """128 least FNV hashes of "seed:word" over the words; all ones without words. All words go a character at a time."""
+    own = sorted(set(words), key=len, reverse=True)
+    if not own:
+        return np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
     prefix = np.array([_fnv(f"{i}:") for i in range(PERMUTATIONS)], np.uint64)
-    for word in set(words):
-        h = prefix.copy()
-        for c in word:
-            h = ((h ^ np.uint64(ord(c))) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
-        out = np.minimum(out, h)
-    return out
+    hashes = np.repeat(prefix[None, :], len(own), axis=0)
+    sizes = np.array([len(w) for w in own])
+    for at in range(sizes[0]):
+        many = int((sizes > at).sum())
+        codes = np.array([ord(w[at]) for w in own[:many]], np.uint64)
+        hashes[:many] = ((hashes[:many] ^ codes[:, None]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    return hashes.min(axis=0)
 
 
 def _leaders(pdf):
