@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_BYTES = 64 << 20
 MARK = "▁"
 KNOWN_UNITS = 150_000
-KNOWN_ARCS = 1_000_000
+KNOWN_ARCS = 600_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -92,10 +92,16 @@ class Transducer:
         self.space_runs = [n for n in range(self.longest, 0, -1) if MARK * n in self.ids]
         self.chars = {c for text in self.ids for c in text if c in self.ids}
         self.names = {own: text for text, own in self.ids.items()}
-        #: the pieces as a trie: every beginning of a piece, with the piece's id or -1
-        self.trie = {text[:k]: -1 for text in self.ids for k in range(1, len(text))} | self.ids
+        #: the pieces as a trie of characters; "" holds the id of the piece that ends there
+        self.trie: dict = {}
+        for text, own in self.ids.items():
+            node = self.trie
+            for char in text:
+                node = node.setdefault(char, {})
+            node[""] = own
         self.arcs: dict[int, bool] = {}
-        self.young, self.old = {}, {}
+        self.joined = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}
+        self.young, self.old, self.young_parts = {}, {}, {}
         # no piece goes over a space into the next word, nor over a line end unless the model has one
         self.units = re.compile(" *[^ \n]+| +|\n+") if "\n" not in self.chars else re.compile(" *[^ ]+| +")
 
@@ -126,36 +132,71 @@ class Transducer:
             known = self.arcs[(left << 16) | right] = self.merged("".join(pair)) == pair
         return known
 
+    def _arcs_from(self, word: str, begin: int) -> list[tuple[int, int]]:
+        """(piece, end) of the arcs over the word from a position, longest last; one byte arc (-1) where no piece begins."""
+        node, out, end = self.trie, [], begin
+        for char in word[begin : begin + self.longest]:
+            node = node.get(char)
+            if node is None:
+                break
+            end += 1
+            if "" in node:
+                out.append((node[""], end))
+        return out or [(-1, begin + 1)]
+
     def shortest_path(self, word: str) -> list[int]:
-        """Ids of the only finite path through the composition with a word (at most one space mark, in front)."""
-        trie, arcs, size = self.trie, self.arcs, len(word)
-        last, start = [-1] * (size + 1), [-1] * (size + 1)
-        for begin in range(size):
-            left = last[begin]
-            for end in range(begin + 1, size + 1):
-                piece = trie.get(word[begin:end])
-                if piece is None:
+        """Ids of the only finite path through the composition with a word (at most one space mark, in front).
+
+        As every finite arc weighs 0, the first path to reach the end is shortest: a search from state to
+        state (position, last piece), longest pieces first, that gives up states without a way on.
+        """
+        arcs, size, stack, dead = self.arcs, len(word), [], set()
+        at, left, open_ = 0, -1, self._arcs_from(word, 0) if word else []
+        while at < size:
+            while open_:
+                piece, end = open_.pop()
+                if piece < 0:
+                    free = True  # bytes: nothing merges over them
+                else:
+                    free = arcs.get((left << 16) | piece)
+                    if free is None:
+                        free = self.admits(left, piece)
+                if free and (end, piece) not in dead:
+                    stack.append((at, left, open_, piece))
+                    at, left = end, piece
+                    open_ = self._arcs_from(word, at) if at < size else []
                     break
-                if piece >= 0 and start[end] < 0:
-                    open_ = arcs.get((left << 16) | piece)
-                    if open_ or (open_ is None and self.admits(left, piece)):
-                        last[end], start[end] = piece, begin
-            if start[begin + 1] < 0 and word[begin] not in self.ids:
-                start[begin + 1] = begin  # no piece: bytes, over which nothing merges
-        out, end = [], size
-        while end:
-            begin = start[end]
-            if last[end] >= 0:
-                out.append(last[end])
             else:
-                out.extend(self.byte_ids[b] for b in reversed(word[begin:end].encode()))
-            end = begin
-        return out[::-1]
+                dead.add((at, left))
+                at, left, open_, _ = stack.pop()
+        out = []
+        for begin, _, _, piece in stack:
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out.extend(self.byte_ids[b] for b in word[begin].encode())
+        return out
+
+    def _parts(self, word: str) -> list[int]:
+        """Ids of a word, cut where no piece joins the two characters; parts are remembered."""
+        joined, out, begin = self.joined, [], 0
+        for at in range(1, len(word) + 1):
+            if at == len(word) or word[at - 1 : at + 1] not in joined:
+                part = word[begin:at]
+                ids = self.young_parts.get(part)
+                if ids is None:
+                    ids = self.shortest_path(part)
+                    if len(self.young_parts) > KNOWN_UNITS:
+                        self.young_parts.clear()
+                    self.young_parts[part] = ids
+                out += ids
+                begin = at
+        return out
 
     def _unit(self, unit: str) -> bytes:
         word = unit.lstrip(" ")
         spaces = len(unit) - len(word)
-        ids = self.shortest_path(MARK + word if spaces and word else word) if word else []
+        ids = self._parts(MARK + word if spaces and word else word) if word else []
         if spaces and word:
             if self.texts[ids[0]] == b" ":
                 ids = ids[1:]
@@ -193,6 +234,17 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def machine_of(model: bytes) -> Transducer:
+    """The transducer of a model, kept with what it has learnt for the life of a worker process."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("millrace_worker_cache", types.ModuleType("millrace_worker_cache"))
+    if getattr(kept, "model", None) != model:
+        kept.model, kept.machine = model, Transducer(model)
+    return kept.machine
+
+
 def read_model(path: str) -> bytes:
     model = Path(path).read_bytes()
     if len(model) > MODEL_BYTES:
@@ -208,7 +260,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, id_columns: tuple
     def run(batches):
         import pyarrow as pa
 
-        machine = Transducer(model.value)
+        machine = machine_of(model.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
