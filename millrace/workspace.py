@@ -14,6 +14,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions without a setting, by application.
+_private: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a private one only for a local master that has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir for a local-cluster master")
-    folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.applicationId
+    if own not in _private:
+        _private[own] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return _private[own]
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
