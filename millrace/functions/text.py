@@ -32,6 +32,11 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def share(part: Column, whole: Column, default: float = 0.0) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(default))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import B, count, share, squeeze, trim
+from millrace.functions.text import B, count, let, share, squeeze, trim
 
 # The patterns and weights that define the scores. ``\b`` stands for an ASCII word boundary.
 DEFINITION = r"\b(?:é\s+(?:o|a)\s+\w+\s+que|define-se|consiste em|caracteriza-se por)\b"
@@ -51,8 +53,33 @@ def sql_regex(pattern: str) -> str:
     return "(?i)" + pattern.replace("'", "''")
 
 
+def lowered_regex(pattern: str) -> str:
+    """The pattern for lower-case text: no case folding, and a plain look-behind where a leading boundary meets ASCII word characters only."""
+    lower = re.sub(r"(?<!\\)[A-Z]", lambda m: m[0].lower(), pattern)
+
+    def simple(m: re.Match) -> str:
+        rest = lower[m.end() :]
+        if rest.startswith("("):
+            depth, starts, at = 0, [], 0
+            body = rest[3:] if rest.startswith("(?:") else rest[1:]
+            starts.append(body[:2])
+            for at, c in enumerate(body):
+                depth += (c == "(") - (c == ")")
+                if depth < 0:
+                    break
+                if c == "|" and depth == 0:
+                    starts.append(body[at + 1 : at + 3])
+        else:
+            starts = [rest[:2]]
+        plain = all(x and (x[0] in "abcdefghijklmnopqrstuvwxyz0123456789_" or x in (r"\d", r"\w")) for x in starts)
+        return "(?<![a-z0-9_])" if plain else B
+
+    return re.sub(r"\\b", simple, lower)
+
+
 def hits(text: Column, pattern: str) -> Column:
-    return count(text, spark_regex(pattern))
+    """How often the pattern occurs, whatever the case."""
+    return count(F.lower(text), lowered_regex(pattern))
 
 
 # --- line cleaning ---------------------------------------------------------------------------------
@@ -171,10 +198,13 @@ def link_density(text: Column) -> Column:
 
 def content_density(text: Column, separator: str = r"\n{2,}") -> Column:
     paragraphs = F.filter(F.transform(F.split(text, separator), trim), lambda p: p != "")
-    n = F.size(paragraphs)
-    long_ = F.size(F.filter(paragraphs, lambda p: F.char_length(p) >= 80))
-    total = F.aggregate(paragraphs, F.lit(0), lambda a, p: a + F.char_length(p))
-    return (1 - link_density(text)) * share(long_, n) * F.least(F.lit(1.0), share(total, n) / 250)
+
+    def dense(ps: Column) -> Column:
+        long_ = F.size(F.filter(ps, lambda p: F.char_length(p) >= 80))
+        total = F.aggregate(ps, F.lit(0), lambda a, p: a + F.char_length(p))
+        return share(long_, F.size(ps)) * F.least(F.lit(1.0), share(total, F.size(ps)) / 250)
+
+    return (1 - link_density(text)) * let(paragraphs, dense)
 
 
 def educational_signal(text: Column, patterns: tuple[str, ...] = (DEFINITION, EXAMPLE, RULE)) -> Column:
@@ -185,42 +215,48 @@ def educational_signal(text: Column, patterns: tuple[str, ...] = (DEFINITION, EX
 def testability(text: Column, claim: str = CLAIM, hedge: str = HEDGE) -> Column:
     """Share of sentences over 20 characters that claim something without hedging; each judged by itself."""
     sentences = F.filter(F.split(text, r"[.!?]+"), lambda s: F.char_length(trim(s)) > 20)
-    good = F.filter(sentences, lambda s: ~F.regexp_like(s, F.lit(spark_regex(hedge))) & F.regexp_like(s, F.lit(spark_regex(claim))))
-    return share(F.size(good), F.size(sentences))
+    is_good = lambda s: ~F.regexp_like(s, F.lit(spark_regex(hedge))) & F.regexp_like(s, F.lit(spark_regex(claim)))
+    return let(sentences, lambda ss: share(F.size(F.filter(ss, is_good)), F.size(ss)))
 
 
 def noise(text: Column) -> Column:
     return F.least(F.lit(1.0), count(text, NOISE) / F.greatest(F.char_length(text), F.lit(1)))
 
 
-def metadata_features(text: Column) -> dict[str, Column]:
-    chars = F.char_length(text)
-    per500 = lambda n: F.when(chars > 0, n * 500 / chars).otherwise(0.0)
-    flag = lambda c: c.cast("double")
-    of = {k: hits(text, p) for k, p in META_PATTERNS.items()}
+def metadata_counts(text: Column) -> Column:
+    """struct of the pattern counts, the length, and the numbers of lines and of short ones."""
     lines = F.filter(F.transform(F.split(text, r"\n+"), trim), lambda x: x != "")
-    short = F.size(F.filter(lines, lambda x: F.char_length(x) < 80))
-    n = F.size(lines)
-    question = of["option"] >= 3
+    shape = let(lines, lambda ls: F.struct(F.size(ls).alias("all"), F.size(F.filter(ls, lambda x: F.char_length(x) < 80)).alias("short")))
+    return F.struct(*[hits(text, p).alias(k) for k, p in META_PATTERNS.items()], F.char_length(text).alias("chars"), shape.alias("lines"))
+
+
+def metadata_features(c: Column) -> dict[str, Column]:
+    """The features from the counts: densities for 500 characters, flags, and shapes."""
+    per500 = lambda n: F.when(c.chars > 0, n * 500 / c.chars).otherwise(0.0)
+    flag = lambda x: x.cast("double")
+    question = c.option >= 3
     return {
-        "date": per500(of["date"]),
-        "currency": F.when((of["currency"] > 0) & ((of["vacancy"] > 0) | (of["fee"] > 0)), per500(of["currency"])).otherwise(0.0),
-        "vacancy": flag(of["vacancy"] > 0),
-        "imperative": flag(of["imperative"] > 0),
-        "org": per500(of["org"]),
-        "edital": flag(of["edital"] > 0),
-        "contact": per500(of["contact"]),
-        "list_shape": flag(~question & (short == n) & (n >= 5)),
-        "legal": per500(of["legal"]),
-        "explain": per500(of["explain"]),
+        "date": per500(c.date),
+        "currency": F.when((c.currency > 0) & ((c.vacancy > 0) | (c.fee > 0)), per500(c.currency)).otherwise(0.0),
+        "vacancy": flag(c.vacancy > 0),
+        "imperative": flag(c.imperative > 0),
+        "org": per500(c.org),
+        "edital": flag(c.edital > 0),
+        "contact": per500(c.contact),
+        "list_shape": flag(~question & (c.lines.short == c.lines.all) & (c.lines.all >= 5)),
+        "legal": per500(c.legal),
+        "explain": per500(c.explain),
         "question": flag(question),
     }
 
 
 def metadata_probability(text: Column) -> Column:
-    features = metadata_features(text)
-    z = sum((F.lit(w) * features[k] for k, w in META_WEIGHTS.items()), F.lit(META_BIAS))
-    return 1 / (1 + F.exp(-z))
+    def logistic(c: Column) -> Column:
+        features = metadata_features(c)
+        z = sum((F.lit(w) * features[k] for k, w in META_WEIGHTS.items()), F.lit(META_BIAS))
+        return 1 / (1 + F.exp(-z))
+
+    return let(metadata_counts(text), logistic)
 
 
 def section_quality(density: Column, educational: Column, testable: Column, noisy: Column, metadata: Column) -> Column:
