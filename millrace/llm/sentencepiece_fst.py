@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Largest model file that is sent to the executors.
 MODEL_BYTES = 64 << 20
 MARK = "▁"
-KNOWN_UNITS = 150_000
+KNOWN_UNITS = 250_000
 KNOWN_ARCS = 600_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -101,7 +101,7 @@ class Transducer:
             node[""] = own
         self.arcs: dict[int, bool] = {}
         self.joined = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}
-        self.young, self.old, self.young_parts = {}, {}, {}
+        self.young, self.old, self.young_parts, self.old_parts = {}, {}, {}, {}
         # no piece goes over a space into the next word, nor over a line end unless the model has one
         self.units = re.compile(" *[^ \n]+| +|\n+") if "\n" not in self.chars else re.compile(" *[^ ]+| +")
 
@@ -185,9 +185,9 @@ class Transducer:
                 part = word[begin:at]
                 ids = self.young_parts.get(part)
                 if ids is None:
-                    ids = self.shortest_path(part)
+                    ids = self.old_parts.get(part) or self.shortest_path(part)
                     if len(self.young_parts) > KNOWN_UNITS:
-                        self.young_parts.clear()
+                        self.old_parts, self.young_parts = self.young_parts, {}
                     self.young_parts[part] = ids
                 out += ids
                 begin = at
