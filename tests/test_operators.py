@@ -43,7 +43,7 @@ def test_eligibility_boundaries(spark):
 def test_chunks_pack_split_and_drop(spark):
     text = "\n\n".join(["a" * 1000, "b" * 1998, "c" * 10, "d" * 7000, "e" * 299])
     sizes = column(spark, [text, "", None], lambda c: F.transform(C.pack_chunks(c), lambda x: F.char_length(x)))
-    assert sizes[0] == [3000, 3000, 1301] or sizes[0] == [3000, 3000, 3000, 1301], sizes
+    assert sizes[0] == [3000, 3000, 3000, 1301]
     assert sizes[1] == [] and sizes[2] is None
 
 
@@ -69,7 +69,7 @@ def test_cosine_of_zero_vector(spark):
 
 
 def test_stems(spark):
-    assert column(spark, ["Administração", "leis", "casas", "só", "rapidamente"], C.stem) == ["administr", "leis", "casa", "so", "rapid"] or True
+    assert column(spark, ["Administração", "leis", "casas", "só", "rapidamente"], C.stem) == ["administr", "lei", "casa", "so", "rapid"]
     assert column(spark, ["nacionalidade", "as"], C.stem) == ["nacional", "as"]
 
 
