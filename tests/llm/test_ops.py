@@ -68,8 +68,6 @@ def test_shards_hold_whole_groups(spark, odd):
     for r in rows:
         where[text[r.doc_id] or ""].add(r.shard)
     assert all(len(s) == 1 for s in where.values())
-    for _, own in itertools.groupby(sorted(rows, key=lambda r: r.shard), key=lambda r: r.shard):
-        assert sorted(r.slot for r in own) == list(range(len(list(own)))) or True
     for shard in {r.shard for r in rows}:
         slots = sorted(r.slot for r in rows if r.shard == shard)
         assert slots == list(range(len(slots)))
@@ -318,8 +316,6 @@ def test_gradients_match_differences():
 
 
 def test_classifier_on_held_out_documents(spark):
-    from pyspark.sql import Window  # noqa: F401
-
     rows = byte_cnn.op8_quality_classifier(spark, "/root/testdata/sf0.01").collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
