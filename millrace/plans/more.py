@@ -14,6 +14,7 @@ from millrace.plans import Catalog
 from millrace.plans.curation import LINES
 from millrace.plans.web import HOST, TITLE
 from millrace.sources import pages as P
+from millrace.sources.soup import read_blocks
 
 catalog = Catalog()
 query = catalog.query
@@ -240,3 +241,16 @@ def completion(t):
     """A score only when nothing is pending."""
     done = F.count_if(F.col("o_orderstatus") == "P") == 0
     return t.orders.groupBy("o_custkey").agg(F.count("*").alias("answered"), F.when(done, F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")) * 100, 4)).alias("score"))
+
+
+@query("src_09")
+def soup_blocks(t):
+    """Headings first, then text blocks. Tested on literal pages."""
+    return read_blocks(t.pages)
+
+
+@query("src_11")
+def page_tables(t):
+    """Page titles and headings as a table per page, to markdown and back to its first row."""
+    rows = t.pages.select("page_id", F.concat(F.lit("<table><tr><th>page</th><th>host</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), host_of(F.col("url")), F.lit("</td></tr></table>")).alias("html"))
+    return read_blocks(rows).where("kind = 'table'").select("page_id", "text")
