@@ -12,7 +12,13 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # texts in fewer files than there are cores are dealt out, as the work on each row is what costs;
+        # filters and column pruning still reach the scan
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("documents", "pages") and len(df.inputFiles()) < cores:
+            df = df.repartition(cores)
+        return df
 
 
 class Catalog:
