@@ -1,12 +1,10 @@
 """Benchmark decontamination (DataFrame functions only).
 
-A window is as many words of a document as a benchmark item has, laid where the two share a
-shingle; a window that shares none has similarity 0, so none that could pass is left out. Windows and items
-get a 64-bit SimHash of their words. The fingerprint is cut into ``BLOCKS`` blocks; fingerprints within
-``RADIUS`` bits agree in some block up to ``RADIUS // BLOCKS`` bits, so items are indexed under all
-block values that near, windows under their own, and the join of the two misses no pair within the radius. Each
-candidate is verified by the exact weighted similarity of its shingles: the sum of the lesser
-multiplicities over the sum of the greater ones.
+A window is as many words of a document as a benchmark item has (fewer where shared shingles place the item across the
+document's ends), and shares shingles with the item, or has similarity 0. The places of shared shingles are gathered for each document and item, and a
+window is laid at every start where it holds enough of them to pass, since their number bounds the similarity from above.
+Each window is verified by the exact weighted similarity of its shingles: the sum of the lesser multiplicities over
+the sum of the greater ones. Windows and items get a 64-bit SimHash of their words; pairs more than ``RADIUS`` bits apart are left out.
 
 Words are lower-cased (A-Z) runs outside white space; shingles have five words, and an item with fewer words
 is one shingle. Defined results: null and blank texts match nothing; equal items each match;
@@ -90,6 +88,29 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _starts(p: Column, length: Column, gram: Column, n_text: Column, least: Column, greatest: Column) -> Column:
+    """The starts of windows that share enough shingles with the item to pass; ``p`` has the places of shared ones in order.
+
+    ``least`` and ``greatest`` are the starts that shared shingles give the item; only as far as these may windows cross the
+    document's ends. To pass a window must hold ``need`` places; each start is met once, at the first place that its window holds.
+    """
+    n = length - gram + 1
+    need = F.ceil(n * THRESHOLD).cast("int")
+
+    def passes(s: Column, i: Column) -> Column:
+        held = F.size(F.filter(F.slice(p, i + 1, n), lambda y: y < s + n))
+        ours = F.least(s + length, n_text) - F.greatest(s, F.lit(0)) - gram + 1
+        within = s.between(F.least(least, F.lit(0)), F.greatest(greatest, n_text - length))
+        return within & (held >= THRESHOLD * (n + ours - held))
+
+    def of(x: Column, i: Column) -> Column:
+        first = F.greatest(F.get(p, i + need - 1) - n + 1, F.when(i > 0, F.get(p, i - 1) + 1))
+        fits = F.get(p, i + need - 1).isNotNull() & (first <= x)
+        return F.when(fits, F.filter(F.sequence(F.least(first, x), x), lambda s: passes(s, i))).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(p, of))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word (from 0), n_words, hamming, similarity: the best window of each document and item."""
     items = (
@@ -97,37 +118,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where(F.size("item_words") > 0)
         .withColumn("length", F.size("item_words"))
         .withColumn("gram", F.least(F.lit(SHINGLE), "length"))
+        .withColumn("item_key", F.xxhash64("item_words"))
     )
     grams = sorted(r.gram for r in items.select("gram").distinct().collect())  # at most SHINGLE values
     anchors = items.select(
-        "item_id", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("length") - F.col("gram") + 1), lambda i: F.xxhash64(F.slice("item_words", i, F.col("gram"))))).alias("item_pos", "h")
-    )
+        "item_id", "item_key", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("length") - F.col("gram") + 1), lambda i: F.xxhash64(F.slice("item_words", i, F.col("gram"))))).alias("item_pos", "h"), "gram"
+    ).distinct()
     anchors = _maybe_broadcast(anchors)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(lower_ascii(F.col("text"))).alias("w"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = keyed.select("doc_id", "text_key", words(lower_ascii(F.col("text"))).alias("w"))
     found = []
     for gram in grams:
-        hashed = texts.select("doc_id", "w", grams_of(F.col("w"), gram).alias("hashes"))
+        hashed = texts.select("doc_id", "text_key", F.size("w").alias("n_text"), grams_of(F.col("w"), gram).alias("hashes"))
         # the outer form, so that no filter on the array is inferred that would compute it twice
-        rows = hashed.select("doc_id", "w", F.posexplode_outer("hashes").alias("pos", "h")).join(anchors, "h")
-        first, last = F.col("pos") - F.col("item_pos"), F.col("pos") - F.col("item_pos") + F.col("length")
-        start = F.greatest(F.lit(0), first)
-        found.append(rows.select("doc_id", start.alias("start_word"), F.array_join(F.slice("w", start + 1, F.least(last, F.size("w")) - start), " ").alias("window")))
+        rows = hashed.select("doc_id", "text_key", "n_text", F.posexplode_outer("hashes").alias("pos", "h"))
+        found.append(rows.join(anchors.where(F.col("gram") == gram), "h").drop("h"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word int, n_words int, hamming int, similarity double")
-    windows = materialize(reduce(DataFrame.unionByName, found).distinct(), "windows")
+    pairs = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key", "n_text", "item_id", "item_key", "length", "gram").agg(
+        F.sort_array(F.collect_set("pos")).alias("places"), F.min(F.col("pos") - F.col("item_pos")).alias("least"), F.max(F.col("pos") - F.col("item_pos")).alias("greatest")
+    )
+    pairs = pairs.where(F.size("places") >= THRESHOLD * (F.col("length") - F.col("gram") + 1))
+    starts = _starts(*map(F.col, ("places", "length", "gram", "n_text", "least", "greatest")))
+    pairs = materialize(pairs.select("doc_id", "text_key", "item_id", "item_key", "length", starts.alias("starts")), "pairs").where(F.size("starts") > 0)
+    own, one = keyed.alias("own"), _maybe_broadcast(pairs).alias("pair")
+    texts = own.join(one, F.col("own.doc_id").eqNullSafe(F.col("pair.doc_id")) & (F.col("own.text_key") == F.col("pair.text_key")))
+
+    def cut(w: Column) -> Column:
+        first, last = lambda s: F.greatest(s, F.lit(0)), lambda s: F.least(s + F.col("length"), F.size(w))
+        return F.transform("starts", lambda s: F.struct(first(s).alias("start_word"), F.array_join(F.slice(w, first(s) + 1, last(s) - first(s)), " ").alias("window")))
+
+    windows = texts.select("own.doc_id", "item_id", "item_key", F.inline_outer(bind(words(lower_ascii(F.col("text"))), cut)))
+    windows = materialize(windows.distinct(), "windows")
     # from here on, equal windows are treated once; tables are written so that no filter repeats the work
-    texts = windows.select("window").distinct().select("window", F.split("window", " ").alias("window_words"))
-    texts = materialize(texts.select("window", F.size("window_words").alias("n_words"), simhash(F.col("window_words")).alias("fingerprint"), tagged_shingles(F.col("window_words")).alias("ours")), "windows")
-    prints = materialize(items.select("item_id", simhash(F.col("item_words")).alias("item_fingerprint"), tagged_shingles(F.col("item_words")).alias("theirs")), "items")
-    index = prints.select("item_id", "item_fingerprint", F.inline_outer(near_blocks(F.col("item_fingerprint"))))
-    probes = texts.select("window", "fingerprint", F.inline_outer(own_blocks(F.col("fingerprint"))))
-    hamming = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))
-    candidates = probes.join(_maybe_broadcast(index), ["block", "value"]).where(hamming <= RADIUS).select("window", "item_id", hamming.cast("int").alias("hamming")).distinct()
+    prints = materialize(items.select("item_key", "item_words").dropDuplicates(["item_key"]).select("item_key", simhash(F.col("item_words")).alias("item_fingerprint"), tagged_shingles(F.col("item_words")).alias("theirs")), "items")
+    candidates = windows.select("window", "item_key").distinct().select("window", "item_key", F.split("window", " ").alias("window_words"))
+    compared = candidates.join(_maybe_broadcast(prints), "item_key").withColumn("ours", tagged_shingles(F.col("window_words")))
     both = F.size(F.array_intersect("ours", "theirs"))
-    compared = candidates.join(texts.select("window", "n_words", "ours"), "window").join(_maybe_broadcast(prints.select("item_id", "theirs")), "item_id")
-    compared = compared.select("window", "item_id", "n_words", "hamming", both.alias("both"), (F.size("ours") + F.size("theirs")).alias("all"))
-    verified = compared.withColumn("similarity", F.col("both") / (F.col("all") - F.col("both"))).where(F.col("similarity") >= THRESHOLD)
-    hits = windows.join(verified, "window")
+    compared = compared.select("window", "item_key", "item_fingerprint", F.size("window_words").alias("n_words"), both.alias("both"), (F.size("ours") + F.size("theirs")).alias("all"))
+    verified = materialize(compared, "windows").withColumn("similarity", F.col("both") / (F.col("all") - F.col("both"))).where(F.col("similarity") >= THRESHOLD)
+    hamming = F.bit_count(simhash(F.split("window", " ")).bitwiseXOR(F.col("item_fingerprint")))
+    verified = materialize(verified.select("window", "item_key", "n_words", "similarity", hamming.cast("int").alias("hamming")), "windows").where(F.col("hamming") <= RADIUS)
+    hits = windows.join(verified, ["window", "item_key"])
     best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start_word")).alias("s"), "n_words")).alias("b")
     return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), "b.n_words", (-F.col("b.h")).alias("hamming"), "b.similarity")
 

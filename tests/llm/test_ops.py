@@ -176,6 +176,38 @@ def test_leaks_against_all_windows(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(documents(spark, texts), bench).collect()} == {d for d, _ in texts} - {d for d, _ in wanted}
 
 
+def brute_leaks(texts, items):
+    """Best similarity over all windows; they cross the document's ends as far as shared shingles put the item there."""
+    out, grams = {}, lambda w, g: [tuple(w[i : i + g]) for i in range(len(w) - g + 1)]
+    for (d, t), (i, x) in itertools.product(texts, items):
+        w, q = WORD.findall((t or "").translate(LOWER)), WORD.findall((x or "").translate(LOWER))
+        g = min(5, len(q))
+        anchored = [k - j for k, a in enumerate(grams(w, g)) for j, b in enumerate(grams(q, g)) if a == b] if q else []
+        if not anchored:
+            continue
+        starts = range(min(0, *anchored), max(len(w) - len(q), *anchored) + 1)
+        best = max((weighted(grams(w[max(0, k) : max(0, k + len(q))], g), grams(q, g)) for k in starts), default=0)
+        if best >= 0.75:
+            out[d, i] = best
+    return out
+
+
+def test_leaks_of_cut_and_widened_items(spark):
+    rng = random.Random(12)
+    items, texts = [], []
+    for i, n in enumerate((20, 25, 50, 50, 50, 60, 60, 80, 80, 120)):
+        q = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        items.append((i, " ".join(q)))
+        wide = q[1 : n // 2] + ["put", "in"] + q[n // 2 : -1]  # the best window starts at no anchored place
+        texts += [(100 + i, " ".join(wide)), (200 + i, " ".join([sentence(rng, 20), *wide, sentence(rng, 20)])), (300 + i, " ".join([*q[3:], sentence(rng, 9)]))]
+        texts.append((400 + i, f"{' '.join(q[: n // 2])} one two three {' '.join(q[n // 2 :])} {sentence(rng, 30)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(documents(spark, texts), bench).collect()}
+    wanted = brute_leaks(texts, items)
+    assert len(wanted) > 20 and found.keys() == wanted.keys()
+    assert all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(documents(spark, [(1, "a b c")]), empty).count() == 0
