@@ -4,7 +4,8 @@ A window is as many words of a document as a benchmark item has (fewer where sha
 document's ends), and shares shingles with the item, or has similarity 0. The places of shared shingles are gathered for each document and item, and a
 window is laid at every start where it holds enough of them to pass, since their number bounds the similarity from above.
 Each window is verified by the exact weighted similarity of its shingles: the sum of the lesser multiplicities over
-the sum of the greater ones. Windows and items get a 64-bit SimHash of their words; pairs more than ``RADIUS`` bits apart are left out.
+the sum of the greater ones. Nothing else rejects a pair: the distance of the
+64-bit SimHashes of their words is reported and decides among windows of equal similarity.
 
 Words are lower-cased (A-Z) runs outside white space; shingles have five words, and an item with fewer words
 is one shingle. Defined results: null and blank texts match nothing; equal items each match;
@@ -24,6 +25,7 @@ from millrace.llm.quality_rules import bind
 
 SHINGLE = 5
 THRESHOLD = 0.75
+#: For lookups by fingerprint blocks; leaks() compares all windows that could pass and needs none.
 RADIUS = 14
 BLOCKS = 5
 #: Index tables are broadcast up to this many rows (of some 24 bytes), and joined by shuffle beyond.
@@ -158,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     compared = compared.select("window", "item_key", "item_fingerprint", F.size("window_words").alias("n_words"), both.alias("both"), (F.size("ours") + F.size("theirs")).alias("all"))
     verified = materialize(compared, "windows").withColumn("similarity", F.col("both") / (F.col("all") - F.col("both"))).where(F.col("similarity") >= THRESHOLD)
     hamming = F.bit_count(simhash(F.split("window", " ")).bitwiseXOR(F.col("item_fingerprint")))
-    verified = materialize(verified.select("window", "item_key", "n_words", "similarity", hamming.cast("int").alias("hamming")), "windows").where(F.col("hamming") <= RADIUS)
+    verified = materialize(verified.select("window", "item_key", "n_words", "similarity", hamming.cast("int").alias("hamming")), "windows")
     hits = windows.join(verified, ["window", "item_key"])
     best = F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start_word")).alias("s"), "n_words")).alias("b")
     return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), "b.n_words", (-F.col("b.h")).alias("hamming"), "b.similarity")

@@ -182,7 +182,7 @@ def brute_leaks(texts, items):
     for (d, t), (i, x) in itertools.product(texts, items):
         w, q = WORD.findall((t or "").translate(LOWER)), WORD.findall((x or "").translate(LOWER))
         g = min(5, len(q))
-        anchored = [k - j for k, a in enumerate(grams(w, g)) for j, b in enumerate(grams(q, g)) if a == b] if q else []
+        anchored = [k - j for k, a in enumerate(grams(w, g)) for j, b in enumerate(grams(q, g)) if a == b] if q and set(grams(w, g)) & set(grams(q, g)) else []
         if not anchored:
             continue
         starts = range(min(0, *anchored), max(len(w) - len(q), *anchored) + 1)
@@ -208,6 +208,20 @@ def test_leaks_of_cut_and_widened_items(spark):
     assert all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
 
 
+def test_leaks_with_replaced_ends(spark):
+    rng = random.Random(13)
+    items, texts = [], []
+    for i in range(60):
+        q = [f"v{rng.randrange(10**6)}" for _ in range((50, 100, 200)[i % 3])]
+        items.append((i, " ".join(q)))
+        texts.append((100 + i, " ".join([sentence(rng, 12), *q[: -((len(q) - 4) // 7)], sentence(rng, 30)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(documents(spark, texts), bench).collect()
+    wanted = brute_leaks(texts, items)
+    assert len(wanted) >= 60 and {(r.doc_id, r.item_id) for r in found} == wanted.keys()
+    assert max(r.hamming for r in found) > 14
+
+
 def test_decontamination_of_nothing(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(documents(spark, [(1, "a b c")]), empty).count() == 0
