@@ -47,7 +47,7 @@ def chunks_of(data: bytes) -> np.ndarray:
 def repeated_share(data: bytes) -> float:
     """How much the document repeats itself, from 0 to 1: the greater of two shares.
 
-    One is of its runs of GRAM bytes that occurred before in it, over a content-defined eighth of them; the
+    One is of its runs of GRAM bytes that occurred before in it, over all of them; the
     other of its words that equal the word before.
     """
     parts = data.split()
@@ -60,8 +60,7 @@ def repeated_share(data: bytes) -> float:
         values = values[: len(values) - width] * np.uint64(0x9E3779B97F4A7C15) + (values[width:] ^ (values[width:] >> np.uint64(29)))
         width *= 2
     values = values * np.uint64(0xBF58476D1CE4E5B9)
-    some = values[(values >> np.uint64(61)) == 0]
-    return max(stutter, 1.0 - len(np.unique(some)) / len(some) if len(some) else 0.0)
+    return max(stutter, 1.0 - len(np.unique(values)) / len(values))
 
 
 class ByteCNN:

@@ -371,6 +371,17 @@ def test_classifier_on_held_out_documents(spark):
     assert auc > 0.95
 
 
+def test_repeated_share_of_short_phrases():
+    rng = random.Random(3)
+    for size in range(6, 40):
+        phrase = "".join(rng.choice("abcdefghij klm") for _ in range(size)).encode()
+        data = phrase * 100
+        runs = [data[i : i + 16] for i in range(len(data) - 15)]
+        parts = data.split()
+        stutter = sum(a == b for a, b in zip(parts, parts[1:])) / max(1, len(parts))
+        assert byte_cnn.repeated_share(data) == max(stutter, 1 - len(set(runs)) / len(runs))
+
+
 def test_classifier_without_labels(spark, odd):
     df, texts = odd
     model = byte_cnn.train(df, spark.createDataFrame([], "doc_id long, quality int"))
