@@ -39,3 +39,16 @@ def py_words(text: str | None) -> list[str]:
 def partitions(spark: SparkSession, rows: int, rows_each: int) -> int:
     """As many shuffle partitions as the rows call for, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+
+
+def slices_by_bytes(batch, column: str, most: int):
+    """The batch in slices whose texts have some ``most`` bytes together (one text at least), so that what is worked on at a time is bounded."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
