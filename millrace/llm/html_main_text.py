@@ -1,15 +1,26 @@
-"""HTML extraction: markup zones, and a suffix array over the pages of a host.
+"""HTML extraction: markup zones, and the suffixes of a host's pages.
 
 Markup is read in one pass into blocks of text in page order. Blocks in menus, headers, footers, sidebars,
 notices, adverts, forms and comments are chrome; blocks in an article or main element are main text; all
-others are open. Where a page declares main text, that is the result, whole. Where it does not, its
-open blocks are judged by the host: the token streams of chrome and open blocks of the host's pages are
-joined, their suffixes sorted, and tokens covered by a run of ``LONG`` tokens or more that occurs on another
-page too are boilerplate; what is left of the blocks is kept. Hosts with more than ``PAGES_EACH`` pages are sorted
-in parts dealt by hash, so that no task holds a whole large host; a run counts as repeated if it recurs within a part.
+others are open. Zones say where a text stands; whether it is boilerplate is judged by the whole host:
+
+1. The suffixes of the token streams of all its pages' chrome and open blocks are dealt out by their first ``LONG`` tokens.
+   Suffixes that share these lie side by side in the host's suffix array, with common prefixes of ``LONG`` or more; a run is
+   repeated if they come from distinct pages (pages of equal html are one page). Every token that a longer
+   common substring covers is covered by such runs too, so sorting deeper would add nothing.
+2. Main text is looked up among the repeated runs that stand in chrome or beside a declared main text somewhere; those that also stand in the
+   main text of one in ``SHARE`` pages of the host (``LEAST_PAGES`` at least) are boilerplate there too.
+3. Tokens that repeated runs cover are removed, and the unique runs between them kept: from main blocks by what step 2 found,
+   and, on pages that declare no main text, from open blocks by what step 1 found.
+
+A passage that only articles share is no boilerplate: neither chrome nor what stands beside an article holds it. A title, teaser or sentence that
+other pages list or quote in their chrome stays too, as it is main text on few pages only.
+
+No task holds a host: runs are counted by grouped aggregation with partial results, so a run on all pages costs one row a
+task. Repeated runs are sent to all tasks if they are few (``BROADCAST_RUNS``, counted), else joined by shuffle, with equal results.
 
 Defined results: a null or empty html gives an empty text; a page without a host is judged with the other such pages;
-repeated rows are extracted each, and copies of a page (equal url) count as one page; other columns are ignored.
+repeated rows are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, table
+from millrace.llm.common import materialize, slices_by_bytes, table
 
 LONG = 8
-PAGES_EACH = 120
+#: Repeated runs (of eight bytes each) that are sent to every executor at most.
+BROADCAST_RUNS = 1_000_000
+SLICE_BYTES = 4 << 20
+SHARE, LEAST_PAGES = 3, 5
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -33,6 +47,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Fixed element names.
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas math audio video".split())
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_TAGS = frozenset("nav footer aside form button select dialog menu head".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -40,28 +55,43 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-#: Fixed words of class, id and role values that mark chrome.
+#: Fixed words that mark chrome as the last word of a class, id or role ("site-footer"), and those that do as the first ("related-posts").
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended comment comments disqus reply replies respond pagination pager "
     "skip search complementary contentinfo".split()
 )
+FIRST_WORDS = frozenset(
+    "ad ads advert advertisement cookie cookies gdpr consent newsletter share sharing social related recommended comment comments breadcrumb breadcrumbs "
+    "nav navbar menu footer sidebar sponsored promo disqus respond pagination".split()
+)
+#: Fixed words of names that tell of chrome elsewhere: in front ("no-sidebar") and behind ("menu-open").
+TELLING = frozenset("no not non with without has have is hide hides show shows".split())
+STATES = frozenset("open opened closed enabled disabled active visible free on off left right content page body layout main wrapper container".split())
 WORDS_IN_NAME = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
+
+
+def names_chrome(name: str) -> bool:
+    """Whether one class, id or role names a menu, advert, notice or the like; a name is judged whole, not by any word in it."""
+    parts = WORDS_IN_NAME.findall(CAMEL.sub(r"\1 \2", name).lower())
+    if not parts or parts[0] in TELLING or (len(parts) > 1 and parts[-1] in STATES):
+        return False
+    return parts[-1] in CHROME_WORDS or parts[0] in FIRST_WORDS
 
 
 def _is_chrome(tag: str, attributes: str, in_main: int) -> bool:
     if tag in CHROME_TAGS or (tag == "header" and not in_main):
         return True
-    if not attributes or tag in ("html", "body"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and "true" in value.lower()):
             return True
-        if name in ("class", "id", "role"):
-            if not CHROME_WORDS.isdisjoint(WORDS_IN_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                return True
+        if name in ("class", "id", "role") and any(map(names_chrome, value.strip("\"'").split())):
+            return True
     return False
 
 
@@ -97,7 +127,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
             continue
         tag, closing = tag.lower(), bool(found[1])
         if tag in RAW and not closing:
-            if not found[3].rstrip().endswith("/"):
+            if not (tag in FOREIGN and found[3].endswith("/")):
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = close.end() if close else size
             continue
@@ -108,7 +138,9 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         if tag in VOID:
             continue
         if chrome_tag:
-            if tag == chrome_tag:
+            if tag == "main" and not closing and chrome_tag not in CHROME_TAGS:
+                chrome_tag, chrome_depth, main_depth = None, 0, 1  # a class of what wraps the main element
+            elif tag == chrome_tag:
                 if closing:
                     chrome_depth -= 1
                 elif tag in ("p", "li"):
@@ -135,103 +167,181 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes by their first ``depth`` tokens, by doubling; equal ranks share them all."""
-    rank, have = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
-    while have < depth:
-        step = min(have, depth - have)
-        after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return rank
-
-
-def repeated_tokens(streams: list[list[str]], pages: list) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a run of LONG tokens that another page has too."""
-    ids, flat, owner = {}, [], []
-    page_numbers = {p: n for n, p in enumerate(dict.fromkeys(pages))}
-    for n, (stream, page) in enumerate(zip(streams, pages)):
-        flat += [ids.setdefault(t, len(ids)) for t in stream]
-        flat.append(-1 - n)  # ends every stream with a token of its own
-        owner += [page_numbers[page]] * (len(stream) + 1)
-    if not flat:
-        return []
-    tokens, owner = np.array(flat, np.int64), np.array(owner, np.int64)
-    rank = suffix_ranks(tokens, LONG)
-    order = np.lexsort((owner, rank))  # the suffix array to this depth, by page within equal suffixes
-    r, o = rank[order], owner[order]
-    start = np.concatenate([[True], r[1:] != r[:-1]])
-    group = np.cumsum(start) - 1
-    first, last = o[start], o[np.concatenate([np.nonzero(start)[0][1:], [len(o)]]) - 1]
-    begins = np.zeros(len(tokens) + LONG + 1, np.int64)
-    hit = order[(first != last)[group]]
-    np.add.at(begins, hit, 1)
-    np.add.at(begins, hit + LONG, -1)
-    covered = np.cumsum(begins)[: len(tokens)] > 0
-    ends = np.cumsum([len(s) + 1 for s in streams])
-    return [covered[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends)]
-
-
-def _read(batches):
+class TokenHashes(dict):
+    """64-bit hashes of tokens, remembered."""
+
+    def __missing__(self, token):
+        import xxhash
+
+        if len(self) > 50_000:
+            self.clear()
+        value = self[token] = xxhash.xxh3_64_intdigest(token)
+        return value
+
+
+def runs_of(tokens: list[str], host: int, known: TokenHashes) -> np.ndarray:
+    """The hash of the first LONG tokens of every suffix of a block that has as many; hosts have hashes of their own."""
+    count = len(tokens) - LONG + 1
+    if count < 1:
+        return np.zeros(0, np.int64)
+    own = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    rolled = np.full(count, host & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(LONG):
+        rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + own[k : k + count]
+    return (rolled ^ (rolled >> np.uint64(32))).view(np.int64)
+
+
+def _suffixes(zones: frozenset):
+    """run, page_key and place (over the blocks of these zones) of every suffix in them, and whether it stands in chrome or beside a declared main text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = TokenHashes()
+        for whole in batches:
+            for batch in slices_by_bytes(whole, "html", SLICE_BYTES):
+                runs, marks, sizes, places, keys = [], [], [], [], []
+                hosts = []
+                for page, host, key in zip(*(batch.column(c).to_pylist() for c in ("html", "host_key", "page_key"))):
+                    at, blocks = 0, blocks_of(page)
+                    settled = any(z == "main" for z, _ in blocks)
+                    for zone, text in blocks:
+                        if zone not in zones:
+                            continue
+                        tokens = text.split(" ")
+                        found = runs_of(tokens, host, known)
+                        runs.append(found)
+                        marks.append(zone == "chrome" or (zone == "open" and settled))
+                        sizes.append(len(found))
+                        places.append(at + np.arange(len(found)))
+                        keys.append(key)
+                        hosts.append(host)
+                        at += len(tokens)
+                if runs:
+                    columns = [np.concatenate(runs), np.repeat(marks, sizes), *(np.repeat(np.array(k, np.int64), sizes) for k in (hosts, keys)), np.concatenate(places).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["run", "chrome", "host_key", "page_key", "place"])
+
+    return run
+
+
+SUFFIXES = "run long, chrome boolean, host_key long, page_key long, place int"
+
+
+def _distinct_pages(suffixes: DataFrame) -> DataFrame:
+    """The runs that two pages hold at least: their least and greatest page differ."""
+    pages = suffixes.groupBy("run").agg(F.min("page_key").alias("least"), F.max("page_key").alias("most"), F.max("chrome").alias("chrome"))
+    return pages.where("least < most").select("run", "chrome")
+
+
+def _furniture(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of runs found in main text, those that a considerable share of their host's pages have there."""
+    held = found.groupBy("run", "host_key", "page_key").agg(F.lit(1).alias("one")).groupBy("run", "host_key").agg(F.count("*").alias("n"))
+    pages = rows.select("host_key", "page_key").distinct().groupBy("host_key").agg(F.count("*").alias("pages"))
+    return held.join(pages, "host_key").where((F.col("n") >= LEAST_PAGES) & (SHARE * F.col("n") >= F.col("pages"))).select("run")
+
+
+def _cover(length: int, hits: np.ndarray) -> np.ndarray:
+    """Which of so many tokens lie in a run that begins at one of the hits."""
+    edges = np.zeros(length + 1, np.int64)
+    np.add.at(edges, hits, 1)
+    np.add.at(edges, np.minimum(hits + LONG, length), -1)
+    return np.cumsum(edges)[:length] > 0
+
+
+def _unique_text(page: str | None, hits) -> str:
+    """The blocks of the main zone, or of the open one if there are none, without the runs at the places that ``hits(zone, blocks)`` gives."""
+    blocks = blocks_of(page)
+    zone = "main" if any(z == "main" for z, _ in blocks) else "open"
+    own = [t.split(" ") for z, t in blocks if z == zone]
+    places = hits(zone, own)
+    if not len(places):
+        return "\n".join(map(" ".join, own))
+    ends = np.cumsum([len(t) for t in own])
+    covered = _cover(int(ends[-1]), places)
+    kept = [" ".join(t for t, c in zip(tokens, covered[e - len(tokens) : e]) if not c) for tokens, e in zip(own, ends)]
+    return "\n".join(filter(None, kept))
+
+
+def _extract(batches, hits_of):
     import pyarrow as pa
 
     for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            main, open_, chrome, settled = [], [], [], []
-            for page in batch.column("html").to_pylist():
-                blocks = blocks_of(page)
-                own = [t for z, t in blocks if z == "main"]
-                main.append("\n".join(own))
-                settled.append(bool(own))
-                open_.append([t for z, t in blocks if z == "open"])
-                chrome.append([t for z, t in blocks if z == "chrome"])
-            texts = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(settled), pa.array(main, pa.string()), pa.array(open_, texts), pa.array(chrome, texts)],
-                ["page_id", "url", "settled", "main", "open", "chrome"],
-            )
-
-
-def _judge(pdf):
-    """The pages of one part of a host: open text without what its pages repeat."""
-    import pandas as pd
-
-    streams, pages = [], []
-    blocks = [list(b) for b in pdf["open"]]
-    for own, chrome, key in zip(blocks, pdf["chrome"], pdf["page_key"]):
-        for text in (*own, *chrome):
-            streams.append(text.split(" "))
-            pages.append(key)
-    covered = iter(repeated_tokens(streams, pages))
-    texts = []
-    for own, chrome in zip(blocks, pdf["chrome"]):
-        kept = []
-        for text in own:
-            left = " ".join(t for t, c in zip(text.split(" "), next(covered)) if not c)
-            if left:
-                kept.append(left)
-        for _ in chrome:
-            next(covered)
-        texts.append("\n".join(kept))
-    out = pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
-    return out[~pdf["settled"].to_numpy()]
-
-
-def extract_main_text(pages: DataFrame) -> DataFrame:
+        for batch in slices_by_bytes(whole, "html", SLICE_BYTES):
+            texts = [_unique_text(page, hits) for page, hits in zip(batch.column("html").to_pylist(), hits_of(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+
+EXTRACTED = "page_id long, url string, text string"
+
+
+def _collected(runs: DataFrame) -> np.ndarray:
+    """Sorted runs in the driver; BROADCAST_RUNS bounds them."""
+    return np.sort(runs.toArrow().column("run").to_numpy())
+
+
+def _with_sent_runs(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Texts when the repeated runs are few: every task has them."""
+    context = rows.sparkSession.sparkContext
+    sent, chrome = context.broadcast(_collected(repeated)), context.broadcast(_collected(repeated.where("chrome")))
+
+    def main_hits(batches):
+        import pyarrow as pa
+
+        for batch in _suffixes(frozenset(["main"]))(batches):
+            yield batch.filter(pa.array(np.isin(batch.column("run").to_numpy(), chrome.value)))
+
+    in_main = _furniture(rows.mapInArrow(main_hits, SUFFIXES), rows) if len(chrome.value) else None
+    in_main = context.broadcast(chrome.value if in_main is None else _collected(in_main))  # a part of those sent
+
+    def run(batches):
+        known, runs = TokenHashes(), {"open": sent.value, "main": in_main.value}
+
+        def hits(host):
+            def of(zone, blocks):
+                if not len(runs[zone]):
+                    return ()
+                found, at = [], 0
+                for tokens in blocks:
+                    found.append(at + np.nonzero(np.isin(runs_of(tokens, host, known), runs[zone]))[0])
+                    at += len(tokens)
+                return np.concatenate(found) if found else ()
+
+            return of
+
+        yield from _extract(batches, lambda batch: map(hits, batch.column("host_key").to_pylist()))
+
+    return rows.mapInArrow(run, EXTRACTED)
+
+
+def _with_joined_runs(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Texts when the repeated runs are many: suffixes meet them by shuffle, and pages get the places of theirs."""
+    found = materialize(rows.mapInArrow(_suffixes(frozenset(["main"])), SUFFIXES).join(repeated.where("chrome").select("run"), "run"), "main")
+    main = found.join(_furniture(found, rows), "run").select("page_key", F.lit("main").alias("zone"), "place")
+    open_ = rows.mapInArrow(_suffixes(frozenset(["open"])), SUFFIXES).join(repeated.select("run"), "run").select("page_key", F.lit("open").alias("zone"), "place")
+    places = main.unionByName(open_).groupBy("page_key").agg(*(F.collect_set(F.when(F.col("zone") == z, F.col("place"))).alias(z) for z in ("main", "open")))
+
+    def run(batches):
+        def of(batch):
+            for main_, own in zip(batch.column("main").to_pylist(), batch.column("open").to_pylist()):
+                found = {"main": main_ or (), "open": own or ()}
+                yield lambda zone, blocks, found=found: np.array(found[zone], np.int64)
+
+        yield from _extract(batches, of)
+
+    return rows.join(places, "page_key", "left").mapInArrow(run, EXTRACTED)
+
+
+def extract_main_text(pages: DataFrame, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    read = rows.mapInArrow(_read, "page_id long, url string, settled boolean, main string, open array<string>, chrome array<string>")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(?:www\.)?([^/:?#]+)", 1)), F.lit(""))
-    read = materialize(read.withColumns({"host": host, "page_key": F.xxhash64("url")}), "pages")
-    hosts = read.groupBy("host").agg(F.count("*").alias("n"), F.count_if(~F.col("settled")).alias("unsettled"))
-    hosts = hosts.where("unsettled > 0").select("host", F.ceil(F.col("n") / PAGES_EACH).cast("int").alias("parts"))
-    evidence = read.select("page_id", "url", "settled", "open", "chrome", "host", "page_key").join(hosts, "host")
-    evidence = evidence.withColumn("part", F.pmod(F.xxhash64("page_key"), F.col("parts")).cast("int"))
-    judged = evidence.groupBy("host", "part").applyInPandas(_judge, "page_id long, url string, text string")
-    settled = read.where("settled").select("page_id", "url", F.col("main").alias("text"))
-    return settled.unionByName(judged).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.xxhash64(host).alias("host_key"), F.xxhash64(host, "html").alias("page_key")
+    )
+    suffixes = rows.mapInArrow(_suffixes(frozenset(["chrome", "open"])), SUFFIXES)
+    repeated = materialize(_distinct_pages(suffixes), "runs")
+    few = repeated.limit(broadcast_runs + 1).count() <= broadcast_runs
+    out = _with_sent_runs(rows, repeated) if few else _with_joined_runs(rows, repeated)
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

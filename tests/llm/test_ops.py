@@ -493,21 +493,65 @@ def test_repeated_runs_are_boilerplate(spark):
     assert {r.page_id: r.text for r in html_main_text.extract_main_text(rows).collect()} == {i: f"unique text number {i} with some words of its own kind{i}" for i in range(5)}
 
 
-def test_suffix_ranks_against_slices():
-    rng = np.random.default_rng(4)
-    tokens = rng.integers(0, 3, 200)
-    streams, pages = [[str(x) for x in tokens[i : i + 40]] for i in range(0, 200, 40)], [0, 1, 2, 3, 3]
-    found = html_main_text.repeated_tokens(streams, pages)
-    seen = collections.defaultdict(set)
-    for s, p in zip(streams, pages):
-        for i in range(len(s) - 7):
-            seen[tuple(s[i : i + 8])].add(p)
-    for s, cover in zip(streams, found):
-        wanted = [False] * len(s)
-        for i in range(len(s) - 7):
-            if len(seen[tuple(s[i : i + 8])]) > 1:
-                wanted[i : i + 8] = [True] * 8
-        assert cover.tolist() == wanted
+@pytest.mark.parametrize(
+    ("name", "chrome"),
+    [("cookie-notice", True), ("siteFooter", True), ("main_nav", True), ("related-posts", True), ("ad", True), ("no-sidebar", False), ("with-nav", False), ("has-ads", False), ("search-results", False), ("menu-open", False), ("content", False), ("leading", False)],
+)
+def test_names_of_chrome(name, chrome):
+    assert html_main_text.names_chrome(name) == chrome
+
+
+def test_wrappers_and_scripts_of_odd_form():
+    page = "<div class='page has-ads no-sidebar'><script src=https://a/b/>var x = 1;</script><div class=promo-banner><main><p>Text</p></main></div></div><svg/><p>after"
+    assert html_main_text.blocks_of(page) == [("main", "Text"), ("open", "after")]
+
+
+def brute_texts(pages):
+    """Runs of eight tokens over all blocks of a host, each looked up in every other page."""
+    blocks = [(url.split("/")[2], html, html_main_text.blocks_of(html)) for _, url, html in pages]
+    seen, chrome = {z: collections.defaultdict(set) for z in ("boiler", "main")}, set()
+    for host, html, own in blocks:
+        settled = any(z == "main" for z, _ in own)
+        for zone, text in own:
+            t = text.split(" ")
+            for i in range(len(t) - 7):
+                seen["main" if zone == "main" else "boiler"][host, tuple(t[i : i + 8])].add(html)
+                if zone == "chrome" or (zone == "open" and settled):
+                    chrome.add((host, tuple(t[i : i + 8])))
+    out, sizes = [], collections.Counter(host for host, _ in {(h, x) for h, x, _ in blocks})
+    for host, html, own in blocks:
+        zone = "main" if any(z == "main" for z, _ in own) else "open"
+        kept = []
+        for text in (t for z, t in own if z == zone):
+            t = text.split(" ")
+            covered = set()
+            for i in range(len(t) - 7):
+                key = host, tuple(t[i : i + 8])
+                if len(seen["boiler"][key]) > 1 and (zone == "open" or (key in chrome and len(seen["main"][key]) >= max(5, sizes[host] / 3))):
+                    covered |= set(range(i, i + 8))
+            kept.append(" ".join(x for i, x in enumerate(t) if i not in covered))
+        out.append("\n".join(filter(None, kept)))
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_extraction_against_all_runs(spark, most):
+    rng = random.Random(21)
+    line, passage, teaser = sentence(rng, 11), sentence(rng, 60), sentence(rng, 15)
+    pages = []
+    for i in range(160):  # the host's size does not matter
+        own = f"<h1>{teaser if i == 7 else sentence(rng, 9)}</h1><p>{sentence(rng, 40)}</p>"
+        share = f"<p>{sentence(rng, 3)} {line} {sentence(rng, 2)}</p>" if i % 3 else f"<div class='share'>{line}</div>"
+        quoted = f"<blockquote>{passage}</blockquote>" if i % 5 == 0 else ""
+        listed = f"<aside>{teaser}</aside><div class=ad>{passage[:80]}</div>" if i in (8, 9) else ""
+        body = f"<article>{own}{share}{quoted}</article>" if i % 4 else f"<div>{own}{share}{quoted}</div><div>{line}</div>"
+        pages.append((i, f"http://{'big' if i < 150 else 'small'}.example/{i}", f"<body>{listed}{body}</body>"))
+    pages.append((500, "http://big.example/copy?utm_source=x", pages[4][2]))
+    rows = spark.createDataFrame([(*p, 3, "t", 1) for p in pages], "page_id long, url string, html string, n_chars int, text string, run int")
+    found = {r.page_id: r.text for r in html_main_text.extract_main_text(rows, most).collect()}
+    wanted = dict(zip((p[0] for p in pages), brute_texts(pages)))
+    assert found == wanted
+    assert not any(line in t for t in wanted.values()) and passage in wanted[5] and wanted[7].startswith(teaser) and wanted[500] == wanted[4] != ""
 
 
 # --- languages ------------------------------------------------------------------------------------
