@@ -575,6 +575,68 @@ def test_evidence_decides_where_text_says_nothing(spark):
     assert all(r.lang is None for r in language_id.identify(docs.limit(0), pages).collect())
 
 
+def brute_languages(docs, pages):
+    """Every posterior by its definition."""
+    logs = collections.defaultdict(lambda: np.full(1 << 16, 0.5))
+    for _, text, lang, _ in docs:
+        if lang and text and (found := re.match(r"([a-z]{2,3})([-_].*)?$", lang.strip().lower())):
+            np.add.at(logs[found[1]], language_id.trigram_bins(text), 1)
+    names = sorted(logs)
+    model = np.stack([np.log(logs[x] / logs[x].sum()) for x in names], axis=1).astype(np.float32)
+    rows = [(("document", i), "", "", "source", f"source:{s or ''}", t or "") for i, t, _, s in docs]
+    for i, url, html in pages:
+        host = re.match(r"\w+://([^/]+)", url or "")
+        host = host[1] if host else ""
+        lang = re.search(r'<html lang="(\w+)"', html or "")
+        rows.append((("page", i), lang[1] if lang else "", host.split(".")[-1] + "/", ".".join(host.split(".")[-2:]), host, language_id.plain(html)))
+    text = []
+    for *_, t in rows:
+        x = model[language_id.trigram_bins(t)].sum(axis=0, dtype=np.float64) / 6
+        text.append(np.maximum(x - x.max(), -60))
+    share = [np.exp(x) / np.exp(x).sum() for x in text]
+    add = lambda k: {v: sum((p for r, p in zip(rows, share) if r[k] == v), np.zeros(len(names))) for v in {r[k] for r in rows}}
+    declared, suffix, domain, host = map(add, (1, 2, 3, 4))
+    prior = (sum(share) + 1) / (len(rows) + len(names))
+    out = {}
+    for r, x in zip(rows, text):
+        above = (domain[r[3]] + 20 * prior) / (domain[r[3]].sum() + 20)
+        x = x + np.log((host[r[4]] + 5 * above) / (host[r[4]].sum() + 5))
+        for k, sums in ((1, declared), (2, suffix)):
+            if r[k]:
+                seen = [v for v in sums if v]
+                x = x + np.log((sums[r[k]] + 0.5) / (sum(sums[v] for v in seen) + 0.5 * (len(seen) + 1)))
+        p = np.exp(x - x.max())
+        out[r[0]] = (names[int(p.argmax())], p.max() / p.sum())
+    return out
+
+
+def test_languages_against_every_posterior(spark):
+    rng = random.Random(17)
+    stock = {x: [f"{x}{rng.randrange(60)}" for _ in range(50)] for x in ("en", "de", "fr", "nl", "da")}
+    say = lambda x, n: " ".join(rng.choice(stock[x]) for _ in range(n))
+    docs = [(i, say(x, rng.randrange(0, 30)), rng.choice([x, x.upper() + "-XX"]), rng.choice("st")) for i, x in enumerate(["en", "de", "fr", "nl", "da"] * 8)]
+    docs += [(100, None, "en", "s"), (101, say("de", 4000), None, None), (102, "", "??", "t"), (5, docs[5][1], docs[5][2], docs[5][3])]
+    pages = [(i, f"http://a{i % 3}.{x}.{'org' if i % 2 else x}/", f'<html lang="{x}"><p>{say(x, rng.randrange(0, 12))}</p>') for i, x in enumerate(["en", "de", "fr"] * 6)]
+    pages += [(90, "http://a0.en.org/", None), (91, None, f"<p>{say('fr', 9)}")]
+    wanted = brute_languages(docs, pages)
+    doc_rows = spark.createDataFrame([(*d, "x", 1.0) for d in docs], "doc_id long, text string, lang string, source string, host string, confidence double")
+    page_rows = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, lang string, rows int")
+    found = language_id.identify(doc_rows, page_rows).collect()
+    assert len(found) == len(docs) + len(pages)
+    for r in found:
+        lang, sure = wanted[r.kind, r.doc_id if r.kind == "document" else r.page_id]
+        assert r.lang == lang and abs(r.confidence - sure) < 1e-4
+
+
+def test_many_languages_are_all_modelled(spark):
+    codes = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklm", repeat=2), 90)]
+    docs = spark.createDataFrame([(i, f"{c}{c}{c} word{c} {c}x{c} " * 6, c, "s") for i, c in enumerate(codes)], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    found = {r.doc_id: r.text_lang for r in language_id.identify(docs, pages).collect()}
+    assert [found[i] for i in range(90)] == codes
+    assert language_id.bins_for(256) == 1 << 16 and language_id.bins_for(257) == 1 << 15
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
