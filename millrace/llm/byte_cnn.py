@@ -1,24 +1,25 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A document's UTF-8 bytes are cut into overlapping chunks that cover it whole. Learned filters slide
-over embedded bytes; each is max-pooled over its chunk, and the chunks' maxima are pooled over the
-document by maximum and mean. With the share of it that repeats what came before, a logistic layer
-combines them into one probability.
+A document's UTF-8 bytes are cut into overlapping chunks that cover it whole. Every place is embedded as the sum of two learned
+vectors: one of its byte, and one of its age, which tells how long ago the ``GRAM`` bytes from here on were last read in the
+document (in powers of two; 0 for never), so that repetition is visible to filters of any width. Learned filters slide
+over the embedded places; each is max-pooled over its chunk, and the chunks' maxima are pooled over the
+document by maximum and mean. A logistic layer combines them into one probability.
 
 Training: stochastic gradient descent (Adam) on at most ``SAMPLE_EACH`` labelled documents of each
-class, those with the least hash of doc_id among the rows whose crc32(doc_id as text) mod 5 is not 0.
+class, those with the least hash of doc_id among the rows whose crc32(doc_id as text) mod 5 is not 0, each of which
+gives at most ``SAMPLE_BYTES`` of whole chunks to training (scores always see whole texts).
 Every batch has as many of either class, so a score is the probability under even classes.
 Nothing but text is an input of a score.
 
 Defined results: a null text is empty and gets a score; without labels of both classes every
 score is the share of label 1 (or 1/2); null labels are ignored; a doc_id labelled more than once
-counts as its mean, 1 from one half on; repeated rows are scored each; other columns are ignored.
+counts as its mean, 1 from one half on; of documents that repeat a labelled doc_id the text least in order trains; a null doc_id is not
+held out; repeated rows are scored each; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from operator import eq
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,57 +32,58 @@ SAMPLE_EACH = 700
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, EMBED, FILTERS = 8, 3, 6, 16
 STEPS, BATCH, RATE = 300, 32, 0.01
-GRAM = 16
-REPEAT_SCALE = 10.0
+GRAM, AGES = 6, 16
+SAMPLE_BYTES = 1 << 17
+
+
+def ages_of(data: np.ndarray) -> np.ndarray:
+    """For each place: 0 if its GRAM bytes are new, else 1 + the number of binary digits of how far back they stand (AGES - 1 at most)."""
+    out = np.zeros(len(data), np.uint16)
+    if len(data) <= GRAM:
+        return out
+    wide = data.astype(np.uint64)
+    count = len(data) - GRAM + 1
+    grams = np.zeros(count, np.uint64)
+    for k in range(GRAM):
+        grams = (grams << np.uint64(8)) | wide[k : k + count]
+    order = np.argsort(grams, kind="stable")
+    seen = grams[order[1:]] == grams[order[:-1]]
+    back = (order[1:] - order[:-1])[seen]
+    out[order[1:][seen]] = np.minimum(np.frexp(back)[1] + 1, AGES - 1)
+    return out
 
 
 def chunks_of(data: bytes) -> np.ndarray:
-    """Rows of CHUNK byte values plus one; 0 pads the last."""
+    """Rows of CHUNK codes, each a byte plus one and 257 times its age; 0 pads the last."""
     step = CHUNK - OVERLAP
     count = max(1, -(-(len(data) - OVERLAP) // step))
     flat = np.zeros((count - 1) * step + CHUNK, np.uint16)
-    flat[: len(data)] = np.frombuffer(data, np.uint8).astype(np.uint16) + 1
+    read = np.frombuffer(data, np.uint8)
+    flat[: len(data)] = read.astype(np.uint16) + 1 + np.uint16(257) * ages_of(read)
     return np.lib.stride_tricks.sliding_window_view(flat, CHUNK)[::step]
 
 
-def repeated_share(data: bytes) -> float:
-    """How much the document repeats itself, from 0 to 1: the greater of two shares.
-
-    One is of its runs of GRAM bytes that occurred before in it, over all of them; the
-    other of its words that equal the word before.
-    """
-    parts = data.split()
-    stutter = sum(map(eq, parts, parts[1:])) / len(parts) if parts else 0.0
-    if len(data) < 4 * GRAM:
-        return stutter
-    values = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    width = 1
-    while width < GRAM:  # doubling: the hash of 2w bytes from the two of w
-        values = values[: len(values) - width] * np.uint64(0x9E3779B97F4A7C15) + (values[width:] ^ (values[width:] >> np.uint64(29)))
-        width *= 2
-    values = values * np.uint64(0xBF58476D1CE4E5B9)
-    return max(stutter, 1.0 - len(np.unique(values)) / len(values))
-
-
 class ByteCNN:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.weights = {
             "embed": rng.normal(0, 0.5, (257, EMBED)).astype(np.float32),
+            "ages": rng.normal(0, 0.5, (AGES, EMBED)).astype(np.float32),
             "filters": rng.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "head": rng.normal(0, 0.1, 2 * FILTERS + 1).astype(np.float32),
+            "head": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
             "intercept": np.zeros(1, np.float32),
         }
-        self.weights["embed"][0] = 0  # padding says nothing
+        self.weights["embed"][0] = self.weights["ages"][0] = 0  # padding says nothing
         self.constant = None
 
     def _pooled(self, chunks: np.ndarray, places: bool = False):
         """Maxima of each chunk's filters, and where they are."""
         w, best, where = self.weights, [], []
         spots = (CHUNK - WIDTH) // STRIDE + 1
+        table_ = (w["ages"][:, None] + w["embed"]).reshape(-1, EMBED)
         for at in range(0, len(chunks), 128):
-            flat = w["embed"][chunks[at : at + 128]].reshape(-1, CHUNK * EMBED)
+            flat = table_[chunks[at : at + 128]].reshape(-1, CHUNK * EMBED)
             seen = np.lib.stride_tricks.as_strided(flat, (len(flat), spots, WIDTH * EMBED), (flat.strides[0], STRIDE * EMBED * 4, 4))
             out = (seen.reshape(-1, WIDTH * EMBED) @ w["filters"]).reshape(len(flat), spots, FILTERS)
             if places:
@@ -90,8 +92,8 @@ class ByteCNN:
         best = np.maximum(np.concatenate(best) + w["bias"], 0)
         return (best, np.concatenate(where)) if places else best
 
-    def _features(self, best: np.ndarray, starts: np.ndarray, sizes: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.maximum.reduceat(best, starts), np.add.reduceat(best, starts) / sizes[:, None], REPEAT_SCALE * repeats[:, None]], axis=1)
+    def _features(self, best: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.maximum.reduceat(best, starts), np.add.reduceat(best, starts) / sizes[:, None]], axis=1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
@@ -105,8 +107,7 @@ class ByteCNN:
             parts = [chunks_of(t) for t in texts[at:to]]
             sizes = np.array([len(p) for p in parts])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            repeats = np.array([repeated_share(t) for t in texts[at:to]], np.float32)
-            x = self._features(self._pooled(np.concatenate(parts)), starts, sizes, repeats)
+            x = self._features(self._pooled(np.concatenate(parts)), starts, sizes)
             out[at:to] = 1 / (1 + np.exp(-np.clip((x @ self.weights["head"]).astype(np.float64) + self.weights["intercept"][0], -40, 40)))
             at = to
         return out
@@ -116,7 +117,7 @@ class ByteCNN:
         if not len(labels) or labels.min() == labels.max():
             self.constant = float(share)
             return self
-        parts, repeats = [chunks_of(t) for t in texts], np.array([repeated_share(t) for t in texts], np.float32)
+        parts = [chunks_of(t)[: SAMPLE_BYTES // CHUNK] for t in texts]
         rng = np.random.default_rng(11)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
         classes = [np.nonzero(labels == k)[0] for k in (0, 1)]
@@ -128,7 +129,7 @@ class ByteCNN:
                     queue.extend(rng.permutation(members).tolist())
                 own += queue[: BATCH // 2]
                 del queue[: BATCH // 2]
-            grads = self._gradients([parts[i] for i in own], repeats[own], labels[own])
+            grads = self._gradients([parts[i] for i in own], labels[own])
             rate = RATE * (1 - step / (STEPS + 1)) ** 0.5
             for k, g in grads.items():
                 m, v = moments[k]
@@ -137,12 +138,12 @@ class ByteCNN:
                 self.weights[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
-    def _gradients(self, parts: list[np.ndarray], repeats: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradients(self, parts: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
         chunks, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         best, where = self._pooled(chunks, places=True)
-        x = self._features(best, starts, sizes, repeats)
+        x = self._features(best, starts, sizes)
         p = 1 / (1 + np.exp(-np.clip(x @ w["head"] + w["intercept"][0], -30, 30)))
         off = ((p - labels) / len(labels)).astype(np.float32)
         doc = np.repeat(np.arange(len(parts)), sizes)
@@ -153,16 +154,18 @@ class ByteCNN:
         value = down[row, column]
         spots = where[row, column, None] * STRIDE + np.arange(WIDTH)
         seen = chunks[row[:, None], spots]
-        inputs = w["embed"][seen].reshape(len(row), -1)
+        ages, read = np.divmod(seen, 257)
+        inputs = (w["embed"][read] + w["ages"][ages]).reshape(len(row), -1)
         filters = np.zeros_like(w["filters"])
-        embed = np.zeros_like(w["embed"])
+        embed, aged = np.zeros_like(w["embed"]), np.zeros_like(w["ages"])
         for f in range(FILTERS):
             own = column == f
             filters[:, f] = value[own] @ inputs[own]
         back = (value[:, None] * w["filters"].T[column]).reshape(len(row), WIDTH, EMBED)
-        np.add.at(embed, seen.reshape(-1), back.reshape(-1, EMBED))
-        embed[0] = 0
-        return {"embed": embed, "filters": filters + 1e-4 * w["filters"], "bias": down.sum(axis=0), "head": x.T @ off + 1e-3 * w["head"] / len(labels), "intercept": np.array([off.sum()])}
+        np.add.at(embed, read.reshape(-1), back.reshape(-1, EMBED))
+        np.add.at(aged, ages.reshape(-1), back.reshape(-1, EMBED))
+        embed[0] = aged[0] = 0
+        return {"embed": embed, "ages": aged, "filters": filters + 1e-4 * w["filters"], "bias": down.sum(axis=0), "head": x.T @ off + 1e-3 * w["head"] / len(labels), "intercept": np.array([off.sum()])}
 
 
 def fold(doc_id, folds: int):
@@ -183,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ByteCNN:
         return ByteCNN().fit([], np.zeros(0), share)
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for k in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * SAMPLE_EACH rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return ByteCNN().fit([(r.text or "").encode() for r in rows], np.array([r.label for r in rows], np.float32), share)
 
@@ -217,7 +220,7 @@ def keep_good(docs: DataFrame, model: ByteCNN) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {"op8_quality_classifier": op8_quality_classifier}

@@ -334,24 +334,24 @@ def test_chunks_cover_everything():
         for k, row in enumerate(chunks):
             for j, v in enumerate(row):
                 if v:
-                    back[k * step + j] = v - 1
+                    back[k * step + j] = int(v) % 257 - 1
         assert bytes(back[i] for i in range(n)) == data
 
 
 def test_gradients_match_differences():
     net = byte_cnn.ByteCNN()
     texts = [b"plain words in a row", b"$$$ ### odd *** marks " * 40]
-    parts, repeats, labels = [byte_cnn.chunks_of(t) for t in texts], np.array([0.0, 0.3], np.float32), np.array([1, 0], np.float32)
+    parts, labels = [byte_cnn.chunks_of(t) for t in texts], np.array([1, 0], np.float32)
 
     def loss():
         best = net._pooled(np.concatenate(parts))
         sizes = np.array([len(p) for p in parts])
-        x = net._features(best, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, repeats)
+        x = net._features(best, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         z = x @ net.weights["head"] + net.weights["intercept"][0]
         return float(np.mean(np.logaddexp(0, z) - labels * z))
 
-    grads = net._gradients(parts, repeats, labels)
-    for key, at in (("filters", (5, 3)), ("bias", (2,)), ("intercept", (0,)), ("embed", (ord("w") + 1, 2))):
+    grads = net._gradients(parts, labels)
+    for key, at in (("filters", (5, 3)), ("bias", (2,)), ("intercept", (0,)), ("embed", (ord("w") + 1, 2)), ("ages", (6, 1))):
         old = net.weights[key][at]
         net.weights[key][at] = old + 1e-2
         up = loss()
@@ -371,15 +371,33 @@ def test_classifier_on_held_out_documents(spark):
     assert auc > 0.95
 
 
-def test_repeated_share_of_short_phrases():
+def test_ages_against_a_plain_scan():
     rng = random.Random(3)
-    for size in range(6, 40):
-        phrase = "".join(rng.choice("abcdefghij klm") for _ in range(size)).encode()
-        data = phrase * 100
-        runs = [data[i : i + 16] for i in range(len(data) - 15)]
-        parts = data.split()
-        stutter = sum(a == b for a, b in zip(parts, parts[1:])) / max(1, len(parts))
-        assert byte_cnn.repeated_share(data) == max(stutter, 1 - len(set(runs)) / len(runs))
+    for size in (0, 5, 6, 7, 200, 900):
+        data = bytes(rng.choice(b"abc") if rng.random() < 0.9 else rng.randrange(256) for _ in range(size))
+        last, wanted = {}, []
+        for i in range(size):
+            gram = data[i : i + 6] if i + 6 <= size else None
+            wanted.append(min((i - last[gram]).bit_length() + 1, 15) if gram in last else 0)
+            if gram:
+                last[gram] = i
+        assert byte_cnn.ages_of(np.frombuffer(data, np.uint8)).tolist() == wanted
+
+
+def test_scores_against_plain_loops():
+    rng = random.Random(4)
+    net = byte_cnn.ByteCNN(seed=5)
+    texts = [b"", b"short", bytes(rng.randrange(256) for _ in range(1300)), b"again and again " * 60]
+    w = {k: v.astype(float) for k, v in net.weights.items()}
+    for text, score in zip(texts, net.scores(texts)):
+        tops = []
+        for row in byte_cnn.chunks_of(text):
+            place = [w["embed"][c % 257] + w["ages"][c // 257] for c in row.tolist()]
+            spots = range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE)
+            out = [np.concatenate(place[p : p + byte_cnn.WIDTH]) @ w["filters"] + w["bias"] for p in spots]
+            tops.append(np.maximum(np.max(out, axis=0), 0))
+        z = np.concatenate([np.max(tops, axis=0), np.mean(tops, axis=0)]) @ w["head"] + w["intercept"][0]
+        assert abs(1 / (1 + np.exp(-z)) - score) < 1e-4
 
 
 def test_classifier_without_labels(spark, odd):
