@@ -280,20 +280,50 @@ def test_rules_of_nothing(spark):
     assert [r.kept for r in quality_rules.judge(documents(spark, [(1, None)])).collect()] == [False]
 
 
-def test_distances_equal_numpy(spark):
+def plain_mcd(x, rng):
+    """The least determinant of many random starts, each concentrated until it stops."""
+    n, d = x.shape
+    keep, floor, best = int(np.ceil(0.75 * n)), np.square(quality_rules.FLOORS), None
+    for _ in range(40):
+        own = x[rng.choice(n, d + 2, replace=False)]
+        for _ in range(60):
+            mean, cov = own.mean(axis=0), np.cov(own.T, bias=True) + np.diag(floor)
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = x[np.argsort(d2, kind="stable")[:keep]]
+            if np.array_equal(new, own):
+                break
+            own = new
+        det = np.linalg.slogdet(np.cov(own.T, bias=True) + np.diag(floor))[1]
+        if best is None or det < best[0]:
+            best = (det, own.mean(axis=0), np.cov(own.T, bias=True) + np.diag(floor))
+    return best
+
+
+def test_estimates_equal_a_plain_minimum_covariance_determinant(spark):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) * 0.3
-    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
-    est = quality_rules.robust_estimates(rows)
-    d = sorted(r.d2 for r in quality_rules.distances(rows, est).collect())
-    e = est.first().asDict()
-    low = np.zeros((5, 5))
-    for i in range(5):
-        for j in range(i + 1):
-            low[i, j] = e[f"l_{i}_{j}"]
-    mean = np.array([e[f"m_{i}"] for i in range(5)])
-    wanted = sorted(np.square(np.linalg.solve(low, (x - mean).T)).sum(axis=0))
-    assert np.allclose(d, wanted)
+    data = {}
+    for g in ("a", "b"):
+        x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) * 0.5
+        x[:80] += 6.0  # a fifth lies together far off and would mask itself in plain moments
+        data[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in data.items() for v in x], "grp string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
+    found = {r.grp: r.asDict() for r in quality_rules.robust_estimates(rows).collect()}
+    for g, x in data.items():
+        det, mean, cov = plain_mcd(x, rng)
+        assert found[g]["n"] == 400 and found[g]["log_det"] < det + 0.05
+        assert np.allclose([found[g][f"m_{i}"] for i in range(5)], mean, atol=0.12)
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        wide = max(np.median(d2) / quality_rules.CHI2_MEDIAN, 1)
+        for i, j in quality_rules.UPPER:
+            assert abs(found[g][f"c_{i}_{j}"] - wide * cov[i, j]) < 0.15 * wide * np.sqrt(cov[i, i] * cov[j, j])
+
+
+def test_groups_of_few_rows_follow_their_language(spark):
+    rng = random.Random(18)
+    rows = [(i, sentence(rng, rng.randrange(25, 200)), "en", "big") for i in range(250)] + [(900 + i, sentence(rng, 60), "en", f"one{i}") for i in range(5)] + [(950, " ".join(f"w{i}###" for i in range(60)), "en", "lone"), (960, sentence(rng, 50), None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.kept for r in quality_rules.judge(df).collect()}
+    assert all(found[900 + i] for i in range(5)) and not found[950] and found[960]
 
 
 # --- chat -----------------------------------------------------------------------------------------
