@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.workspace import materialize, settings, shared_dir  # noqa: F401  (re-exported)
+from millrace.workspace import discard, materialize, settings, shared_dir  # noqa: F401  (re-exported)
 
 #: Words are runs of anything but these six white-space characters.
 SPACE_CHARS = " \t\n\x0b\x0c\r"

@@ -2,14 +2,14 @@
 
 Two collections of ``M`` half keys, each of two minhashes, give ``M * M`` table keys by combination: 4 * M
 minhashes do the work of 4 * M * M. Documents with equal shingle sets form one class, and its least
-doc_id stands for it. Each bucket of a table links its members to one leader; the links of likely
-similarity join the documents into clusters. Within a cluster all pairs of full shingle sets are
+doc_id stands for it. Each bucket of a table links its members to one leader; all links whose minhashes make the
+similarity likely (0.45 and more, so that documents that are similar to each other stay together beside a leader that is less so) join the documents into clusters. Within a cluster all pairs of full shingle sets are
 compared exactly: a cluster over ``BLOCK`` documents is cut into blocks that share some members, and
 what the blocks leave apart is then compared block by block with the whole cluster. Links have
 100 * intersection >= 75 * union; components of links are found by distributed stars.
 
 Two documents at the threshold share a bucket with probability (1 - (1 - 0.75^2)^M)^2, 0.9995 for
-M = 10. No pairs are emitted within a bucket or cluster, and no bucket is ever held by a task.
+M = 10. Sets are sets of 64-bit shingle hashes. No pairs are emitted within a bucket or cluster, and no bucket is ever held by a task.
 
 Defined results: without words (or text) n_shingles is 0 and the document is its own component; under
 five words the whole sequence is one shingle; repeated rows are returned each; rows without a doc_id are
@@ -31,10 +31,9 @@ M = 10
 MINHASHES = 4 * M
 #: Least equal minhashes of a bucket link that joins clusters: 0.45, over four deviations below 0.75.
 LIKELY = 18
-LEADERS_KEPT = 3
 BLOCK = 48
 SHARED_MEMBERS = 16
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 60_000
 #: Odd, so that multiplying is a bijection of 64-bit ids; its order picks leaders.
 ORDER = 0x9E3779B97F4A7C15
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -281,9 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = known.join(classes, "set_key").where("doc_id = rep").select("rep", "signature")
     keys = reps.mapInPandas(_keyed, "key long, turn long")
     links = keys.repartition("key").sortWithinPartitions("key", "turn").mapInPandas(_bucket_links, "member long, leader long")
-    counted = links.groupBy("member", "leader").agg(F.count("*").alias("n"))
-    best = counted.groupBy("member").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "leader")), asc=False), 1, LEADERS_KEPT).alias("best"))
-    chosen = best.select("member", F.inline("best")).select("member", "leader")
+    chosen = links.distinct()
     signs = known.select("doc_id", "signature")
     pairs = chosen.join(signs.select(F.col("doc_id").alias("member"), F.col("signature").alias("ours")), "member")
     pairs = pairs.join(signs.select(F.col("doc_id").alias("leader"), F.col("signature").alias("theirs")), "leader")

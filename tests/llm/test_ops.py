@@ -147,6 +147,47 @@ def test_components_of_chains(spark):
     assert all(found[i] == 0 for i in range(1, 31)) and found[95] == found[100] == 90
 
 
+def exact_components(texts):
+    """Components of all links, by a prefix filter over the rarest shingles (which loses none) and exact sets."""
+    sets = {i: shingles(t) for i, t in texts}
+    comp = {i: i for i in sets}
+
+    def root(x):
+        while comp[x] != x:
+            comp[x] = comp[comp[x]]
+            x = comp[x]
+        return x
+
+    def join(a, b):
+        x, y = sorted((root(a), root(b)))
+        comp[y] = x
+
+    classes = collections.defaultdict(list)
+    for i, s in sets.items():
+        if s:
+            classes[s].append(i)
+    times = collections.Counter(x for s in classes for x in s)
+    index = collections.defaultdict(list)
+    for s, members in sorted(classes.items(), key=lambda c: len(c[0])):
+        for other in members[1:]:
+            join(members[0], other)
+        rare = sorted(s, key=lambda x: (times[x], x))[: len(s) - -(-3 * len(s) // 4) + 1]
+        for other in {o for x in rare for o in index[x] if 4 * len(o) >= 3 * len(s)}:
+            if root(classes[other][0]) != root(members[0]) and 100 * len(s & other) >= 75 * len(s | other):
+                join(members[0], classes[other][0])
+        for x in rare:
+            index[x].append(s)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_near_duplicates_equal_an_exact_join(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    wanted = exact_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()}
+    assert found == wanted
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
