@@ -10,7 +10,7 @@ Running: documents are hashed to chunks of tokens, written once. Chunks send the
 get total counts and ids back; then their distinct bigrams, with the counts of the words, to buckets by context;
 these hold the bigram table and answer with its counts and the sums that the weights need. The buckets of
 frequent contexts are split by the following word, so what a task holds is bounded by the bucket and chunk
-sizes. All counts come from all training documents, and every token is looked up.
+sizes. All counts come from all training documents, and every token is looked up. Words and bigrams are told apart by 64-bit hashes at every size.
 
 Tokens are words (A-Z lower-cased) and one end for each text. Training documents are those whose crc32(doc_id as
 text) mod 7 is not 2. Defined results: a null text is empty and scores its end; a null doc_id is held out; repeated rows
@@ -278,7 +278,7 @@ class Chunk:
         context = np.empty(len(local), np.int64)
         context[1:] = self.tokens[:-1]
         context[self.starts] = len(ids)
-        self.context_ids = np.append(self.ids, np.uint64(0xFFFFFFFF if model["short_ids"] else 1 << 62))
+        self.context_ids = np.append(self.ids, np.uint64(1 << 62))
         self.context_counts = np.append(self.counts, np.uint64(model["trained"]))
         key = context * (len(ids) + 1) + self.tokens
         self.pairs, self.pair_of = np.unique(key, return_inverse=True)
@@ -344,10 +344,7 @@ def _count_bigrams(model: dict):
             parts, part_at = np.unique(np.concatenate(part_key), return_inverse=True)
             pair_part = np.repeat(part_at, np.concatenate([a[2] for a in asked]))
             words = np.concatenate([a[3] for a in asked])
-            if model["short_ids"] and len(parts) < 1 << 32:
-                key = (pair_part.astype(np.uint64) << np.uint64(32)) | words
-            else:
-                key = mixed(mixed(pair_part.astype(np.uint64)) + words)
+            key = mixed(mixed(pair_part.astype(np.uint64)) + words)
             pairs, first, pair_at = np.unique(key, return_index=True, return_inverse=True)
             times = np.bincount(pair_at, np.concatenate([a[5] for a in asked]), len(pairs)).astype(np.int64)
             own_part, mass = pair_part[first], unigrams.of(np.concatenate([a[4] for a in asked])[first])
@@ -421,12 +418,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     chunks = materialize(chunks, "chunks")
     tokens, trained, count = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
     buckets = max(LEAST_BUCKETS, -(-tokens // BUCKET_TOKENS))
-    wide = partitions(spark, buckets, 4)
+    wide = partitions(spark, buckets, 1)
     request = "bucket int, chunk long, data binary"
     asked = chunks.select("chunk", "words").mapInArrow(_word_requests(buckets), request)
     words = materialize(asked.repartition(wide, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_count_words(buckets), ANSWER), "words")
     trained_tokens, known, *of = _summed(words, KATZ_K + 3)
-    model = {"tokens": trained_tokens, "words": known, "of": of, "trained": int(trained), "short_ids": tokens < 1 << 30}
+    model = {"tokens": trained_tokens, "words": known, "of": of, "trained": int(trained)}
     bodies = chunks.select("chunk", F.lit("body").alias("kind"), F.lit(-1).alias("bucket"), F.col("body").alias("data"), "doc_ids")
     none = {"doc_ids": F.lit(None).cast("array<long>")}
     replies = words.where("kind = 'reply'").select("chunk", F.lit("word").alias("kind"), "bucket", "data").withColumns(none)
