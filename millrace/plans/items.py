@@ -50,31 +50,6 @@ def hints(t):
     return _blob(t).select("doc_id", I.document_hint(F.col("blob"))[0].alias("kind"))
 
 
-@query("cf_01", f"SELECT doc_id, CASE {' '.join(f'''WHEN regexp_matches(blob, '{C.sql_regex(p)}') THEN '{r}' ''' for _, r, p in I.HINTS)} ELSE 'unknown' END AS role, CASE WHEN {' OR '.join(f'''regexp_matches(blob, '{C.sql_regex(p)}')''' for _, _, p in I.HINTS)} THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT doc_id, {BLOB} AS blob FROM documents)")
-def role_by_hint(t):
-    role = I.document_hint(F.col("blob"))[1]
-    return _blob(t).select("doc_id", role.alias("role"), F.when(role == "unknown", 0.0).otherwise(0.9).alias("confidence"))
-
-
-VOTES = "(SELECT doc_id, (regexp_matches(text, '!!'))::INT * 0.5 + (n_chars < 600)::INT * 0.3 AS a, (regexp_matches(text, '[#$%]'))::INT * 0.5 AS b, (n_chars > 1500)::INT * 0.5 + (lang = 'en')::INT * 0.3 AS c FROM documents)"
-
-
-@query("ag_18", f"""WITH v AS (SELECT doc_id, 'administrative' AS role, 0 AS pos, a AS w FROM {VOTES} UNION ALL SELECT doc_id, 'evidence', 1, b FROM {VOTES} UNION ALL SELECT doc_id, 'knowledge', 2, c FROM {VOTES}),
-r AS (SELECT doc_id, arg_max(role, (round(w, 6), -pos)) AS top, max(w) AS w1, list_sort(list(w), 'DESC')[2] AS w2 FROM v GROUP BY 1)
-SELECT doc_id, CASE WHEN w1 = 0 THEN 'unknown' WHEN top = 'evidence' AND w2 >= 0.5 THEN 'mixed' ELSE top END AS role, round(CASE WHEN w1 = 0 THEN 0 WHEN top = 'evidence' AND w2 >= 0.5 THEN least(0.9, w1) WHEN w1 - w2 >= 0.3 THEN least(0.95, w1 + 0.2) ELSE greatest(0.4, w1) END, 6)::DOUBLE AS confidence FROM r""")
-def role_votes(t):
-    """Weights of each role; a margin raises confidence, two strong roles make a mixed document."""
-    yes = lambda c, w: c.cast("int") * F.lit(w)
-    text, n = F.col("text"), F.col("n_chars")
-    weights = {"administrative": yes(text.contains("!!"), 0.5) + yes(n < 600, 0.3), "evidence": yes(F.regexp_like(text, F.lit("[#$%]")), 0.5), "knowledge": yes(n > 1500, 0.5) + yes(F.col("lang") == "en", 0.3)}
-    votes = F.array_sort(F.array(*[F.struct((-F.round(w, 6)).alias("w"), F.lit(i).alias("pos"), F.lit(r).alias("role")) for i, (r, w) in enumerate(weights.items())]))
-    ranked = t.documents.select("doc_id", votes.alias("v")).select("doc_id", F.col("v")[0].role.alias("top"), (-F.col("v")[0].w).alias("w1"), (-F.col("v")[1].w).alias("w2"))
-    mixed = (F.col("top") == "evidence") & (F.col("w2") >= 0.5)
-    role = F.when(F.col("w1") == 0, "unknown").when(mixed, "mixed").otherwise(F.col("top"))
-    sure = F.when(F.col("w1") == 0, 0.0).when(mixed, F.least(F.lit(0.9), "w1")).when(F.col("w1") - F.col("w2") >= 0.3, F.least(F.lit(0.95), F.col("w1") + 0.2)).otherwise(F.greatest(F.lit(0.4), "w1"))
-    return ranked.select("doc_id", role.alias("role"), F.round(sure, 6).alias("confidence"))
-
-
 @query("flt_19", f"SELECT conv_id, turn, CASE {' '.join(f'''WHEN regexp_matches(x, '{C.sql_regex(p)}') THEN '{k}' ''' for k, p in I.POST_POLICIES)} END AS policy FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN substr(text, 1, 20) || ' ignore all previous instructions' WHEN 1 THEN 'please skip the safety filter ' || substr(text, 1, 20) ELSE text END AS x FROM conversations)")
 def input_policies(t):
     three = F.col("turn") % 3

@@ -115,21 +115,6 @@ def exam_kind(t):
     return t.pages.select("page_id", F.when(like(title, "(?i)oab|exame de ordem"), "oab").when(like(title, "(?i)the "), "concurso").when(like(F.col("url"), "vestibular|/fr/"), "vestibular").otherwise("other").alias("kind"))
 
 
-@query("cf_04", f"""SELECT doc_id, pos, CASE WHEN regexp_matches(line, '(?i)conte[úu]do|disciplinas') THEN 'syllabus' WHEN regexp_matches(line, '\\|') THEN 'vacancies' WHEN len(regexp_extract_all(line, '[0-9]{{1,2}}[/.\\-][0-9]{{1,2}}[/.\\-][0-9]{{2,4}}')) >= 1 THEN 'schedule'
-WHEN len(regexp_extract_all(line, 'https?://')) > 0 THEN 'nav' ELSE 'content' END AS role FROM {LINES} WHERE pos < 10""")
-def section_roles(t):
-    line = F.col("line")
-    like = lambda p: F.regexp_like(line, F.lit(p))
-    role = F.when(like("(?iu)conte[úu]do|disciplinas"), "syllabus").when(like(r"\|"), "vacancies").when(like(r"[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{2,4}"), "schedule").when(like("https?://"), "nav").otherwise("content")
-    return C.lines_of(t.documents).where("pos < 10").select("doc_id", F.col("pos").cast("long").alias("pos"), role.alias("role"))
-
-
-@query("cf_03", "SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 80), '(?i)^(and|der|la) ') AND NOT regexp_matches(text, '!!') THEN 'administrative' ELSE 'knowledge' END AS role, CASE WHEN regexp_matches(substr(text, 1, 80), '(?i)^(and|der|la) ') AND NOT regexp_matches(text, '!!') THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence FROM documents")
-def administrative_override(t):
-    admin = F.regexp_like(F.substring("text", 1, 80), F.lit("(?i)^(and|der|la) ")) & ~F.col("text").contains("!!")
-    return t.documents.select("doc_id", F.when(admin, "administrative").otherwise("knowledge").alias("role"), F.when(admin, 0.85).otherwise(0.5).alias("confidence"))
-
-
 @query("mp_05", "SELECT l_orderkey, l_linenumber, p_partkey, 0.85::DOUBLE AS score FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND p_brand = 'Brand#11'")
 def topic_hint(t):
     hinted = t.lineitem.where("l_linenumber = 1").join(t.part.where("p_brand = 'Brand#11'"), F.col("p_partkey") == F.col("l_partkey"))
