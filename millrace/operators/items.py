@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import B, trim
 from millrace.operators.curation import spark_regex
 
 # Hints by words of a label or address, first match wins: (kind, role, pattern).
@@ -21,10 +22,28 @@ HINTS = (
 #: Minutes of a session, and the least and most questions.
 BUDGETS = {15: (4, 8), 20: (5, 10), 30: (8, 12), 45: (10, 16), 60: (12, 20), 90: (15, 25)}
 DEFAULT_BUDGET = (3, 6)
-POST_POLICIES = (
+#: Policies against what untrusted text may say, in the order of trial.
+INPUT_POLICIES = (
     ("prompt-injection", r"\b(ignore|disregard|forget|disobey|override)\b.{0,40}\b(previous|prior|earlier|above|system|your|all)\b.{0,30}\b(instructions?|prompts?|rules?|directions?)\b"),
+    ("secret-exfil", r"\b(secret|password|api[-_ ]?key|token|credential)s?\b.{0,60}\b(send|post|print|echo|reveal|show|include|expose|leak)\b|\b(send|post|print|output|reveal)\b.{0,60}\b(secret|password|api[-_ ]?key|token|credential)s?\b"),
+    ("script-exec", r"<script\b|javascript:|\bon(load|error|click|submit|mouseover)\s*="),
+    ("data-exfil", r"\b(webhook\.site|exfiltrat\w*|pastebin\.com|requestbin\w*|ngrok\.(io|dev|app)|pipedream\.net|burpcollaborator\.net)\b|\bcurl\b\s+https?:|\bnc\s+-e\b"),
+    ("tracking", r"\btracking\s+pixel\b|\butm_[a-z]+\b|\b(pixel|beacon)\.(gif|png|js)\b"),
     ("safety-bypass", r"\b(bypass|disable|skip|override|turn\s+off|remove)\b.{0,40}\b(safety|guardrail|filter|authentication|auth|validation|rate\s+limit|content\s+policy)s?\b"),
 )
+#: Characters that readers do not see: zero-width marks, direction marks, word joiners, the byte-order mark and the tag block.
+INVISIBLE_CLASS = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}]"
+FENCE = r"(BEGIN|END)_UNTRUSTED_QUIZ_DATA"
+# Limits and patterns of items.
+LEAST_PROMPT, MOST_PROMPT, LEAST_OPTIONS, MOST_OPTIONS = 30, 4000, 4, 5
+BANNED_OPTION = r"\btodas\s+as\s+(alternativas|anteriores)\b|\bnenhuma\s+das\s+(alternativas|anteriores)\b|\ball\s+of\s+the\s+above\b|\bnone\s+of\s+the\s+above\b"
+CONTEXT = r"\bo\s+trecho\s+(acima|abaixo)\b|\bno\s+texto\s+(acima|abaixo)\b|\bconforme\s+o\s+material\s+(acima|fornecido)\b|\bsegundo\s+o\s+trecho\b|\bthe\s+(passage|excerpt)\s+above\b"
+LOREM, MARKERS = r"\blorem\s+ipsum\b", r"\bTODO\b|\bXXX+\b|^\s*\.{3,}\s*$"
+LISTING = (
+    r"\b(?:inscri[cç][oõ]es?\s+abertas|taxa\s+de\s+inscri|cargo\s+(?:de|est[aá]|oferecido|sendo\s+oferecido)|(?:est[aá]\s+sendo\s+oferecido)|vagas?\s+(?:dispon|oferec|s[aã]o\s+oferec)"
+    r"|sal[aá]rio(?:\s+base)?|banca\s+organizadora|associa[cç][aã]o\s+(?:oferece|brasileira|que\s+realiza)|exame\s+para\s+certifica|certifica[cç][aã]o\s+[—\-]|portal\s+do\s+candidato"
+    r"|est[aá]\s+promovendo|oferecido\s+por\s+qual\s+institui)\b"
+)
 INVISIBLE = "​‌‍⁠﻿"
 
 
@@ -41,32 +60,52 @@ def document_hint(blob: Column) -> tuple[Column, Column]:
     return first_match(blob, [(k, p) for k, _, p in HINTS], "unknown"), first_match(blob, [(r, p) for _, r, p in HINTS], "unknown")
 
 
-def structural_reasons(prompt: Column, options: Column, correct: Column, least: int = 15, most: int = 1200, few: int = 2, many: int = 6) -> Column:
-    """All reasons against an item, in a fixed order."""
-    size, n = F.char_length(F.trim(prompt)), F.size(options)
-    tidy = F.transform(options, lambda o: F.lower(F.trim(o)))
+def structural_reasons(item: Column) -> Column:
+    """All reasons against an item, in a fixed order.
+
+    ``item`` has kind, prompt, options, correct, reference, origin, requires_passage, passage, rationale and units.
+    """
+    like = lambda c, p: F.regexp_like(c, F.lit(spark_regex(p)))
     when = lambda c, name: F.when(c, F.lit(name))
+    solid = lambda c: F.coalesce(trim(c), F.lit("")) != ""
+    filled = lambda a: F.size(F.filter(F.coalesce(a, F.array().cast("array<string>")), solid))
+    prompt = trim(F.coalesce(item.prompt, F.lit("")))
+    options = F.transform(F.coalesce(item.options, F.array().cast("array<string>")), lambda o: F.coalesce(o, F.lit("")))
+    n, choice, made = F.size(options), item.kind == "MULTIPLE_CHOICE", F.coalesce(item.origin == "generation", F.lit(False))
+    some = choice & (n > 0)
+    tidy = F.transform(options, lambda o: F.lower(trim(o)))
+    marker = F.regexp_like(prompt, F.lit(MARKERS.replace(r"\b", B)))
     return F.array_compact(
         F.array(
-            when(size < least, "prompt_too_short"), when(size > most, "prompt_too_long"), when(n == 0, "missing_options"), when((n > 0) & (n < few), "too_few_options"),
-            when(n > many, "too_many_options"), when(F.exists(options, lambda o: F.trim(o) == ""), "blank_option"), when(F.size(F.array_distinct(tidy)) < n, "duplicate_options"),
-            when(length_outlier(options), "option_length_outlier"), when(length_ratio_fails(options), "option_length_ratio"), when(correct.isNull() | (correct < 0) | (correct >= n), "correct_index_out_of_range"),
+            when(F.char_length(prompt) < LEAST_PROMPT, "prompt_too_short"), when(F.char_length(prompt) > MOST_PROMPT, "prompt_too_long"), when(like(prompt, CONTEXT), "prompt_references_context"),
+            when(like(prompt, LOREM) | marker, "placeholder_text"), when(like(prompt, LISTING) | F.exists(options, lambda o: like(o, LISTING)), "tests_exam_metadata"),
+            when(made & (filled(item.units) == 0), "knowledge_unit_ids_missing"), when(choice & (n == 0), "missing_options"), when(some & (n < LEAST_OPTIONS), "too_few_options"),
+            when(some & (n > MOST_OPTIONS), "too_many_options"), when(some & F.exists(options, lambda o: trim(o) == ""), "blank_option"), when(some & (F.size(F.array_distinct(tidy)) < n), "duplicate_options"),
+            when(some & F.exists(options, lambda o: like(o, BANNED_OPTION)), "banned_option_phrase"), when(some & length_outlier(options), "option_length_outlier"), when(some & length_ratio_fails(options), "option_length_ratio"),
+            when(some & (item.correct.isNull() | (item.correct < 0) | (item.correct >= n)), "correct_index_out_of_range"), when(some & made & (filled(item.rationale) < n - 1), "distractor_rationale_missing"),
+            when(~choice & ~solid(item.reference), "missing_reference_answer"), when(F.coalesce(item.requires_passage, F.lit(False)) & ~solid(item.passage), "passage_required"),
         )
     )
 
 
 def length_outlier(options: Column, ratio: float = 2.5) -> Column:
     """From three options on: the longest against the mean of those of other lengths."""
-    sizes = F.transform(options, lambda o: F.char_length(o))
+    sizes = F.transform(options, lambda o: F.char_length(trim(o)))
     longest = F.array_max(sizes)
     rest = F.filter(sizes, lambda s: s != longest)
     total = F.aggregate(rest, F.lit(0), lambda a, s: a + s)
-    return (F.size(options) >= 3) & (F.size(rest) > 0) & (longest * F.size(rest) > ratio * total)
+    return (F.size(options) >= 3) & (total > 0) & (longest * F.size(rest) > ratio * total)
 
 
 def length_ratio_fails(options: Column, ratio: float = 2.0) -> Column:
-    sizes = F.filter(F.transform(options, lambda o: F.char_length(o)), lambda s: s > 0)
-    return (F.size(sizes) > 1) & (F.array_max(sizes) > ratio * F.array_min(sizes))
+    """From three options with text on: the longest against the shortest of them."""
+    sizes = F.filter(F.transform(options, lambda o: F.char_length(trim(o))), lambda s: s > 0)
+    return (F.size(sizes) >= 3) & (F.array_max(sizes) > ratio * F.array_min(sizes))
+
+
+def neutralised(text: Column) -> Column:
+    """Untrusted text without invisible characters, unable to close its own fence."""
+    return F.regexp_replace(F.regexp_replace(text, INVISIBLE_CLASS, ""), FENCE, "$1_UNTRUSTED_QUIZ_DATA_NEUTRALIZED")
 
 
 def answer_key(text: Column) -> Column:

@@ -19,20 +19,10 @@ from millrace.sources.soup import read_blocks
 catalog = Catalog()
 query = catalog.query
 
-# Words that mark listing questions, social and shop pages, and error classes.
-LISTING = r"\b(inscri[cç][oõ]es\s+abertas|taxa\s+de\s+inscri|vagas?\s+dispon|sal[aá]rio\s+base|banca\s+organizadora)"
-SOCIAL_WORDS = r"\b(facebook|instagram|login|share|follow)\b"
-SHOP_WORDS = r"\b(loja|shop|carrinho|checkout|comprar)\b"
+# Error classes.
 ERROR_CLASSES = (("auth", r"401|403|unauthori[sz]ed|invalid.*key"), ("rate_limit", r"429|rate.?limit|quota"), ("transient", r"5\d\d|timeout|reset|unavailable"))
 
 
-@query("flt_17", f"SELECT doc_id, regexp_matches(x, '{C.sql_regex(LISTING)}') AS listing FROM (SELECT doc_id, substr(text, 1, 50) || CASE WHEN doc_id % 4 = 0 THEN ' Inscrições abertas' WHEN doc_id % 4 = 1 THEN ' taxa de inscrição' ELSE '' END AS x FROM documents)")
-def listing_trivia(t):
-    four = F.col("doc_id") % 4
-    x = F.concat(F.substring("text", 1, 50), F.when(four == 0, " Inscrições abertas").when(four == 1, " taxa de inscrição").otherwise(""))
-    return t.documents.select("doc_id", F.regexp_like(x, F.lit(C.spark_regex(LISTING))).alias("listing"))
-
-
 @query("flt_15", """WITH q AS (SELECT conv_id, turn, text, conv_id % 3 = 0 AS ku, conv_id % 7 = 0 AS off FROM conversations WHERE role = 'user'), s AS (SELECT text FROM q GROUP BY text HAVING count(*) > 1)
 SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN NOT ku THEN 'knowledge_unit_ids_missing' END, CASE WHEN off THEN 'off_syllabus' END, CASE WHEN text IN (SELECT text FROM s) THEN 'near_duplicate' END, CASE WHEN regexp_matches(text, '(19|20)[0-9]{2}') THEN 'temporal' END], lambda x: x IS NOT NULL), ',') AS reasons FROM q""")
 def relevance(t):
@@ -54,14 +44,6 @@ def grounding(t):
     return given.join(asked, ["conv_id", "turn"]).select("conv_id", "turn", ((F.size("w") >= 4) & (held >= 0.1 * F.size("w"))).alias("grounded"))
 
 
-@query("flt_20", f"SELECT page_id, CASE WHEN {HOST} LIKE '%example.net' THEN 'social' WHEN regexp_matches({HOST}, '^(login|m)\\.') THEN 'login' WHEN regexp_matches({TITLE} || ' ' || url, '{C.sql_regex(SOCIAL_WORDS)}') THEN 'social_words' WHEN regexp_matches({TITLE} || ' ' || url, '{C.sql_regex(SHOP_WORDS)}') THEN 'shop_words' END AS reason FROM pages")
-def hard_deny(t):
-    host, hay = host_of(F.col("url")), F.concat_ws(" ", P.title_of(F.col("html")), "url")
-    like = lambda p: F.regexp_like(hay, F.lit(C.spark_regex(p)))
-    reason = F.when(P.within(host, ["example.net"]), "social").when(F.regexp_like(host, F.lit(r"^(login|m)\.")), "login").when(like(SOCIAL_WORDS), "social_words").when(like(SHOP_WORDS), "shop_words")
-    return t.pages.select("page_id", reason.alias("reason"))
-
-
 @query("flt_21", r"SELECT page_id, coalesce(nullif(regexp_extract(url || ' ' || (2020 + page_id % 9), '\b(20[0-9]{2})\b', 1), '')::INT >= 2024, true) AS kept FROM pages")
 def inventory_year(t):
     year = F.regexp_extract(F.concat_ws(" ", "url", (F.col("page_id") % 9 + 2020).cast("string")), r"(?:(?<![A-Za-z0-9_]))(20[0-9]{2})(?![A-Za-z0-9_])", 1)
@@ -134,13 +116,6 @@ def judge_reply(t):
     return read.select("event_id", I.unit(F.col("j.score")).alias("score"), F.when(F.col("j.relevance").isNotNull(), I.unit(F.col("j.relevance"))).alias("relevance"))
 
 
-@query("va_07", "SELECT event_type, coalesce(CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'seen' END, event_type) AS label, count(*) AS n FROM events GROUP BY 1, 2")
-def reason_labels(t):
-    names = F.broadcast(t.spark.createDataFrame([("error", "failed"), ("view", "seen")], "event_type string, name string"))
-    counts = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.join(names, "event_type", "left").select("event_type", F.coalesce("name", "event_type").alias("label"), "n")
-
-
 @query("str_12", "SELECT event_id, CASE WHEN regexp_matches(m, '(?i)401|403|unauthori[sz]ed|invalid.*key') THEN 'auth' WHEN regexp_matches(m, '(?i)429|rate.?limit|quota') THEN 'rate_limit' WHEN regexp_matches(m, '(?i)5[0-9][0-9]|timeout|reset|unavailable') THEN 'transient' ELSE 'other' END AS class FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'HTTP 401' WHEN 1 THEN 'Rate limit' WHEN 2 THEN '503 later' WHEN 3 THEN 'socket timeout' ELSE 'bad json' END AS m FROM events WHERE event_type = 'error')")
 def error_classes(t):
     five = F.col("event_id") % 5

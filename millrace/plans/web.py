@@ -113,17 +113,6 @@ def output_policies(t):
     return t.pages.select("page_id", P.blocked_by(text).alias("policy"))
 
 
-@query("flt_24", f"SELECT page_id, len(list_filter(string_split(regexp_replace(lower({TITLE}), '[^a-z]+', '-', 'g'), '-'), lambda w: w <> '' AND w NOT IN ('the', 'of', 'and', 'is', 'to', 'in', 'that'))) = 0 AS navigation FROM pages")
-def navigation_slug(t):
-    words = F.filter(F.split(F.regexp_replace(F.lower(P.title_of(F.col("html"))), "[^a-z]+", "-"), "-"), lambda w: w != "")
-    return t.pages.select("page_id", F.forall(words, lambda w: w.isin("the", "of", "and", "is", "to", "in", "that")).alias("navigation"))
-
-
-@query("flt_27", f"SELECT page_id, regexp_matches({HOST}, '(^|\\.)example\\.(org|net)$') OR url LIKE '/%' AS allowed FROM pages")
-def media_allowlist(t):
-    return t.pages.select("page_id", (P.within(host_of(F.col("url")), ["example.org", "example.net"]) | F.col("url").startswith("/")).alias("allowed"))
-
-
 SIGNALS = f"(SELECT page_id, regexp_matches({HOST}, 'example\\.org$')::INT AS official, regexp_matches({TITLE}, '(?i)tion')::INT AS banca, regexp_matches({TITLE}, '(?i)the')::INT AS lang, (page_id % 2) AS robots, (page_id % 11) / 10.0 AS yield, least(1, page_id % 3) AS observed FROM pages)"
 
 

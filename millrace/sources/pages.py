@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import host_of, squeeze, trim
+from millrace.operators.curation import spark_regex
 
 # Domains, endings, path parts and parameters that are never fetched.
 DENIED_DOMAINS = (
@@ -19,10 +20,29 @@ DENIED_DOMAINS = (
 ).split()
 DENIED_TLD = r"\.(cn|ru|mo|hk|jp|kr|tw|vn|th|ir|tr|pl|cz|ua|by|kz)$"
 DENIED_FILE = r"\.(zip|rar|7z|tar|gz|mp3|mp4|avi|mov|wmv|mkv|jpe?g|png|gif|svg|webp|pptx?|xlsx?|csv|exe|apk|dmg)$"
-DENIED_PATH = r"/(login|cadastro|carrinho|checkout|comprar|assinar|plano|premium|paywall|noticias?|news|tags?|categoria|category|author|autor|search|busca|feed)(/|$)"
+DENIED_PATH = r"/(login|cadastro|carrinho|checkout|comprar|assinar|plano|premium|paywall|jurisprudencia|diario-?oficial|noticias?|news|tag|tags|categoria|category|author|autor|search|busca|feed|wp-json|comentarios|forum|questoes|simulados?|cursos?|videos?)(/|$)"
 PAGINATION = r"/page/\d+|[?&](page|pagina)=\d+"
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid mc_cid mc_eid".split()
-TITLE_SPAM = r"simulado\s+gr[aá]tis|baixe\s+agora|curso\s+completo|promo[cç][aã]o|inscri[cç][oõ]es\s+abertas|edital\s+publicado"
+TITLE_SPAM = r"simulado\s+gr[aá]tis|baixe\s+agora|curso\s+completo|promo[cç][aã]o|gabarito\s+extraoficial|resultado\s+(?:final|preliminar)|convoca[cç][aã]o|inscri[cç][oõ]es\s+abertas|edital\s+publicado"
+SOCIAL_HOSTS = (
+    "instagram.com facebook.com twitter.com x.com tiktok.com youtube.com youtu.be linkedin.com pinterest.com tumblr.com reddit.com whatsapp.com telegram.me "
+    "ebay.com amazon.com mercadolivre.com shopee.com shein.com olx.com olx.com.br"
+).split()
+COMMERCIAL_HOSTS = (
+    "qconcursos.com tecconcursos.com.br pciconcursos.com.br concursosnobrasil.com.br grancursosonline.com.br estrategiaconcursos.com.br passeidireto.com scribd.com"
+).split()
+LOGIN_HOST = r"^(login|auth|accounts|sso)\."
+SOCIAL_WORDS = r"\b(social|navigation|link farm|linkfarm)\b"
+STOREFRONT_WORDS = r"\b(loja|shop|store|assine|compre|promo)\b"
+UNRELATED_WORDS = r"\b(marketplace|hotel|market|flea|wedding)\b"
+NAV_WORDS = (
+    "concurso concursos concluido concluidos encerrado encerrados novo novos em andamento inscricoes inscricao abertas aberto abertos premios e "
+    "cultural vestibular vestibulares selecoes selecao processos seletivos editais edital provas resultados index home todos proximos lista "
+    "publico publicos geral outros mais informacoes"
+).split()
+TEMPLATE_LEFT = r"\$\(|\+\s*'|\{\{|</?\w+>|\|"
+CHROME_TITLE = r"^(?:mais informa|nosso portf|concursos?|em andamento|inscri[cç][oõ]es abertas|conclu[ií]dos|encerrados|cultural|pr[eê]mios e concursos)\s*(?:[-–|].*)?$"
+MEDIA_HOSTS = "wikimedia.org wikipedia.org upload.wikimedia.org".split()
 OUTPUT_POLICIES = (
     ("script-exec", r"<script\b|javascript:|\bon(load|error|click|submit|mouseover)\s*="),
     ("data-exfil", r"\b(webhook\.site|exfiltrat\w*|pastebin\.com|requestbin\w*|ngrok\.(io|dev|app)|pipedream\.net|burpcollaborator\.net)\b|\bcurl\b\s+https?:|\bnc\s+-e\b"),
@@ -125,3 +145,37 @@ def page_rank(authority: Column, density: Column, relevance: Column, structure:
 def structure_score(text: Column) -> Column:
     like = lambda p, w: F.when(F.regexp_like(text, F.lit(p)), w).otherwise(0.0)
     return clamp01(like(r"(?m)^#{1,3}\s|^\d+(\.\d+)*\s", 0.35) + like(r"(?i)por exemplo|exemplo:", 0.25) + like(r"(^|\n)\s*[-*•]\s|(^|\n)\s*\d+[.)]\s", 0.2) + like(r"(?i)art\.\s*\d+", 0.2))
+
+
+def hard_deny(name: Column, url: Column) -> Column:
+    """Why a source may never be registered, or null."""
+    host = host_of(url)
+    hay = F.concat_ws(" ", F.coalesce(name, F.lit("")), host)
+    like = lambda c, p: F.regexp_like(c, F.lit(spark_regex(p)))
+    return (
+        F.when(host.isin(*SOCIAL_HOSTS), "social_host")
+        .when(within(host, COMMERCIAL_HOSTS), "commercial_bank")
+        .when(like(host, LOGIN_HOST), "login_host")
+        .when(like(hay, SOCIAL_WORDS), "social_words")
+        .when(like(hay, STOREFRONT_WORDS), "storefront_words")
+        .when(like(hay, UNRELATED_WORDS), "unrelated_words")
+    )
+
+
+def is_navigation_slug(key: Column) -> Column:
+    """Nothing but words of navigation."""
+    return F.forall(F.filter(F.split(F.lower(key), "-"), lambda w: w != ""), lambda w: w.isin(*NAV_WORDS))
+
+
+def is_junk_title(title: Column) -> Column:
+    """Too short, left over from a template, or site chrome."""
+    t = trim(title)
+    return (F.char_length(t) < 4) | F.regexp_like(t, F.lit(TEMPLATE_LEFT)) | F.regexp_like(t, F.lit("(?iu)" + CHROME_TITLE))
+
+
+def media_allowed(url: Column, hosts: list[str] = MEDIA_HOSTS) -> Column:
+    """A relative path, or https to a listed host or one under it, without credentials."""
+    href = trim(url)
+    host = F.lower(F.regexp_extract(href, r"^https://([^/?#:@]+)(?::\d+)?(?:[/?#]|$)", 1))
+    relative = F.regexp_like(href, F.lit(r"^/(?!/)")) & ~href.contains("\\")
+    return relative | ((host != "") & within(host, hosts))
