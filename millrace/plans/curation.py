@@ -197,9 +197,9 @@ def chunks(t):
     return out.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "token_count", "content_hash")
 
 
-@query("ck_02", f"SELECT doc_id, pos, length({t_('line')}) AS chars FROM {LINES} WHERE length({t_('line')}) >= 40 AND pos < 50")
+@query("ck_02", f"SELECT doc_id, pos, length({t_('line')}) AS chars FROM {LINES} WHERE length({t_('line')}) >= 40")
 def legacy_chunks(t):
-    lines = C.lines_of(t.documents).where("pos < 50").withColumn("chars", F.char_length(trim(F.col("line"))).cast("long"))
+    lines = C.lines_of(t.documents).withColumn("chars", F.char_length(trim(F.col("line"))).cast("long"))
     return lines.where("chars >= 40").select("doc_id", F.col("pos").cast("long").alias("pos"), "chars")
 
 
@@ -317,10 +317,10 @@ def shingles(t):
     return s.select("item_id", F.size(grams).cast("long").alias("shingles"), F.size(F.array_distinct(grams)).cast("long").alias("distinct_shingles"))
 
 
-@query("dd_03", """SELECT item_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 24), ''), lambda c: ascii(c)::BIGINT)),
+@query("dd_03", """SELECT item_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ''), lambda c: ascii(c)::BIGINT)),
 lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS fnv FROM benchmark""")
 def hashes(t):
-    return t.benchmark.select("item_id", fnv1a32(F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 24)).alias("fnv"))
+    return t.benchmark.select("item_id", fnv1a32(F.regexp_replace("text", "[^a-zA-Z ]", "")).alias("fnv"))
 
 
 @query("dd_07", "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS original FROM documents QUALIFY doc_id <> original")
@@ -372,21 +372,21 @@ def score_given_ids(t):
 
 
 @query("mp_01", rf"""SELECT word, CASE WHEN length(p) < 4 THEN p ELSE regexp_replace(p, '^(.{{3,}}?)(?:{"|".join(C.SUFFIXES)})$', '\1') END AS stem FROM (SELECT DISTINCT word, regexp_replace(strip_accents(lower(word)), '[^a-z0-9]', '', 'g') AS p FROM (
-SELECT unnest(string_split(text, ' ')) AS word FROM (SELECT text FROM documents WHERE lang <> 'de' AND doc_id % 4 = 0)))""")
+SELECT unnest(string_split(text, ' ')) AS word FROM documents))""")
 def stems(t):
-    words = t.documents.where("lang <> 'de' AND doc_id % 4 = 0").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    words = t.documents.select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return words.select("word", C.stem(F.col("word")).alias("stem"))
 
 
 STEM_SQL = rf"list_filter(list_transform(regexp_split_to_array({{0}}, '\s+'), lambda w: CASE WHEN length(regexp_replace(strip_accents(lower(w)), '[^a-z0-9]', '', 'g')) < 4 THEN regexp_replace(strip_accents(lower(w)), '[^a-z0-9]', '', 'g') ELSE regexp_replace(regexp_replace(strip_accents(lower(w)), '[^a-z0-9]', '', 'g'), '^(.{{{{3,}}}}?)(?:{'|'.join(C.SUFFIXES)})$', '\1') END), lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(s) for s in C.STOPWORDS)}))".format
-LEXICAL = f"""WITH l AS (SELECT item_id, list_distinct({STEM_SQL('text')}) AS terms FROM benchmark WHERE item_id < 12), lt AS (SELECT item_id, len(terms) AS n, unnest(terms) AS term FROM l),
-c AS (SELECT doc_id, term, least(2, count(*)) AS points FROM (SELECT doc_id, unnest({STEM_SQL('text')}) AS term FROM documents WHERE lang = 'en') GROUP BY ALL),
+LEXICAL = f"""WITH l AS (SELECT item_id, list_distinct({STEM_SQL('text')}) AS terms FROM benchmark), lt AS (SELECT item_id, len(terms) AS n, unnest(terms) AS term FROM l),
+c AS (SELECT doc_id, term, least(2, count(*)) AS points FROM (SELECT doc_id, unnest({STEM_SQL('text')}) AS term FROM documents) GROUP BY ALL),
 s AS (SELECT doc_id, item_id, sum(points) / n AS score FROM c JOIN lt USING (term) GROUP BY doc_id, item_id, n)
 """
 
 
 def _lexical(t):
-    return C.lexical_scores(t.documents.where("lang = 'en'"), "doc_id", "text", t.benchmark.where("item_id < 12").withColumnRenamed("text", "leaf"), "item_id", "leaf")
+    return C.lexical_scores(t.documents, "doc_id", "text", t.benchmark.withColumnRenamed("text", "leaf"), "item_id", "leaf")
 
 
 @query("mp_02", LEXICAL + "SELECT doc_id, item_id, round(score, 6) AS score FROM s")
@@ -399,25 +399,25 @@ def top_five(t):
     return T.first_by(_lexical(t).where("score >= 0.5"), ["doc_id"], [F.desc("score"), F.col("item_id")], 5).select("doc_id", "item_id", F.round("score", 6).alias("score"))
 
 
-SIMS = """WITH m AS (SELECT label, list(m ORDER BY pos) AS e FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL) GROUP BY 1),
-s AS (SELECT vec_id, m.label AS node, round(list_cosine_similarity(embedding::DOUBLE[], m.e), 6) AS score FROM embeddings, m WHERE vec_id % 2 = 1)
+SIMS = """WITH m AS (SELECT label, list(m ORDER BY pos) AS e FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY 1),
+s AS (SELECT vec_id, m.label AS node, round(list_cosine_similarity(embedding::DOUBLE[], m.e), 6) AS score FROM embeddings, m)
 """
 
 
 def _similarities(t):
     """Cosine of each vector with the centroid of every label; labels are few and fixed."""
-    points = t.embeddings.where("vec_id % 2 = 0").select("label", F.posexplode("embedding").alias("pos", "x"))
+    points = t.embeddings.select("label", F.posexplode("embedding").alias("pos", "x"))
     means = points.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     vectors = means.groupBy(F.col("label").alias("node")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s.m).alias("e"))
-    return t.embeddings.where("vec_id % 2 = 1").select("vec_id", "embedding").crossJoin(F.broadcast(vectors)).select("vec_id", "node", F.round(C.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
+    return t.embeddings.select("vec_id", "embedding").crossJoin(F.broadcast(vectors)).select("vec_id", "node", F.round(C.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
 
 
 @query("wn_04", SIMS + """, r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second, first_value(score) OVER w AS top FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, node)),
 x AS (SELECT vec_id, max(score) FILTER (rn = 1) AS top, max(score) FILTER (rn = 2) AS second FROM r GROUP BY 1)
-SELECT r.vec_id, node, score FROM r JOIN x USING (vec_id) WHERE x.top >= 0.3 AND ((x.top - coalesce(x.second, 0) >= 0.05 AND rn = 1) OR (x.second >= 0.3 AND rn <= 2))""")
+SELECT r.vec_id, node, score FROM r JOIN x USING (vec_id) WHERE x.top >= 0.62 AND ((x.top - coalesce(x.second, 0) >= 0.05 AND rn = 1) OR (x.second >= 0.62 AND rn <= 2))""")
 def margin_accept(t):
     """The first place if clear by a margin, both if the second passes too."""
-    least, margin = 0.3, 0.05
+    least, margin = 0.62, 0.05
     w = W.partitionBy("vec_id").orderBy(F.desc("score"), "node")
     ranked = _similarities(t).withColumns({"rn": F.row_number().over(w), "top": F.first("score").over(w), "next": F.lead("score").over(w)})
     second = F.max(F.when(F.col("rn") == 2, F.col("score"))).over(W.partitionBy("vec_id"))
@@ -517,9 +517,9 @@ def demote(t):
     return t.labels.select("doc_id", F.when(F.col("toxic") == 1, "quarantined").when(F.col("quality") == 0, "demoted").otherwise("published").alias("status"))
 
 
-@query("st_03", rf"SELECT doc_id, pos, regexp_replace(regexp_replace('- ' || line, '^\s*(?:[-*•]|\d+[.)]|[a-zA-Z][)])\s+', ''), '\s+$', '') AS line FROM {LINES} WHERE pos < 3")
+@query("st_03", rf"SELECT doc_id, pos, regexp_replace(regexp_replace('- ' || line, '^\s*(?:[-*•]|\d+[.)]|[a-zA-Z][)])\s+', ''), '\s+$', '') AS line FROM {LINES}")
 def list_markers(t):
-    marked = C.lines_of(t.documents).where("pos < 3")
+    marked = C.lines_of(t.documents)
     plain = F.regexp_replace(F.regexp_replace(F.concat(F.lit("- "), "line"), r"^\s*(?:[-*•]|\d+[.)]|[a-zA-Z][)])\s+", ""), r"\s+$", "")
     return marked.select("doc_id", F.col("pos").cast("long").alias("pos"), plain.alias("line"))
 

@@ -15,12 +15,12 @@ from millrace.plans.curation import LINES, NORM
 catalog = Catalog()
 query = catalog.query
 
-BLOB = "substr(text, 1, 60) || CASE doc_id % 9 WHEN 0 THEN ' retificação' WHEN 1 THEN ' edital 3' WHEN 2 THEN ' conteúdo programático' WHEN 3 THEN ' gabarito' WHEN 4 THEN ' padrão de respostas' WHEN 5 THEN ' prova azul' WHEN 6 THEN ' apostila' WHEN 7 THEN ' lei 8' ELSE '' END"
+BLOB = "text || CASE doc_id % 9 WHEN 0 THEN ' retificação' WHEN 1 THEN ' edital 3' WHEN 2 THEN ' conteúdo programático' WHEN 3 THEN ' gabarito' WHEN 4 THEN ' padrão de respostas' WHEN 5 THEN ' prova azul' WHEN 6 THEN ' apostila' WHEN 7 THEN ' lei 8' ELSE '' END"
 
 
 def _blob(t):
     words = F.array(*[F.lit(x) for x in (" retificação", " edital 3", " conteúdo programático", " gabarito", " padrão de respostas", " prova azul", " apostila", " lei 8", "")])
-    return t.documents.select("doc_id", F.concat(F.substring("text", 1, 60), F.element_at(words, (F.col("doc_id") % 9 + 1).cast("int"))).alias("blob"))
+    return t.documents.select("doc_id", F.concat("text", F.element_at(words, (F.col("doc_id") % 9 + 1).cast("int"))).alias("blob"))
 
 
 @query("cf_07", f"SELECT doc_id, CASE {' '.join(f'''WHEN regexp_matches(blob, '{C.sql_regex(p)}') THEN '{k}' ''' for k, _, p in I.HINTS)} ELSE 'unknown' END AS kind FROM (SELECT doc_id, {BLOB} AS blob FROM documents)")
@@ -105,10 +105,10 @@ def latest_profile(t):
     return t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.max("c_custkey").alias("latest"))
 
 
-@query("wn_12", "WITH o AS (SELECT o_orderkey, o_totalprice, o_orderstatus = 'P' AS open, count(*) FILTER (o_orderstatus = 'P') OVER () AS n FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey FROM o WHERE open OR n = 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+@query("wn_12", "WITH o AS (SELECT o_orderkey, o_totalprice, o_orderstatus = 'P' AS open, count(*) FILTER (o_orderstatus = 'P') OVER () AS n FROM orders) SELECT o_orderkey FROM o WHERE open OR n = 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
 def open_window_fallback(t):
     """The open ones if there are any, else all: one count, broadcast."""
-    rows = t.orders.where("o_orderkey % 5 = 0")
+    rows = t.orders
     n = rows.agg(F.count_if(F.col("o_orderstatus") == "P").alias("n"))
     both = rows.crossJoin(F.broadcast(n)).where((F.col("o_orderstatus") == "P") | (F.col("n") == 0))
     return both.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30).select("o_orderkey")
@@ -120,11 +120,11 @@ def open_catalog(t):
     return t.orders.where((F.col("o_orderstatus") != "F") & ((F.col("o_orderdate") >= since) | F.col("o_orderpriority").startswith("5")) & (F.year("o_orderdate") >= 1995)).select("o_orderkey")
 
 
-@query("flt_26", "WITH d AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 5), lambda w: substr(w, 1, 6))) AS p FROM documents WHERE doc_id % 2 = 0), b AS (SELECT item_id, list_distinct(list_transform(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 5), lambda w: substr(w, 1, 6))) AS p FROM benchmark WHERE item_id < 6) SELECT doc_id, item_id FROM d, b WHERE list_has_any(d.p, b.p)")
+@query("flt_26", "WITH d AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 5), lambda w: substr(w, 1, 6))) AS p FROM documents), b AS (SELECT item_id, list_distinct(list_transform(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 5), lambda w: substr(w, 1, 6))) AS p FROM benchmark) SELECT doc_id, item_id FROM d, b WHERE list_has_any(d.p, b.p)")
 def mentions(t):
     """Shared beginnings of words, by an equi join on them."""
     parts = lambda df, k: df.select(k, F.explode(F.array_distinct(F.transform(F.filter(F.split(F.lower("text"), " "), lambda w: F.char_length(w) >= 5), lambda w: F.substring(w, 1, 6)))).alias("p"))
-    return parts(t.documents.where("doc_id % 2 = 0"), "doc_id").join(parts(t.benchmark.where("item_id < 6"), "item_id"), "p").select("doc_id", "item_id").distinct()
+    return parts(t.documents, "doc_id").join(parts(t.benchmark, "item_id"), "p").select("doc_id", "item_id").distinct()
 
 
 @query("gt_02", "SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 3 = 0 AND toxic = 0 THEN 'needs_review' WHEN quality = 1 THEN 'published' ELSE 'failed' END AS decision FROM labels")

@@ -242,6 +242,6 @@ def agreement(t):
     return t.labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == F.col("toxic")).alias("agree"))
 
 
-@query("va_06", "SELECT conv_id, turn, chr(CAST(65 + turn % 4 AS INT)) || ') ' || substr(text, 1, 40) AS shown FROM conversations")
+@query("va_06", "SELECT conv_id, turn, chr(CAST(65 + turn % 4 AS INT)) || ') ' || text AS shown FROM conversations")
 def rendering(t):
-    return t.conversations.select("conv_id", "turn", F.concat(F.char((F.lit(65) + F.col("turn") % 4).cast("int")), F.lit(") "), F.substring("text", 1, 40)).alias("shown"))
+    return t.conversations.select("conv_id", "turn", F.concat(F.char((F.lit(65) + F.col("turn") % 4).cast("int")), F.lit(") "), F.col("text")).alias("shown"))

@@ -62,9 +62,9 @@ def rough_text(t):
 
 
 @query("src_16", r"""SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^#{1,6}\s') THEN 'markdown' WHEN length(line) <= 120 AND regexp_matches(line, '^(\d+(\.\d+)*\.|[IVXLC]+\.|[a-zA-Z]\))\s') THEN 'outline'
-WHEN length(line) BETWEEN 4 AND 120 AND line = upper(line) AND regexp_matches(line, '\p{L}') THEN 'capitals' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE pos < 20""")
+WHEN length(line) BETWEEN 4 AND 120 AND line = upper(line) AND regexp_matches(line, '\p{L}') THEN 'capitals' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)""")
 def plain_blocks(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("pos < 20")
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     size, like = F.char_length("line"), lambda p: F.regexp_like("line", F.lit(p))
     kind = F.when(like(r"^#{1,6}\s"), "markdown").when((size <= 120) & like(r"^(\d+(\.\d+)*\.|[IVXLC]+\.|[a-zA-Z]\))\s"), "outline").when(size.between(4, 120) & (F.col("line") == F.upper("line")) & like(r"\p{L}"), "capitals").otherwise("paragraph")
     return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("kind"))
@@ -107,9 +107,9 @@ def after_fetch(t):
     return rows.select("page_id", F.when(F.char_length("x") < 1200, "too_short").when(F.col("anchors") > 0.25, "link_density").when(~hint, "language").alias("reason"))
 
 
-@query("flt_18", f"SELECT page_id, CASE {' '.join(f'''WHEN regexp_matches(html, '(?i){p}') THEN '{i}' ''' for i, p in P.OUTPUT_POLICIES)} END AS policy FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN html ELSE url || ' utm_x ' END AS html FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 5 = 0)")
+@query("flt_18", f"SELECT page_id, CASE {' '.join(f'''WHEN regexp_matches(html, '(?i){p}') THEN '{i}' ''' for i, p in P.OUTPUT_POLICIES)} END AS policy FROM (SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN url || ' utm_x ' ELSE '' END AS html FROM pages)")
 def output_policies(t):
-    text = F.when(F.col("page_id") % 5 == 0, F.col("url")).when(F.col("page_id") % 4 == 0, F.col("html")).otherwise(F.concat("url", F.lit(" utm_x ")))
+    text = F.concat("html", F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit(" utm_x "))).otherwise(""))
     return t.pages.select("page_id", P.blocked_by(text).alias("policy"))
 
 

@@ -6,9 +6,9 @@ FLAGSHIP = "chunk_eligibility_by_source"
 
 
 def _catalogs():
-    from millrace.plans import aggregates, curation, items, joins, more, roles, rules, states, web
+    from millrace.plans import aggregates, curation, exams, items, joins, more, roles, rules, states, web
 
-    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules)]
+    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules, exams)]
 
 
 def queries() -> dict:
