@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,33 +119,108 @@ def is_page_number(line: Column) -> Column:
     return F.regexp_like(line, F.lit(r"(?iu)^\s*(P[aá]gina\s+)?\d+(\s*/\s*\d+)?\s*$"))
 
 
-def drop_repeated_lines(lines: DataFrame, domain: str, most_documents: int = 3, least_chars: int = 40) -> DataFrame:
-    """Drops a line that as many earlier documents of its domain already had; short lines stay.
+def drop_repeated_lines(lines: DataFrame, domain: str, most_documents: int = 3, least_chars: int = 40, exempt: Column | None = None) -> DataFrame:
+    """Drops a line that as many earlier documents of its domain already had; short and ``exempt`` ones stay.
 
     Documents arrive in doc_id order. A first stage keeps one row for each document and line, so a
     frequent line is ranked over documents and not over occurrences.
     """
-    key = F.xxhash64(F.lower(squeeze(F.col("line"))))
-    marked = lines.withColumn("__key", F.when(F.char_length("line") >= least_chars, key))
+    norm = F.lower(squeeze(F.col("line")))
+    counts = F.char_length(norm) >= least_chars
+    marked = lines.withColumn("__key", F.when(counts if exempt is None else counts & ~exempt, F.xxhash64(norm)))
     holders = marked.where("__key IS NOT NULL").select(domain, "__key", "doc_id").distinct()
     rank = F.row_number().over(W.partitionBy(domain, "__key").orderBy("doc_id"))
     late = holders.withColumn("__rank", rank).where(F.col("__rank") > most_documents).drop("__rank")
     return marked.join(late, [domain, "__key", "doc_id"], "left_anti").drop("__key")
 
 
+def mark_page_artifacts(lines: DataFrame) -> DataFrame:
+    """Sets kind to page_artifact on page numbers, and on short lines that stand as often as on three fifths of a document's pages (three at least); headings stay."""
+    marked = lines.withColumn("kind", F.when(is_page_number(F.col("line")), "page_artifact").otherwise(F.col("kind"))).withColumn("__norm", F.lower(trim(F.col("line"))))
+    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("__pages")).where("__pages >= 3")
+    times = marked.where((F.char_length("__norm") < 80) & F.col("page").isNotNull()).groupBy("doc_id", "__norm").agg(F.count("*").alias("__times"))
+    often = times.join(pages, "doc_id").where(F.col("__times") >= F.greatest(F.lit(2), F.floor(0.6 * F.col("__pages")))).select("doc_id", "__norm", F.lit(True).alias("__often"))
+    out = marked.join(often, ["doc_id", "__norm"], "left")
+    return out.withColumn("kind", F.when(F.col("__often") & (F.col("kind") != "heading"), "page_artifact").otherwise(F.col("kind"))).drop("__norm", "__often")
+
+
+def clean_blocks(blocks: DataFrame, domain: str, least: int = 400) -> DataFrame:
+    """Blocks (doc_id, pos, page, kind, line) cleaned by all steps in their fixed order; documents left with under ``least`` characters go.
+
+    Encoding, ligatures, hyphens, boilerplate, page numbers, page artifacts, garbage, language (a flag), repeated blocks, white space, minimum.
+    """
+    line = F.col("line")
+    rows = blocks.withColumn("line", clean_encoding(line)).where(trim(line) != "").withColumn("line", drop_private_use(line))
+    rows = repair_hyphens(rows)
+    rows = rows.where(~is_boilerplate(trim(line)))
+    rows = mark_page_artifacts(rows).where(~is_garbage(trim(line)))
+    rows = rows.withColumn("foreign_text", foreign_flag(line))
+    rows = drop_repeated_lines(rows, domain, exempt=F.col("kind").isin("heading", "table"))
+    rows = rows.withColumn("line", clean_whitespace(line)).where("line <> ''")
+    enough = rows.groupBy("doc_id").agg(F.sum(F.char_length("line")).alias("__chars")).where(F.col("__chars") >= least).select("doc_id")
+    return rows.join(enough, "doc_id", "left_semi")
+
+
 def clean_whitespace(text: Column) -> Column:
     one = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
     kept = F.filter(F.transform(F.split(one, "\n"), trim), lambda x: x != "")
     return F.array_join(kept, "\n")
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition. Only texts beyond ASCII take the way through Python, in batches."""
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    beyond = F.regexp_like(text, F.lit("[^\\x00-\\x7F]"))
+    return F.coalesce(composed(F.when(beyond, text)), text)
+
+
 def clean_encoding(text: Column) -> Column:
-    """NBSP to space, zero-width characters dropped, typographic quotes and dashes to ASCII, two ligatures."""
-    plain = F.translate(text, " “”‘’–—​﻿", " \"\"''--")
-    return F.replace(F.replace(plain, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    """Composed characters; NBSP to space, zero-width characters dropped, typographic quotes and dashes to ASCII, two ligatures."""
+    plain = F.translate(nfc(text), "\u00a0\u201c\u201d\u2018\u2019\u2013\u2014\u200b\ufeff", " \"\"''--")
+    return F.replace(F.replace(plain, F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
+
+
+def drop_private_use(text: Column) -> Column:
+    """Runs of two private-use characters and more are one space."""
+    return F.regexp_replace(text, r"[\x{E000}-\x{F8FF}]{2,}", " ")
+
+
+# Word parts over a line end, and over white space.
+HYPHENS = (r"(\w+)-\s*\n\s*(\w+)", r"(\w+)-\s+(\w+)")
+
+
+def joined_hyphens(lines: list[str]) -> list[str]:
+    """The lines of a document with word parts joined where the second begins in lower case or the document has the joined word."""
+    corpus = " ".join(lines).lower()
+
+    def join(m: re.Match) -> str:
+        return m[1] + m[2] if m[2][0].islower() or (m[1] + m[2]).lower() in corpus else m[0]
+
+    return [re.sub(HYPHENS[1], join, re.sub(HYPHENS[0], join, x)) for x in lines]
+
+
+def repair_hyphens(blocks: DataFrame) -> DataFrame:
+    """Joins hyphenated words. Documents with a break to judge are taken whole, a document at a time; all others pass by."""
+    breaks = blocks.where(F.regexp_like("line", F.lit(r"(?U)\w-\s+\w"))).select("doc_id").distinct()
+    columns, kinds = blocks.columns, ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in blocks.columns)
+
+    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pdf["line"] = joined_hyphens(pdf["line"].tolist())
+        return pdf[columns]
+
+    touched = blocks.join(breaks, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(repair, kinds)
+    return blocks.join(breaks, "doc_id", "left_anti").select(*columns).unionByName(touched)
 
 
 def join_hyphens(text: Column) -> Column:
+    """The lower-case rule alone, on columns."""
     return F.regexp_replace(F.regexp_replace(text, r"(\p{L})-[ \t]*\n[ \t]*(\p{Ll})", "$1$2"), r"(\p{L})- (\p{Ll})", "$1$2")
 
 

@@ -103,14 +103,14 @@ def poisoned(t):
     return last.groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and(F.col("event_type").isin("error", "view")).alias("bad")).where("n = 3 AND bad").select("user_id")
 
 
-@query("cl_01", "SELECT doc_id, sha256(replace(replace(translate(translate(text || chr(160) || '“x” ‘y’ – —', chr(160) || '“”‘’–—', ' \"\"''''--'), chr(8203) || chr(65279), ''), 'ﬁ', 'fi'), 'ﬂ', 'fl')) AS digest FROM documents")
+@query("cl_01", "SELECT doc_id, sha256(replace(replace(translate(translate(nfc_normalize(text || chr(160) || '“x” ‘y’ – — e' || chr(769) || 'o' || chr(771) || chr(8203) || 'ﬁ'), chr(160) || '“”‘’–—', ' \"\"''''--'), chr(8203) || chr(65279), ''), 'ﬁ', 'fi'), 'ﬂ', 'fl')) AS digest FROM documents")
 def encoding(t):
-    return t.documents.select("doc_id", F.sha2(C.clean_encoding(F.concat("text", F.lit(" “x” ‘y’ – —"))), 256).alias("digest"))
+    return t.documents.select("doc_id", F.sha2(C.clean_encoding(F.concat("text", F.lit("\u00a0“x” ‘y’ – — e\u0301o\u0303\u200b\ufb01"))), 256).alias("digest"))
 
 
-@query("cl_02", r"SELECT doc_id, length(regexp_replace(text || chr(57344) || chr(57345) || 'x', '[\x{E000}-\x{F8FF}]{2,}', ' ', 'g')) AS chars FROM documents")
+@query("cl_02", r"SELECT doc_id, sha256(regexp_replace(text || chr(57344) || chr(57345) || 'x' || chr(57344), '[\x{E000}-\x{F8FF}]{2,}', ' ', 'g')) AS digest FROM documents")
 def ligatures(t):
-    return t.documents.select("doc_id", F.char_length(F.regexp_replace(F.concat("text", F.lit("x")), r"[-]{2,}", " ")).cast("long").alias("chars"))
+    return t.documents.select("doc_id", F.sha2(C.drop_private_use(F.concat("text", F.lit("\ue000\ue001x\ue000"))), 256).alias("digest"))
 
 
 @query("cl_03", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(text, 'an ', 'an- '), '(\p{L})-[ \t]*\n[ \t]*(\p{Ll})', '\1\2', 'g'), '(\p{L})- (\p{Ll})', '\1\2', 'g')) AS digest FROM documents")
@@ -118,13 +118,28 @@ def hyphenation(t):
     return t.documents.select("doc_id", F.sha2(C.join_hyphens(F.replace("text", F.lit("an "), F.lit("an- "))), 256).alias("digest"))
 
 
-@query("cl_04", f"""WITH l AS (SELECT doc_id, pos // 5 AS page, lower({t_('line')}) AS norm FROM {LINES}), p AS (SELECT doc_id, max(page) + 1 AS pages FROM l GROUP BY 1),
-c AS (SELECT doc_id, norm, count(*) AS times FROM l WHERE length(norm) BETWEEN 1 AND 79 GROUP BY ALL) SELECT doc_id, norm, times FROM c JOIN p USING (doc_id) WHERE pages >= 3 AND times >= greatest(2, CAST(floor(0.6 * pages) AS BIGINT))""")
+#: Lines as blocks: thirty to a page; a heading has capitals and no lower-case letter, a table row has bars; two lines stand on every page.
+BLOCKS = f"""(SELECT doc_id, source, pos, pos // 30 AS page, line, CASE WHEN regexp_matches(line, '^[^a-z]*[A-Z][^a-z]*$') THEN 'heading' WHEN contains(line, ' | ') THEN 'table' ELSE 'paragraph' END AS kind FROM {LINES}
+UNION ALL SELECT doc_id, source, -1 - k - 2 * page, page, CASE WHEN k = 0 THEN 'Página ' || (page + 1) ELSE ' Folha de rosto da prova ' END, 'paragraph' FROM (SELECT DISTINCT doc_id, source, pos // 30 AS page FROM {LINES}), (SELECT unnest([0, 1]) AS k))"""
+
+
+def _blocks(t):
+    line, pos = F.col("line"), F.col("pos")
+    lines = t.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    kind = F.when(F.regexp_like(line, F.lit("^[^a-z]*[A-Z][^a-z]*$")), "heading").when(line.contains(" | "), "table").otherwise("paragraph")
+    own = lines.select("doc_id", "source", pos.cast("long").alias("pos"), F.floor(pos / 30).alias("page"), "line", kind.alias("kind"))
+    pages = own.select("doc_id", "source", "page").distinct().select("doc_id", "source", "page", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    foot = F.when(F.col("k") == 0, F.concat(F.lit("Página "), (F.col("page") + 1).cast("string"))).otherwise(" Folha de rosto da prova ")
+    return own.unionByName(pages.select("doc_id", "source", (-1 - F.col("k") - 2 * F.col("page")).alias("pos"), "page", foot.alias("line"), F.lit("paragraph").alias("kind")))
+
+
+MARKED = f"""(SELECT x.* EXCLUDE (kind), CASE WHEN n_pages >= 3 AND times >= greatest(2, floor(0.6 * n_pages)) AND num <> 'heading' THEN 'page_artifact' ELSE num END AS kind FROM
+(SELECT *, CASE WHEN regexp_matches(line, '(?i)^\\s*(P[aá]gina\\s+)?\\d+(\\s*/\\s*\\d+)?\\s*$') THEN 'page_artifact' ELSE kind END AS num, CASE WHEN length({t_('line')}) < 80 THEN count(*) OVER (PARTITION BY doc_id, lower({t_('line')})) ELSE 0 END AS times FROM %s) x JOIN (SELECT doc_id, count(DISTINCT page) AS n_pages FROM %s GROUP BY 1) USING (doc_id))"""
+
+
+@query("cl_04", f"SELECT doc_id, kind, count(*) AS n, sum(pos)::BIGINT AS positions FROM {MARKED.replace('%s', BLOCKS)} GROUP BY ALL")
 def page_artifacts(t):
-    lines = C.lines_of(t.documents).select("doc_id", F.floor(F.col("pos") / 5).alias("page"), F.lower(trim(F.col("line"))).alias("norm"))
-    pages = lines.groupBy("doc_id").agg((F.max("page") + 1).alias("pages")).where("pages >= 3")
-    times = lines.where(F.char_length("norm").between(1, 79)).groupBy("doc_id", "norm").agg(F.count("*").alias("times"))
-    return times.join(pages, "doc_id").where(F.col("times") >= F.greatest(F.lit(2), F.floor(0.6 * F.col("pages")))).select("doc_id", "norm", "times")
+    return C.mark_page_artifacts(_blocks(t)).groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"))
 
 
 def _flag_sql(kind):
@@ -137,14 +152,12 @@ def language_flag(t):
 
 
 KEY = rf"lower(regexp_replace({t_('line')}, '\s+', ' ', 'g'))"
+RANKED = f"(SELECT *, CASE WHEN key IS NOT NULL THEN dense_rank() OVER (PARTITION BY source, key ORDER BY doc_id) ELSE 0 END AS rank FROM (SELECT *, CASE WHEN length({KEY}) >= 40 AND kind NOT IN ('heading', 'table') THEN {KEY} END AS key FROM %s))"
 
 
-@query("cl_06", f"""WITH l AS (SELECT *, CASE WHEN length(line) >= 40 THEN {KEY} END AS key FROM {LINES}),
-r AS (SELECT *, CASE WHEN key IS NOT NULL THEN dense_rank() OVER (PARTITION BY source, key ORDER BY doc_id) ELSE 0 END AS rank FROM l)
-SELECT doc_id, count(*) AS kept, sum(pos)::BIGINT AS positions FROM r WHERE rank <= 3 GROUP BY 1""")
+@query("cl_06", f"SELECT doc_id, count(*) AS kept, sum(pos)::BIGINT AS positions FROM {RANKED % BLOCKS} WHERE rank <= 3 GROUP BY 1")
 def repeated_lines(t):
-    lines = t.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return C.drop_repeated_lines(lines, "source").groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("pos").alias("positions"))
+    return C.drop_repeated_lines(_blocks(t), "source", exempt=F.col("kind").isin("heading", "table")).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("pos").alias("positions"))
 
 
 @query("cl_07", rf"""SELECT doc_id, sha256(coalesce((SELECT string_agg(x, chr(10) ORDER BY i) FROM (SELECT unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT list_transform(string_split(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(10)), lambda s: {t_('s')}) AS a)) WHERE x <> ''), '')) AS digest FROM documents""")
@@ -163,22 +176,20 @@ def statistics(t):
     return lines.groupBy("source").agg(F.count("*").alias("blocks"), F.sum(F.char_length("line")).alias("chars"), F.count_if(F.regexp_like("line", F.lit(r"^[^a-z]*[A-Z][^a-z]*$"))).alias("headings"))
 
 
-@query("cl_00", f"""WITH l AS (SELECT doc_id, source, pos, regexp_replace({t_('line')}, '[ \\t]+', ' ', 'g') AS line FROM {LINES}),
-a AS (SELECT * FROM l WHERE NOT regexp_matches(line, '(?i){C.NAVIGATION}') AND NOT (length(line) BETWEEN 1 AND 199 AND length(regexp_replace(line, '\\P{{L}}', '', 'g')) / length(line) < 0.4)
- AND NOT (length(line) BETWEEN 1 AND 199 AND coalesce(list_sum(list_transform(regexp_extract_all(line, '(?i)https?://\\S+|www\\.\\S+'), lambda x: length(x))), 0) / length(line) > 0.5)
- AND NOT (len(regexp_extract_all(line, 'https?://')) + len(regexp_extract_all(line, 'www\\.')) >= 2 AND length(line) < 160)),
-g AS (SELECT * FROM a WHERE NOT (length(line) >= 8 AND (length(regexp_replace(line, '\\P{{L}}', '', 'g')) / length(regexp_replace(line, '\\s', '', 'g')) < 0.6 OR len(regexp_extract_all(line, '[A-Za-zÀ-ÿ]{{2,}}')) = 0
- OR list_sum(list_transform(regexp_extract_all(line, '[A-Za-zÀ-ÿ]{{2,}}'), lambda x: length(x))) / len(regexp_extract_all(line, '[A-Za-zÀ-ÿ]{{2,}}')) > 14))),
-r AS (SELECT *, CASE WHEN length(line) >= 40 THEN dense_rank() OVER (PARTITION BY source, CASE WHEN length(line) >= 40 THEN {KEY} END ORDER BY doc_id) ELSE 0 END AS rank FROM g),
-k AS (SELECT * FROM r WHERE rank <= 3 AND line <> '')
-SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM k GROUP BY 1 HAVING sum(length(line)) >= 400""")
+@query("cl_00", f"""WITH e AS MATERIALIZED (SELECT * REPLACE (regexp_replace(replace(replace(translate(translate(nfc_normalize(line), chr(160) || '“”‘’–—', ' ""''''--'), chr(8203) || chr(65279), ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[\\x{{E000}}-\\x{{F8FF}}]{{2,}}', ' ', 'g') AS line) FROM {BLOCKS} WHERE {t_('line')} <> ''),
+h AS (SELECT * REPLACE (regexp_replace(line, '(\\p{{L}}|\\d|_)-\\s+(\\p{{Ll}})', '\\1\\2', 'g') AS line) FROM e), x AS (SELECT *, {t_('line')} AS s FROM h),
+a AS MATERIALIZED (SELECT * FROM x WHERE NOT regexp_matches(s, '(?i){C.NAVIGATION}') AND NOT (length(s) BETWEEN 1 AND 199 AND length(regexp_replace(s, '\\P{{L}}', '', 'g')) / length(s) < 0.4)
+ AND NOT (length(s) BETWEEN 1 AND 199 AND coalesce(list_sum(list_transform(regexp_extract_all(s, '(?i)https?://\\S+|www\\.\\S+'), lambda x: length(x))), 0) / length(s) > 0.5)
+ AND NOT (len(regexp_extract_all(s, 'https?://')) + len(regexp_extract_all(s, 'www\\.')) >= 2 AND length(s) < 160)),
+m AS {MARKED.replace('%s', 'a')},
+g AS (SELECT * FROM m WHERE NOT (length(s) >= 8 AND (length(regexp_replace(s, '\\P{{L}}', '', 'g')) / length(regexp_replace(s, '\\s', '', 'g')) < 0.6 OR len(regexp_extract_all(s, '[A-Za-zÀ-ÿ]{{2,}}')) = 0
+ OR list_sum(list_transform(regexp_extract_all(s, '[A-Za-zÀ-ÿ]{{2,}}'), lambda x: length(x))) / len(regexp_extract_all(s, '[A-Za-zÀ-ÿ]{{2,}}')) > 14))),
+k AS (SELECT doc_id, kind, regexp_replace(s, '[ \\t]+', ' ', 'g') AS line, {n("substr(line, 1, 2000)", C.FLAG_WORDS["es"])} > {n("substr(line, 1, 2000)", C.FLAG_WORDS["pt"])} + 2 AND {n("substr(line, 1, 2000)", C.FLAG_WORDS["es"])} > {n("substr(line, 1, 2000)", C.FLAG_WORDS["en"])} + 2 AS es FROM {RANKED % 'g'} WHERE rank <= 3)
+SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars, count(*) FILTER (kind = 'page_artifact') AS artifacts, count(*) FILTER (es) AS flagged FROM k WHERE line <> '' GROUP BY 1 HAVING sum(length(line)) >= 400""")
 def cleaning_pipeline(t):
-    """Line rules in their fixed order, then repeated lines, then the minimum of content."""
-    lines = t.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.regexp_replace(trim(F.col("line")), "[ \t]+", " "))
-    lines = lines.where(~C.is_boilerplate(F.col("line"))).where(~C.is_garbage(F.col("line")))
-    lines = C.drop_repeated_lines(lines, "source").where("line <> ''")
-    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars")).where("chars >= 400")
+    """All steps in their fixed order."""
+    lines = C.clean_blocks(_blocks(t), "source")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"), F.count_if(F.col("kind") == "page_artifact").alias("artifacts"), F.count_if("foreign_text").alias("flagged"))
 
 
 CHUNKS = f"""WITH RECURSIVE p AS (SELECT doc_id, source, lang, {t_('line')} AS line, pos FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE {t_('line')} <> ''),
@@ -303,9 +314,9 @@ def eligibility_ladder(t):
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\p{{N}}', '0', 'g'), '\s+', ' ', 'g'))".format
 
 
-@query("dd_01", f"SELECT doc_id, sha256({NORM('text')}) AS digest FROM documents")
+@query("dd_01", f"SELECT doc_id, sha256({NORM('nfc_normalize(text || chr(101) || chr(769))')}) AS digest FROM documents")
 def normalised(t):
-    return t.documents.select("doc_id", F.sha2(dedup_normalised(F.col("text")), 256).alias("digest"))
+    return t.documents.select("doc_id", F.sha2(dedup_normalised(C.nfc(F.concat("text", F.lit("e\u0301")))), 256).alias("digest"))
 
 
 @query("dd_02", f"""WITH s AS (SELECT item_id, replace({NORM('text')}, ' ', '') AS x FROM benchmark)

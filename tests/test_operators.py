@@ -109,3 +109,21 @@ def test_gate_is_total(spark):
     v = C.publish_gate(F.col("s"), F.col("r"), F.col("g"), F.col("j"), F.lit(1), F.lit(1), one, one, one, F.lit("generated"))
     found = [r.v.decision for r in df.select(v.alias("v")).collect()]
     assert found[:4] == ["needs_review", "failed", "needs_review", "published"] and set(found[4:]) == {"failed"}
+
+
+def test_hyphens_join_by_case_or_by_the_document(spark):
+    assert C.joined_hyphens(["inter- nacional e pós-\n graduação", "Rio- Grande", "RioGrande e Foo- Bar"]) == ["internacional e pósgraduação", "RioGrande", "RioGrande e Foo- Bar"]
+    rows = [(1, "s", 0, 0, "paragraph", "Rio- Grande"), (1, "s", 1, 0, "paragraph", "riogrande"), (2, "s", 0, 0, "paragraph", "Rio- Grande"), (3, "s", 0, 0, "paragraph", "sem quebra")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, pos long, page long, kind string, line string")
+    assert sorted((r.doc_id, r.pos, r.line) for r in C.repair_hyphens(df).collect()) == [(1, 0, "RioGrande"), (1, 1, "riogrande"), (2, 0, "Rio- Grande"), (3, 0, "sem quebra")]
+
+
+def test_encoding_is_composed(spark):
+    assert column(spark, ["é “x”​ﬁ", "plain", None], C.clean_encoding) == ['é "x"fi', "plain", None]
+
+
+def test_page_artifacts_leave_headings(spark):
+    rows = [(1, p, p, "heading" if p == 2 else "paragraph", " Prova ") for p in range(4)] + [(1, 9, 3, "paragraph", "Página 3 / 4"), (2, 0, 0, "paragraph", "Prova"), (2, 1, 1, "paragraph", "Prova")]
+    df = spark.createDataFrame(rows, "doc_id long, pos long, page long, kind string, line string")
+    found = {(r.doc_id, r.pos): r.kind for r in C.mark_page_artifacts(df).collect()}
+    assert found == {(1, 0): "page_artifact", (1, 1): "page_artifact", (1, 2): "heading", (1, 3): "page_artifact", (1, 9): "page_artifact", (2, 0): "paragraph", (2, 1): "paragraph"}
