@@ -13,11 +13,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        # texts in fewer files than there are cores are dealt out, as the work on each row is what costs;
-        # filters and column pruning still reach the scan
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("documents", "pages") and len(df.inputFiles()) < cores:
-            df = df.repartition(cores)
+        # texts in fewer splits than there are cores are dealt out, as the work on each row is what costs; larger tables are never shuffled
+        if name in ("documents", "pages") and df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism:
+            df = df.repartition(self.spark.sparkContext.defaultParallelism)
         return df
 
 

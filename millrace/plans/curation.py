@@ -9,6 +9,7 @@ from millrace.functions.text import dedup_normalised, fnv1a32, squeeze, trim
 from millrace.operators import curation as C
 from millrace.operators import tables as T
 from millrace.plans import Catalog
+from millrace.workspace import materialize
 
 catalog = Catalog()
 query = catalog.query
@@ -219,13 +220,9 @@ WORDS_SQL = r"len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''
 LD = f"CASE WHEN {WORDS_SQL} = 0 THEN 0.0 ELSE least(1.0, {n('x', C.LINK)} / greatest({WORDS_SQL} / 20, 1.0)) END"
 PARS = f"list_filter(list_transform(string_split(x, chr(10)), lambda p: {t_('p')}), lambda p: p <> '')"
 CD = f"(1 - ({LD})) * CASE WHEN len({PARS}) = 0 THEN 0 ELSE len(list_filter({PARS}, lambda p: length(p) >= 80)) / len({PARS}) END * least(1.0, CASE WHEN len({PARS}) = 0 THEN 0 ELSE coalesce(list_sum(list_transform({PARS}, lambda p: length(p))), 0) / len({PARS}) END / 250)"
-#: Beside the pattern set for Portuguese, one of words that the texts at hand have.
-COMMON = r"\b(?:the|of|and|der|und|die|la|de|le|que)\b"
-ED = f"least(1.0, ({n('x', C.DEFINITION)} + {n('x', C.EXAMPLE)} + {n('x', C.RULE)} + {n('x', COMMON)}) * 200 / greatest(length(x), 1))"
+ED = f"least(1.0, ({n('x', C.DEFINITION)} + {n('x', C.EXAMPLE)} + {n('x', C.RULE)}) * 200 / greatest(length(x), 1))"
 SENT = f"list_filter(regexp_split_to_array(x, '[.!?]+'), lambda s: length({t_('s')}) > 20)"
-HEDGED = r"\b(?:pode ser|geralmente|em tese|this|sich)\b"
-CLAIMED = r"\b(?:art\.|lei|decreto|\d+%|\d{4}|the|und|que)\b"
-TE = f"CASE WHEN len({SENT}) = 0 THEN 0 ELSE len(list_filter({SENT}, lambda s: NOT regexp_matches(s, '{C.sql_regex(HEDGED)}') AND regexp_matches(s, '{C.sql_regex(CLAIMED)}'))) / len({SENT}) END"
+TE = f"CASE WHEN len({SENT}) = 0 THEN 0 ELSE len(list_filter({SENT}, lambda s: NOT regexp_matches(s, '{C.sql_regex(C.HEDGE)}') AND regexp_matches(s, '{C.sql_regex(C.CLAIM)}'))) / len({SENT}) END"
 NO = "least(1.0, len(regexp_extract_all(x, '{}')) / greatest(length(x), 1))".format(C.NOISE.replace("'", "''"))
 TRIMMED = rf"list_filter(list_transform(regexp_split_to_array(x, '\n+'), lambda p: {t_('p')}), lambda p: p <> '')"
 
@@ -244,24 +241,20 @@ def _meta_sql() -> str:
 
 
 ME = _meta_sql()
-TEXTS = "(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' http://a.b/c edital n 3 taxa R$ 5 vagas em 01/02/2024, o candidato deve' ELSE '' END AS x FROM documents)"
+PLANTED = (
+    "A regra deve valer sempre. Por exemplo: define-se o caso pela lei 8112 de 1990. Geralmente a norma de 2001 pode ser revista em tese. "
+    "O decreto fixa 30% do valor total! Esta frase longa nada afirma sobre o tema? O conceito é o termo que consiste em muito, ou seja, art. 5."
+)
+TEXTS = f"(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' http://a.b/c edital n 3 taxa R$ 5 vagas em 01/02/2024, o candidato deve' WHEN doc_id % 3 = 1 THEN ' {PLANTED}' ELSE '' END AS x FROM documents)"
 
 
 def _texts(t):
-    extra = F.when(F.col("doc_id") % 3 == 0, " http://a.b/c edital n 3 taxa R$ 5 vagas em 01/02/2024, o candidato deve").otherwise("")
+    extra = F.when(F.col("doc_id") % 3 == 0, " http://a.b/c edital n 3 taxa R$ 5 vagas em 01/02/2024, o candidato deve").when(F.col("doc_id") % 3 == 1, " " + PLANTED).otherwise("")
     return t.documents.select("doc_id", F.concat("text", extra).alias("x"))
 
 
-def _educational(x):
-    return C.educational_signal(x, (C.DEFINITION, C.EXAMPLE, C.RULE, COMMON))
-
-
-def _testable(x):
-    return C.testability(x, CLAIMED, HEDGED)
-
-
 SCORES = {
-    "sc_01": (LD, C.link_density), "sc_02": (CD, lambda x: C.content_density(x, "\n")), "sc_03": (ED, _educational), "sc_04": (TE, _testable),
+    "sc_01": (LD, C.link_density), "sc_02": (CD, lambda x: C.content_density(x, "\n")), "sc_03": (ED, C.educational_signal), "sc_04": (TE, C.testability),
     "sc_05": (NO, C.noise), "sc_07": (ME, C.metadata_probability),
 }
 for _name, (_sql, _function) in SCORES.items():
@@ -275,7 +268,7 @@ QUALITY = "CASE WHEN meta > 0.6 THEN 0 ELSE 0.3 * density + 0.3 * edu + 0.2 * te
 @query("sc_06", f"SELECT doc_id, round({QUALITY}, 6)::DOUBLE AS quality FROM (SELECT doc_id, {CD} AS density, {ED} AS edu, {TE} AS test, {NO} AS noisy, {ME} AS meta FROM {TEXTS})")
 def quality(t):
     x = F.col("x")
-    scored = _texts(t).select("doc_id", C.content_density(x, "\n").alias("d"), _educational(x).alias("e"), _testable(x).alias("t"), C.noise(x).alias("n"), C.metadata_probability(x).alias("m"))
+    scored = _texts(t).select("doc_id", C.content_density(x, "\n").alias("d"), C.educational_signal(x).alias("e"), C.testability(x).alias("t"), C.noise(x).alias("n"), C.metadata_probability(x).alias("m"))
     return scored.select("doc_id", F.round(C.section_quality(*(F.col(c) for c in "detnm")), 6).alias("quality"))
 
 
@@ -288,12 +281,14 @@ def chunk_eligibility_by_source(t):
     """Flagship: documents to chunks, scores, exact duplicates, eligibility, counts by source."""
     x = F.col("chunk")
     chunks_ = C.chunk_documents(t.documents.select("doc_id", "source", "lang", "text"), "\n")
-    first = chunks_.groupBy("content_hash").agg(F.min(F.struct("doc_id", "ordinal")).alias("first"))
     scored = chunks_.select(
-        "doc_id", "source", "lang", "ordinal", "content_hash", F.char_length(x).alias("size"), C.content_density(x, "\n").alias("d"), _educational(x).alias("e"),
-        _testable(x).alias("t"), C.noise(x).alias("n"), C.metadata_probability(x).alias("m"),
+        "doc_id", "source", "lang", "ordinal", "content_hash", F.char_length(x).alias("size"), C.content_density(x, "\n").alias("d"), C.educational_signal(x).alias("e"),
+        C.testability(x).alias("t"), C.noise(x).alias("n"), C.metadata_probability(x).alias("m"),
     )
-    scored = scored.withColumn("quality", C.section_quality(*(F.col(c) for c in "detnm"))).join(first, "content_hash")
+    # one narrow row for each chunk, written once and read for the first of equals and for the verdicts
+    scored = materialize(scored.withColumn("quality", C.section_quality(*(F.col(c) for c in "detnm"))), "chunks")
+    first = scored.groupBy("content_hash").agg(F.min(F.struct("doc_id", "ordinal")).alias("first"))
+    scored = scored.join(first, "content_hash")
     duplicate = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.ordinal") != F.col("ordinal"))
     verdict = C.eligibility(F.lit("knowledge"), F.lit("content"), F.col("lang"), F.col("n"), F.col("m"), F.col("quality"), F.col("size"), duplicate, None, ("en", "de", "fr"))
     return scored.select("source", verdict.alias("v")).groupBy("source", "v.status", "v.reason").agg(F.count("*").alias("chunks"))
