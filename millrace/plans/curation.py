@@ -258,18 +258,18 @@ SCORES = {
     "sc_05": (NO, C.noise), "sc_07": (ME, C.metadata_probability),
 }
 for _name, (_sql, _function) in SCORES.items():
-    query(_name, f"SELECT doc_id, round({_sql}, 6)::DOUBLE AS score FROM {TEXTS}")(
-        lambda t, f=_function: _texts(t).select("doc_id", F.round(f(F.col("x")).cast("double"), 6).alias("score"))
+    query(_name, f"SELECT doc_id, round({_sql} + 1e-9, 6)::DOUBLE AS score FROM {TEXTS}")(
+        lambda t, f=_function: _texts(t).select("doc_id", F.round(f(F.col("x")).cast("double") + 1e-9, 6).alias("score"))
     )
 
 QUALITY = "CASE WHEN meta > 0.6 THEN 0 ELSE 0.3 * density + 0.3 * edu + 0.2 * test + 0.2 * (1 - noisy) END"
 
 
-@query("sc_06", f"SELECT doc_id, round({QUALITY}, 6)::DOUBLE AS quality FROM (SELECT doc_id, {CD} AS density, {ED} AS edu, {TE} AS test, {NO} AS noisy, {ME} AS meta FROM {TEXTS})")
+@query("sc_06", f"SELECT doc_id, round({QUALITY} + 1e-9, 6)::DOUBLE AS quality FROM (SELECT doc_id, {CD} AS density, {ED} AS edu, {TE} AS test, {NO} AS noisy, {ME} AS meta FROM {TEXTS})")
 def quality(t):
     x = F.col("x")
     scored = _texts(t).select("doc_id", C.content_density(x, "\n").alias("d"), C.educational_signal(x).alias("e"), C.testability(x).alias("t"), C.noise(x).alias("n"), C.metadata_probability(x).alias("m"))
-    return scored.select("doc_id", F.round(C.section_quality(*(F.col(c) for c in "detnm")), 6).alias("quality"))
+    return scored.select("doc_id", F.round(C.section_quality(*(F.col(c) for c in "detnm")) + 1e-9, 6).alias("quality"))
 
 
 @query("chunk_eligibility_by_source", CHUNKS + f""", s AS (SELECT doc_id, source, lang, ordinal, chunk AS x, chunk FROM chunks),
