@@ -39,13 +39,18 @@ def simhash64(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def simhash_pairs(prints: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """Pairs within ``most`` bits: equal in one of most + 1 bands at least, which the join goes by. Equal prints meet through their first key only."""
+    """(key, other, bits): the first keys of prints within ``most`` bits of each other, and every further key of a print with its first (0 bits).
+
+    Prints that near are equal in one of most + 1 bands at least, which the join goes by.
+    """
     bands, width = most + 1, 64 // (most + 1)
-    first = prints.groupBy("simhash").agg(F.min(key).alias(key))
-    banded = first.select(key, "simhash", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)])).alias("band", "value"))
+    first = prints.groupBy("simhash").agg(F.min(key).alias("first"))
+    members = prints.join(first, "simhash").where(F.col(key) != F.col("first")).select(F.col("first").alias(key), F.col(key).alias("other"), F.lit(0).alias("bits"))
+    banded = first.select(F.col("first").alias(key), "simhash", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)])).alias("band", "value"))
     other = banded.select(F.col(key).alias("other"), F.col("simhash").alias("theirs"), "band", "value")
-    near = banded.join(other, ["band", "value"]).where((F.col(key) < F.col("other")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("theirs"))) <= most))
-    return near.select(key, "other").distinct()
+    bits = F.bit_count(F.col("simhash").bitwiseXOR(F.col("theirs"))).cast("int")
+    near = banded.join(other, ["band", "value"]).where(F.col(key) < F.col("other")).select(key, "other", bits.alias("bits")).where(F.col("bits") <= most)
+    return near.distinct().unionByName(members)
 
 
 def _fnv(data: str, start: int = 2166136261) -> int:
@@ -69,6 +74,25 @@ def minhash_words(words: list[str]) -> np.ndarray:
     return hashes.min(axis=0)
 
 
+def minhash_signatures(rows: DataFrame, key: str, norm: str) -> DataFrame:
+    """(key, signature): 128 minhashes of the words of a normalised text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            signs = [minhash_words((x or "").split()).astype(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.list_(pa.int64()))], [key, "signature"])
+
+    return rows.select(key, norm).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, signature array<bigint>")
+
+
+def minhash_likeness(a: Column, b: Column) -> Column:
+    """The share of equal minhashes."""
+    equal = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)
+    return F.size(equal) / F.lit(float(PERMUTATIONS))
+
+
 def _leaders(pdf):
     """Within one document: exact duplicates, else the first leader that is near; duplicates never lead."""
     import pandas as pd

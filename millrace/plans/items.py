@@ -77,9 +77,19 @@ def simhashes(t):
 
 @query("dd_04_pairs")
 def simhash_near(t):
-    """Benchmark items and documents of the smallest sources within three bits of each other."""
-    short = t.documents.where("n_chars < 700").select("doc_id", "text")
-    return L.simhash_pairs(L.simhash64(short, "doc_id", "text"), "doc_id")
+    """All documents within three bits of each other: first documents of each print in pairs, and every other with the first of its print. Tested against all pairs."""
+    return L.simhash_pairs(L.simhash64(t.documents, "doc_id", "text"), "doc_id")
+
+
+@query("dd_05", f"""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split({NORM('text')}, ' '), lambda x: x <> '')) AS w FROM benchmark WHERE {NORM('text')} SIMILAR TO '[a-z0-9 ]+'), s AS (SELECT unnest(generate_series(0, 127)) AS seed),
+h AS (SELECT item_id, seed, min(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(seed || ':' || x, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS h FROM (SELECT item_id, unnest(w) AS x FROM w), s GROUP BY ALL)
+SELECT a.item_id, b.item_id AS other, count(*) FILTER (a.h = b.h) / 128 AS likeness FROM h a JOIN h b ON b.seed = a.seed AND b.item_id = a.item_id + 1 GROUP BY ALL""")
+def minhash_estimates(t):
+    """Estimated likeness of each benchmark item to the next, from 128 minhashes of words."""
+    plain = t.benchmark.select("item_id", L.dedup_normalised(F.col("text")).alias("norm")).where(F.regexp_like("norm", F.lit("^[a-z0-9 ]+$")))
+    signs = L.minhash_signatures(plain, "item_id", "norm")
+    other = signs.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("signature").alias("theirs"))
+    return signs.join(other, "item_id").select("item_id", "other", L.minhash_likeness(F.col("signature"), F.col("theirs")).alias("likeness"))
 
 
 @query("dd_06")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import dedup_normalised, fnv1a32, slug, squeeze
 from millrace.operators import curation as C
+from millrace.operators import likeness as L
+from millrace.operators import sequences as Q
 from millrace.operators import states as S
 from millrace.operators import tables as T
 from millrace.sources import pages as P
@@ -127,3 +129,44 @@ def test_page_artifacts_leave_headings(spark):
     df = spark.createDataFrame(rows, "doc_id long, pos long, page long, kind string, line string")
     found = {(r.doc_id, r.pos): r.kind for r in C.mark_page_artifacts(df).collect()}
     assert found == {(1, 0): "page_artifact", (1, 1): "page_artifact", (1, 2): "heading", (1, 3): "page_artifact", (1, 9): "page_artifact", (2, 0): "paragraph", (2, 1): "paragraph"}
+
+
+def test_simhash_pairs_are_all_pairs(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(63) for _ in range(30)]
+    prints = [(i, x) for i, x in enumerate(base)] + [(100 + i, base[i] ^ sum(1 << b for b in rng.sample(range(63), i % 6))) for i in range(30)] + [(200, base[3]), (201, base[3])]
+    found = {(r.k, r.other, r.bits) for r in L.simhash_pairs(spark.createDataFrame(prints, "k long, simhash long"), "k").collect()}
+    first = {}
+    for k, x in prints:
+        first.setdefault(x, k)
+    wanted = {(first[x], k, 0) for k, x in prints if first[x] != k}
+    reps = [(k, x) for x, k in first.items()]
+    wanted |= {(a, b, (x ^ y).bit_count()) for a, x in reps for b, y in reps if a < b and (x ^ y).bit_count() <= 3}
+    assert found == wanted
+
+
+def test_leaders_against_a_plain_scan(spark):
+    rng = random.Random(8)
+    chunks = []
+    for d in range(4):
+        own = [" ".join("w" + "abcdefgh"[rng.randrange(8)] + "klmno"[rng.randrange(5)] for _ in range(30)) for _ in range(6)]
+        own += [own[0], own[1] + " extra", own[2].replace("wa", "wa wa")]
+        chunks += [(d, i, c) for i, c in enumerate(own)]
+    df = spark.createDataFrame(chunks, "doc_id long, ordinal long, chunk string").withColumn("content_hash", F.sha2("chunk", 256))
+    found = {(r.doc_id, r.ordinal): r.duplicate_of for r in L.greedy_leaders(df).collect()}
+    signs, wanted = {}, {}
+    for d, i, c in chunks:
+        sign = tuple(min(L._fnv(f"{s}:{w}") for w in set(c.split())) for s in range(128))
+        same = [j for (e, j), (x, _, _) in signs.items() if e == d and x == c]
+        near = [j for (e, j), (_, s, leads) in signs.items() if e == d and leads and sum(a == b for a, b in zip(s, sign)) / 128 >= 0.85]
+        wanted[d, i] = same[0] if same else near[0] if near else None
+        signs[d, i] = (c, sign, wanted[d, i] is None)
+    assert found == wanted
+
+
+def test_greedy_lists_and_matches(spark):
+    near = lambda a, b: F.levenshtein(a, b) <= 1
+    rows = spark.createDataFrame([(["abc", "abd", "xyz", "abe", "xy", "q"],), ([],)], "v array<string>")
+    assert [r.k for r in rows.select(Q.greedy_keep(F.col("v"), near).alias("k")).collect()] == [["abc", "xyz", "q"], []]
+    pairs = spark.createDataFrame([(1, 10, 100, 0.9), (1, 10, 101, 0.9), (1, 11, 100, 1.0), (1, 11, 101, 0.5), (1, 12, 100, 0.7), (2, 20, 100, 0.1)], "g long, a long, b long, s double")
+    assert sorted((r.g, r.a, r.b) for r in Q.match_greedily(pairs, "g", "a", "b", "s", "a").collect()) == [(1, 10, 100), (1, 11, 101), (2, 20, 100)]
