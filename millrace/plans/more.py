@@ -207,10 +207,3 @@ def completion(t):
 def soup_blocks(t):
     """Headings first, then text blocks. Tested on literal pages."""
     return read_blocks(t.pages)
-
-
-@query("src_11")
-def page_tables(t):
-    """Page titles and headings as a table per page, to markdown and back to its first row."""
-    rows = t.pages.select("page_id", F.concat(F.lit("<table><tr><th>page</th><th>host</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), host_of(F.col("url")), F.lit("</td></tr></table>")).alias("html"))
-    return read_blocks(rows).where("kind = 'table'").select("page_id", "text")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from millrace.functions.text import host_of
 from millrace.operators import tables as T
 from millrace.plans import Catalog
+from millrace.operators import curation as C
+from millrace.operators import items as I
+from millrace.sources import listings as L
 from millrace.sources import pages as P
+from millrace.sources.soup import read_blocks
 
 catalog = Catalog()
 query = catalog.query
@@ -70,10 +74,70 @@ def plain_blocks(t):
     return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), kind.alias("kind"))
 
 
-@query("src_17", r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]*)"[^>]*>.*?</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)) AS title, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]*)"[^>]*>.*?</a>', 1), 1) - 1 AS pos FROM pages)
-SELECT page_id, href, min(pos) AS pos, arg_min(trim(regexp_replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), pos) AS title FROM a WHERE length(trim(regexp_replace(regexp_replace(title, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) >= 4 GROUP BY page_id, href""")
+#: Literal pages: address, html.
+LISTINGS = [
+    ("https://Banca.org.br/concursos/lista.html?x=1", """<a href="edital-1.pdf">Edital nº 1 de abertura</a><a class='b' href='/provas/p1?a=1&amp;b=2#z'>Prova objetiva <b>azul</b></a><a href="../gab/./g.pdf#p">Gabarito   preliminar</a><a href="//cdn.org/apostila.PDF?v=2">Apostila</a>
+<a href="?pagina=2">Página dois da lista</a><a href="#topo">voltar ao topo agora</a><a href="javascript:x()">abrir a janela</a><a href="https://WWW.Outra.org">Retificação do edital</a><a href="https://outra.org?b=1">Programa das provas</a><a href="edital-1.pdf">Edital repetido aqui</a>"""),
+    ("https://banca.org.br", """<a href="x/y/../../z.pdf">Conteúdo em PDF</a><a href="a/..">Cima da pasta</a><a href="/noticias/1">Notícias do edital</a><a href="/n">Saiba mais</a><a href="/c">Leia  mais</a><a href="/curto">curto</a><a href="/boleto.pdf">Segunda via</a><a href="/i.pdf">Inscrição online</a><a href="mailto:a@b.c">Escreva para nós</a>"""),
+    ("sem endereço", """<a href="/edital.pdf">Edital sem base</a><a href="https://a.org/e.pdf">Edital com base</a><a href="https://a.org/f.pdf"></a><a href=''>Vazio edital</a>"""),
+]
+LISTED = "(SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join("(%d, '%s', '%s')" % (-1 - i, u, x.replace("'", "''")) for i, (u, x) in enumerate(LISTINGS)) + ") v(page_id, url, html))"
+
+
+def _listed(t):
+    return t.pages.select("page_id", "url", "html").unionByName(t.spark.createDataFrame([(-1 - i, u, x) for i, (u, x) in enumerate(LISTINGS)], "page_id long, url string, html string"))
+
+
+def _sql_decoded(x: str) -> str:
+    for entity, char in L.DECODED:
+        x = "regexp_replace(%s, '%s', '%s', 'gi')" % (x, entity, char.replace("'", "''"))
+    return x
+
+
+ANCHOR_SQL = L.ANCHOR.replace("'", "''")
+
+
+def _sql_undotted(x: str) -> str:
+    """Enough for the paths at hand: . and .. taken away three times."""
+    for _ in range(3):
+        x = r"regexp_replace(regexp_replace(%s, '/\.(/|$)', '/'), '/[^/]+/\.\.(/|$)', '/')" % x
+    return x
+
+
+ORIGIN = "lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1))"
+FOLDER = "coalesce(nullif(regexp_extract(url, '(?i)^https?://[^/?#]+(/(?:[^?#]*/)?)?', 1), ''), '/')"
+RAW_PATH, RAW_TAIL = "regexp_extract(raw, '^([^?#]*)', 1)", "regexp_extract(raw, '([?#].*)$', 1)"
+HREF = f"""CASE WHEN regexp_matches(raw, '(?i)^https?://[^/?#]+') THEN lower(regexp_extract(raw, '(?i)^(https?://[^/?#]+)', 1)) || CASE WHEN regexp_matches(raw, '(?i)^https?://[^/?#]+([?#]|$)') THEN '/' ELSE '' END || regexp_extract(raw, '(?i)^https?://[^/?#]+(.*)$', 1)
+WHEN regexp_matches(raw, '(?i)^[a-z][a-z0-9+.-]*:') THEN raw WHEN {ORIGIN} = '' THEN NULL WHEN raw LIKE '//%' THEN regexp_extract({ORIGIN}, '^([a-z]+:)', 1) || raw WHEN raw LIKE '/%' THEN {ORIGIN} || {_sql_undotted(RAW_PATH)} || {RAW_TAIL}
+WHEN {RAW_PATH} = '' THEN {ORIGIN} || coalesce(nullif(regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1), ''), '/') || {RAW_TAIL} ELSE {ORIGIN} || {_sql_undotted(f"({FOLDER} || {RAW_PATH})")} || {RAW_TAIL} END"""
+ANCHORED = f"""(SELECT page_id, pos, title, {HREF} AS href FROM (SELECT page_id, url, pos, {_sql_decoded("trim(h)")} AS raw, {_sql_decoded("trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[[:space:]]+', ' ', 'g'))")} AS title FROM
+(SELECT page_id, url, unnest(regexp_extract_all(html, '{ANCHOR_SQL}', 1)) AS h, unnest(regexp_extract_all(html, '{ANCHOR_SQL}', 2)) AS x, generate_subscripts(regexp_extract_all(html, '{ANCHOR_SQL}', 1), 1) - 1 AS pos FROM {LISTED})) WHERE raw <> '' AND raw NOT LIKE '#%' AND raw NOT LIKE 'javascript:%')"""
+PATTERNS = ["edital|prova", "/concursos/", "en", "(nenhum"]
+
+
+@query("src_17", f"""SELECT page_id, href, min(pos) AS pos, arg_min(title, pos) AS title FROM {ANCHORED} WHERE href IS NOT NULL AND length(title) >= 8 AND NOT regexp_matches(title, '{C.sql_regex(L.JUNK_TITLE)}') AND NOT regexp_matches(href, '{C.sql_regex(L.JUNK_URL)}')
+AND (regexp_matches(title || ' ' || href, '(?i){"|".join(PATTERNS[:3])}') OR contains(lower(title || ' ' || href), '(nenhum')) GROUP BY page_id, href""")
 def listing_links(t):
-    return P.links_of(t.pages, 4).select("page_id", "href", F.col("pos").cast("long").alias("pos"), "title")
+    return L.listing_links(_listed(t), PATTERNS)
+
+
+@query("src_18", f"""SELECT *, CASE {' '.join(f"WHEN regexp_matches(title || ' ' || href, '{C.sql_regex(p)}') THEN '{k}'" for k, _, p in I.HINTS)} ELSE 'unknown' END AS kind FROM (SELECT page_id, href, min(pos) AS pos, arg_min(title, pos) AS title FROM {ANCHORED}
+WHERE href IS NOT NULL AND length(title) >= 3 AND NOT regexp_matches(title, '{C.sql_regex(L.SKIPPED)}') AND NOT regexp_matches(href, '{C.sql_regex(L.SKIPPED)}') AND (regexp_matches(href, '{C.sql_regex(L.PDF)}') OR regexp_matches(title, '{C.sql_regex(L.DOCUMENT_LABEL)}')) GROUP BY page_id, href)""")
+def document_links(t):
+    return L.document_links(_listed(t))
+
+
+@query("src_11", r"""WITH r AS (SELECT doc_id, pos, list_transform(string_split(line, ' | '), lambda c: trim(c)) AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE contains(line, ' | ')),
+w AS (SELECT doc_id, max(len(cells)) AS width, min(pos) AS head FROM r GROUP BY 1)
+SELECT doc_id, string_agg('| ' || array_to_string(list_concat(cells, list_transform(generate_series(1, (width - len(cells))::BIGINT), lambda i: '')), ' | ') || ' |' || CASE WHEN pos = head THEN chr(10) || '| ' || array_to_string(list_transform(generate_series(1, width::BIGINT), lambda i: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY pos) AS markdown FROM r JOIN w USING (doc_id) GROUP BY 1""")
+def page_tables(t):
+    """Rows with bars, written as the table of a page and read back by the parser: ragged rows padded, a rule under the head."""
+    escaped = F.replace(F.replace(F.col("line"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").contains(" | "))
+    cells = F.array_join(F.transform(F.split(escaped, r" \| "), lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), "")
+    tables = rows.groupBy(F.col("doc_id").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("row")))), lambda r: r.row), "").alias("rows"))
+    html = F.concat(F.lit("<body><table>"), "rows", F.lit("</table></body>"))
+    return read_blocks(tables.select("page_id", html.alias("html"))).where("kind = 'table'").select(F.col("page_id").alias("doc_id"), F.col("text").alias("markdown"))
 
 
 DENY = ", ".join(f"'{d}'" for d in [*P.DENIED_DOMAINS, "ththon.example.com"])
