@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import dedup_normalised, fnv1a32, squeeze, trim
+from millrace.functions.text import dedup_normalised, fnv1a32, trim
 from millrace.operators import curation as C
 from millrace.operators import tables as T
 from millrace.plans import Catalog

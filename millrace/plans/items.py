@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from millrace.operators import curation as C
 from millrace.operators import items as I
 from millrace.operators import likeness as L
-from millrace.operators import tables as T
 from millrace.plans import Catalog
 from millrace.plans.curation import LINES, NORM
 
