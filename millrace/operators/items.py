@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import B, trim
+from millrace.functions.text import B, fold, let, squeeze, trim
 from millrace.operators.curation import spark_regex
 
 # Hints by words of a label or address, first match wins: (kind, role, pattern).
@@ -140,3 +140,51 @@ def session_budget(minutes: Column) -> Column:
     for m, (a, b) in BUDGETS.items():
         least, most = F.when(minutes == m, a).otherwise(least), F.when(minutes == m, b).otherwise(most)
     return F.struct(least.alias("least"), most.alias("most"), F.when(minutes.isin(*BUDGETS), "timed").otherwise("pill").alias("mode"))
+
+
+# What counts as a specific value that cited statements must hold.
+SPECIFICS = (
+    r"\bLei\s+n[ºo°.]?\s*[\d.]+/?\d*", r"\bArt\.?\s*\d+[ºoª°]?", r"\b\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}\b", r"\b\d{4}\b", r"\bR\$\s*[\d.,]+", r"\b\d+[.,]\d+\b",
+)
+VERBATIM_WORDS, DISTRACTOR_WORDS, TRUE_OVERLAP = 12, 4, 0.8
+
+
+def specific_values(text: Column) -> Column:
+    """Laws, articles, dates, years, amounts and decimals of a text, in lower case."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(spark_regex(p)), F.lit(0)) for p in SPECIFICS]))
+    return F.array_distinct(F.transform(found, lambda v: F.lower(squeeze(v))))
+
+
+def overlap_form(text: Column) -> Column:
+    """Letters and digits without accents, in lower case, with single spaces."""
+    return squeeze(F.regexp_replace(fold(text), r"[^\p{L}\p{N}\s]", " "))
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Shared words of three letters and more over those of the side that has more; for texts in overlap form."""
+    words = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: F.char_length(w) > 2))
+    return let(words(a), lambda x: let(words(b), lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))))
+
+
+def grounding_reasons(item: Column) -> Column:
+    """Reasons against a generated item: citations, specific values, a key taken word for word, a distractor that is true.
+
+    ``item`` has origin, units, allowed, statements, prompt, options and correct (from 0).
+    """
+    none = F.array().cast("array<string>")
+    tidy = lambda a: F.filter(F.transform(F.coalesce(a, none), lambda x: trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    when = lambda c, name: F.when(c, F.lit(name))
+    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    cited, allowed, statements = tidy(item.units), tidy(item.allowed), tidy(item.statements)
+    prompt, options = F.coalesce(item.prompt, F.lit("")), F.transform(F.coalesce(item.options, none), lambda o: trim(F.coalesce(o, F.lit(""))))
+    corpus, lower = F.lower(F.array_join(statements, "\n")), F.lower(prompt)
+    bare = lambda v: F.regexp_like(v, F.lit(r"^\d{4}$")) & ~F.regexp_like(lower, F.lit("lei|art"))
+    ungrounded = (F.size(cited) == 0) | ((F.size(allowed) > 0) & (F.size(F.array_except(cited, allowed)) > 0))
+    unsupported = (F.size(statements) > 0) & let(corpus, lambda c: F.exists(specific_values(prompt), lambda v: ~bare(v) & ~F.contains(c, v)))
+    forms = F.transform(statements, overlap_form)
+    key = F.get(options, item.correct)
+    verbatim = F.coalesce((words(key) > VERBATIM_WORDS) & F.exists(forms, lambda f: F.contains(f, overlap_form(key))), F.lit(False))
+    others = F.filter(options, lambda o, i: (i != item.correct) & (words(o) >= DISTRACTOR_WORDS))
+    true = F.coalesce(let(forms, lambda fs: F.exists(others, lambda o: F.exists(fs, lambda f: word_overlap(overlap_form(o), f) >= TRUE_OVERLAP))), F.lit(False))
+    reasons = F.array_compact(F.array(when(ungrounded, "ungrounded_citation"), when(unsupported, "unsupported_specific"), when(verbatim, "verbatim_answer"), when(true, "distractor_is_true")))
+    return F.when(F.coalesce(item.origin == "generation", F.lit(False)), reasons).otherwise(none)

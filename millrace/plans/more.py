@@ -33,17 +33,6 @@ def relevance(t):
     return q.join(repeated, "text", "left").select("conv_id", "turn", F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("flt_16", """WITH u AS (SELECT conv_id, turn + 1 AS turn, list_distinct(string_split(lower(text), ' ')) AS c FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 3)) AS w FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, len(w) >= 4 AND len(list_filter(w, lambda x: list_contains(c, x))) >= 0.1 * len(w) AS grounded FROM a JOIN u USING (conv_id, turn)""")
-def grounding(t):
-    """Share of an answer's longer words that its question has."""
-    words = lambda least: F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.char_length(w) > least))
-    asked = t.conversations.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.array_distinct(F.split(F.lower("text"), " ")).alias("c"))
-    given = t.conversations.where("role = 'assistant'").select("conv_id", "turn", words(3).alias("w"))
-    held = F.size(F.array_intersect("w", "c"))
-    return given.join(asked, ["conv_id", "turn"]).select("conv_id", "turn", ((F.size("w") >= 4) & (held >= 0.1 * F.size("w"))).alias("grounded"))
-
-
 @query("flt_21", r"SELECT page_id, coalesce(nullif(regexp_extract(url || ' ' || (2020 + page_id % 9), '\b(20[0-9]{2})\b', 1), '')::INT >= 2024, true) AS kept FROM pages")
 def inventory_year(t):
     year = F.regexp_extract(F.concat_ws(" ", "url", (F.col("page_id") % 9 + 2020).cast("string")), r"(?:(?<![A-Za-z0-9_]))(20[0-9]{2})(?![A-Za-z0-9_])", 1)

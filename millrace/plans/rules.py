@@ -243,3 +243,52 @@ def reason_labels(t):
     rows = _items(t)
     found = rows.select(F.explode(F.array_append(I.structural_reasons(F.struct(*rows.columns)), F.lit("not_a_code"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     return found.join(names, "code", "left").select("code", F.coalesce("description", "code").alias("description"), F.col("description").isNotNull().alias("known"), "n")
+
+
+LONG_KEY = "o prazo para recurso é de quinze dias úteis contados da publicação do ato no diário"
+#: origin, units, allowed, statements, prompt, options, correct
+GROUNDED = [
+    ("generation", ["u1"], ["u1", "u2"], ["A Lei nº 8.112/90, art. 5º, fixa R$ 1.500,00 em 01/02/2024."], "Segundo a Lei  nº 8.112/90 e o art. 5º, qual o valor?", ["a", "b"], 0),
+    ("generation", ["u1"], [], ["A lei diz algo."], "Em 2019 a Lei nº 9.784/99 foi citada?", ["a", "b"], 0),
+    ("generation", ["u1"], ["u1"], ["Sem ano aqui."], "O que houve em 2019?", ["a"], 0),
+    ("generation", ["u1"], ["u1"], ["Sem valor aqui."], "Quanto é 3,5 por cento?", None, None),
+    ("generation", [" ", ""], ["u1"], ["x"], "p", ["a"], 0),
+    ("generation", ["u9", "u1"], ["u1"], None, "p", ["a"], 0),
+    ("generation", ["u1"], ["u1"], ["Sabe-se que " + LONG_KEY.upper() + "!"], "p", [LONG_KEY, "não"], 0),
+    ("generation", ["u1"], ["u1"], ["Sabe-se que " + LONG_KEY], "p", ["não", LONG_KEY], 0),
+    ("generation", ["u1"], ["u1"], ["O órgão julga contas públicas anuais"], "p", ["certo", "orgao julga contas públicas anuais", "o órgão julga tudo"], 0),
+    ("generation", ["u1"], ["u1"], ["O órgão julga contas públicas anuais"], "p", ["orgao julga contas públicas anuais", "x"], 0),
+    ("extraction", None, None, ["x"], "Lei nº 1", None, None),
+    (None, None, None, None, None, None, None),
+]
+G_FIELDS = "origin, units, allowed, statements, prompt, options, correct"
+G_ROWS = f"""(SELECT u.conv_id, u.turn, CASE WHEN u.conv_id % 5 > 0 THEN 'generation' END AS origin, CASE WHEN u.conv_id % 3 > 0 THEN ['u' || u.conv_id % 4] END AS units, ['u1', 'u2'] AS allowed, [a.text] AS statements, u.text AS prompt, string_split(a.text, '. ') AS options, (u.turn % 3)::INT AS correct
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user' UNION ALL SELECT -1 - i, 0, {G_FIELDS} FROM (VALUES {', '.join(f'({i}, {", ".join(map(_value, r))})' for i, r in enumerate(GROUNDED))}) v(i, {G_FIELDS}))"""
+G_TIDY = lambda x: f"list_filter(list_transform(coalesce({x}, []::VARCHAR[]), lambda z: {TIDY("coalesce(z, '')")}), lambda z: z <> '')"
+FORM = lambda x: TIDY(f"regexp_replace(regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')")
+COUNT_WORDS = lambda x: f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda q: q <> ''))"
+LONG_WORDS = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda q: length(q) > 2))"
+VALUES_SQL = "list_transform(list_concat(" + ", ".join(["[]::VARCHAR[]"] + [f"regexp_extract_all(prompt, '{C.sql_regex(p)}')" for p in I.SPECIFICS]) + f"), lambda z: lower({TIDY(chr(39).join(['regexp_replace(z, ', chr(92) + 's+', ', ', ' ', ', ', 'g', ')']))}))"
+G_BASE = f"""(SELECT *, len(cited) = 0 OR (len(allow) > 0 AND len(list_filter(cited, lambda z: NOT list_contains(allow, z))) > 0) AS ungrounded, lower(array_to_string(said, chr(10))) AS corpus, list_transform(said, lambda z: {FORM('z')}) AS forms, {VALUES_SQL} AS found FROM
+(SELECT conv_id, turn, origin, coalesce(prompt, '') AS prompt, correct, {G_TIDY('units')} AS cited, {G_TIDY('allowed')} AS allow, {G_TIDY('statements')} AS said, list_transform(coalesce(options, []::VARCHAR[]), lambda z: {TIDY("coalesce(z, '')")}) AS opts FROM {G_ROWS}))"""
+OVERLAPS = f"""(SELECT b.conv_id, b.turn FROM (SELECT conv_id, turn, correct, unnest(opts) AS o, generate_subscripts(opts, 1) - 1 AS i, forms FROM {G_BASE}) b, (SELECT conv_id, turn, unnest(forms) AS f FROM {G_BASE}) s WHERE b.conv_id = s.conv_id AND b.turn = s.turn AND i <> correct AND {COUNT_WORDS('o')} >= 4
+AND len({LONG_WORDS(FORM('o'))}) > 0 AND len(list_intersect({LONG_WORDS(FORM('o'))}, {LONG_WORDS('f')})) >= 0.8 * greatest(len({LONG_WORDS(FORM('o'))}), len({LONG_WORDS('f')})))"""
+
+
+@query("flt_16", f"""SELECT g.conv_id, g.turn, CASE WHEN coalesce(origin = 'generation', false) THEN array_to_string(list_filter([CASE WHEN ungrounded THEN 'ungrounded_citation' END,
+CASE WHEN len(said) > 0 AND len(list_filter(found, lambda z: NOT (regexp_full_match(z, '[0-9]{{4}}') AND NOT regexp_matches(lower(prompt), 'lei|art')) AND NOT contains(corpus, z))) > 0 THEN 'unsupported_specific' END,
+CASE WHEN {COUNT_WORDS("coalesce(opts[correct + 1], '')")} > 12 AND len(list_filter(forms, lambda z: contains(z, {FORM("opts[correct + 1]")}))) > 0 THEN 'verbatim_answer' END, CASE WHEN t.conv_id IS NOT NULL THEN 'distractor_is_true' END], lambda z: z IS NOT NULL), ',') ELSE '' END AS reasons
+FROM {G_BASE} g LEFT JOIN (SELECT DISTINCT * FROM {OVERLAPS}) t ON t.conv_id = g.conv_id AND t.turn = g.turn""")
+def grounding(t):
+    """Questions of users with the reply as the statement, and boundary cases."""
+    c = F.col
+    asked = t.conversations.where("role = 'user'").select("conv_id", "turn", c("text").alias("prompt"))
+    given = t.conversations.where("role = 'assistant'").select("conv_id", (c("turn") - 1).alias("turn"), c("text").alias("reply"))
+    text = lambda *x: F.array(*[F.lit(v) for v in x])
+    own = asked.join(given, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.when(c("conv_id") % 5 > 0, "generation").alias("origin"), F.when(c("conv_id") % 3 > 0, F.array(F.concat(F.lit("u"), (c("conv_id") % 4).cast("string")))).alias("units"), text("u1", "u2").alias("allowed"),
+        F.array("reply").alias("statements"), "prompt", F.split("reply", r"\. ").alias("options"), (c("turn") % 3).cast("int").alias("correct"),
+    )
+    schema = "conv_id long, turn long, origin string, units array<string>, allowed array<string>, statements array<string>, prompt string, options array<string>, correct int"
+    rows = own.unionByName(t.spark.createDataFrame([(-1 - i, 0, *r) for i, r in enumerate(GROUNDED)], schema))
+    return rows.select("conv_id", "turn", F.array_join(I.grounding_reasons(F.struct(*rows.columns)), ",").alias("reasons"))
