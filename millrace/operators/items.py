@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.text import B, fold, let, squeeze, trim
-from millrace.operators.curation import spark_regex
+from millrace.operators.curation import metadata_probability, spark_regex, token_set_ratio
 
 # Hints by words of a label or address, first match wins: (kind, role, pattern).
 HINTS = (
@@ -188,3 +188,35 @@ def grounding_reasons(item: Column) -> Column:
     true = F.coalesce(let(forms, lambda fs: F.exists(others, lambda o: F.exists(fs, lambda f: word_overlap(overlap_form(o), f) >= TRUE_OVERLAP))), F.lit(False))
     reasons = F.array_compact(F.array(when(ungrounded, "ungrounded_citation"), when(unsupported, "unsupported_specific"), when(verbatim, "verbatim_answer"), when(true, "distractor_is_true")))
     return F.when(F.coalesce(item.origin == "generation", F.lit(False)), reasons).otherwise(none)
+
+
+# Stems about the exam itself, about its programme, about the present, and citations of law.
+EXAM_STEM = (
+    r"\b(inscri[cç][oõ]es|cargo|vagas?|remunera[cç][aã]o|sal[aá]rio|taxa de inscri|edital(?:\s+n|\s+de\s+abertura)|banca|institui[cç][aã]o|associa[cç][aã]o|certifica[cç][aã]o|cronograma|local(?:\s+de)?\s+prova"
+    r"|(?:em\s+que\s+)?cidade|aplicad[ao]s?\s+a\s+prova|prova objetiva|homologa[cç][aã]o|escolaridade exigida|documento deve ser apresentado|quantas quest[oõ]es|oferecid[oa]|promovendo|concurso p[uú]blico aberto|exame para certifica)\b"
+)
+PROGRAMME_STEM = r"\b(constam? no conte[uú]do program[aá]tico|quais assuntos|quais disciplinas|programa do concurso|anexo.*(portugu[eê]s|matem[aá]tica))\b"
+TEMPORAL, LEGAL = r"\b(atual(mente)?|hoje|vigente|neste ano|este ano|\d{4})\b", r"\b(lei\s+n|art\.?\s*\d|§\s*\d)"
+NEAR_STEM, METADATA_STEM = 85, 0.5
+
+
+def relevance_verdict(item: Column) -> Column:
+    """struct(reasons, review): what fails an item, and what only sends it to review.
+
+    ``item`` has origin, units, leaf, leaf_valid, prompt, options, explanation, previous and stems (of the leaf).
+    """
+    none = F.array().cast("array<string>")
+    like = lambda c, p: F.regexp_like(c, F.lit(spark_regex(p)))
+    when = lambda c, name: F.when(c, F.lit(name))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    prompt, options = trim(text(item.prompt)), F.transform(F.coalesce(item.options, none), text)
+    made = F.coalesce(item.origin == "generation", F.lit(False))
+    uncited = F.size(F.filter(F.coalesce(item.units, none), lambda u: trim(text(u)) != "")) == 0
+    exam = like(prompt, LISTING) | F.exists(options, lambda o: like(o, LISTING)) | like(prompt, EXAM_STEM) | ((prompt != "") & (metadata_probability(prompt) > METADATA_STEM))
+    near = lambda stems: F.exists(F.coalesce(stems, none), lambda x: (text(x) != "") & (token_set_ratio(prompt, x) >= NEAR_STEM))
+    blob = F.concat_ws("\n", prompt, F.array_join(options, "\n"), text(item.explanation))
+    reasons = F.array(
+        when(made & uncited, "knowledge_unit_ids_missing"), when(made & ((trim(text(item.leaf)) == "") | ~F.coalesce(item.leaf_valid, F.lit(True))), "off_syllabus"), when(exam, "tests_exam_metadata"),
+        when(like(prompt, PROGRAMME_STEM), "tests_syllabus_meta"), when(near(item.previous), "copied_previous_question"), when(near(item.stems), "duplicate_question"),
+    )
+    return F.struct(F.array_compact(reasons).alias("reasons"), F.array_compact(F.array(when(like(prompt, TEMPORAL) & ~like(blob, LEGAL), "temporally_dependent"))).alias("review"))

@@ -23,16 +23,6 @@ query = catalog.query
 ERROR_CLASSES = (("auth", r"401|403|unauthori[sz]ed|invalid.*key"), ("rate_limit", r"429|rate.?limit|quota"), ("transient", r"5\d\d|timeout|reset|unavailable"))
 
 
-@query("flt_15", """WITH q AS (SELECT conv_id, turn, text, conv_id % 3 = 0 AS ku, conv_id % 7 = 0 AS off FROM conversations WHERE role = 'user'), s AS (SELECT text FROM q GROUP BY text HAVING count(*) > 1)
-SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN NOT ku THEN 'knowledge_unit_ids_missing' END, CASE WHEN off THEN 'off_syllabus' END, CASE WHEN text IN (SELECT text FROM s) THEN 'near_duplicate' END, CASE WHEN regexp_matches(text, '(19|20)[0-9]{2}') THEN 'temporal' END], lambda x: x IS NOT NULL), ',') AS reasons FROM q""")
-def relevance(t):
-    q = t.conversations.where("role = 'user'").select("conv_id", "turn", "text")
-    repeated = q.groupBy("text").agg(F.count("*").alias("n")).where("n > 1").select("text", F.lit(True).alias("again"))
-    when = lambda c, name: F.when(c, F.lit(name))
-    reasons = F.array_compact(F.array(when(F.col("conv_id") % 3 != 0, "knowledge_unit_ids_missing"), when(F.col("conv_id") % 7 == 0, "off_syllabus"), when(F.col("again"), "near_duplicate"), when(F.regexp_like("text", F.lit("(19|20)[0-9]{2}")), "temporal")))
-    return q.join(repeated, "text", "left").select("conv_id", "turn", F.array_join(reasons, ",").alias("reasons"))
-
-
 @query("flt_21", r"SELECT page_id, coalesce(nullif(regexp_extract(url || ' ' || (2020 + page_id % 9), '\b(20[0-9]{2})\b', 1), '')::INT >= 2024, true) AS kept FROM pages")
 def inventory_year(t):
     year = F.regexp_extract(F.concat_ws(" ", "url", (F.col("page_id") % 9 + 2020).cast("string")), r"(?:(?<![A-Za-z0-9_]))(20[0-9]{2})(?![A-Za-z0-9_])", 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import curation as C
 from millrace.operators import items as I
 from millrace.plans import Catalog
+from millrace.plans.curation import BAG, ME, _ratio
 from millrace.plans.roles import SPACES, has, quoted
 from millrace.plans.web import HOST, TITLE
 from millrace.sources import pages as P
@@ -292,3 +293,51 @@ def grounding(t):
     schema = "conv_id long, turn long, origin string, units array<string>, allowed array<string>, statements array<string>, prompt string, options array<string>, correct int"
     rows = own.unionByName(t.spark.createDataFrame([(-1 - i, 0, *r) for i, r in enumerate(GROUNDED)], schema))
     return rows.select("conv_id", "turn", F.array_join(I.grounding_reasons(F.struct(*rows.columns)), ",").alias("reasons"))
+
+
+STEM = "Assinale a alternativa correta sobre atos administrativos"
+#: origin, units, leaf, leaf_valid, prompt, options, explanation, previous, stems
+RELEVANT = [
+    ("generation", ["u"], "n1", True, STEM, ["a", "b"], None, None, None),
+    ("generation", [" "], " ", None, STEM, ["a", "b"], None, None, None),
+    ("generation", ["u"], "n1", False, STEM, None, None, ["Outra pergunta bem diferente"], None),
+    ("extraction", None, None, None, STEM, ["a"], None, ["atos administrativos: assinale a alternativa correta"], ["sobre atos administrativos assinale a correta alternativa"]),
+    ("extraction", None, None, None, STEM, ["a"], None, ["", None], ["Assinale a alternativa incorreta sobre contratos"]),
+    (None, None, None, None, "Quantas vagas o edital de abertura oferece?", None, None, None, None),
+    (None, None, None, None, "Qual a regra?", ["portal do candidato", "x"], None, None, None),
+    (None, None, None, None, "Quais disciplinas constam no anexo de matematica", None, None, None, None),
+    (None, None, None, None, "Qual lei vigente hoje regula o tema?", ["a"], "ver a Lei n 8112", None, None),
+    (None, None, None, None, "Qual norma vigente hoje regula o tema?", ["a"], None, None, None),
+    (None, None, None, None, "Em 2019 o que mudou?", ["art. 5 diz", "b"], None, None, None),
+    (None, None, None, None, "Taxa de R$ 50,00 no dia 01/02/2024 para vaga; o candidato deve pagar o boleto", None, None, None, None),
+    (None, None, None, None, None, None, None, None, None),
+]
+R_FIELDS = "origin, units, leaf, leaf_valid, prompt, options, explanation, previous, stems"
+R_ROWS = f"""(SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'generation' END AS origin, CASE WHEN turn % 3 > 0 THEN ['u'] END AS units, CASE WHEN conv_id % 5 > 0 THEN 'n' END AS leaf, turn % 5 < 4 AS leaf_valid, text AS prompt, {SPLIT} AS options, CASE WHEN turn % 2 = 0 THEN text END AS explanation, NULL::VARCHAR[] AS previous, NULL::VARCHAR[] AS stems
+FROM conversations UNION ALL SELECT -1 - i, 0, {R_FIELDS} FROM (VALUES {', '.join(f'({i}, {", ".join(map(_value, r))})' for i, r in enumerate(RELEVANT))}) v(i, {R_FIELDS}))"""
+R_BASE = f"""(SELECT *, {ME} AS meta, x || chr(10) || array_to_string(o, chr(10)) || chr(10) || coalesce(explanation, '') AS blob FROM (SELECT *, {TIDY("coalesce(prompt, '')")} AS x, list_transform(coalesce(options, []::VARCHAR[]), lambda z: coalesce(z, '')) AS o, coalesce(origin = 'generation', false) AS made FROM {R_ROWS}))"""
+NEAR_SQL = lambda c: f"""(SELECT DISTINCT conv_id FROM (SELECT *, list_filter(a, lambda z: list_contains(b, z)) AS i, list_filter(a, lambda z: NOT list_contains(b, z)) AS l, list_filter(b, lambda z: NOT list_contains(a, z)) AS r FROM (SELECT conv_id, {BAG('x')} AS a, {BAG('stem')} AS b FROM (SELECT conv_id, x, unnest({c}) AS stem FROM {R_BASE} WHERE conv_id < 0) WHERE coalesce(stem, '') <> ''))
+WHERE len(a) > 0 AND len(b) > 0 AND greatest({_ratio("array_to_string(i, ' ')", "array_to_string(list_concat(i, l), ' ')")}, {_ratio("array_to_string(i, ' ')", "array_to_string(list_concat(i, r), ' ')")}, {_ratio("array_to_string(list_concat(i, l), ' ')", "array_to_string(list_concat(i, r), ' ')")}) >= 85)"""
+R_CHECKS = [
+    WHEN(f"made AND {FILLED('units')} = 0", "knowledge_unit_ids_missing"),
+    WHEN(f"made AND ({TIDY("coalesce(leaf, '')")} = '' OR NOT coalesce(leaf_valid, true))", "off_syllabus"),
+    WHEN(f"{has('x', I.LISTING)} OR len(list_filter(o, lambda z: {has('z', I.LISTING)})) > 0 OR {has('x', I.EXAM_STEM)} OR (x <> '' AND meta > 0.5)", "tests_exam_metadata"),
+    WHEN(has("x", I.PROGRAMME_STEM), "tests_syllabus_meta"),
+    WHEN("p.conv_id IS NOT NULL", "copied_previous_question"),
+    WHEN("s.conv_id IS NOT NULL", "duplicate_question"),
+]
+
+
+@query("flt_15", f"""SELECT r.conv_id, r.turn, array_to_string(list_filter([{', '.join(R_CHECKS)}], lambda z: z IS NOT NULL), ',') AS reasons, {has('x', I.TEMPORAL)} AND NOT {has('blob', I.LEGAL)} AS review
+FROM {R_BASE} r LEFT JOIN {NEAR_SQL('previous')} p ON p.conv_id = r.conv_id LEFT JOIN {NEAR_SQL('stems')} s ON s.conv_id = r.conv_id""")
+def relevance(t):
+    """All turns as stems, and boundary cases."""
+    c, split = F.col, F.split("text", r"\. ")
+    own = t.conversations.select(
+        "conv_id", "turn", F.when(c("conv_id") % 2 == 0, "generation").alias("origin"), F.when(c("turn") % 3 > 0, F.array(F.lit("u"))).alias("units"), F.when(c("conv_id") % 5 > 0, "n").alias("leaf"), (c("turn") % 5 < 4).alias("leaf_valid"),
+        c("text").alias("prompt"), F.slice(split, 2, F.size(split)).alias("options"), F.when(c("turn") % 2 == 0, c("text")).alias("explanation"), F.lit(None).cast("array<string>").alias("previous"), F.lit(None).cast("array<string>").alias("stems"),
+    )
+    schema = "conv_id long, turn long, origin string, units array<string>, leaf string, leaf_valid boolean, prompt string, options array<string>, explanation string, previous array<string>, stems array<string>"
+    rows = own.unionByName(t.spark.createDataFrame([(-1 - i, 0, *r) for i, r in enumerate(RELEVANT)], schema))
+    verdict = rows.select("conv_id", "turn", I.relevance_verdict(F.struct(*rows.columns)).alias("v"))
+    return verdict.select("conv_id", "turn", F.array_join("v.reasons", ",").alias("reasons"), (F.size("v.review") > 0).alias("review"))
