@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import B, count, let, share, squeeze, trim
+from millrace.workspace import discard, materialize
 
 # The patterns and weights that define the scores. ``\b`` stands for an ASCII word boundary.
 DEFINITION = r"\b(?:é\s+(?:o|a)\s+\w+\s+que|define-se|consiste em|caracteriza-se por)\b"
@@ -150,15 +151,21 @@ def clean_blocks(blocks: DataFrame, domain: str, least: int = 400) -> DataFrame:
     Encoding, ligatures, hyphens, boilerplate, page numbers, page artifacts, garbage, language (a flag), repeated blocks, white space, minimum.
     """
     line = F.col("line")
-    rows = blocks.withColumn("line", clean_encoding(line)).where(trim(line) != "").withColumn("line", drop_private_use(line))
-    rows = repair_hyphens(rows)
-    rows = rows.where(~is_boilerplate(trim(line)))
-    rows = mark_page_artifacts(rows).where(~is_garbage(trim(line)))
-    rows = rows.withColumn("foreign_text", foreign_flag(line))
-    rows = drop_repeated_lines(rows, domain, exempt=F.col("kind").isin("heading", "table"))
-    rows = rows.withColumn("line", clean_whitespace(line)).where("line <> ''")
-    enough = rows.groupBy("doc_id").agg(F.sum(F.char_length("line")).alias("__chars")).where(F.col("__chars") >= least).select("doc_id")
-    return rows.join(enough, "doc_id", "left_semi")
+
+    def written(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """Each step reads its rows several times, so they are written once, and the step before them is deleted."""
+        out = materialize(rows, "cleaned")
+        if before is not None:
+            discard(before)
+        return out
+
+    coded = written(blocks.withColumn("line", clean_encoding(line)).where(trim(line) != "").withColumn("line", drop_private_use(line)))
+    solid = written(repair_hyphens(coded).where(~is_boilerplate(trim(line))), coded)
+    marked = written(mark_page_artifacts(solid).where(~is_garbage(trim(line))).withColumn("foreign_text", foreign_flag(line)), solid)
+    once = drop_repeated_lines(marked, domain, exempt=F.col("kind").isin("heading", "table"))
+    once = written(once.withColumn("line", clean_whitespace(line)).where("line <> ''"), marked)
+    enough = once.groupBy("doc_id").agg(F.sum(F.char_length("line")).alias("__chars")).where(F.col("__chars") >= least).select("doc_id")
+    return once.join(enough, "doc_id", "left_semi")
 
 
 def clean_whitespace(text: Column) -> Column:
