@@ -167,28 +167,34 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-class TokenHashes(dict):
-    """64-bit hashes of tokens, remembered."""
-
-    def __missing__(self, token):
-        import xxhash
-
-        if len(self) > 50_000:
-            self.clear()
-        value = self[token] = xxhash.xxh3_64_intdigest(token)
-        return value
-
-
-def runs_of(tokens: list[str], host: int, known: TokenHashes) -> np.ndarray:
-    """The hash of the first LONG tokens of every suffix of a block that has as many; hosts have hashes of their own."""
-    count = len(tokens) - LONG + 1
-    if count < 1:
-        return np.zeros(0, np.int64)
-    own = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-    rolled = np.full(count, host & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for k in range(LONG):
-        rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + own[k : k + count]
-    return (rolled ^ (rolled >> np.uint64(32))).view(np.int64)
+#: A value for each byte; sums of values times powers of an odd number tell texts apart by 64 bits.
+BYTE_VALUES = np.random.default_rng(64).integers(1, 1 << 63, 256, np.uint64)
+ODD = 0x9FB21C651E98DF25
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def runs_of(blocks: list[str], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every suffix of every block with LONG tokens or more: the hash of its first LONG, its block, and its place in it. Hosts have hashes of their own."""
+    data = np.frombuffer("\n".join(blocks).encode(), np.uint8)
+    cuts = np.nonzero((data == 32) | (data == 10))[0]
+    starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])
+    block = np.concatenate([[0], np.cumsum(data[cuts] == 10)])
+    count = len(starts) - LONG + 1
+    if not len(data) or count < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[data] * _powers(ODD, len(data)), dtype=np.uint64)])
+    at = np.nonzero(block[:count] == block[LONG - 1 :])[0]
+    first, last = starts[at], ends[at + LONG - 1]
+    own = (sums[last] - sums[first]) * _powers(pow(ODD, -1, 1 << 64), len(data))[first]
+    own = (own ^ (own >> np.uint64(31))) + hosts.view(np.uint64)[block[at]]
+    own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    begins = np.searchsorted(block, np.arange(len(blocks)))
+    return (own ^ (own >> np.uint64(32))).view(np.int64), block[at], at - begins[block[at]]
 
 
 def _suffixes(zones: frozenset):
@@ -197,28 +203,23 @@ def _suffixes(zones: frozenset):
     def run(batches):
         import pyarrow as pa
 
-        known = TokenHashes()
         for whole in batches:
             for batch in slices_by_bytes(whole, "html", SLICE_BYTES):
-                runs, marks, sizes, places, keys = [], [], [], [], []
-                hosts = []
-                for page, host, key in zip(*(batch.column(c).to_pylist() for c in ("html", "host_key", "page_key"))):
+                texts, marks, pages, before = [], [], [], []
+                for n, page in enumerate(batch.column("html").to_pylist()):
                     at, blocks = 0, blocks_of(page)
                     settled = any(z == "main" for z, _ in blocks)
                     for zone, text in blocks:
-                        if zone not in zones:
-                            continue
-                        tokens = text.split(" ")
-                        found = runs_of(tokens, host, known)
-                        runs.append(found)
-                        marks.append(zone == "chrome" or (zone == "open" and settled))
-                        sizes.append(len(found))
-                        places.append(at + np.arange(len(found)))
-                        keys.append(key)
-                        hosts.append(host)
-                        at += len(tokens)
-                if runs:
-                    columns = [np.concatenate(runs), np.repeat(marks, sizes), *(np.repeat(np.array(k, np.int64), sizes) for k in (hosts, keys)), np.concatenate(places).astype(np.int32)]
+                        if zone in zones:
+                            texts.append(text)
+                            marks.append(zone == "chrome" or (zone == "open" and settled))
+                            pages.append(n)
+                            before.append(at)
+                            at += text.count(" ") + 1
+                if texts:
+                    keys = [batch.column(c).to_numpy()[pages] for c in ("host_key", "page_key")]
+                    runs, block, place = runs_of(texts, keys[0])
+                    columns = [runs, np.array(marks)[block], keys[0][block], keys[1][block], (np.array(before)[block] + place).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["run", "chrome", "host_key", "page_key", "place"])
 
     return run
@@ -248,26 +249,32 @@ def _cover(length: int, hits: np.ndarray) -> np.ndarray:
     return np.cumsum(edges)[:length] > 0
 
 
-def _unique_text(page: str | None, hits) -> str:
-    """The blocks of the main zone, or of the open one if there are none, without the runs at the places that ``hits(zone, blocks)`` gives."""
+def _own_text(page: str | None) -> tuple[str, list[str]]:
+    """The zone that is a page's text, main or else open, and its blocks."""
     blocks = blocks_of(page)
     zone = "main" if any(z == "main" for z, _ in blocks) else "open"
-    own = [t.split(" ") for z, t in blocks if z == zone]
-    places = hits(zone, own)
+    return zone, [t for z, t in blocks if z == zone]
+
+
+def _without(blocks: list[str], places) -> str:
+    """The blocks without the runs that begin at the places."""
     if not len(places):
-        return "\n".join(map(" ".join, own))
+        return "\n".join(blocks)
+    own = [t.split(" ") for t in blocks]
     ends = np.cumsum([len(t) for t in own])
-    covered = _cover(int(ends[-1]), places)
+    covered = _cover(int(ends[-1]), np.asarray(places, np.int64))
     kept = [" ".join(t for t, c in zip(tokens, covered[e - len(tokens) : e]) if not c) for tokens, e in zip(own, ends)]
     return "\n".join(filter(None, kept))
 
 
-def _extract(batches, hits_of):
+def _extract(batches, places_of):
+    """Texts of pages; ``places_of(batch, own)`` gives the places to remove from each page, of which own has zone and blocks."""
     import pyarrow as pa
 
     for whole in batches:
         for batch in slices_by_bytes(whole, "html", SLICE_BYTES):
-            texts = [_unique_text(page, hits) for page, hits in zip(batch.column("html").to_pylist(), hits_of(batch))]
+            own = list(map(_own_text, batch.column("html").to_pylist()))
+            texts = [_without(blocks, places) for (_, blocks), places in zip(own, places_of(batch, own))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -294,21 +301,25 @@ def _with_sent_runs(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     in_main = context.broadcast(chrome.value if in_main is None else _collected(in_main))  # a part of those sent
 
     def run(batches):
-        known, runs = TokenHashes(), {"open": sent.value, "main": in_main.value}
-
-        def hits(host):
-            def of(zone, blocks):
-                if not len(runs[zone]):
-                    return ()
-                found, at = [], 0
-                for tokens in blocks:
-                    found.append(at + np.nonzero(np.isin(runs_of(tokens, host, known), runs[zone]))[0])
-                    at += len(tokens)
-                return np.concatenate(found) if found else ()
-
-            return of
-
-        yield from _extract(batches, lambda batch: map(hits, batch.column("host_key").to_pylist()))
+        runs = {"open": sent.value, "main": in_main.value}
+
+        def places_of(batch, own):
+            found = [[] for _ in own]
+            for zone in ("open", "main"):
+                pages = [n for n, (z, blocks) in enumerate(own) if z == zone for _ in blocks]
+                if not len(runs[zone]) or not pages:
+                    continue
+                texts = [t for z, blocks in own if z == zone for t in blocks]
+                sizes = np.array([t.count(" ") + 1 for t in texts])
+                before, page = np.cumsum(sizes) - sizes, np.array(pages)
+                hashes, block, place = runs_of(texts, batch.column("host_key").to_numpy()[page])
+                hit = np.isin(hashes, runs[zone])
+                first = before[np.searchsorted(page, page)]  # where the page's first block begins
+                for n, at in zip(page[block[hit]].tolist(), (before[block[hit]] - first[block[hit]] + place[hit]).tolist()):
+                    found[n].append(at)
+            return found
+
+        yield from _extract(batches, places_of)
 
     return rows.mapInArrow(run, EXTRACTED)
 
@@ -321,12 +332,11 @@ def _with_joined_runs(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     places = main.unionByName(open_).groupBy("page_key").agg(*(F.collect_set(F.when(F.col("zone") == z, F.col("place"))).alias(z) for z in ("main", "open")))
 
     def run(batches):
-        def of(batch):
-            for main_, own in zip(batch.column("main").to_pylist(), batch.column("open").to_pylist()):
-                found = {"main": main_ or (), "open": own or ()}
-                yield lambda zone, blocks, found=found: np.array(found[zone], np.int64)
+        def places_of(batch, own):
+            columns = {z: batch.column(z).to_pylist() for z in ("main", "open")}
+            return [columns[zone][n] or () for n, (zone, _) in enumerate(own)]
 
-        yield from _extract(batches, of)
+        yield from _extract(batches, places_of)
 
     return rows.join(places, "page_key", "left").mapInArrow(run, EXTRACTED)
 

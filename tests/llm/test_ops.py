@@ -744,3 +744,62 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} == ids and all(r.round_trip for r in out)
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
     assert len(good & ids) <= 0.2 * max(1, len(good))
+
+
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, grp string, set_key string"
+
+
+def odd_documents(spark):
+    rng = random.Random(31)
+    prose = sentence(rng, 80)
+    texts = [(1, None), (2, ""), (3, " \t\n"), (4, prose), (5, prose), (5, prose), (None, prose), (None, None), (6, sentence(rng, 25000, 90000)), (7, "x" * 300_000), (8, "a " * 30_000)]
+    return spark.createDataFrame([(i, t, None if n % 3 else "en", None if n % 2 else "s", None, 0.5, False, "g", "k") for n, (i, t) in enumerate(texts)], ODD_SCHEMA)
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_of_odd_rows(spark, number):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[number]
+    docs = odd_documents(spark)
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if number < 4:
+        assert out.columns == docs.columns and len(rows) <= docs.count()
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+    else:
+        assert len(rows) == docs.count() and all(r.round_trip for r in rows)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_odd_documents_in_every_operator(spark):
+    docs = odd_documents(spark)
+    many = docs.count()
+    assert sharding.shard_documents(docs, 3).count() == many
+    assert near_dup.near_duplicates(docs).count() == many
+    assert katz.score_texts(docs).count() == many
+    assert quality_rules.judge(docs).count() == many
+    assert len({(r.doc_id, r.text_lang) for r in language_id.identify(docs, spark.createDataFrame([], "page_id long, url string, html string")).collect()}) > 1
+
+
+def test_repeated_labelled_ids_train_one_text(spark):
+    docs = documents(spark, [(3, "b good words"), (3, "a good words"), (4, "### $$$"), (4, None)])
+    labels = spark.createDataFrame([(3, 1), (3, 1), (4, 0), (9, None)], "doc_id long, quality int")
+    scores = [sorted((r.doc_id, r.score) for r in byte_cnn.score_documents(docs, byte_cnn.train(docs.repartition(n), labels)).collect()) for n in (1, 4)]
+    assert scores[0] == scores[1] and len(scores[0]) == 4
+
+
+def test_equal_addresses_and_repeated_pages(spark):
+    line = "all the very same words stand in this line of text"
+    page = f"<body><p>{line}</p><p>own {{}} words here</p></body>"
+    rows = [(1, "http://a.b/x", page.format(1)), (1, "http://a.b/x", page.format(1)), (2, "http://a.b/x", page.format(2)), (3, None, page.format(3)), (4, "http://c.d/", "<p>" + "long " * 60_000)]
+    found = sorted((r.page_id, r.text) for r in html_main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert found[:4] == [(1, "own 1 words here"), (1, "own 1 words here"), (2, "own 2 words here"), (3, f"{line}\nown 3 words here")] and len(found[4][1]) == 299_999
+
+
+def test_ties_of_windows_take_the_first(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    docs = documents(spark, [(1, f"{item} between {item}"), (1, f"{item} between {item}"), (2, None)])
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontaminate.leaks(docs, bench).collect()) == [(1, 1, 0, 1.0), (1, 2, 0, 1.0)]
+
