@@ -9,7 +9,7 @@ balanced tree of bins. For a given number of shards the least capacity at which
 is sought by bisection; for a given capacity the bins used are minimised greedily.
 
 Defined results: a null text has no bytes, counts as the empty text and shares its group; rows that
-repeat a doc_id stay separate rows; a group larger than a mean shard gets a shard of its own; an
+repeat a doc_id, and rows without one, stay separate rows (in slot order by text where ids are equal); a group larger than a mean shard gets a shard of its own; an
 empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -209,9 +209,9 @@ def shard_documents(docs: DataFrame, n_shards: int | None = N_SHARDS, capacity:
         .join(F.broadcast(dealt_df), ["level", "parcel"], "left")
         .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "dealt_shard").alias("shard"))
     )
-    # Slots run through hash buckets of doc_id, so that no shard is numbered by a single task.
+    # Slots run through hash buckets of doc_id and text, so that no shard is numbered by a single task.
     buckets = max(64, min(1 << 16, rows // 100_000))
-    put = put.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    put = put.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
     counts = put.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
