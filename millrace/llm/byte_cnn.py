@@ -7,8 +7,8 @@ over the embedded places; each is max-pooled over its chunk, and the chunks' max
 document by maximum and mean. A logistic layer combines them into one probability.
 
 Training: stochastic gradient descent (Adam) on at most ``SAMPLE_EACH`` labelled documents of each
-class, those with the least hash of doc_id among the rows whose crc32(doc_id as text) mod 5 is not 0, each of which
-gives at most ``SAMPLE_BYTES`` of whole chunks to training (scores always see whole texts).
+class, those with the least hash of doc_id among the rows whose crc32(doc_id as text) mod 5 is not 0 and whose text has at most
+``SAMPLE_BYTES`` bytes, so that what the driver gathers is bounded; they train whole, as whole texts of any length are scored.
 Every batch has as many of either class, so a score is the probability under even classes.
 Nothing but text is an input of a score.
 
@@ -33,7 +33,7 @@ CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, EMBED, FILTERS = 8, 3, 6, 16
 STEPS, BATCH, RATE = 300, 32, 0.01
 GRAM, AGES = 6, 16
-SAMPLE_BYTES = 1 << 17
+SAMPLE_BYTES = 1 << 16
 
 
 def ages_of(data: np.ndarray) -> np.ndarray:
@@ -117,7 +117,7 @@ class ByteCNN:
         if not len(labels) or labels.min() == labels.max():
             self.constant = float(share)
             return self
-        parts = [chunks_of(t)[: SAMPLE_BYTES // CHUNK] for t in texts]
+        parts = [chunks_of(t) for t in texts]
         rng = np.random.default_rng(11)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
         classes = [np.nonzero(labels == k)[0] for k in (0, 1)]
@@ -174,10 +174,12 @@ def fold(doc_id, folds: int):
 
 def train(docs: DataFrame, labels: DataFrame) -> ByteCNN:
     """Fits the network on a bounded sample of the labelled documents outside the held-out fold."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
     known = (
         labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+        .join(texts.select("doc_id"), "doc_id", "left_semi")
     )
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
@@ -186,9 +188,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ByteCNN:
         return ByteCNN().fit([], np.zeros(0), share)
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for k in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * SAMPLE_EACH rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    rows = texts.join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return ByteCNN().fit([(r.text or "").encode() for r in rows], np.array([r.label for r in rows], np.float32), share)
+    return ByteCNN().fit([r.text.encode() for r in rows], np.array([r.label for r in rows], np.float32), share)
 
 
 def score_documents(docs: DataFrame, model: ByteCNN) -> DataFrame:
