@@ -75,10 +75,16 @@ def near_blocks(fp: Column) -> Column:
 
 
 def tagged_shingles(w: Column) -> Column:
-    """Shingles numbered by occurrence, so that set operations count multiplicities."""
+    """Shingles of which further copies are numbered, so that set operations count multiplicities. Costs no more than sorting where few repeat."""
     n = F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))
     shingles = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, F.lit(SHINGLE)), " "))
-    return bind(shingles, lambda s: F.transform(s, lambda x, i: F.concat_ws(" #", x, F.size(F.filter(F.slice(s, F.lit(1), i), lambda y: y == x)))))
+    copies = lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1))  # noqa: E731  (of a sorted list)
+    numbered = lambda d: F.transform(d, lambda x, i: F.concat_ws(" #", x, i - F.array_position(d, x) + 3))
+
+    def tagged(s: Column) -> Column:
+        return F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(F.concat(F.array_distinct(s), bind(bind(F.sort_array(s), copies), numbered)))
+
+    return bind(shingles, tagged)
 
 
 def grams_of(w: Column, gram: int) -> Column:
