@@ -75,7 +75,6 @@ def uncertain_documents(t):
     return d.where(unsure & (F.col("n_chars") > 0) & ~F.col("source").startswith("src1")).orderBy("doc_id").limit(100).select("doc_id")
 
 
-CAPABILITIES = "(VALUES ('generate', 'knowledge'), ('generate', 'mixed'), ('syllabus', 'specification'), ('syllabus', 'mixed'), ('exemplar', 'evidence'), ('exemplar', 'mixed')) AS cap(capability, role)"
 ROLE_SQL = "CASE WHEN doc_id % 5 = 0 THEN 'specification' WHEN doc_id % 5 = 1 THEN 'evidence' WHEN doc_id % 5 = 2 THEN 'mixed' ELSE 'knowledge' END"
 
 
@@ -90,13 +89,6 @@ def knowledge_guard(t):
     return d.where((F.col("quality") == 1) & F.col("role").isin("knowledge", "mixed") & F.col("s").isin(0, 1)).select("doc_id")
 
 
-@query("flt_04", f"SELECT capability, count(*) AS n FROM (SELECT {ROLE_SQL} AS role FROM documents) d JOIN {CAPABILITIES} ON d.role = cap.role GROUP BY 1")
-def capability_matrix(t):
-    rows = [("generate", "knowledge"), ("generate", "mixed"), ("syllabus", "specification"), ("syllabus", "mixed"), ("exemplar", "evidence"), ("exemplar", "mixed")]
-    matrix = F.broadcast(t.spark.createDataFrame(rows, "capability string, role string"))
-    return t.documents.select(_role().alias("role")).join(matrix, "role").groupBy("capability").agg(F.count("*").alias("n"))
-
-
 @query("flt_25", """SELECT user_id FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 3
 GROUP BY 1 HAVING count(*) = 3 AND bool_and(event_type IN ('error', 'view'))""")
 def poisoned(t):

@@ -23,12 +23,6 @@ query = catalog.query
 ERROR_CLASSES = (("auth", r"401|403|unauthori[sz]ed|invalid.*key"), ("rate_limit", r"429|rate.?limit|quota"), ("transient", r"5\d\d|timeout|reset|unavailable"))
 
 
-@query("flt_21", r"SELECT page_id, coalesce(nullif(regexp_extract(url || ' ' || (2020 + page_id % 9), '\b(20[0-9]{2})\b', 1), '')::INT >= 2024, true) AS kept FROM pages")
-def inventory_year(t):
-    year = F.regexp_extract(F.concat_ws(" ", "url", (F.col("page_id") % 9 + 2020).cast("string")), r"(?:(?<![A-Za-z0-9_]))(20[0-9]{2})(?![A-Za-z0-9_])", 1)
-    return t.pages.select("page_id", F.coalesce(year.try_cast("int") >= 2024, F.lit(True)).alias("kept"))
-
-
 @query("flt_23", r"SELECT conv_id, turn, len(regexp_extract_all(text || ' https://a.b/edital.pdf.', 'https?://[^\s]+')) AS links, regexp_matches(text, '(?i)the ') AS talk FROM conversations")
 def posts(t):
     return t.conversations.select("conv_id", "turn", F.regexp_count(F.concat("text", F.lit(" https://a.b/edital.pdf.")), F.lit(r"https?://[^\s]+")).cast("long").alias("links"), F.regexp_like("text", F.lit("(?i)the ")).alias("talk"))
@@ -69,25 +63,12 @@ def greedy_pairs(t):
     return Q.match_greedily(pairs, "o_custkey", "o_orderkey", "old", "score", "o_orderkey")
 
 
-@query("cf_08", f"SELECT page_id, CASE WHEN regexp_matches({TITLE}, '(?i)oab|exame de ordem') THEN 'oab' WHEN regexp_matches({TITLE}, '(?i)the ') THEN 'concurso' WHEN regexp_matches(url, 'vestibular|/fr/') THEN 'vestibular' ELSE 'other' END AS kind FROM pages")
-def exam_kind(t):
-    title = P.title_of(F.col("html"))
-    like = lambda c, p: F.regexp_like(c, F.lit(p))
-    return t.pages.select("page_id", F.when(like(title, "(?i)oab|exame de ordem"), "oab").when(like(title, "(?i)the "), "concurso").when(like(F.col("url"), "vestibular|/fr/"), "vestibular").otherwise("other").alias("kind"))
-
-
 @query("mp_05", "SELECT l_orderkey, l_linenumber, p_partkey, 0.85::DOUBLE AS score FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND p_brand = 'Brand#11'")
 def topic_hint(t):
     hinted = t.lineitem.where("l_linenumber = 1").join(t.part.where("p_brand = 'Brand#11'"), F.col("p_partkey") == F.col("l_partkey"))
     return hinted.select("l_orderkey", "l_linenumber", "p_partkey", F.lit(0.85).alias("score"))
 
 
-@query("lc_06", "SELECT o_orderkey, try_strptime(t, '%d/%m/%Y')::DATE AS day FROM (SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS t FROM orders)")
-def parsed_dates(t):
-    text = F.concat(F.lit("até "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" às 18h"))
-    return t.orders.select("o_orderkey", Q.local_date(text).alias("day"))
-
-
 @query("va_01", "SELECT event_id, greatest(0.0, least(1.0, round(value / 100, 6)))::DOUBLE AS score, CASE WHEN event_id % 3 = 0 THEN NULL ELSE greatest(0.0, least(1.0, round(value / 50 - 1, 6))) END::DOUBLE AS relevance FROM events")
 def judge_reply(t):
     reply = F.to_json(F.struct(F.round(F.col("value") / 100, 6).alias("score"), F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") / 50 - 1, 6)).alias("relevance")))

@@ -176,41 +176,6 @@ def output_policies(t):
     return t.pages.select("page_id", P.blocked_by(text).alias("policy"))
 
 
-SIGNALS = f"(SELECT page_id, regexp_matches({HOST}, 'example\\.org$')::INT AS official, regexp_matches({TITLE}, '(?i)tion')::INT AS banca, regexp_matches({TITLE}, '(?i)the')::INT AS lang, (page_id % 2) AS robots, (page_id % 11) / 10.0 AS yield, least(1, page_id % 3) AS observed FROM pages)"
-
-
-@query("cf_09", f"""SELECT page_id, round(score, 6)::DOUBLE AS score, CASE WHEN round(score, 9) >= 0.85 AND (official = 1 OR banca = 1) THEN 'auto_activate' WHEN round(score, 9) >= 0.6 THEN 'quarantine' ELSE 'observe' END AS decision
-FROM (SELECT *, least(1.0, official * 0.6 + banca * 0.55 + lang * 0.1 + robots * 0.1 + yield * 0.15 + observed * 0.05) AS score FROM {SIGNALS})""")
-def source_score(t):
-    host, title, k = host_of(F.col("url")), P.title_of(F.col("html")), F.col("page_id")
-    like = lambda c, p: F.regexp_like(c, F.lit(p)).cast("int")
-    rows = t.pages.select("page_id", like(host, r"example\.org$").alias("official"), like(title, "(?i)tion").alias("banca"), like(title, "(?i)the").alias("lang"))
-    score = F.least(F.lit(1.0), F.col("official") * 0.6 + F.col("banca") * 0.55 + F.col("lang") * 0.1 + (k % 2) * 0.1 + (k % 11) / 10.0 * 0.15 + F.least(F.lit(1), k % 3) * 0.05)
-    known = (F.col("official") == 1) | (F.col("banca") == 1)
-    band = F.when((F.round(score, 9) >= 0.85) & known, "auto_activate").when(F.round(score, 9) >= 0.6, "quarantine").otherwise("observe")
-    return rows.select("page_id", F.round(score, 6).alias("score"), band.alias("decision"))
-
-
-AUTHORITY = f"greatest(0.0, least(1.0, CASE page_id % 3 WHEN 0 THEN 0.7 WHEN 1 THEN 0.5 ELSE 0.3 END + CASE WHEN {HOST} LIKE '%.org' THEN 0.15 WHEN {HOST} LIKE '%.net' THEN 0.05 ELSE 0 END))"
-
-
-def _authority():
-    three, host = F.col("page_id") % 3, host_of(F.col("url"))
-    base = F.when(three == 0, 0.7).when(three == 1, 0.5).otherwise(0.3)
-    return P.clamp01(base + F.when(host.endswith(".org"), 0.15).when(host.endswith(".net"), 0.05).otherwise(0.0))
-
-
-@query("rk_01", f"SELECT page_id, round({AUTHORITY}, 6)::DOUBLE AS authority FROM pages")
-def authority(t):
-    return t.pages.select("page_id", F.round(_authority(), 6).alias("authority"))
-
-
-@query("rk_02", f"SELECT page_id, round(0.35 * {AUTHORITY} + 0.25 * (page_id % 10) / 10.0 + 0.2 * (page_id % 7) / 7.0 + 0.1 * (page_id % 5) / 5.0 + 0.1, 5)::DOUBLE AS rank FROM pages")
-def page_rank(t):
-    k = F.col("page_id")
-    return t.pages.select("page_id", F.round(P.page_rank(_authority(), (k % 10) / 10.0, (k % 7) / 7.0, (k % 5) / 5.0, F.lit(1.0)), 5).alias("rank"))
-
-
 @query("rk_03", r"""SELECT doc_id, round(CASE WHEN regexp_matches(text, '(?m)^#{1,3}\s|^\d+(\.\d+)*\s') THEN 0.35 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)por exemplo|exemplo:') THEN 0.25 ELSE 0 END
 + CASE WHEN regexp_matches(text, '(^|\n)\s*[-*•]\s|(^|\n)\s*\d+[.)]\s') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)art\.\s*\d+') THEN 0.2 ELSE 0 END, 6)::DOUBLE AS structure FROM documents""")
 def structure(t):
@@ -230,12 +195,6 @@ def spa_shell(t):
     return t.pages.select("page_id", (F.regexp_like("html", F.lit('(?i)id="(root|app)"')) | (F.char_length(visible) < 2000)).alias("shell"))
 
 
-@query("ex_06", "SELECT page_id, CASE WHEN regexp_matches(url, '/en/') THEN 'specification' WHEN regexp_matches(url, '/fr/') THEN 'answers' WHEN regexp_matches(url, '/de/') THEN 'exam' ELSE 'other' END AS kind FROM pages")
-def kind_by_url(t):
-    u = F.col("url")
-    return t.pages.select("page_id", F.when(u.contains("/en/"), "specification").when(u.contains("/fr/"), "answers").when(u.contains("/de/"), "exam").otherwise("other").alias("kind"))
-
-
 @query("wn_24", "SELECT min(page_id) AS page_id, url FROM pages GROUP BY url")
 def artifact_insert(t):
     return T.first_by(t.pages, ["url"], [F.col("page_id")]).select("page_id", "url")
