@@ -6,50 +6,76 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import dedup_normalised, fnv1a32
+from millrace.functions.text import dedup_normalised
 
 PERMUTATIONS = 128
 #: Least share of equal minhashes of near duplicates.
 NEAR = 0.85
 
 
-def shingles5(text: Column) -> Column:
-    """Runs of five characters of the normalised text without spaces; a shorter text is one."""
-    x = F.replace(dedup_normalised(text), F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - 4, F.lit(1))), lambda i: F.substring(x, i, F.lit(5)))
-    return F.when(x == "", F.array().cast("array<string>")).when(F.char_length(x) <= 5, F.array(x)).otherwise(grams)
+#: Grams whose bits are counted at a time.
+COUNTED_GRAMS = 1 << 16
+#: Blocks that a 64-bit print is cut into for pairs within a few bits.
+BLOCKS = 6
 
 
-def hash64_parts(gram: Column) -> tuple[Column, Column]:
-    """High and low 32 bits of the 64-bit gram hash."""
-    return fnv1a32(F.concat(F.lit(":"), gram, F.lit(":"))), fnv1a32(gram)
+def _fnv_rows(codes: np.ndarray, start: np.ndarray | int = 2166136261) -> np.ndarray:
+    """FNV-1a of each row of code units."""
+    h = np.full(len(codes), start, np.uint64)
+    for at in range(codes.shape[1]):
+        h = ((h ^ codes[:, at]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    return h
+
+
+def simhash(plain: str) -> int:
+    """The 64-bit SimHash of runs of five code units (a shorter text is one run); 0 for an empty text. A bit is set if more runs have it than not."""
+    units = np.frombuffer(plain.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
+    if not len(units):
+        return 0
+    size = min(5, len(units))
+    colon = np.uint64(ord(":"))
+    votes = np.zeros(64, np.int64)
+    total = len(units) - size + 1
+    for at in range(0, total, COUNTED_GRAMS):
+        grams = np.lib.stride_tricks.sliding_window_view(units[at : at + COUNTED_GRAMS + size - 1], size)
+        fence = np.full((len(grams), 1), colon)
+        high = _fnv_rows(np.hstack([fence, grams, fence]))
+        both = (high << np.uint64(32)) | _fnv_rows(grams)
+        votes += np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > total, bitorder="little").tobytes(), "little", signed=True)
 
 
 def simhash64(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, simhash): bit set if more grams have it than not. Sums run as grouped aggregates over exploded grams."""
-    grams = rows.select(key, F.explode(shingles5(F.col(text))).alias("g")).groupBy(key, "g").agg(F.count("*").alias("n"))
-    high, low = hash64_parts(F.col("g"))
-    hashed = grams.select(key, "n", high.alias("hi"), low.alias("lo"))
-    votes = [F.sum(F.when(F.getbit(F.col("lo" if b < 32 else "hi"), F.lit(b % 32)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)]
-    summed = hashed.groupBy(key).agg(*votes)
-    out = F.lit(0).cast("long")
-    for b in range(64):
-        out = out.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return summed.select(key, out.alias("simhash"))
+    """(key, simhash) of the normalised texts without spaces; every text is read once, a run of its grams at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash(x or "") for x in batch.column(1).to_pylist()], pa.int64())], [key, "simhash"])
+
+    plain = rows.select(key, F.replace(dedup_normalised(F.col(text)), F.lit(" "), F.lit("")).alias("plain"))
+    return plain.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, simhash bigint")
 
 
 def simhash_pairs(prints: DataFrame, key: str, most: int = 3) -> DataFrame:
     """(key, other, bits): the first keys of prints within ``most`` bits of each other, and every further key of a print with its first (0 bits).
 
-    Prints that near are equal in one of most + 1 bands at least, which the join goes by.
+    A print is cut into six blocks. Prints that near agree in all but ``most`` blocks at least, so they meet under one choice of the others: with
+    three of six, 20 keys of some 32 bits, whose lists stay short however many prints there are.
     """
-    bands, width = most + 1, 64 // (most + 1)
+    from itertools import combinations
+
+    widths = [64 // BLOCKS + (b < 64 % BLOCKS) for b in range(BLOCKS)]
+    masks = [((1 << w) - 1) << sum(widths[:b]) for b, w in enumerate(widths)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = [signed(sum(masks[b] for b in c)) for c in combinations(range(BLOCKS), BLOCKS - most)]
     first = prints.groupBy("simhash").agg(F.min(key).alias("first"))
     members = prints.join(first, "simhash").where(F.col(key) != F.col("first")).select(F.col("first").alias(key), F.col(key).alias("other"), F.lit(0).alias("bits"))
-    banded = first.select(F.col("first").alias(key), "simhash", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(bands)])).alias("band", "value"))
-    other = banded.select(F.col(key).alias("other"), F.col("simhash").alias("theirs"), "band", "value")
+    banded = first.select(F.col("first").alias(key), "simhash", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m).cast("long")) for m in choices])).alias("choice", "value"))
+    other = banded.select(F.col(key).alias("other"), F.col("simhash").alias("theirs"), "choice", "value")
     bits = F.bit_count(F.col("simhash").bitwiseXOR(F.col("theirs"))).cast("int")
-    near = banded.join(other, ["band", "value"]).where(F.col(key) < F.col("other")).select(key, "other", bits.alias("bits")).where(F.col("bits") <= most)
+    near = banded.join(other, ["choice", "value"]).where(F.col(key) < F.col("other")).select(key, "other", bits.alias("bits")).where(F.col("bits") <= most)
     return near.distinct().unionByName(members)
 
 
@@ -115,3 +141,77 @@ def greedy_leaders(chunks: DataFrame) -> DataFrame:
     """(doc_id, ordinal, duplicate_of) of chunks; a document's chunks are one bounded group."""
     rows = chunks.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "content_hash", dedup_normalised(F.col("chunk")).alias("norm"))
     return rows.groupBy("doc_id").applyInPandas(_leaders, "doc_id long, ordinal long, duplicate_of long")
+
+
+# --- near-duplicate joins ----------------------------------------------------------------------------
+
+#: 20 bands of six minhashes: texts that differ in 19 of 128 (likeness 0.85 and more) or fewer agree in a band.
+BANDS, BAND_ROWS = 20, 6
+MOST_APART = int(PERMUTATIONS * (1 - NEAR))
+#: Texts that may share a band before the band is joined with another one.
+MOST_IN_BAND = 1000
+
+
+def _band_rows(key: str, kind):
+    """(key, band, value) of each signature; value is a 64-bit hash of the band's minhashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        factors = (np.arange(1, BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        for batch in batches:
+            signs = np.array(batch.column(1).to_pylist(), np.uint64).reshape(-1, PERMUTATIONS)[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)
+            h = np.zeros(signs.shape[:2], np.uint64)
+            for at in range(BAND_ROWS):
+                h = (h ^ signs[:, :, at]) * factors[at]
+                h ^= h >> np.uint64(29)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS, dtype=np.int32)), pa.array(h.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], [key, "bands"])
+
+    return run, f"{key} {kind}, bands array<bigint>"
+
+
+def minhash_classes(signatures: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, rep) of every text, and (rep, signature) of the first text of each signature."""
+    sealed = signatures.withColumn("seal", F.sha2(F.array_join("signature", ","), 256))
+    firsts = sealed.groupBy("seal").agg(F.min(key).alias("rep"), F.first("signature").alias("signature"))
+    return sealed.join(firsts.select("seal", "rep"), "seal").select(key, "rep"), firsts.select("rep", "signature")
+
+
+def minhash_pairs(reps: DataFrame, key: str = "rep", most: int = MOST_IN_BAND) -> DataFrame:
+    """(key, other, likeness) of all texts whose likeness is 0.85 or more, by an equi-join of bands and an exact count of equal minhashes.
+
+    Such texts differ in 19 minhashes at most, so of 20 bands they share one: no pair is missed. A band that over ``most``
+    texts share is joined with a further part of the signature: of the 128 - 6 minhashes outside it, cut into 20 parts, they share one too.
+    """
+    from millrace.workspace import materialize
+
+    run, schema = _band_rows(key, reps.schema[key].dataType.simpleString())
+    banded = materialize(reps.select(key, "signature").mapInArrow(run, schema).select(key, F.posexplode("bands").alias("band", "value")), "bands")
+    sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    placed = banded.join(materialize(sizes, "sizes"), ["band", "value"])
+    plain = placed.where(F.col("n") <= most).select(key, "band", "value", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("more"))
+    # the rest of a crowded band's signatures, in 20 parts: a pair differs in 19 places at most, so one part is equal
+    crowded = placed.where(F.col("n") > most).select(key, "band", "value").join(reps.select(key, "signature"), key)
+    rest = F.filter("signature", lambda _, i: (i < F.col("band") * BAND_ROWS) | (i >= (F.col("band") + 1) * BAND_ROWS))
+    borders = [p * (PERMUTATIONS - BAND_ROWS) // (MOST_APART + 1) for p in range(MOST_APART + 2)]
+    parts = F.array(*[F.xxhash64(F.array_join(F.slice("rest", a + 1, b - a), ",")) for a, b in zip(borders, borders[1:])])
+    crowded = crowded.withColumn("rest", rest).select(key, "band", "value", F.posexplode(parts).alias("part", "more"))
+    rows = plain.unionByName(crowded)
+    other = rows.withColumnRenamed(key, "other")
+    pairs = rows.join(other, ["band", "value", "part", "more"]).where(F.col(key) < F.col("other")).select(key, "other").distinct()
+    theirs = reps.select(F.col(key).alias("other"), F.col("signature").alias("theirs"))
+    likeness = minhash_likeness(F.col("signature"), F.col("theirs"))
+    return pairs.join(reps.select(key, "signature"), key).join(theirs, "other").select(key, "other", likeness.alias("likeness")).where(F.col("likeness") >= NEAR)
+
+
+def near_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, other, likeness): first texts of each signature that are near each other, and every further text with its first (likeness 1)."""
+    from millrace.workspace import materialize
+
+    signs = materialize(minhash_signatures(rows.select(key, dedup_normalised(F.col(text)).alias("norm")), key, "norm"), "signatures")
+    members, reps = minhash_classes(signs, key)
+    reps = materialize(reps, "reps")
+    pairs = minhash_pairs(reps).withColumnRenamed("rep", key)
+    same = members.where(F.col(key) != F.col("rep")).select(F.col("rep").alias(key), F.col(key).alias("other"), F.lit(1.0).alias("likeness"))
+    return pairs.unionByName(same)

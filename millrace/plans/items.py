@@ -10,6 +10,7 @@ from millrace.operators import items as I
 from millrace.operators import likeness as L
 from millrace.plans import Catalog
 from millrace.plans.curation import LINES, NORM
+from millrace.workspace import materialize
 
 catalog = Catalog()
 query = catalog.query
@@ -63,29 +64,43 @@ def session_budgets(t):
     return minutes.select("minutes", I.session_budget(F.col("minutes")).alias("b")).select("minutes", "b.least", "b.most")
 
 
-@query("dd_04", f"""WITH s AS (SELECT item_id, replace({NORM('text')}, ' ', '') AS x FROM benchmark), g AS (SELECT item_id, unnest(CASE WHEN length(x) <= 5 THEN [x] ELSE list_transform(generate_series(1, length(x) - 4), lambda i: substr(x, i, 5)) END) AS g FROM s WHERE regexp_matches(x, '^[a-z0-9]+$')),
+@query("dd_04", f"""WITH s AS (SELECT item_id, replace({NORM('text')}, ' ', '') AS x FROM benchmark), g AS (SELECT item_id, unnest(CASE WHEN length(x) <= 5 THEN [x] ELSE list_transform(generate_series(1, length(x) - 4), lambda i: substr(x, i, 5)) END) AS g FROM s),
 d AS (SELECT DISTINCT g FROM g), h AS (SELECT g, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS lo,
  list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(':' || g || ':', ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hi FROM d),
 v AS (SELECT item_id, b, sum(CASE WHEN ((CASE WHEN b < 32 THEN lo ELSE hi END) >> (b % 32)) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM g JOIN h USING (g), (SELECT unnest(generate_series(0, 63)) AS b) GROUP BY ALL)
 SELECT item_id, count(*) FILTER (v > 0) AS bits, string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY b DESC) AS simhash FROM v GROUP BY 1""")
 def simhashes(t):
-    plain = t.benchmark.where(F.regexp_like(F.replace(L.dedup_normalised(F.col("text")), F.lit(" "), F.lit("")), F.lit("^[a-z0-9]+$")))
-    prints = L.simhash64(plain, "item_id", "text")
+    prints = L.simhash64(t.benchmark, "item_id", "text")
     return prints.select("item_id", F.bit_count("simhash").cast("long").alias("bits"), F.lpad(F.bin("simhash"), 64, "0").alias("simhash"))
 
 
-@query("dd_04_pairs")
+BIT_SUMS = ", ".join(f"sum(CASE WHEN ({'lo' if b < 32 else 'hi'} >> {b % 32}) & 1 = 1 THEN 1 ELSE -1 END) AS b{b}" for b in range(64))
+PRINT = " | ".join(f"CASE WHEN b{b} > 0 THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+
+
+@query("dd_04_pairs", f"""WITH s AS (SELECT doc_id, replace({NORM('text')}, ' ', '') AS x FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN x = '' THEN [] WHEN length(x) <= 5 THEN [x] ELSE list_transform(generate_series(1, length(x) - 4), lambda i: substr(x, i, 5)) END) AS g FROM s),
+d AS (SELECT DISTINCT g FROM g), h AS (SELECT g, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS lo,
+ list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(':' || g || ':', ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hi FROM d),
+v AS (SELECT doc_id, {BIT_SUMS} FROM g JOIN h USING (g) GROUP BY 1), p AS (SELECT doc_id, coalesce({PRINT}, 0::UBIGINT) AS p FROM s LEFT JOIN v USING (doc_id)), f AS (SELECT p, min(doc_id) AS doc_id FROM p GROUP BY 1)
+SELECT a.doc_id, b.doc_id AS other, bit_count(xor(a.p, b.p))::INT AS bits FROM f a, f b WHERE a.doc_id < b.doc_id AND bit_count(xor(a.p, b.p)) <= 3
+UNION ALL SELECT f.doc_id, p.doc_id, 0 FROM p JOIN f USING (p) WHERE p.doc_id <> f.doc_id""")
 def simhash_near(t):
-    """All documents within three bits of each other: first documents of each print in pairs, and every other with the first of its print. Tested against all pairs."""
-    return L.simhash_pairs(L.simhash64(t.documents, "doc_id", "text"), "doc_id")
+    """All documents within three bits of each other: first documents of each print in pairs, and every other with the first of its print."""
+    return L.simhash_pairs(materialize(L.simhash64(t.documents, "doc_id", "text"), "prints"), "doc_id")
+
+
+@query("jn_15")
+def minhash_near(t):
+    """All documents of a likeness of 0.85 and more by 128 minhashes: first documents of each signature in pairs, and every other with the first of its signature. Tested against all pairs."""
+    return L.near_texts(t.documents, "doc_id", "text")
 
 
-@query("dd_05", f"""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split({NORM('text')}, ' '), lambda x: x <> '')) AS w FROM benchmark WHERE {NORM('text')} SIMILAR TO '[a-z0-9 ]+'), s AS (SELECT unnest(generate_series(0, 127)) AS seed),
+@query("dd_05", f"""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split({NORM('text')}, ' '), lambda x: x <> '')) AS w FROM benchmark), s AS (SELECT unnest(generate_series(0, 127)) AS seed),
 h AS (SELECT item_id, seed, min(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(seed || ':' || x, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS h FROM (SELECT item_id, unnest(w) AS x FROM w), s GROUP BY ALL)
 SELECT a.item_id, b.item_id AS other, count(*) FILTER (a.h = b.h) / 128 AS likeness FROM h a JOIN h b ON b.seed = a.seed AND b.item_id = a.item_id + 1 GROUP BY ALL""")
 def minhash_estimates(t):
     """Estimated likeness of each benchmark item to the next, from 128 minhashes of words."""
-    plain = t.benchmark.select("item_id", L.dedup_normalised(F.col("text")).alias("norm")).where(F.regexp_like("norm", F.lit("^[a-z0-9 ]+$")))
+    plain = t.benchmark.select("item_id", L.dedup_normalised(F.col("text")).alias("norm"))
     signs = L.minhash_signatures(plain, "item_id", "norm")
     other = signs.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("signature").alias("theirs"))
     return signs.join(other, "item_id").select("item_id", "other", L.minhash_likeness(F.col("signature"), F.col("theirs")).alias("likeness"))

@@ -6,9 +6,9 @@ FLAGSHIP = "chunk_eligibility_by_source"
 
 
 def _catalogs():
-    from millrace.plans import aggregates, curation, exams, items, joins, more, roles, rules, sites, states, web
+    from millrace.plans import aggregates, booklets, curation, exams, items, joins, more, roles, rules, sites, states, syllabus, web
 
-    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules, exams, sites)]
+    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules, exams, sites, syllabus, booklets)]
 
 
 def queries() -> dict:

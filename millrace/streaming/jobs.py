@@ -73,3 +73,86 @@ def watchdog(events: DataFrame, threshold: int = 3) -> DataFrame:
 
     rows = events.select("user_id", "event_id", "event_type", "at")
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, alert string, failures long", "healthy boolean, failures long", "append", GroupStateTimeout.NoTimeout)
+
+
+def distance_within(a: str, b: str, most: int) -> bool:
+    """Whether two texts are at most ``most`` edits apart; only cells near the diagonal are computed."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    beyond = most + 1
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        low, high = max(1, i - most), min(len(b), i + most)
+        row = [beyond] * (len(b) + 1)
+        row[0] = i if i <= most else beyond
+        least = row[0]
+        for j in range(low, high + 1):
+            row[j] = min(last[j - 1] + (x != b[j - 1]), last[j] + 1, row[j - 1] + 1)
+            least = min(least, row[j])
+        if least > most:
+            return False
+        last = row
+    return last[-1] <= most
+
+
+def words_alike(ours: list[str], theirs: list[str], least: int) -> bool:
+    """Whether the token-set ratio of two sorted word sets (rounded per cent) is at least ``least``: the best Levenshtein ratio among shared words and either side's whole set."""
+    if not ours or not theirs:
+        return not ours and not theirs
+    other = set(theirs)
+    shared = [w for w in ours if w in other]
+    own = set(shared)
+    texts = [" ".join(shared), " ".join(shared + [w for w in ours if w not in own]), " ".join(shared + [w for w in theirs if w not in own])]
+
+    def alike(p: str, q: str) -> bool:
+        longest = max(len(p), len(q))
+        if p == q:
+            return True
+        if not p or not q:
+            return False
+        # floor(100 * (longest - d) / longest + 0.5) >= least
+        most = int(longest * (100.5 - least) / 100)
+        while most >= 0 and int((longest - most) / longest * 100 + 0.5) < least:
+            most -= 1
+        return most >= 0 and distance_within(p, q, most)
+
+    return alike(texts[0], texts[1]) or alike(texts[0], texts[2]) or alike(texts[1], texts[2])
+
+
+def pass_decisions(items: DataFrame, least: int = 85) -> DataFrame:
+    """(leaf, item, duplicate_of) of items (leaf, place, item, stem), in the order of place: an item whose stem is like one that
+    its leaf has published before, in this micro-batch or any earlier one, is a duplicate of the first such; the others are published and join what later items are compared with.
+
+    State is the published stems of a leaf. Items must not come in a later micro-batch than ones of a later place.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        import re
+
+        import pandas as pd
+
+        published = [(i, w.split(" ") if w else []) for i, w in zip(*state.get)] if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["place", "item"])
+        out = []
+        for item, stem in zip(rows["item"], rows["stem"]):
+            words = sorted(set(re.sub(r"[^\w\s]|_", " ", (stem or "").lower()).split()))
+            near = next((i for i, w in published if words_alike(words, w, least)), None)
+            if near is None:
+                published.append((int(item), words))
+            out.append((key[0], item, near))
+        state.update(([i for i, _ in published], [" ".join(w) for _, w in published]))
+        yield pd.DataFrame(out, columns=["leaf", "item", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+
+    rows = items.select("leaf", "place", "item", "stem")
+    return rows.groupBy("leaf").applyInPandasWithState(step, "leaf string, item long, duplicate_of long", "items array<bigint>, stems array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder as a stream."""
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8)
+    if rows.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(path)
