@@ -1,14 +1,11 @@
 """Spelling variants: words one edit apart, found by a positional q-gram inverted index with a count filter.
 
 Two words one edit apart, the longer of L letters, share at least L - 3 of their pairs of neighbouring letters (grams), each
-at the same place or one further on. So they share one of the three rarest grams of each: a word is
-posted under its three rarest grams with place and length, and visits the lists of words one letter longer at its own places and the
-next. Each list is worked on by itself: its words are indexed by all their grams, the postings of a word's grams are
-merged by a heap under the limits of length and place, words that come up often enough are verified letter by letter,
-and a pair is kept in the first list that holds it. Lists over ``MOST_WORDS`` words are cut into blocks that all their
-words visit, so a task never holds more and no pair is lost.
-
-The order of grams is the one table that is broadcast: pairs of 90 letters, 8,100 at most.
+at the same place or one further on; and one half of the longer word (its first L / 2 letters, or its last) is whole in both. So words
+are dealt by length, half and place: a word stands in two lists of its own length and visits two of words one letter longer. Each list is
+worked on by itself: its words are indexed by the grams outside the shared half, a word's postings are merged by a heap
+under the limits of length and place, and words that come up often enough for the bound are verified letter by letter. Lists
+over ``MOST_WORDS`` words are cut into blocks that all their words visit, so a task never holds more and no pair is lost.
 
 Defined results: a null text has no runs; a null doc_id counts as the empty string; rows count as often as they are repeated;
 an empty table gives no rows; other columns of the input are ignored; texts of any length are read in pieces cut between runs.
@@ -20,7 +17,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 from heapq import merge
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +28,6 @@ RUN, BETWEEN = re.compile("[A-Za-zÀ-ÿ]+"), re.compile("[^A-Za-zÀ-ÿ]")
 PIECE = 1 << 20
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 EDIT_EVERY = 97
-RAREST = 3
 #: Distinct words that a task counts before it passes them on.
 HELD_WORDS = 150_000
 MOST_WORDS = 4000
@@ -82,14 +77,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.where(F.col("n") >= LEAST_COUNT)
 
 
-def grams(word: str) -> list[tuple[str, int]]:
-    return [(word[k : k + 2], k) for k in range(len(word) - 1)]
-
-
-def rarest(word: str, rank: dict[str, int]) -> list[tuple[str, int]]:
-    return sorted(grams(word), key=lambda g: (rank[g[0]], g[1]))[:RAREST]
-
-
 def one_edit(short: str, long: str) -> bool:
     """Whether exactly one letter is inserted into, or replaced in, the shorter (or equally long) word."""
     at = next((k for k, (a, b) in enumerate(zip(short, long)) if a != b), len(short))
@@ -98,74 +85,87 @@ def one_edit(short: str, long: str) -> bool:
     return short[at:] == long[at + 1 :]
 
 
-def _postings(batches: Iterator, rank) -> Iterator:
+FIRST, LAST = 0, 1
+
+
+def halves(word: str, length: int) -> tuple[str, str]:
+    """The letters that a word of ``length`` one edit away may have whole: those of its first half, and of its second."""
+    return word[: length // 2], word[length // 2 - length :]
+
+
+def _postings(batches: Iterator) -> Iterator:
     """A row for each list a word stands in (own) or visits."""
     import pyarrow as pa
 
-    order = rank.value
     for batch in batches:
         rows = []
         for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            for gram, at in rarest(word, order):
-                rows.append((gram, at, len(word), True, word, n))
-                rows.append((gram, at, len(word) + 1, False, word, n))
-                rows.append((gram, at + 1, len(word) + 1, False, word, n))
-        kinds = [("gram", pa.string()), ("at", pa.int32()), ("length", pa.int32()), ("own", pa.bool_()), ("word", pa.string()), ("n", pa.int64())]
+            for length in (len(word), len(word) + 1):
+                rows += [(half, length, side, length == len(word), word, n) for side, half in enumerate(halves(word, length))]
+        kinds = [("half", pa.string()), ("length", pa.int32()), ("side", pa.int32()), ("own", pa.bool_()), ("word", pa.string()), ("n", pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
 
 class _List:
-    """One list (or block of one): its words, indexed by gram and place."""
-
-    def __init__(self, key: tuple, rank: dict[str, int]):
-        self.key, self.rank, self.words, self.counts, self.index = key, rank, [], [], {}
-        self.first: dict[str, list] = {}
+    """One list (or block of one): its words, indexed by the grams outside the half that all share, and by place."""
+
+    def __init__(self, key: tuple):
+        self.key, self.words, self.counts = key, [], []
+        self.index: dict[tuple[str, int], list[int]] = {}
+        _, length, self.side, _ = key
+        self.border = length // 2
+        # of the L - 3 grams that near words share, those inside the half are here already
+        self.least = length - 2 - self.border if self.side == FIRST else self.border - 2
+
+    def _grams(self, word: str) -> list[tuple[str, int]]:
+        """The grams that are not inside the shared half."""
+        length = self.key[1]
+        places = range(self.border - 1, len(word) - 1) if self.side == FIRST else range(self.border - (length - len(word)))
+        return [(word[k : k + 2], k) for k in places]
 
     def add(self, word: str, n: int) -> None:
-        for g in grams(word):
+        for g in self._grams(word):
             self.index.setdefault(g, []).append(len(self.words))
         self.words.append(word)
         self.counts.append(n)
 
-    def _rarest(self, word: str) -> list[tuple[str, int]]:
-        found = self.first.get(word)
-        if found is None:
-            found = self.first[word] = rarest(word, self.rank)
-        return found
-
-    def _is_first(self, asked: str, word: str) -> bool:
-        """Whether this list is the first that the two words meet in."""
-        shifts = (0, 1) if len(asked) < len(word) else (0,)
-        ours = {(g, at + s) for g, at in self._rarest(asked) for s in shifts}
-        return next(g for g in self._rarest(word) if g in ours) == self.key[:2]
-
-    def near(self, asked: str) -> Iterator[int]:
-        """Places of words one edit from the word that is asked for."""
-        gram, at, length = self.key[:3]
-        shifts = (0, 1) if len(asked) < length else (0,)
-        postings = [p for g, k in grams(asked) for s in shifts if (k + s != at or g != gram) and (p := self.index.get((g, k + s)))]
-        least = length - 4  # of the L - 3 shared grams this list's own is one
-        if len(postings) < least:
+    def _often(self, asked: str) -> Iterator[int]:
+        """Places of words that share grams enough with the one that is asked for."""
+        if self.least <= 0:
+            yield from range(len(self.words))
+            return
+        found, index = self._grams(asked), self.index
+        if len(asked) < self.key[1]:
+            found += [(g, k + 1) for g, k in found]
+        postings = [index[g] for g in found if g in index]
+        if len(postings) < self.least:
             return
         last, seen = -1, 0
-        for place in merge(*postings):
+        for place in merge(*postings) if len(postings) > 1 else postings[0]:
             seen = seen + 1 if place == last else 1
             last = place
-            if seen == least and one_edit(asked, self.words[place]) and self._is_first(asked, self.words[place]):
+            if seen == self.least:
+                yield place
+
+    def near(self, asked: str) -> Iterator[int]:
+        """Places of words one edit from the word that is asked for; a pair that shares both halves counts in the list of the first."""
+        for place in self._often(asked):
+            word = self.words[place]
+            if one_edit(asked, word) and (self.side == FIRST or not word.startswith(asked[: self.border])):
                 yield place
 
 
-def _pairs(batches: Iterator, rank) -> Iterator:
+def _pairs(batches: Iterator) -> Iterator:
     """From postings sorted by list and block, own words first: pairs one edit apart."""
     import pyarrow as pa
 
-    order, held = rank.value, None
+    held = None
     for batch in batches:
         out = []
-        for gram, at, length, block, own, word, n, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key = (gram, at, length, block)
+        for half, length, side, block, own, word, n, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = (half, length, side, block)
             if held is None or held.key != key:
-                held = _List(key, order)
+                held = _List(key)
             # an own word is paired with those before it; one of another block would find each pair twice
             guest = home and not own
             out += [(word, n, held.words[k], held.counts[k]) for k in held.near(word) if not guest or word < held.words[k]]
@@ -177,13 +177,8 @@ def _pairs(batches: Iterator, rank) -> Iterator:
 
 def near_pairs(words: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """a, a_n, b, b_n: every pair of words (word, n) that is one edit apart, once."""
-    spark = words.sparkSession
-    # at most 8,100 rows: pairs of the 90 letters that words are made of
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda k: F.substring(F.col("word"), k, F.lit(2))))
-    seen = words.select(pair.alias("gram")).groupBy("gram").count().orderBy("count", "gram").collect()
-    rank = spark.sparkContext.broadcast({r.gram: k for k, r in enumerate(seen)})
-    postings = materialize(words.mapInArrow(partial(_postings, rank=rank), "gram string, at int, length int, own boolean, word string, n long"), "postings")
-    key = ["gram", "at", "length"]
+    postings = materialize(words.mapInArrow(_postings, "half string, length int, side int, own boolean, word string, n long"), "postings")
+    key = ["half", "length", "side"]
     sizes = postings.where("own").groupBy(*key).count().where(F.col("count") > most_words)
     large = sizes.select(*key, F.ceil(F.col("count") / most_words).cast("int").alias("blocks"))
     dealt = postings.join(materialize(large, "large"), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -192,7 +187,7 @@ def near_pairs(words: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     # an own word stands in its home block and visits the others
     dealt = dealt.select(*key, "block", (F.col("own") & (F.col("home") == F.col("block"))).alias("own"), "word", "n", F.col("home").isNotNull().alias("home"))
     order = [*key, "block", F.col("own").desc(), "word"]
-    return dealt.repartition(*key, "block").sortWithinPartitions(*order).mapInArrow(partial(_pairs, rank=rank), "a string, a_n long, b string, b_n long")
+    return dealt.repartition(*key, "block").sortWithinPartitions(*order).mapInArrow(_pairs, "a string, a_n long, b string, b_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
