@@ -37,15 +37,6 @@ def heading_paths(t):
     return listed.select("doc_id", F.posexplode(Q.heading_paths(F.col("h"))).alias("heading", "path")).select("doc_id", F.col("heading").cast("long").alias("heading"), "path")
 
 
-@query("src_06", f"""WITH l AS (SELECT *, coalesce(NOT regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY pos), '\\.\\s*$'), false) AS goes FROM {LINES}), b AS (SELECT *, sum((NOT goes)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM l)
-SELECT doc_id, block::BIGINT AS block, sha256(string_agg(line, ' ' ORDER BY pos)) AS digest, count(*) AS lines FROM b GROUP BY ALL""")
-def wrapped_lines(t):
-    lines = C.lines_of(t.documents)
-    before = F.lag("line").over(W.partitionBy("doc_id").orderBy("pos"))
-    marked = lines.withColumn("goes", F.coalesce(~F.regexp_like(before, F.lit(r"\.\s*$")), F.lit(False)))
-    return Q.join_wrapped_lines(marked, "doc_id", "pos", "line", F.col("goes")).select("doc_id", "block", F.sha2("text", 256).alias("digest"), "lines")
-
-
 @query("dd_10")
 def distinct_positions(t):
     """Part names of each brand that are near none kept before. Tested against a plain loop."""
