@@ -172,9 +172,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("start_word"), "b.n_words", (-F.col("b.h")).alias("hamming"), "b.similarity")
 
 
+#: Name of a column that no table of documents has.
+TEXT_KEY = "__text_key"
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose text holds no benchmark item. Each row is judged by its own text, whether its doc_id is null, repeated or neither; of texts 64-bit hashes are compared."""
+    keyed = docs.withColumn(TEXT_KEY, F.xxhash64("text"))
+    found = leaks(keyed.select(F.col(TEXT_KEY).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(TEXT_KEY)).distinct()
+    return keyed.join(found, TEXT_KEY, "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

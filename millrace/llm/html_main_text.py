@@ -44,7 +44,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute after another, from the left: its whole name, then its value if it has one.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Fixed element names.
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas math audio video".split())
 FOREIGN = frozenset("svg math".split())
@@ -69,6 +70,11 @@ FIRST_WORDS = frozenset(
 #: Fixed words of names that tell of chrome elsewhere: in front ("no-sidebar") and behind ("menu-open").
 TELLING = frozenset("no not non with without has have is hide hides show shows".split())
 STATES = frozenset("open opened closed enabled disabled active visible free on off left right content page body layout main wrapper container".split())
+#: Fixed words that are also used of what an article shows: they mark chrome alone, or behind a word for a part of the site.
+SHARED_WORDS = frozenset("menu banner notice alert".split())
+SITE_WORDS = frozenset("site main top bottom page side left right header footer nav navigation mobile desktop primary secondary global user account mega dropdown drop sub context ad ads promo cookie cookies consent gdpr privacy hero offcanvas sticky floating".split())
+#: Elements whose class tells how something of the article looks.
+SHOWING = frozenset("figure figcaption picture img table".split())
 WORDS_IN_NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"([a-z])([A-Z])")
 
@@ -78,6 +84,8 @@ def names_chrome(name: str) -> bool:
     parts = WORDS_IN_NAME.findall(CAMEL.sub(r"\1 \2", name).lower())
     if not parts or parts[0] in TELLING or (len(parts) > 1 and parts[-1] in STATES):
         return False
+    if parts[-1] in SHARED_WORDS and len(parts) > 1:
+        return parts[0] in FIRST_WORDS or parts[-2] in SITE_WORDS
     return parts[-1] in CHROME_WORDS or parts[0] in FIRST_WORDS
 
 
@@ -90,7 +98,7 @@ def _is_chrome(tag: str, attributes: str, in_main: int) -> bool:
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and "true" in value.lower()):
             return True
-        if name in ("class", "id", "role") and any(map(names_chrome, value.strip("\"'").split())):
+        if name in ("class", "id", "role") and tag not in SHOWING and any(map(names_chrome, value.strip("\"'").split())):
             return True
     return False
 
