@@ -1,32 +1,11 @@
-"""Order-dependent folds: heading paths, greedy matches, line joins, parsed dates."""
+"""Order-dependent folds: greedy matches, parsed dates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def heading_paths(headings: Column) -> Column:
-    """For a list of struct(level, text) in order: the path of each heading; a heading closes those of its level and below."""
-    start = F.struct(F.array().cast("array<struct<level:int,text:string>>").alias("open"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, h: Column) -> Column:
-        above = F.filter(acc.open, lambda o: o.level < h.level)
-        path = F.array_append(above, F.struct(h.level.cast("int").alias("level"), h.text.alias("text")))
-        return F.struct(path.alias("open"), F.array_append(acc.out, F.array_join(F.transform(path, lambda o: o.text), " > ")).alias("out"))
-
-    return F.aggregate(headings, start, step, lambda acc: acc.out)
-
-
-def join_wrapped_lines(lines: DataFrame, key: str, pos: str, line: str, goes_on: Column) -> DataFrame:
-    """Merges each line into the one before if ``goes_on``: gaps and islands, joined in order."""
-    w = W.partitionBy(key).orderBy(pos)
-    block = F.sum(F.when(goes_on, 0).otherwise(1)).over(w)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, line))), lambda x: x[line]), " ")
-    return lines.withColumn("block", block).groupBy(key, "block").agg(joined.alias("text"), F.count("*").alias("lines"))
-
-
 def greedy_keep(values: Column, near) -> Column:
     """The values of a list that are near none kept before."""
     return F.aggregate(values, F.array().cast("array<string>"), lambda kept, v: F.when(F.exists(kept, lambda k: near(k, v)), kept).otherwise(F.array_append(kept, v)))

@@ -102,6 +102,11 @@ def backoff_seconds(attempt: Column, first: int = 30, most: int = 3600) -> Colum
     return F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), attempt - 1))
 
 
+def deferral_seconds(failures: Column) -> Column:
+    """How long an item is put off after so many failures in a row: a minute doubled with each (six at most), half an hour at most."""
+    return F.least(F.lit(1800.0), 60 * F.pow(F.lit(2.0), F.least(F.lit(6), failures)))
+
+
 def admitted(requests: Column, cap: int) -> Column:
     """For a list of struct(n) in order: which requests fit under the cap; a rejected one uses nothing up."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("ok"))

@@ -274,6 +274,12 @@ def parsed_syllabi(sections: DataFrame, span: DataFrame, positions: DataFrame |
     return nodes, found.select(key, F.coalesce("method", F.lit("outline")).alias("method"), leaves.alias("leaves"), F.coalesce("subjects", F.lit(0)).cast("long").alias("subjects"), status.alias("status"))
 
 
+def distinct_titles(titles: Column) -> Column:
+    """The titles of a list that are like none kept before."""
+    near = lambda kept, x: F.exists(kept, lambda k: token_set_ratio(k, x) >= NEAR_TITLE)
+    return F.aggregate(titles, F.array().cast("array<string>"), lambda kept, x: F.when(near(kept, x), kept).otherwise(F.array_append(kept, x)))
+
+
 def positions(sections: DataFrame, tables: DataFrame, key: str = "doc") -> DataFrame:
     """(key, place, title, slug, vacancies, implicit): positions of vacancy tables, then of headings and texts, without those whose titles are alike.
 
@@ -308,3 +314,51 @@ def position_slugs(found: DataFrame, key: str = "doc") -> DataFrame:
     """(key, slugs) of the positions a document names, in order."""
     named = found.where("NOT implicit").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "slug"))), lambda p: p.slug).alias("slugs"))
     return named
+
+
+# --- corrections -------------------------------------------------------------------------------------
+
+#: Token-set ratios from which titles replace each other, subjects may be one, and subjects share a node.
+REPLACES, NEAR_SUBJECT, SAME_SUBJECT = 85, 70, 80
+
+
+def subject_key(path_: Column) -> Column:
+    """The first part of a node's path in lower case."""
+    parts = F.filter(F.transform(F.split(F.lower(path_), r"[/\-▸>]"), trim), lambda p: p != "")
+    return F.coalesce(F.get(parts, F.lit(0)), F.lower(path_))
+
+
+def replacements(previous: DataFrame, corrected: DataFrame, key: str = "exam") -> DataFrame:
+    """(key, node, replaces) of the leaves of a correction, in order: each takes the leaf before it that is most like it (85 and more), of a like subject, and that none has taken; null for a new leaf.
+
+    ``previous`` and ``corrected`` have key, node, place, path and title; a notice's leaves are a bounded list.
+    """
+    mine = corrected.select(key, F.col("node").alias("new"), F.col("place").alias("at"), "title", subject_key(F.col("path")).alias("subject"))
+    theirs = previous.select(key, "node", "place", F.col("title").alias("old_title"), subject_key(F.col("path")).alias("old_subject"))
+    a, b = F.col("subject"), F.col("old_subject")
+    like = (a == b) | a.contains(b) | b.contains(a) | (token_set_ratio(a, b) >= NEAR_SUBJECT)
+    pairs = mine.join(theirs, key).where(like).withColumn("score", token_set_ratio(F.col("title"), F.col("old_title"))).where(F.col("score") >= REPLACES)
+    pairs = pairs.groupBy(key, "at", "new").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "place", "node"))).alias("likes"))
+    # in the order of the correction, each takes the first of its likes that is left
+    listed = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "new", "likes"))).alias("all"))
+    node = previous.schema["node"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{node}>").alias("taken"), F.array().cast(f"array<struct<new:{corrected.schema['node'].dataType.simpleString()},node:{node}>>").alias("out"))
+
+    def take(acc: Column, x: Column) -> Column:
+        free = F.get(F.filter(x.likes, lambda o: ~F.array_contains(acc.taken, o.node)), F.lit(0)).node
+        taken = F.struct(F.array_append(acc.taken, free).alias("taken"), F.array_append(acc.out, F.struct(x.new.alias("new"), free.alias("node"))).alias("out"))
+        return F.when(free.isNull(), acc).otherwise(taken)
+
+    chosen = listed.select(key, F.explode(F.aggregate("all", start, take, lambda acc: acc.out)).alias("m")).select(key, F.col("m.new").alias("node"), F.col("m.node").alias("replaces"))
+    return corrected.select(key, "node").join(chosen, [key, "node"], "left")
+
+
+def merged_leaves(previous: DataFrame, corrected: DataFrame, key: str = "exam") -> DataFrame:
+    """(key, node, origin, place, title, path): the leaves of the next version, those of the correction first (replaced or new), then the ones before it that are kept."""
+    matched = replacements(previous, corrected, key)
+    origin = F.when(F.col("replaces").isNull(), "new").otherwise("replaced")
+    mine = corrected.join(matched, [key, "node"]).select(key, "node", origin.alias("origin"), "place", "title", "path")
+    gone = matched.where("replaces IS NOT NULL").select(key, F.col("replaces").alias("node"))
+    kept = previous.join(gone, [key, "node"], "left_anti").select(key, "node", F.lit("kept").alias("origin"), "place", "title", "path")
+    order = W.partitionBy(key).orderBy((F.col("origin") == "kept").cast("int"), "place", "node")
+    return mine.unionByName(kept).withColumn("place", F.row_number().over(order) - 1)

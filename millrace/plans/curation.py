@@ -410,14 +410,15 @@ def _similarities(t):
     return t.embeddings.select("vec_id", "embedding").crossJoin(F.broadcast(vectors)).select("vec_id", "node", F.round(C.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
 
 
-@query("wn_04", SIMS + """, r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second, first_value(score) OVER w AS top FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, node)),
+@query("wn_04", SIMS + """, h AS (SELECT vec_id, node, round(score / 2 + 0.5, 6) AS score FROM s), r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second, first_value(score) OVER w AS top FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, node)),
 x AS (SELECT vec_id, max(score) FILTER (rn = 1) AS top, max(score) FILTER (rn = 2) AS second FROM r GROUP BY 1)
 SELECT r.vec_id, node, score FROM r JOIN x USING (vec_id) WHERE x.top >= 0.62 AND ((x.top - coalesce(x.second, 0) >= 0.05 AND rn = 1) OR (x.second >= 0.62 AND rn <= 2))""")
 def margin_accept(t):
-    """The first place if clear by a margin, both if the second passes too."""
+    """The first place if clear by a margin, both if the second passes too; scores are put on a scale from 0 to 1."""
     least, margin = 0.62, 0.05
     w = W.partitionBy("vec_id").orderBy(F.desc("score"), "node")
-    ranked = _similarities(t).withColumns({"rn": F.row_number().over(w), "top": F.first("score").over(w), "next": F.lead("score").over(w)})
+    scores = _similarities(t).withColumn("score", F.round(F.col("score") / 2 + 0.5, 6))
+    ranked = scores.withColumns({"rn": F.row_number().over(w), "top": F.first("score").over(w), "next": F.lead("score").over(w)})
     second = F.max(F.when(F.col("rn") == 2, F.col("score"))).over(W.partitionBy("vec_id"))
     ranked = ranked.withColumn("second", second).where(F.col("top") >= least)
     clear = (F.col("top") - F.coalesce("second", F.lit(0.0)) >= margin) & (F.col("rn") == 1)
@@ -520,16 +521,3 @@ def list_markers(t):
     marked = C.lines_of(t.documents)
     plain = F.regexp_replace(F.regexp_replace(F.concat(F.lit("- "), "line"), r"^\s*(?:[-*•]|\d+[.)]|[a-zA-Z][)])\s+", ""), r"\s+$", "")
     return marked.select("doc_id", F.col("pos").cast("long").alias("pos"), plain.alias("line"))
-
-
-@query("st_01", f"""WITH l AS (SELECT doc_id, pos, line, line = upper(line) AND regexp_matches(line, '^[^ ]+ +[^ ]') AND regexp_matches(line, '[A-Z]') AS head FROM {LINES}),
-s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section, bool_or(head) OVER (PARTITION BY doc_id) AS any_head FROM l)
-SELECT doc_id, section::BIGINT AS section, count(*) AS blocks, min(pos) AS first_block, sum(length(line))::BIGINT AS chars FROM s WHERE section > 0 OR NOT any_head GROUP BY ALL""")
-def sections(t):
-    """Headings (whole lines in capitals, of two words or more) open sections; lines before the first are lost."""
-    line = F.col("line")
-    head = (line == F.upper(line)) & F.regexp_like(line, F.lit("^[^ ]+ +[^ ]")) & F.regexp_like(line, F.lit("[A-Z]"))
-    w = W.partitionBy("doc_id")
-    marked = C.lines_of(t.documents).withColumn("head", head.cast("int"))
-    numbered = marked.withColumns({"section": F.sum("head").over(w.orderBy("pos")), "any": F.max("head").over(w)}).where("section > 0 OR any = 0")
-    return numbered.groupBy("doc_id", "section").agg(F.count("*").alias("blocks"), F.min("pos").cast("long").alias("first_block"), F.sum(F.char_length("line")).alias("chars"))

@@ -138,12 +138,6 @@ def open_window_fallback(t):
     return both.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30).select("o_orderkey")
 
 
-@query("flt_22", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND (o_orderdate >= TIMESTAMP '1996-01-01' - INTERVAL 90 DAY OR o_orderpriority LIKE '5%') AND year(o_orderdate) >= 1995")
-def open_catalog(t):
-    since = F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00' - INTERVAL 90 DAY")
-    return t.orders.where((F.col("o_orderstatus") != "F") & ((F.col("o_orderdate") >= since) | F.col("o_orderpriority").startswith("5")) & (F.year("o_orderdate") >= 1995)).select("o_orderkey")
-
-
 @query("flt_26", "WITH d AS (SELECT doc_id, list_distinct(list_transform(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 5), lambda w: substr(w, 1, 6))) AS p FROM documents), b AS (SELECT item_id, list_distinct(list_transform(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 5), lambda w: substr(w, 1, 6))) AS p FROM benchmark) SELECT doc_id, item_id FROM d, b WHERE list_has_any(d.p, b.p)")
 def mentions(t):
     """Shared beginnings of words, by an equi join on them."""

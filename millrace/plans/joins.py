@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import tables as T
+from millrace.operators.sinks import KeptTable
 from millrace.plans import Catalog
 
 catalog = Catalog()
@@ -75,14 +76,19 @@ def lookup_with_default(t):
     return t.customer.select("c_custkey").join(sums, "c_custkey", "left").na.fill({"orders": 0, "total": 0.0})
 
 
-@query("jn_09", """WITH alias AS (SELECT n_name AS canonical, lower(substr(n_name, 1, 4)) AS alias, n_nationkey AS pos FROM nation),
-keys AS (SELECT p_partkey, lower(p_brand || ' ' || p_name) AS key FROM part),
+#: Aliases of nations, by their keys: names of things and things alone.
+ALIASES = ("small ring", "ring", "red", "blue bolt", "gear", "hot gizmo ltd", "gizmo", "old anvil", "anvil", "new", "cold plate", "plate", "rod of iron", "widget")
+
+
+@query("jn_09", f"""WITH alias AS (SELECT n_name AS canonical, {list(ALIASES)!r}[n_nationkey % {len(ALIASES)} + 1] AS alias, n_nationkey AS pos FROM nation),
+keys AS (SELECT p_partkey, lower(p_name) AS key FROM part),
 m AS (SELECT p_partkey, canonical, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN key = alias THEN 0 ELSE 1 END, pos) AS rn
  FROM keys JOIN alias ON key = alias OR contains(key, alias) OR contains(alias, key))
 SELECT p_partkey, canonical FROM m WHERE rn = 1""")
 def dictionary_join(t):
-    aliases = F.broadcast(t.nation.select(F.col("n_name").alias("canonical"), F.lower(F.substring("n_name", 1, 4)).alias("alias"), F.col("n_nationkey").alias("pos")))
-    keys = t.part.select("p_partkey", F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("key"))
+    alias = F.get(F.array(*map(F.lit, ALIASES)), (F.col("n_nationkey") % len(ALIASES)).cast("int"))
+    aliases = F.broadcast(t.nation.select(F.col("n_name").alias("canonical"), alias.alias("alias"), F.col("n_nationkey").alias("pos")))
+    keys = t.part.select("p_partkey", F.lower("p_name").alias("key"))
     met = keys.join(aliases, F.col("key").contains(F.col("alias")) | F.col("alias").contains(F.col("key")))  # a fixed dictionary: 25 rows
     return T.first_by(met, ["p_partkey"], [F.when(F.col("key") == F.col("alias"), 0).otherwise(1), F.col("pos")]).select("p_partkey", "canonical")
 
@@ -226,25 +232,48 @@ def reserved_batches(t):
     return live.withColumn("part", F.lit("live")).unionByName(gc.withColumn("part", F.lit("gc"))).unionByName(more.withColumn("part", F.lit("more")))
 
 
-@query("snk_01", """SELECT text AS key, min(doc_id) AS doc_id FROM documents WHERE doc_id >= 100 AND text NOT IN (SELECT text FROM documents WHERE doc_id < 100) GROUP BY text""")
+@query("snk_01", "SELECT text AS key, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def insert_or_ignore(t):
+    """Two batches, the second written twice: the first writer of a key wins."""
     rows = t.documents.select(F.col("text").alias("key"), "doc_id")
-    return T.insert_or_ignore(rows.where("doc_id < 100"), rows.where("doc_id >= 100"), ["key"], [F.col("doc_id")])
+    kept = KeptTable(rows, ["key"])
+    for batch in (rows.where("doc_id < 100"), rows.where("doc_id >= 100"), rows.where("doc_id >= 100")):
+        kept.insert(batch, [F.col("doc_id")])
+    return kept.rows()
 
 
 @query("snk_02", """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer
-UNION ALL SELECT -c_custkey, 0.0 FROM customer WHERE c_custkey % 100 = 0""")
+UNION ALL SELECT -c_custkey, 0.0 FROM customer WHERE c_custkey % 100 = 0 AND c_custkey > 0""")
 def upsert(t):
+    """All customers, then changed and new ones, written twice."""
     old = t.customer.select("c_custkey", "c_acctbal")
     new = old.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    new = new.unionByName(old.where("c_custkey % 100 = 0").select((-F.col("c_custkey")).alias("c_custkey"), F.lit(0.0).alias("c_acctbal")))
-    return T.upsert(old, new, ["c_custkey"])
+    new = new.unionByName(old.where("c_custkey % 100 = 0 AND c_custkey > 0").select((-F.col("c_custkey")).alias("c_custkey"), F.lit(0.0).alias("c_acctbal")))
+    kept = KeptTable(old, ["c_custkey"])
+    for batch in (old, new, new):
+        kept.upsert(batch)
+    return kept.rows()
 
 
 @query("snk_03", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def upsert_counters(t):
-    counted = lambda df: df.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return T.add_counters(counted(t.events.where("event_id % 3 = 0")), counted(t.events.where("event_id % 3 <> 0")), ["user_id", "event_type"], ["n"])
+    """Counters of three batches, one of which comes again."""
+    counted = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    kept = KeptTable(counted, ["user_id", "event_type"])
+    for batch in (0, 1, 1, 2, 0):
+        kept.count(t.events.where(F.col("event_id") % 3 == batch).groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["n"], f"batch-{batch}")
+    return kept.rows()
+
+
+@query("snk_04", "SELECT doc_id, pos, CASE WHEN doc_id % 3 = 0 THEN upper(line) ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(replace(text, 'ß', 'ss'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE doc_id % 3 > 0 OR pos % 2 = 0")
+def replace_children(t):
+    """Lines of documents; those of every third document are replaced by fewer of them, twice."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit("ß"), F.lit("ss")), "\n")).alias("pos", "line"))
+    new = lines.where("doc_id % 3 = 0 AND pos % 2 = 0").withColumn("line", F.upper("line"))
+    kept = KeptTable(lines, ["doc_id", "pos"])
+    for batch in (lines, new, new):
+        kept.replace(batch, "doc_id")
+    return kept.rows()
 
 
 @query("snk_05", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

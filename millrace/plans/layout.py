@@ -1,11 +1,13 @@
-"""Pages written of parts and documents as spans, read back as blocks (SRC-04, SRC-06)."""
+"""Documents laid out on pages as spans, read back as paragraphs, blocks and sections (SRC-04, SRC-06, ST-01, ST-02)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from millrace.operators import layout as L
+from millrace.operators import sections as S
 from millrace.plans import Catalog
+from millrace.plans.roles import quoted
 from millrace.plans.rules import TIDY
 
 catalog = Catalog()
@@ -67,8 +69,59 @@ def page_paragraphs(t):
     return L.paragraphs(L.lines_of_spans(_spans(t)), WIDTH).select("doc", "page", "place", "text", "size", "bold")
 
 
-@query("src_04", f"""{PARAGRAPHS}, d AS (SELECT doc, list_sort(list(p.size) FILTER (p.size IS NOT NULL)) AS sizes FROM p GROUP BY 1), b AS (SELECT *, coalesce(sizes[len(sizes) // 2 + 1], 12) AS body FROM p JOIN d USING (doc)),
-h AS (SELECT *, coalesce(p.size >= body * {L.LARGE}, false) AND length(p.text) <= {L.LONGEST_HEADING} AS heading FROM b)
-SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, place) AS place, page, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN heading THEN CASE WHEN p.size >= body * 1.5 THEN 1 WHEN p.size >= body * 1.3 THEN 2 ELSE 3 END END AS level, p.text AS text FROM h""")
-def page_blocks(t):
+BLOCKS = f"""{PARAGRAPHS}, d AS (SELECT doc, list_sort(list(p.size) FILTER (p.size IS NOT NULL)) AS sizes FROM p GROUP BY 1), b AS (SELECT *, coalesce(sizes[len(sizes) // 2 + 1], 12) AS body FROM p JOIN d USING (doc)),
+h AS (SELECT *, coalesce(p.size >= body * {L.LARGE}, false) AND length(p.text) <= {L.LONGEST_HEADING} AS heading FROM b),
+blocks AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, place) AS place, page, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN heading THEN CASE WHEN p.size >= body * 1.5 THEN 1 WHEN p.size >= body * 1.3 THEN 2 ELSE 3 END END AS level, p.text AS text FROM h)"""
+
+
+def _blocks(t):
     return L.blocks(L.paragraphs(L.lines_of_spans(_spans(t)), WIDTH))
+
+
+@query("src_04", f"{BLOCKS} SELECT * FROM blocks")
+def page_blocks(t):
+    return _blocks(t)
+
+
+#: doc, place, page, kind, level, text of literal blocks; doc, table, markdown of literal tables.
+LITERAL = [
+    (-1, 1, 1, "paragraph", None, "antes de tudo"), (-1, 2, 1, "heading", 2, "Capítulo"), (-1, 3, 1, "paragraph", None, "a) um\n• dois\n  livre\nII – três\n1. quatro\n(b) cinco"), (-1, 4, 2, "page_artifact", None, "Página 2"), (-1, 5, 2, "paragraph", None, "  "), (-1, 6, 2, "paragraph", None, "1.2. Subtópico numerado"), (-1, 7, 2, "paragraph", None, "texto - sem marca"),
+    (-1, 8, 3, "paragraph", None, "Art. 5º Todos são iguais"), (-1, 9, 3, "paragraph", None, "§ 1º parágrafo"), (-1, 10, 3, "paragraph", None, "artigo 12 da lei"), (-1, 11, None, "paragraph", None, "IV) Romano"), (-1, 12, None, "paragraph", None, "B - Letra"), (-1, 13, None, "paragraph", None, "DAS PROVAS, DAS VAGAS"), (-1, 14, None, "paragraph", None, "PALAVRA"), (-1, 15, None, "heading", 0, "Título sem nível"),
+    (-2, 1, 1, "paragraph", None, "só texto"), (-2, 2, 1, "page_artifact", None, "rodapé"), (-2, 3, 2, "paragraph", None, "a) fica assim"), (-3, 1, None, "page_artifact", None, "SÓ RODAPÉ AQUI"), (-4, 1, 1, "paragraph", None, None),
+]
+LITERAL_TABLES = [(-1, 1, "| b |"), (-1, 0, "| a |\n| - x |"), (-1, 2, ""), (-2, 0, "| c |")]
+_values = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else quoted(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+OPENS = f"(kind = 'heading' OR regexp_matches(x, '(?i){S.ARTICLE}') OR regexp_matches(x, '{S.OUTLINE}') OR (regexp_matches(x, '{S.CAPITALS}') AND regexp_matches(x, '\\S\\s+\\S')))"
+MARKER = f"regexp_extract(x, '{S.OUTLINE}', 1)"
+PLAIN = lambda text: f"array_to_string(list_transform(string_split({text}, chr(10)), lambda y: CASE WHEN regexp_matches({TIDY('y')}, '(?i){S.LIST_MARKER}') THEN regexp_replace({TIDY('y')}, '(?i){S.LIST_MARKER}', '') ELSE y END), chr(10))"
+
+
+SECTIONS = f"""{BLOCKS}, every AS (SELECT doc, place, page, kind, level, text FROM blocks UNION ALL SELECT * FROM (VALUES {_values(LITERAL)}) v(doc, place, page, kind, level, text)),
+tabs AS (SELECT doc, string_agg(markdown, chr(10) || chr(10) ORDER BY tab) AS tables FROM (SELECT * FROM (VALUES {_values(LITERAL_TABLES)}) v(doc, tab, markdown) UNION ALL SELECT doc_id, 0, '| ' || lang || ' |' FROM documents WHERE doc_id % 4 = 0) WHERE markdown <> '' GROUP BY 1),
+x AS (SELECT *, {TIDY("coalesce(text, '')")} AS x FROM every), marked AS (SELECT *, {OPENS} AS opens, row_number() OVER (PARTITION BY doc ORDER BY place) - 1 AS pos FROM x),
+r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc ORDER BY place) AS part, bool_or(opens) OVER (PARTITION BY doc) AS headed FROM marked),
+g AS (SELECT doc, part, headed, max(x) FILTER (opens) AS heading, max(CASE WHEN coalesce(level, 0) <> 0 THEN level WHEN regexp_matches({MARKER}, '^[0-9]') THEN length({MARKER}) - length(replace({MARKER}, '.', '')) + 1 WHEN regexp_matches({MARKER}, '^[IVXLC]+$') THEN 1 WHEN {MARKER} <> '' THEN 2 WHEN regexp_matches(x, '{S.CAPITALS}') THEN 1 ELSE 2 END) FILTER (opens) AS level,
+ coalesce(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY pos) FILTER (CASE WHEN headed THEN NOT opens AND kind NOT IN ('page_artifact', 'heading') AND x <> '' ELSE kind <> 'page_artifact' END), '') AS body, min(pos) AS first_block, max(pos) AS last_block, min(page) AS first_page, max(page) AS last_page FROM r WHERE part > 0 OR NOT headed GROUP BY ALL),
+n AS (SELECT g.*, {PLAIN("concat_ws(chr(10) || chr(10), nullif(body, ''), tables)")} AS whole, row_number() OVER (PARTITION BY doc ORDER BY part) - 1 AS ordinal FROM g LEFT JOIN tabs USING (doc)),
+up AS (SELECT a.doc, a.ordinal, list(b.heading ORDER BY b.ordinal) AS path FROM n a JOIN n b ON a.doc = b.doc AND b.ordinal < a.ordinal AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM n c WHERE c.doc = a.doc AND c.ordinal > b.ordinal AND c.ordinal < a.ordinal AND c.level <= b.level) GROUP BY 1, 2)
+SELECT doc, ordinal, heading, coalesce(level, 0) AS level, CASE WHEN headed THEN CASE WHEN whole <> '' THEN {TIDY("heading || chr(10) || chr(10) || whole")} ELSE heading END ELSE body END AS text, first_block, last_block, first_page, last_page,
+coalesce(regexp_matches(heading, '(?i){S.ARTICLE}'), false) AS legal, coalesce(array_to_string((SELECT path FROM up WHERE up.doc = n.doc AND up.ordinal = n.ordinal), ' > '), '') AS path FROM n"""
+
+
+def _sections(t):
+    """Sections of the blocks that documents' pages are read as, of literal blocks, and with tables."""
+    blocks = _blocks(t).unionByName(t.spark.createDataFrame(LITERAL, "doc long, place int, page long, kind string, level int, text string"))
+    tables = t.spark.createDataFrame(LITERAL_TABLES, "doc long, table int, markdown string")
+    tables = tables.unionByName(t.documents.where("doc_id % 4 = 0").select(F.col("doc_id").alias("doc"), F.lit(0).alias("table"), F.concat(F.lit("| "), "lang", F.lit(" |")).alias("markdown")))
+    return S.sections(blocks, tables).withColumn("path", F.array_join("path", " > "))
+
+
+@query("st_01", SECTIONS)
+def sections(t):
+    return _sections(t)
+
+
+@query("st_02", f"SELECT doc, ordinal, heading, level, path FROM ({SECTIONS}) WHERE heading IS NOT NULL")
+def heading_paths(t):
+    """Each heading with the open headings above it."""
+    return _sections(t).where("heading IS NOT NULL").select("doc", "ordinal", "heading", "level", "path")

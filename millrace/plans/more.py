@@ -8,50 +8,39 @@ from pyspark.sql import functions as F
 from millrace.functions.text import host_of
 from millrace.operators import curation as C
 from millrace.operators import items as I
-from millrace.operators import sequences as Q
+from millrace.operators import states as S
 from millrace.operators import tables as T
 from millrace.plans import Catalog
-from millrace.plans.curation import LINES
-from millrace.plans.web import HOST, TITLE
+from millrace.plans.roles import has
+from millrace.plans.web import HOST, HOST_OF, TITLE
 from millrace.sources import pages as P
 from millrace.sources.soup import read_blocks
+from millrace.streaming import jobs
 
 catalog = Catalog()
 query = catalog.query
 
-# Error classes.
-ERROR_CLASSES = (("auth", r"401|403|unauthori[sz]ed|invalid.*key"), ("rate_limit", r"429|rate.?limit|quota"), ("transient", r"5\d\d|timeout|reset|unavailable"))
-
-
-@query("flt_23", r"SELECT conv_id, turn, len(regexp_extract_all(text || ' https://a.b/edital.pdf.', 'https?://[^\s]+')) AS links, regexp_matches(text, '(?i)the ') AS talk FROM conversations")
+# Classes of errors by their messages, in the order of trial.
+ERROR_CLASSES = (
+    ("authentication", r"\b(401|403)\b|unauthori[sz]ed|invalid api key|api key not valid|permission denied"),
+    ("billing", r"billing|credit|insufficient|quota project|exceeded your current quota|plan|purchase"),
+    ("rate_limit", r"\b429\b|rate limit|resource.?has.?been.?exhausted|high demand|overloaded"),
+    ("transient", r"\b(500|502|503|504)\b|timeout|network|fetch failed|ECONNREFUSED|ENOTFOUND"),
+    ("budget", r"budget_exceeded"),
+    ("policy", r"guardrail|policy"),
+)
+#: Addresses that posts get, by turn.
+LINKS = ("veja https://a.b/edital.pdf.", "https://www.instagram.com/p/edital.pdf", "(http://docs.google.com/d/1)", "https://x.y/prova/1 https://x.y/prova/1!", "https://m.facebook.com/prova.pdf", "https://x.y/simples", "nada", "https://a.b/c.docx?x=1, o concurso https://z.w/q", "inscrições abertas", "programa em HTTPS://K.L/m")
+POST = f"(SELECT conv_id, turn, text || ' ' || {list(LINKS)!r}[(conv_id + turn) % {len(LINKS)} + 1] AS text FROM conversations)"
+
+
+@query("flt_23", rf"""WITH p AS (SELECT *, {has('text', P.EXAM_TALK)} OR {has('text', P.OPEN_HINT)} AS talk, list_distinct(list_transform(regexp_extract_all(text, '(?i){P.POST_URL.replace("'", "''")}'), lambda u: regexp_replace(u, '[.,;:!?)\]}}>]+$', ''))) AS urls FROM {POST}),
+f AS (SELECT *, list_sort(list_filter(urls, lambda u: {HOST_OF('u')} <> '' AND NOT (list_contains({P.POST_SOCIAL!r}, {HOST_OF('u')}) OR len(list_filter({P.POST_SOCIAL!r}, lambda d: {HOST_OF('u')} LIKE '%.' || d)) > 0) AND ({has('u', P.FILE_URL)} OR {has('u', P.FILE_PATH)} OR {has('u', P.FILE_HOST)} OR {has("text || ' ' || u", P.FILE_WORD)}))) AS files FROM p)
+SELECT conv_id, turn, talk OR len(files) > 0 AS relevant, CASE WHEN talk AND len(files) > 0 THEN 'exam talk + file link(s)' WHEN talk THEN 'exam talk only' WHEN len(files) > 0 THEN 'outbound exam-like file link without exam keywords' ELSE 'no exam talk or file links' END AS reason, array_to_string(files, ' ') AS files FROM f""")
 def posts(t):
-    return t.conversations.select("conv_id", "turn", F.regexp_count(F.concat("text", F.lit(" https://a.b/edital.pdf.")), F.lit(r"https?://[^\s]+")).cast("long").alias("links"), F.regexp_like("text", F.lit("(?i)the ")).alias("talk"))
-
-
-@query("st_02", r"""WITH RECURSIVE h AS (SELECT doc_id, pos, 1 + length(line) % 3 AS level, substr(line, 1, 8) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM """ + LINES + r"""),
-w AS (SELECT doc_id, i, [{'l': level, 't': t}] AS path FROM h WHERE i = 1 UNION ALL SELECT h.doc_id, h.i, list_append(list_filter(w.path, lambda p: p.l < h.level), {'l': h.level, 't': h.t}) FROM w JOIN h ON h.doc_id = w.doc_id AND h.i = w.i + 1)
-SELECT doc_id, i - 1 AS heading, array_to_string(list_transform(path, lambda p: p.t), ' > ') AS path FROM w""")
-def heading_paths(t):
-    heads = C.lines_of(t.documents)
-    listed = heads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", (F.char_length("line") % 3 + 1).alias("level"), F.substring("line", 1, 8).alias("text")))).alias("h"))
-    return listed.select("doc_id", F.posexplode(Q.heading_paths(F.col("h"))).alias("heading", "path")).select("doc_id", F.col("heading").cast("long").alias("heading"), "path")
-
-
-@query("dd_10")
-def distinct_positions(t):
-    """Part names of each brand that are near none kept before. Tested against a plain loop."""
-    names = t.part.groupBy("p_brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x.p_name).alias("names"))
-    near = lambda a, b: F.levenshtein(a, b) <= 0.1 * F.greatest(F.char_length(a), F.char_length(b))
-    return names.select("p_brand", F.size(Q.greedy_keep(F.col("names"), near)).alias("kept"))
-
-
-@query("jn_12")
-def greedy_pairs(t):
-    """Orders of a customer matched one to one with the nearest earlier order by price."""
-    o = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
-    new, old = o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'").select("o_custkey", F.col("o_orderkey").alias("old"), F.col("o_totalprice").alias("p"))
-    pairs = new.join(old, "o_custkey").withColumn("score", -F.abs(F.col("o_totalprice") - F.col("p"))).select("o_custkey", "o_orderkey", "old", "score")
-    return Q.match_greedily(pairs, "o_custkey", "o_orderkey", "old", "score", "o_orderkey")
+    link = F.get(F.array(*map(F.lit, LINKS)), ((F.col("conv_id") + F.col("turn")) % len(LINKS)).cast("int"))
+    rows = t.conversations.select("conv_id", "turn", P.post_signal(F.concat("text", F.lit(" "), link)).alias("s"))
+    return rows.select("conv_id", "turn", "s.relevant", "s.reason", F.array_join(F.array_sort("s.files"), " ").alias("files"))
 
 
 @query("mp_05", "SELECT l_orderkey, l_linenumber, p_partkey, 0.85::DOUBLE AS score FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND p_brand = 'Brand#11'")
@@ -67,18 +56,47 @@ def judge_reply(t):
     return read.select("event_id", I.unit(F.col("j.score")).alias("score"), F.when(F.col("j.relevance").isNotNull(), I.unit(F.col("j.relevance"))).alias("relevance"))
 
 
-@query("str_12", "SELECT event_id, CASE WHEN regexp_matches(m, '(?i)401|403|unauthori[sz]ed|invalid.*key') THEN 'auth' WHEN regexp_matches(m, '(?i)429|rate.?limit|quota') THEN 'rate_limit' WHEN regexp_matches(m, '(?i)5[0-9][0-9]|timeout|reset|unavailable') THEN 'transient' ELSE 'other' END AS class FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'HTTP 401' WHEN 1 THEN 'Rate limit' WHEN 2 THEN '503 later' WHEN 3 THEN 'socket timeout' ELSE 'bad json' END AS m FROM events WHERE event_type = 'error')")
+#: Messages of failed calls; what class of failure each is of.
+MESSAGES = ("HTTP 401", "insufficient credit", "429 slow down", "503 later", "socket timeout", "budget_exceeded", "guardrail hit", "bad json", "model overloaded")
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(m, '(?i){p}') THEN '{c}'" for c, p in ERROR_CLASSES) + " ELSE 'invalid_response' END"
+_CALLS = f"""calls AS (SELECT user_id AS capability, event_id AS call, epoch(ts) AS sec, CASE WHEN event_type = 'error' OR event_id % 3 = 0 THEN {_CLASS} END AS failure, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM (SELECT *, {list(MESSAGES)!r}[event_id % {len(MESSAGES)} + 1] AS m FROM events))"""
+
+
+def _calls(events):
+    message = F.get(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % len(MESSAGES)).cast("int"))
+    failure = F.when((F.col("event_type") == "error") | (F.col("event_id") % 3 == 0), I.first_match(message, ERROR_CLASSES, "invalid_response"))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return events.select(F.col("user_id").alias("capability"), F.col("event_id").alias("call"), at.alias("at"), failure.alias("failure"))
+
+
+@query("str_12", f"""WITH RECURSIVE {_CALLS}, steps AS (SELECT capability, 0::BIGINT AS turn, NULL::BIGINT AS call, true AS admitted, 'healthy' AS state, 0.0::DOUBLE AS until, 0 AS attempt FROM (SELECT DISTINCT capability FROM calls)
+UNION ALL SELECT capability, turn, call, NOT shut, CASE WHEN shut OR failure IN ('budget', 'policy', 'invalid_response') THEN before WHEN failure IS NULL THEN 'healthy' ELSE 'open' END,
+ CASE WHEN shut THEN until WHEN failure IS NULL THEN 0 WHEN failure IN ('budget', 'policy', 'invalid_response') THEN CASE WHEN state = 'open' THEN 0 ELSE until END WHEN failure IN ('authentication', 'billing') THEN sec + 21600 ELSE sec + least(30 * 2 ** next, 3600) END,
+ CASE WHEN shut OR failure IN ('budget', 'policy', 'invalid_response') THEN attempt WHEN failure IS NULL THEN 0 ELSE next END
+FROM (SELECT c.capability, c.turn, c.call, c.sec, c.failure, s.state, s.until, s.attempt, s.state <> 'healthy' AND s.until > c.sec AS shut, CASE WHEN s.state = 'open' AND s.until <= c.sec THEN 'half_open' ELSE s.state END AS before, CASE WHEN s.state = 'healthy' THEN 0 ELSE s.attempt + 1 END AS next
+ FROM steps s JOIN calls c ON c.capability = s.capability AND c.turn = s.turn + 1))
+SELECT capability, call, admitted, state, round(until, 3) AS open_until, attempt FROM steps WHERE call IS NOT NULL""")
+def circuits(t):
+    """Calls of each user under a circuit that errors open; kept across micro-batches."""
+    out = jobs.run_available(jobs.circuits(_calls(jobs.table_stream(t.spark, t.sf_dir, "events"))), "append")
+    return out.withColumn("open_until", F.round("open_until", 3))
+
+
+@query("str_12_class", f"SELECT event_id, {_CLASS} AS class FROM (SELECT event_id, {list(MESSAGES)!r}[event_id % {len(MESSAGES)} + 1] AS m FROM events WHERE event_type = 'error')")
 def error_classes(t):
-    five = F.col("event_id") % 5
-    m = F.when(five == 0, "HTTP 401").when(five == 1, "Rate limit").when(five == 2, "503 later").when(five == 3, "socket timeout").otherwise("bad json")
-    return t.events.where("event_type = 'error'").select("event_id", m.alias("m")).select("event_id", I.first_match(F.col("m"), ERROR_CLASSES, "other").alias("class"))
+    return _calls(t.events.where("event_type = 'error'")).select(F.col("call").alias("event_id"), F.col("failure").alias("class"))
 
 
-@query("str_15", "SELECT event_id FROM events WHERE event_type = 'signup' AND event_id NOT IN (SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE)")
+@query("str_15", """WITH r AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), n AS (SELECT user_id, ts, event_id, event_type, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS n FROM r),
+l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), u AS (SELECT user_id, n, CASE WHEN event_type = 'error' THEN ts + to_seconds(least(1800, 60 * 2 ** least(6, n))) END AS until FROM l)
+SELECT user_id, n AS failures, until, coalesce(until > (SELECT max(ts) FROM events), false) AS excluded FROM u""")
 def deferral(t):
-    last = t.events.agg(F.max("ts").alias("last"))
-    recent = t.events.join(F.broadcast(last), F.col("ts") > F.col("last") - F.expr("INTERVAL 30 MINUTE"), "left_semi").select("event_id")
-    return t.events.where("event_type = 'signup'").select("event_id").join(recent, "event_id", "left_anti")
+    """Until when each user's item is put off: a minute doubled with each failure in a row, half an hour at most; those not over yet are left out of the next pass."""
+    rows = S.failure_runs(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+    last = rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "failures")).alias("l"))
+    until = F.when(F.col("l.event_type") == "error", F.col("l.ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), S.deferral_seconds(F.col("l.failures")).cast("decimal(18,6)")))
+    now = t.events.agg(F.max("ts").alias("now"))  # one row
+    return last.select("user_id", F.col("l.failures").alias("failures"), until.alias("until")).crossJoin(F.broadcast(now)).select("user_id", "failures", "until", F.coalesce(F.col("until") > F.col("now"), F.lit(False)).alias("excluded"))
 
 
 @query("str_19", "SELECT event_type AS kind, count(*) AS dead FROM events WHERE event_id % 9 >= 6 GROUP BY 1")
@@ -86,15 +104,6 @@ def dead_jobs(t):
     return t.events.where("event_id % 9 >= 6").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("dead"))
 
 
-@query("snk_04", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY 1, 2")
-def replace_children(t):
-    """All children of the parents in the new batch are replaced."""
-    old = C.lines_of(t.documents).withColumn("version", F.lit("old"))
-    new = C.lines_of(t.documents.where("doc_id % 10 = 0")).withColumn("version", F.lit("new"))
-    kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.unionByName(new).groupBy("doc_id", "version").agg(F.count("*").alias("n"))
-
-
 @query("src_22", "SELECT page_id, 'artifacts/' || sha256(html) AS key FROM pages")
 def content_address(t):
     return t.pages.select("page_id", F.concat(F.lit("artifacts/"), F.sha2("html", 256)).alias("key"))

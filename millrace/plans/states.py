@@ -171,9 +171,11 @@ def empty_backoff(t):
     return n.select("user_id", F.when(F.col("n") > 0, F.element_at(ladder, F.least(F.lit(4), "n").cast("int"))).otherwise(0).alias("days"))
 
 
-@query("str_13")
+@query("str_13", """WITH l AS (SELECT user_id, list([{'id': event_id, 'n': event_id % 4 + 1, 'used': event_id % 4 + 1, 'ok': true}] ORDER BY ts, event_id) AS l FROM events GROUP BY user_id, ts::DATE),
+f AS (SELECT user_id, unnest(list_reduce(l, lambda acc, x: list_append(acc, {'id': x[1].id, 'n': x[1].n, 'used': CASE WHEN acc[-1].used + x[1].n <= 10 THEN acc[-1].used + x[1].n ELSE acc[-1].used END, 'ok': acc[-1].used + x[1].n <= 10}))) AS x FROM l)
+SELECT user_id, x.id AS event_id, x.ok AS ok FROM f""")
 def budgets(t):
-    """Requests of each user in order under a cap of 10 a day; what is rejected uses nothing up. Tested against a plain loop."""
+    """Requests of each user in order under a cap of 10 a day; what is rejected uses nothing up."""
     n = (F.col("event_id") % 4 + 1).cast("long").alias("n")
     lists = t.events.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", n).groupBy("user_id", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "n"))).alias("r"))
     judged = lists.select("user_id", F.arrays_zip("r", S.admitted(F.col("r"), 10).alias("ok")).alias("x"))

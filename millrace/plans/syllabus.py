@@ -298,3 +298,56 @@ def statuses(t):
     sections = _sections(t)
     span = E.programme_span(sections, "doc").select("doc", "ordinal").join(sections, ["doc", "ordinal"])
     return S.parsed_syllabi(sections, span)[1]
+
+
+# --- corrections and alike titles --------------------------------------------------------------------
+
+LOT = "p_brand || '-' || p_partkey // 100"
+NAMES = f"SELECT {LOT} AS lot, p_partkey AS place, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || lower(p_type) ELSE '' END || CASE WHEN p_size % 4 = 0 THEN ' ' || p_size ELSE '' END AS title FROM part"
+
+
+def _lots(t):
+    c = F.col
+    lot = F.concat_ws("-", "p_brand", F.floor(c("p_partkey") / 100).cast("string"))
+    title = F.concat("p_name", F.when(c("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.lower("p_type"))).otherwise(""), F.when(c("p_size") % 4 == 0, F.concat(F.lit(" "), c("p_size").cast("string"))).otherwise(""))
+    return t.part.withColumns({"lot": lot, "title": title})
+
+
+@query("dd_10", f"""WITH n AS ({NAMES}), k AS (SELECT lot, list_reduce(list_transform(list(title ORDER BY place), lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: {RATIO('k', 'x[1]')} >= {S.NEAR_TITLE})) > 0 THEN kept ELSE list_concat(kept, x) END) AS kept FROM n GROUP BY 1)
+SELECT lot, unnest(kept) AS title, generate_subscripts(kept, 1) - 1 AS place FROM k""")
+def distinct_titles(t):
+    """Titles of a lot that are like none kept before (ratio under 90 to each)."""
+    listed = _lots(t).groupBy("lot").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "title"))), lambda x: x.title).alias("titles"))  # a hundred parts at most
+    return listed.select("lot", F.posexplode(S.distinct_titles(F.col("titles"))).alias("place", "title"))
+
+
+LEAVES = f"""SELECT {LOT} AS exam, p_partkey AS node, p_size AS place, p_partkey % 2 = 1 AS corrects, p_name || ' ' || p_size % 6 AS title,
+lower(p_type) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' geral' WHEN 2 THEN 's' ELSE '-aplicada' END || '/' || p_name AS path FROM part"""
+SUBJECT_KEY = lambda x: f"list_filter(list_transform(regexp_split_to_array(lower({x}), '[/\\-▸>]'), lambda y: trim(y)), lambda y: y <> '')[1]"
+MATCHED = f"""WITH RECURSIVE l AS ({LEAVES}), k AS (SELECT *, {SUBJECT_KEY('path')} AS subject FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY exam ORDER BY place, node) AS turn FROM k WHERE corrects),
+s AS (SELECT a.exam, a.node AS new, a.turn, b.node AS old, b.place, {RATIO('a.title', 'b.title')} AS score FROM n a JOIN k b ON a.exam = b.exam AND NOT b.corrects AND (a.subject = b.subject OR contains(a.subject, b.subject) OR contains(b.subject, a.subject) OR {RATIO('a.subject', 'b.subject')} >= {S.NEAR_SUBJECT})),
+q AS (SELECT exam, new, turn, list(old ORDER BY score DESC, place, old) AS likes FROM s WHERE score >= {S.REPLACES} GROUP BY ALL),
+e AS (SELECT exam, max(turn) AS most FROM n GROUP BY 1),
+r AS (SELECT exam, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS new, NULL::BIGINT AS old FROM e
+UNION ALL SELECT exam, turn + 1, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END, new, f FROM (SELECT r.exam, r.turn, r.taken, q.new, list_filter(coalesce(q.likes, []), lambda o: NOT list_contains(r.taken, o))[1] AS f FROM r JOIN e USING (exam) LEFT JOIN q ON q.exam = r.exam AND q.turn = r.turn + 1 WHERE r.turn < most)),
+m AS (SELECT exam, new, old FROM r WHERE old IS NOT NULL)"""
+
+
+def _leaves(t):
+    c = F.col
+    path = F.concat(F.lower("p_type"), F.element_at(F.array(F.lit(""), F.lit(" geral"), F.lit("s"), F.lit("-aplicada")), (c("p_partkey") % 4 + 1).cast("int")), F.lit("/"), "p_name")
+    rows = _lots(t).select(c("lot").alias("exam"), c("p_partkey").alias("node"), c("p_size").alias("place"), F.concat("p_name", F.lit(" "), (c("p_size") % 6).cast("string")).alias("title"), path.alias("path"))
+    return rows.where("node % 2 = 0"), rows.where("node % 2 = 1")
+
+
+@query("jn_12", f"{MATCHED} SELECT n.exam, node, old AS replaces FROM n LEFT JOIN m ON m.exam = n.exam AND m.new = n.node")
+def replacements(t):
+    """Each leaf of a correction with the one it replaces, one to one, in the correction's order."""
+    return S.replacements(*_leaves(t))
+
+
+@query("jn_12_merged", f"""{MATCHED}, c AS (SELECT n.exam, node, CASE WHEN old IS NULL THEN 'new' ELSE 'replaced' END AS origin, place, title, path FROM n LEFT JOIN m ON m.exam = n.exam AND m.new = n.node
+UNION ALL SELECT exam, node, 'kept', place, title, path FROM k WHERE NOT corrects AND (exam, node) NOT IN (SELECT exam, old FROM m))
+SELECT exam, node, origin, row_number() OVER (PARTITION BY exam ORDER BY (origin = 'kept')::INT, place, node) - 1 AS place, title, path FROM c""")
+def merged_leaves(t):
+    return S.merged_leaves(*_leaves(t))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import host_of
-from millrace.operators import tables as T
-from millrace.plans import Catalog
 from millrace.operators import curation as C
 from millrace.operators import items as I
+from millrace.operators import tables as T
+from millrace.plans import Catalog
 from millrace.sources import listings as L
 from millrace.sources import pages as P
 from millrace.sources.soup import read_blocks
@@ -16,6 +17,7 @@ from millrace.sources.soup import read_blocks
 catalog = Catalog()
 query = catalog.query
 
+HOST_OF = lambda u: rf"regexp_replace(lower(regexp_extract(lower({u}), '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '')"
 HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '')"
 TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
 TEXT = "html"
@@ -153,21 +155,31 @@ def candidate_screen(t):
     return t.pages.select("page_id", reason.alias("reason"))
 
 
-@query("flt_10", f"SELECT min(page_id) AS page_id, url FROM (SELECT page_id, url, {HOST} AS host, page_id % 30 AS rank FROM pages WHERE ({REASON}) IS NULL) WHERE host LIKE '%example.org' OR rank <= 20 GROUP BY url")
+SEARCHED = f"(SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'https://www.' || {P.KNOWLEDGE_DOMAINS!r}[page_id % {len(P.KNOWLEDGE_DOMAINS)} + 1] || '/p' || page_id ELSE url END AS url, html FROM pages)"
+
+
+@query("flt_10", f"""SELECT url, min(page_id) AS page_id FROM (SELECT page_id, url, {HOST} AS host, {REASON} AS reason, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS rank FROM {SEARCHED}) WHERE reason IS NULL AND host <> '' AND (rank <= {P.LAST_RANK} OR host = ANY({P.KNOWLEDGE_DOMAINS!r}) OR len(list_filter({P.KNOWLEDGE_DOMAINS!r}, lambda d: host LIKE '%.' || d)) > 0) GROUP BY url""")
 def candidates(t):
+    """Results of forty searches, each ranked; every seventh is of a domain that is known."""
+    known = F.concat(F.lit("https://www."), F.get(F.array(*map(F.lit, P.KNOWLEDGE_DOMAINS)), (F.col("page_id") % len(P.KNOWLEDGE_DOMAINS)).cast("int")), F.lit("/p"), F.col("page_id").cast("string"))
+    rows = t.pages.select("page_id", F.when(F.col("page_id") % 7 == 0, known).otherwise(F.col("url")).alias("url"), P.title_of(F.col("html")).alias("title"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(F.col("page_id") % 40).orderBy("page_id")))
     host = host_of(F.col("url"))
-    reason = P.reject_reason(F.col("url"), P.title_of(F.col("html")), [*P.DENIED_DOMAINS, "ththon.example.com"])
-    passing = t.pages.where(reason.isNull() & (host.endswith("example.org") | (F.col("page_id") % 30 <= 20)))
-    return passing.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    reason = P.reject_reason(F.col("url"), F.col("title"), [*P.DENIED_DOMAINS, "ththon.example.com"])
+    kept = rows.where(reason.isNull() & (host != "") & ((F.col("rank") <= P.LAST_RANK) | P.within(host, P.KNOWLEDGE_DOMAINS)))
+    return kept.groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
+#: Pages as they are, and some with calls to act or Portuguese in front.
+_FRONT = "CASE page_id % 5 WHEN 1 THEN 'Assine agora o plano premium hoje. ' || 'Compre com desconto e cupom já. ' WHEN 2 THEN 'Texto com a lei. ' ELSE '' END"
+_SENTENCES = "list_filter(string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda b: length(trim(b)) > 20)"
 
 
-@query("flt_11", f"""SELECT page_id, CASE WHEN length(x) < 1200 THEN 'too_short' WHEN anchors > 0.25 THEN 'link_density' WHEN NOT regexp_matches(substr(x, 1, 2000), '(?i)( the | und | que | le )') THEN 'language' END AS reason
-FROM (SELECT page_id, {ROUGH} AS x, {ANCHORS} AS anchors FROM pages)""")
+@query("flt_11", f"""SELECT page_id, CASE WHEN length(x) < {P.LEAST_TEXT} THEN 'too_short' WHEN anchors > {P.MOST_LINKS} THEN 'link_density' WHEN len(list_filter({_SENTENCES}, lambda b: regexp_matches(b, '(?i){P.CALLS_TO_ACT}'))) / greatest(len({_SENTENCES}), 1) > {P.MOST_CALLS} THEN 'cta_ratio'
+WHEN NOT regexp_matches(substr(x, 1, {P.HINT_CHARS}), '(?i){P.PORTUGUESE}') THEN 'language' END AS reason FROM (SELECT page_id, {_FRONT} || {ROUGH} AS x, {ANCHORS} AS anchors FROM pages)""")
 def after_fetch(t):
-    x = P.rough_text(F.col("html"))
-    rows = t.pages.select("page_id", x.alias("x"), P.anchor_share(F.col("html")).alias("anchors"))
-    hint = F.regexp_like(F.substring("x", 1, 2000), F.lit("(?i)( the | und | que | le )"))
-    return rows.select("page_id", F.when(F.char_length("x") < 1200, "too_short").when(F.col("anchors") > 0.25, "link_density").when(~hint, "language").alias("reason"))
+    front = F.when(F.col("page_id") % 5 == 1, "Assine agora o plano premium hoje. Compre com desconto e cupom já. ").when(F.col("page_id") % 5 == 2, "Texto com a lei. ").otherwise("")
+    return t.pages.select("page_id", P.after_fetch(F.concat(front, P.rough_text(F.col("html"))), F.col("html")).alias("reason"))
 
 
 @query("flt_18", f"SELECT page_id, CASE {' '.join(f'''WHEN regexp_matches(html, '(?i){p}') THEN '{i}' ''' for i, p in P.OUTPUT_POLICIES)} END AS policy FROM (SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN url || ' utm_x ' ELSE '' END AS html FROM pages)")

@@ -6,9 +6,9 @@ FLAGSHIP = "chunk_eligibility_by_source"
 
 
 def _catalogs():
-    from millrace.plans import aggregates, booklets, curation, exams, items, joins, layout, likeness, more, planning, roles, rules, sites, states, syllabus, web
+    from millrace.plans import aggregates, booklets, curation, exams, items, joins, layout, likeness, more, planning, portal, roles, rules, sites, states, syllabus, web
 
-    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules, exams, sites, syllabus, booklets, likeness, planning, layout)]
+    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules, exams, sites, syllabus, booklets, likeness, planning, layout, portal)]
 
 
 def queries() -> dict:

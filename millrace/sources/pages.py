@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import host_of, squeeze, trim
+from millrace.functions.text import host_of, let, squeeze, trim
 from millrace.operators.curation import spark_regex
 
 # Domains, endings, path parts and parameters that are never fetched.
@@ -48,6 +48,19 @@ OUTPUT_POLICIES = (
     ("data-exfil", r"\b(webhook\.site|exfiltrat\w*|pastebin\.com|requestbin\w*|ngrok\.(io|dev|app)|pipedream\.net|burpcollaborator\.net)\b|\bcurl\b\s+https?:|\bnc\s+-e\b"),
     ("tracking", r"\btracking\s+pixel\b|\butm_[a-z]+\b|\b(pixel|beacon)\.(gif|png|js)\b"),
 )
+#: Domains whose pages are knowledge, whatever their rank; the last rank of others.
+KNOWLEDGE_DOMAINS = "planalto.gov.br lexml.gov.br in.gov.br senado.leg.br camara.leg.br stf.jus.br stj.jus.br atos.cnj.jus.br cnj.jus.br portal.mec.gov.br gov.br inep.gov.br".split()
+LAST_RANK = 20
+#: Wording that asks a reader to act, and words that tell Portuguese.
+CALLS_TO_ACT, PORTUGUESE = r"inscreva-se|assine|compre|cupom|desconto|plano\s+premium", r"\b(de|da|do|que|para|com|uma|não|são|artigo|lei|concordância|verbo)\b"
+LEAST_TEXT, MOST_LINKS, MOST_CALLS, HINT_CHARS, LEAST_SENTENCE = 1200, 0.25, 0.2, 2000, 20
+#: What posts about exams say, their addresses, and those that lead to files.
+EXAM_TALK = r"\b(concursos?|editais?|edital|oab|provas?|gabarito|inscri[cç]([aã]o|[oõ]es)|banca|cespe|cebraspe|fcc|fgv|vunesp|cesgranrio|conte[uú]do\s+program)"
+OPEN_HINT = r"\b(inscri[cç][oõ]es?\s+abertas?|edital\s+(?:publicado|de\s+abertura)|concurso\s+aberto|aceita\s+inscri|prazo\s+de\s+inscri)"
+POST_URL = r"https?://[^\s<>\"'）)\]]+"
+POST_SOCIAL = "instagram.com facebook.com twitter.com x.com tiktok.com youtube.com youtu.be linkedin.com pinterest.com tumblr.com reddit.com redd.it whatsapp.com telegram.me t.me telegram.org".split()
+FILE_URL, FILE_PATH = r"\.(pdf|docx?|odt|rtf|xlsx?|pptx?)(?:$|[?#])", r"/(edital|prova|gabarito|caderno|retifica)"
+FILE_HOST, FILE_WORD = r"drive\.google\.com|docs\.google\.com|dropbox\.com|mediafire\.com", r"\b(edital|prova|gabarito|caderno|retifica|programa)\b"
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 
 
@@ -179,3 +192,33 @@ def media_allowed(url: Column, hosts: list[str] = MEDIA_HOSTS) -> Column:
     host = F.lower(F.regexp_extract(href, r"^https://([^/?#:@]+)(?::\d+)?(?:[/?#]|$)", 1))
     relative = F.regexp_like(href, F.lit(r"^/(?!/)")) & ~href.contains("\\")
     return relative | ((host != "") & within(host, hosts))
+
+
+def after_fetch(text: Column, html: Column) -> Column:
+    """Why a fetched page is no knowledge, or null: too short, too many links, too many sentences that call to act, or not in Portuguese."""
+    has = lambda c, p: F.regexp_like(c, F.lit(spark_regex(p)))
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda b: F.char_length(trim(b)) > LEAST_SENTENCE)
+    calls = F.size(F.filter(sentences, lambda b: has(b, CALLS_TO_ACT))) / F.greatest(F.size(sentences), F.lit(1))
+    return (
+        F.when(F.char_length(text) < LEAST_TEXT, "too_short")
+        .when(anchor_share(html) > MOST_LINKS, "link_density")
+        .when(calls > MOST_CALLS, "cta_ratio")
+        .when(~has(F.substring(text, 1, HINT_CHARS), PORTUGUESE), "language")
+    )
+
+
+def post_signal(text: Column) -> Column:
+    """struct(relevant, reason, files) of a post: whether it talks of exams, and its links to files that are not on social hosts."""
+    has = lambda c, p: F.regexp_like(c, F.lit(spark_regex(p)))
+    urls = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)" + POST_URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?)\]}>]+$", "")))
+
+    def is_file(u: Column) -> Column:
+        host = host_of(F.lower(u))
+        return (host != "") & ~within(host, POST_SOCIAL) & (has(u, FILE_URL) | has(u, FILE_PATH) | has(u, FILE_HOST) | has(F.concat(text, F.lit(" "), u), FILE_WORD))
+
+    def told(files: Column) -> Column:
+        talk, some = has(text, EXAM_TALK) | has(text, OPEN_HINT), F.size(files) > 0
+        reason = F.when(talk & some, "exam talk + file link(s)").when(talk, "exam talk only").when(some, "outbound exam-like file link without exam keywords").otherwise("no exam talk or file links")
+        return F.struct((talk | some).alias("relevant"), reason.alias("reason"), files.alias("files"))
+
+    return let(F.filter(urls, is_file), told)

@@ -156,3 +156,49 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if rows.inputFiles()[0].endswith(f"/{name}.parquet"):
         return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return stream.parquet(path)
+
+
+# Seconds that a circuit stays open after a hard failure, and at first and at most after a passing one.
+HARD_SECONDS, FIRST_SECONDS, MOST_SECONDS = 6 * 3600.0, 30.0, 3600.0
+HARD, UNCOUNTED = ("authentication", "billing"), ("budget", "policy", "invalid_response")
+
+
+def circuit_step(state: tuple[str, float, int], now: float, failure: str | None) -> tuple[bool, tuple[str, float, int]]:
+    """Whether a call at ``now`` (seconds) is let through, and the circuit's state after it: (state, open until, attempt). ``failure`` is the class of its error, None if it succeeds.
+
+    An open circuit lets nothing through; when its time is over one call probes it (half open). A success closes it; a failure opens it for six hours
+    if hard, else for 30 s doubled with every attempt up to an hour; failures that say nothing about the provider change nothing.
+    """
+    name, until, attempt = state
+    if name != "healthy" and until > now:
+        return False, state
+    if name == "open":
+        state = name, until, attempt = "half_open", 0.0, attempt
+    if failure is None:
+        return True, ("healthy", 0.0, 0)
+    if failure in UNCOUNTED:
+        return True, state
+    attempt = 0 if name == "healthy" else attempt + 1
+    wait = HARD_SECONDS if failure in HARD else min(FIRST_SECONDS * 2.0**attempt, MOST_SECONDS)
+    return True, ("open", now + wait, attempt)
+
+
+def circuits(calls: DataFrame) -> DataFrame:
+    """(capability, call, admitted, state, open_until, attempt) of calls (capability, call, at in seconds, failure), in order; the circuit of each capability is kept across micro-batches."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        now = state.get if state.exists else ("healthy", 0.0, 0)
+        rows = pd.concat(list(batches)).sort_values(["at", "call"])
+        out = []
+        for call, at, failure in zip(rows["call"], rows["at"], rows["failure"]):
+            ok, now = circuit_step(now, at, failure if isinstance(failure, str) else None)
+            out.append((key[0], call, ok, *now))
+        state.update(now)
+        yield pd.DataFrame(out, columns=["capability", "call", "admitted", "state", "open_until", "attempt"])
+
+    rows = calls.select("capability", "call", "at", "failure")
+    out = "capability long, call long, admitted boolean, state string, open_until double, attempt int"
+    return rows.groupBy("capability").applyInPandasWithState(step, out, "state string, open_until double, attempt int", "append", GroupStateTimeout.NoTimeout)
