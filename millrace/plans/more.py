@@ -132,18 +132,6 @@ def import_pass(t):
     return new.select("page_id", "url", F.when(F.col("url").contains("/en/"), "specification").otherwise("unknown").alias("role"))
 
 
-@query("ex_01", f"SELECT page_id, {TITLE} AS title, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '') AS heading, regexp_extract(html, '<html[^>]*lang=\"([a-z]+)\"', 1) AS lang FROM pages")
-def detail_page(t):
-    heading = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"\s+", " "))
-    return t.pages.select("page_id", P.title_of(F.col("html")).alias("title"), F.nullif(heading, F.lit("")).alias("heading"), F.regexp_extract("html", r'<html[^>]*lang="([a-z]+)"', 1).alias("lang"))
-
-
-@query("ex_02", f"WITH l AS (SELECT {HOST} AS host, count(*) AS listings, count(*) FILTER (length(html) > 3000) AS documents FROM pages GROUP BY 1) SELECT host, documents >= 0.6 * listings AS detail FROM l")
-def self_detail(t):
-    counts = t.pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("listings"), F.count_if(F.char_length("html") > 3000).alias("documents"))
-    return counts.select("host", (F.col("documents") >= 0.6 * F.col("listings")).alias("detail"))
-
-
 @query("ex_05", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-ZÉÈ][a-zéèê]{6,}')))[1:6], ',') AS emphasis FROM documents")
 def emphasis(t):
     found = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-ZÉÈ][a-zéèê]{6,})"), F.lit(1))))

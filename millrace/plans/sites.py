@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import host_of, let, squeeze
+from millrace.functions.text import host_of
 from millrace.operators.roles import has as like
 from millrace.plans import Catalog
 from millrace.plans.roles import SPACES, has, quoted
 from millrace.plans.web import HOST, TITLE
 from millrace.sources import pages as P
+from millrace.sources.detail import NO_EXAM, OAB, PUBLIC, UNTIL, WINDOWS, exam_kind, registration_window
 
 catalog = Catalog()
 query = catalog.query
@@ -25,8 +26,6 @@ ALLOWED = {
     "style_profile": ("evidence", "mixed"),
     "catalog_metadata": ("specification", "administrative", "mixed"),
 }
-NO_EXAM = r"\b(CFP|certifica[çc][ãa]o|vestibular|mestrado|resid[êe]ncia m[ée]dica|processo seletivo de faculdade)\b"
-OAB, PUBLIC = r"\boab\b|exame\s+de\s+ordem", r"\bconcurso\s+p[uú]blico\b"
 OFFICIAL = r"\.(gov|jus|leg|edu|mil)\.br$"
 BANCA = (
     r"(vunesp|fundação\s+carlos\s+chagas|fundacao\s+carlos\s+chagas|\bfcc\b|fgv|cebraspe|cespe|cesgranrio|consulplan|ibfc|quadrix|idecan|fundetec|fundatec|aocp|instituto\s+aocp|iades|bamsp|ibam)"
@@ -35,13 +34,6 @@ EXAM_WORDS = r"\b(concursos?|editais?|edital|oab|provas?|gabarito|inscri[cç]([a
 KIND_BASE = {
     "legislation": 0.95, "standards_body": 0.9, "banca_portal": 0.9, "official_gazette": 0.85, "gov": 0.85, "edu": 0.75, "educational_site": 0.5, "aggregator": 0.3, "unknown": 0.2,
 }
-WINDOWS = (
-    r"inscri[çc][õo]es?\s*:?\s+(?:de\s+)?([0-9]{1,2}/[0-9]{1,2}(?:/[0-9]{2,4})?)\s+(?:a|at[ée])\s+([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})",
-    r"per[ií]odo\s+de\s+inscri[çc][õo]es?\s*:?\s*(?:de\s+)?([0-9]{1,2}/[0-9]{1,2}(?:/[0-9]{2,4})?)\s+(?:a|at[ée])\s+([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})",
-    r"inscri[çc][õo]es?\s+abertas?\s+(?:de\s+)?([0-9]{1,2}/[0-9]{1,2}(?:/[0-9]{2,4})?)\s+(?:a|at[ée])\s+([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})",
-)
-UNTIL = r"inscri[çc][õo]es?\s+(?:abertas\s+)?at[ée]\s+([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})"
-
 #: page_id, url, title, text, kind, score of literal sites.
 CASES = [
     ("https://www.fgv.br/concurso/x-2026", "Concurso Transpetro 2026", "MESTRADO E PÓS", "banca_portal", None),
@@ -72,13 +64,6 @@ def capabilities(t):
     return cells.join(own, "role", "left").select("capability", "role", "allowed", F.when(F.col("allowed"), F.coalesce("n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("documents"))
 
 
-def exam_kind(title: Column, text: Column) -> Column:
-    """oab, concurso, vestibular or other; a title that says concurso settles it."""
-    blob = F.regexp_replace(F.concat_ws(" ", title, text), "<[^>]+>", " ")
-    settled = like(title, r"\bconcurso\b") & ~like(title, NO_EXAM) & ~like(title, r"\bvestibular\b")
-    return F.when(like(blob, OAB), "oab").when(settled, "concurso").when(like(blob, r"\bvestibular\b") & ~like(blob, PUBLIC), "vestibular").when(like(blob, NO_EXAM) & ~like(blob, PUBLIC), "other").otherwise("concurso")
-
-
 BLOB = "regexp_replace(concat_ws(' ', title, text), '<[^>]+>', ' ', 'g')"
 
 
@@ -150,33 +135,6 @@ def direct_kinds(t):
     return _sites(t).select("page_id", kind.alias("kind"), role.alias("role"))
 
 
-def brazilian_date(text: Column) -> Column:
-    """d/m/yy or d/m/yyyy; days over a month's end run on into the next, as long as they are at most 31."""
-
-    def made(p: Column) -> Column:
-        day, month, year = (F.get(p, F.lit(k)) for k in range(3))
-        return F.when(month.between(1, 12) & day.between(1, 31), F.date_add(F.make_date(F.when(year < 100, year + 2000).otherwise(year), month, F.lit(1)), day - 1))
-
-    return F.when(F.regexp_like(text, F.lit("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}$")), let(F.transform(F.split(text, "/"), lambda x: x.try_cast("int")), made))
-
-
-def registration_window(text: Column) -> Column:
-    """struct(start, end) of the first range form that gives two dates, else of an end alone; a start without a year has the end's."""
-    both = lambda w: F.when(w.start.isNotNull() & w.end.isNotNull(), w)
-
-    def window(found: Column) -> Column:
-        first, end = F.get(found, F.lit(0)), F.get(found, F.lit(1))
-        start = F.when(F.regexp_like(first, F.lit("/.*/")), first).otherwise(F.concat_ws("/", first, F.substring_index(end, "/", -1)))
-        return let(F.struct(brazilian_date(start).alias("start"), brazilian_date(end).alias("end")), both)
-
-    def read(plain: Column) -> Column:
-        ranges = [let(F.array(*(F.regexp_extract(plain, "(?iu)" + p, k) for k in (1, 2))), window) for p in WINDOWS]
-        last = let(brazilian_date(F.regexp_extract(plain, "(?iu)" + UNTIL, 1)), lambda d: F.when(d.isNotNull(), F.struct(d.alias("start"), d.alias("end"))))
-        return F.coalesce(*ranges, last)
-
-    return let(squeeze(text), read)
-
-
 REGISTRATION = ["Inscrições: de 12/08 a 21/09/2026", "INSCRIÇÃO 1/2/24 até 31/02/24", "Período de inscrições:\n01/03/2025 a\t15/03/2025", "inscrições abertas 5/5/2025 a 6/6/2025", "Inscrições abertas até 9/9/25", "inscrição até 40/13/2025", "inscrições 40/01/2025 a 02/02/2025, inscrições até 03/02/2025", "nada", ""]
 DATE_SQL = lambda x: f"CASE WHEN regexp_full_match({x}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}') AND split_part({x}, '/', 2)::INT BETWEEN 1 AND 12 AND split_part({x}, '/', 1)::INT BETWEEN 1 AND 31 THEN make_date(CASE WHEN split_part({x}, '/', 3)::INT < 100 THEN split_part({x}, '/', 3)::INT + 2000 ELSE split_part({x}, '/', 3)::INT END, split_part({x}, '/', 2)::INT, 1) + (split_part({x}, '/', 1)::INT - 1) END"
 RANGES = ", ".join(f"regexp_extract(x, '(?i){p}', 1) AS f{i}, regexp_extract(x, '(?i){p}', 2) AS e{i}" for i, p in enumerate(WINDOWS))
