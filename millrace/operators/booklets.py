@@ -279,3 +279,19 @@ def document_class(label: Column, href: Column) -> Column:
 def passed(correct: Column, score: Column) -> Column:
     """Whether both papers are passed: 40 of 80, and 6 of 10 without rounding."""
     return (correct >= PASS_CORRECT) & (score >= PASS_SCORE)
+
+
+#: Phases of an edition, as slugs and titles name them.
+PHASES = {"objective": ("1-fase", "1ª fase (prova objetiva)"), "practical": ("2-fase", "2ª fase (prático-profissional)")}
+
+
+def catalogue(numbers: DataFrame) -> DataFrame:
+    """(number, phase, status, slug, title) of the editions (number) that exist; only the newest is open."""
+    from millrace.operators.syllabus import slug_key
+
+    labels = F.create_map(*[x for n in EDITIONS for x in (F.lit(n), F.lit(edition_label(n)))])
+    rows = numbers.where(F.col("number").isin(*EDITIONS)).withColumn("label", F.element_at(labels, F.col("number").cast("int")))
+    phases = F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(s).alias("suffix"), F.lit(t).alias("long")) for p, (s, t) in PHASES.items()]))
+    rows = rows.select("number", "label", phases.alias("p"))
+    status = F.when(F.col("number") >= max(EDITIONS), "open").otherwise("closed")
+    return rows.select("number", "p.phase", status.alias("status"), F.concat_ws("-", F.lit("oab"), slug_key(F.col("label")), "p.suffix").alias("slug"), F.concat("label", F.lit(" Exame de Ordem Unificado — "), "p.long").alias("title"))

@@ -66,6 +66,38 @@ def question_blocks(papers: DataFrame, key: str, text: str) -> DataFrame:
     return papers.select(key, text).mapInArrow(run, f"{key} {kind}, number int, prompt string, options array<string>")
 
 
+PASSAGE = re.compile(r"Texto\s+para\s+as\s+quest(?:ões|oes)\s+(\d+)\s+a\s+(\d+)\s*[:.\-]?\s*", re.I)
+HEADER = re.compile(r"(?:^|\n)\s*(?:quest(?:ão|ao)\s*)?(\d{1,3})\s*[-.)]\s+", re.I)
+
+
+def passages_of(text: str | None) -> dict[int, str]:
+    """The passage that each question shares: what stands between its announcement and the next question. Of two for a question the later counts."""
+    text, found = (text or "").replace("\r\n", "\n"), {}
+    for m in PASSAGE.finditer(text):
+        first, last = int(m[1]), int(m[2])
+        after = HEADER.search(text, m.end())
+        # a header at the very start of what follows needs the line end before it
+        passage = _squeezed(text[m.end() : after.start() if after else len(text)])
+        if 1 <= first <= last and passage:
+            found |= dict.fromkeys(range(first, last + 1), passage)
+    return found
+
+
+def passages(papers: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, number, passage) of every question that shares a passage."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(k, n, p) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for n, p in passages_of(t).items()]
+            columns = list(zip(*rows)) or [[], [], []]
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [key, "number", "passage"])
+
+    return papers.select(key, text).mapInArrow(run, f"{key} {papers.schema[key].dataType.simpleString()}, number int, passage string")
+
+
 def keyed_questions(blocks: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Questions with distinct options and a known answer: correct_index (null if annulled) and status. ``keys`` has key, number, answer."""
     tidy = F.transform("options", lambda o: F.lower(trim(o)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import B, fold, let, squeeze, trim
+from millrace.functions.text import B, fold, host_of, let, squeeze, trim
 from millrace.operators.curation import metadata_probability, spark_regex, token_set_ratio
 
 # Hints by words of a label or address, first match wins: (kind, role, pattern).
@@ -44,7 +44,6 @@ LISTING = (
     r"|sal[aá]rio(?:\s+base)?|banca\s+organizadora|associa[cç][aã]o\s+(?:oferece|brasileira|que\s+realiza)|exame\s+para\s+certifica|certifica[cç][aã]o\s+[—\-]|portal\s+do\s+candidato"
     r"|est[aá]\s+promovendo|oferecido\s+por\s+qual\s+institui)\b"
 )
-INVISIBLE = "​‌‍⁠﻿"
 
 
 def first_match(text: Column, rules, otherwise: str | None = None) -> Column:
@@ -220,3 +219,21 @@ def relevance_verdict(item: Column) -> Column:
         when(like(prompt, PROGRAMME_STEM), "tests_syllabus_meta"), when(near(item.previous), "copied_previous_question"), when(near(item.stems), "duplicate_question"),
     )
     return F.struct(F.array_compact(reasons).alias("reasons"), F.array_compact(F.array(when(like(prompt, TEMPORAL) & ~like(blob, LEGAL), "temporally_dependent"))).alias("review"))
+
+
+def primary_domain(evidence: Column) -> Column:
+    """The host of the first address among an evidence's; null without any."""
+    hosts = F.transform(F.coalesce(evidence, F.array().cast("array<string>")), lambda u: host_of(u))
+    return F.get(F.filter(hosts, lambda h: h != ""), F.lit(0))
+
+
+def is_keyed(kind: Column, options: Column, correct: Column, selected: Column) -> Column:
+    """Whether an answer can be graded by its key: multiple choice of two options at least, a key among them, and a choice made."""
+    return F.coalesce((kind == "MULTIPLE_CHOICE") & (options >= 2) & (correct >= 0) & (correct < options) & selected.isNotNull(), F.lit(False))
+
+
+def downgraded(decision: Column, reasons: Column, stem: Column) -> Column:
+    """struct(decision, reasons): what is published goes to review if its stem depends on the present and cites no law."""
+    like = lambda p: F.regexp_like(stem, F.lit(spark_regex(p)))
+    soft = (decision == "published") & like(TEMPORAL) & ~like(LEGAL)
+    return F.struct(F.when(soft, "needs_review").otherwise(decision).alias("decision"), F.when(soft, F.array_append(reasons, F.lit("temporally_dependent"))).otherwise(reasons).alias("reasons"))

@@ -362,3 +362,13 @@ def merged_leaves(previous: DataFrame, corrected: DataFrame, key: str = "exam")
     kept = previous.join(gone, [key, "node"], "left_anti").select(key, "node", F.lit("kept").alias("origin"), "place", "title", "path")
     order = W.partitionBy(key).orderBy((F.col("origin") == "kept").cast("int"), "place", "node")
     return mine.unionByName(kept).withColumn("place", F.row_number().over(order) - 1)
+
+
+def next_version(versions: DataFrame, nodes: DataFrame, key: str = "exam") -> DataFrame:
+    """Nodes of the version after the last one of each exam (1 for the first): version, and the ordinal of the parent, which is the last node of the parent's path made before; nodes are made by depth."""
+    made = nodes.withColumn("made", F.row_number().over(W.partitionBy(key).orderBy("depth", "ordinal")))
+    above = made.select(key, F.col("path").alias("parent"), F.col("made").alias("made_before"), F.col("ordinal").alias("parent_ordinal"))
+    found = made.join(above, [key, "parent"]).where("made_before < made").groupBy(key, "made").agg(F.max_by("parent_ordinal", "made_before").alias("parent_ordinal"))
+    last = versions.groupBy(key).agg(F.max("version").alias("last"))
+    rows = made.join(found, [key, "made"], "left").join(last, key, "left")
+    return rows.select(key, (F.coalesce("last", F.lit(0)) + 1).alias("version"), "ordinal", "depth", "path", "parent_ordinal")

@@ -39,11 +39,6 @@ def answer_keys(t):
     return t.documents.select("doc_id", text.alias("t")).select("doc_id", F.inline(I.answer_key(F.col("t"))))
 
 
-@query("ev_02", "SELECT n_nationkey, unnest(generate_series(n_nationkey, n_nationkey + n_regionkey)) AS question FROM nation")
-def passage_ranges(t):
-    return t.nation.select("n_nationkey", F.explode(F.sequence(F.col("n_nationkey").cast("long"), (F.col("n_nationkey") + F.col("n_regionkey")).cast("long"))).alias("question"))
-
-
 @query("va_02", "SELECT vec_id, abs(a + b + c - 1) <= 1e-3 AND a BETWEEN 0 AND 1 AND b BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1 AS ok FROM (SELECT vec_id, (vec_id % 7) / 10.0 AS a, (vec_id % 5) / 10.0 AS b, CASE WHEN vec_id % 3 = 0 THEN 0.5 ELSE 1 - (vec_id % 7) / 10.0 - (vec_id % 5) / 10.0 END AS c FROM embeddings)")
 def distributions(t):
     k = F.col("vec_id")
@@ -119,16 +114,6 @@ def document_detail(t):
     return ranked.groupBy("doc_id").agg(F.count("*").alias("sections"), F.substring(F.array_join(head, " "), 1, 600).alias("preview"))
 
 
-@query("wn_21", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (1, 5, 9) ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50")
-def units_by_ids(t):
-    return t.lineitem.where(F.col("l_partkey").isin(1, 5, 9)).orderBy(F.desc("l_shipdate"), "l_orderkey", "l_linenumber").limit(50).select("l_partkey", "l_orderkey", "l_linenumber")
-
-
-@query("wn_22", "SELECT c_nationkey, c_mktsegment, max(c_custkey) AS latest FROM customer GROUP BY ALL")
-def latest_profile(t):
-    return t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.max("c_custkey").alias("latest"))
-
-
 @query("wn_12", "WITH o AS (SELECT o_orderkey, o_totalprice, o_orderstatus = 'P' AS open, count(*) FILTER (o_orderstatus = 'P') OVER () AS n FROM orders) SELECT o_orderkey FROM o WHERE open OR n = 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
 def open_window_fallback(t):
     """The open ones if there are any, else all: one count, broadcast."""
@@ -145,13 +130,6 @@ def mentions(t):
     return parts(t.documents, "doc_id").join(parts(t.benchmark, "item_id"), "p").select("doc_id", "item_id").distinct()
 
 
-@query("gt_02", "SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 3 = 0 AND toxic = 0 THEN 'needs_review' WHEN quality = 1 THEN 'published' ELSE 'failed' END AS decision FROM labels")
-def soft_downgrade(t):
-    decision = F.when(F.col("quality") == 1, "published").otherwise("failed")
-    temporal = (F.col("doc_id") % 3 == 0) & (F.col("toxic") == 0)
-    return t.labels.select("doc_id", F.when((decision == "published") & temporal, "needs_review").otherwise(decision).alias("decision"))
-
-
 @query("gt_03", "SELECT CASE WHEN quality = 1 THEN 'published' ELSE 'failed' END AS decision, count(*) AS verdicts, sum(toxic)::BIGINT AS flagged FROM labels GROUP BY 1")
 def verdict_metrics(t):
     return t.labels.groupBy(F.when(F.col("quality") == 1, "published").otherwise("failed").alias("decision")).agg(F.count("*").alias("verdicts"), F.sum("toxic").alias("flagged"))

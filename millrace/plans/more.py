@@ -43,12 +43,6 @@ def posts(t):
     return rows.select("conv_id", "turn", "s.relevant", "s.reason", F.array_join(F.array_sort("s.files"), " ").alias("files"))
 
 
-@query("mp_05", "SELECT l_orderkey, l_linenumber, p_partkey, 0.85::DOUBLE AS score FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND p_brand = 'Brand#11'")
-def topic_hint(t):
-    hinted = t.lineitem.where("l_linenumber = 1").join(t.part.where("p_brand = 'Brand#11'"), F.col("p_partkey") == F.col("l_partkey"))
-    return hinted.select("l_orderkey", "l_linenumber", "p_partkey", F.lit(0.85).alias("score"))
-
-
 @query("va_01", "SELECT event_id, greatest(0.0, least(1.0, round(value / 100, 6)))::DOUBLE AS score, CASE WHEN event_id % 3 = 0 THEN NULL ELSE greatest(0.0, least(1.0, round(value / 50 - 1, 6))) END::DOUBLE AS relevance FROM events")
 def judge_reply(t):
     reply = F.to_json(F.struct(F.round(F.col("value") / 100, 6).alias("score"), F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") / 50 - 1, 6)).alias("relevance")))
@@ -132,18 +126,6 @@ def import_pass(t):
     return new.select("page_id", "url", F.when(F.col("url").contains("/en/"), "specification").otherwise("unknown").alias("role"))
 
 
-@query("ex_05", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-ZÉÈ][a-zéèê]{6,}')))[1:6], ',') AS emphasis FROM documents")
-def emphasis(t):
-    found = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-ZÉÈ][a-zéèê]{6,})"), F.lit(1))))
-    return t.documents.select("doc_id", F.array_join(F.slice(found, 1, 6), ",").alias("emphasis"))
-
-
-@query("ex_08", "SELECT n_nationkey, CASE WHEN n_nationkey = (SELECT max(n_nationkey) FROM nation) THEN 'open' ELSE 'closed' END AS status FROM nation")
-def editions(t):
-    newest = F.broadcast(t.nation.agg(F.max("n_nationkey").alias("newest")))
-    return t.nation.crossJoin(newest).select("n_nationkey", F.when(F.col("n_nationkey") == F.col("newest"), "open").otherwise("closed").alias("status"))
-
-
 @query("gd_02", "SELECT o_custkey, count(*) AS answered, CASE WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN round(avg((o_orderstatus = 'F')::INT) * 100, 4) END AS score FROM orders GROUP BY 1")
 def completion(t):
     """A score only when nothing is pending."""

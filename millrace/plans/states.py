@@ -223,11 +223,6 @@ def ancestors(t):
     return T.cursor_walk(nodes, "node", "parent", 12)
 
 
-@query("sy_05", "SELECT s_nationkey, count(*) AS version, max(s_suppkey) AS newest FROM supplier GROUP BY 1")
-def versions(t):
-    return t.supplier.groupBy("s_nationkey").agg(F.count("*").alias("version"), F.max("s_suppkey").alias("newest"))
-
-
 @query("gd_01", """WITH a AS (SELECT conv_id, turn - 1 AS turn, list_filter(string_split(lower(text), ' '), lambda w: length(w) > 4)[1:5] AS words FROM conversations WHERE role = 'assistant')
 SELECT c.conv_id, c.turn, len(list_filter(words, lambda w: contains(lower(text), w))) >= ceil(0.4 * len(words)) AS passed FROM conversations c JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn WHERE c.role = 'user'""")
 def open_grading(t):
@@ -239,11 +234,6 @@ def open_grading(t):
     return asked.join(key, ["conv_id", "turn"]).select("conv_id", "turn", (held >= F.ceil(0.4 * F.size("words"))).alias("passed"))
 
 
-@query("va_05", "SELECT quality, toxic, count(*) AS n, count(*) FILTER (quality = toxic) AS agree FROM labels GROUP BY ALL")
-def agreement(t):
-    return t.labels.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == F.col("toxic")).alias("agree"))
-
-
 @query("va_06", "SELECT conv_id, turn, chr(CAST(65 + turn % 4 AS INT)) || ') ' || text AS shown FROM conversations")
 def rendering(t):
     return t.conversations.select("conv_id", "turn", F.concat(F.char((F.lit(65) + F.col("turn") % 4).cast("int")), F.lit(") "), F.col("text")).alias("shown"))

@@ -194,13 +194,6 @@ def structure(t):
     return t.documents.select("doc_id", F.round(P.structure_score(F.col("text")), 6).alias("structure"))
 
 
-@query("wn_11", f"SELECT page_id, (regexp_matches({TITLE}, '(?i)tion'))::INT * 3 + (length({TITLE}) > 40)::INT * 2 - (url LIKE '%?%')::INT AS score FROM pages ORDER BY score DESC, page_id LIMIT 50")
-def likeness_rank(t):
-    title = P.title_of(F.col("html"))
-    score = F.regexp_like(title, F.lit("(?i)tion")).cast("int") * 3 + (F.char_length(title) > 40).cast("int") * 2 - F.col("url").contains("?").cast("int")
-    return t.pages.select("page_id", score.alias("score")).orderBy(F.desc("score"), "page_id").limit(50)
-
-
 @query("ex_03", r"""SELECT page_id, regexp_matches(html, '(?i)id="(root|app)"') OR length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) < 2000 AS shell FROM pages""")
 def spa_shell(t):
     visible = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), r"\s+", " "))

@@ -156,3 +156,33 @@ def self_details(details: DataFrame, listed: DataFrame, documents: DataFrame, ke
     rows = details.join(told, key, "left")
     mostly = F.coalesce(F.col("held") / F.col("links") >= SELF_SHARE, F.lit(True))
     return rows.select(key, (F.col("end_day").isNotNull() & (F.col("n_documents") > 0) & mostly).alias("own"))
+
+
+#: Addresses of exams of a year, as the last words of a slug and anywhere in it.
+YEARLY = (r"/concursos?/[^/?#]+-(20\d{2})(?:/|$)", r"/concursos?/[^/?#]*?(20\d{2})(?:/|$)")
+
+
+def listed_exams(links: DataFrame, today: Column) -> DataFrame:
+    """What a listing's link (title, href, domain, text) tells of an exam, added to it: org, banca, edition, slug, kind, emphasis, edital, status, source.
+
+    A window decides whether it is open, else wording or an address of this year or later; an edition of a past year is never open.
+    """
+    title, href, text = squeeze(F.col("title")), F.col("href"), F.coalesce("text", F.lit(""))
+    year = lambda c, p: F.regexp_extract(c, "(?i)" + p, 1).try_cast("int")
+    rows = links.withColumn("title", title)
+    title = F.col("title")
+    rows = rows.withColumns({"org": F.coalesce(_first(title, HOLDER), _first(F.col("domain"), HOLDER)), "banca": _first(title, SETTER), "edition": edition_key(F.lit(""), title, href), "window": registration_window(F.concat_ws(" ", F.nullif(text, F.lit("")), title)), "path": path_slug(href)})
+    named = F.when(F.col("org").isNotNull() & F.col("edition").isNotNull(), F.concat(slug_key(F.col("org")), F.lit("-"), "edition"))
+    rows = rows.withColumn("slug", F.coalesce("path", named, slug_key(F.substring("title", 1, 80))))
+    told = F.regexp_extract(F.concat_ws(" ", "edition", "slug", "title", "href", F.col("window.end").cast("string")), r"(?<![A-Za-z0-9_])(20\d{2})(?![A-Za-z0-9_])", 1).try_cast("int")
+    this_year = F.coalesce(told >= F.year(today), F.lit(True))
+    by_address = F.coalesce(year(href, YEARLY[0]) >= F.year(today), F.lit(False)) | F.coalesce(year(href, YEARLY[1]) >= F.year(today), F.lit(False))
+    likely, dated = this_year & (like(title, OPEN_HINT) | by_address), F.col("window").isNotNull()
+    is_open = F.when(dated, this_year & today.between(F.col("window.start"), F.col("window.end"))).otherwise(likely)
+    emphasis = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(title, F.lit(spark_regex(EMPHASIS)), 0), squeeze)), 1, MOST_EMPHASIS)
+    return rows.withColumns(
+        {
+            "kind": exam_kind(title, text), "emphasis": emphasis, "edital": F.when(like(href, "edital|pdf"), href),
+            "status": F.when(is_open, "open").otherwise("unknown"), "source": F.when(dated, "date").when(likely, "regex"),
+        }
+    ).drop("window", "path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import squeeze
@@ -19,6 +20,9 @@ SKIPPED = r"inscri[cç][ãa]o\s+online|boleto|cart[ãa]o\s+de\s+confirma[çc][ã
 PDF, DOCUMENT_LABEL = r"\.pdf(\?|#|$)", r"\bedital\b|\bprova\b|\bgabarito\b|\bretifica|\bprograma\b"
 DECODED = (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"))
 LEAST_TITLE, LEAST_LABEL = 8, 3
+#: What an address or title of an exam shows, and what that counts.
+LIKENESS = (("href", r"/concurso/", 12), ("href", r"/provas?/", 8), ("href", r"\.pdf(\?|#|$)", 6), ("blob", r"edital|inscri", 3), ("href", r"page_category|noticias|avaliacao#|em-andamento|concluidos|ucat=", -12))
+DATED, DATED_POINTS = (r"\b20\d{2}\b", r"/[^/]*20\d{2}"), 5
 
 
 def decoded(text: Column) -> Column:
@@ -99,3 +103,24 @@ def document_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     title, href = F.col("title"), F.col("href")
     rows = anchors(pages, key).where((F.char_length(title) >= LEAST_LABEL) & ~like(title, SKIPPED) & ~like(href, SKIPPED) & (like(href, PDF) | like(title, DOCUMENT_LABEL)))
     return _first(rows, key).withColumn("kind", document_hint(F.concat_ws(" ", title, href))[0])
+
+
+def exam_likeness(title: Column, href: Column) -> Column:
+    """How much a link looks like an exam's."""
+    like = lambda c, p: F.regexp_like(c, F.lit(spark_regex(p)))
+    text = {"href": href, "blob": F.concat_ws(" ", title, href)}
+    score = F.when(like(title, DATED[0]) | like(href, DATED[1]), DATED_POINTS).otherwise(0)
+    for field, pattern, points in LIKENESS:
+        score = score + F.when(like(text[field], pattern), points).otherwise(0)
+    return score
+
+
+def open_listings(links: DataFrame, patterns: list[str], year: int, key: str = "page_id") -> DataFrame:
+    """(key, place, href, score) of a listing's links of this year or later: those that look open if there are any, in their order; else all, the likest first."""
+    told = F.regexp_extract(F.concat_ws(" ", "title", "href"), r"(?<![A-Za-z0-9_])(20[0-9]{2})(?![A-Za-z0-9_])", 1).try_cast("int")
+    rows = links.withColumn("score", exam_likeness(F.col("title"), F.col("href"))).where(F.coalesce(told >= year, F.lit(True)))
+    rows = rows.withColumn("open", matches_any(F.concat_ws(" ", "title", "href"), patterns) & F.lit(bool(patterns)))
+    some = F.max(F.col("open").cast("int")).over(W.partitionBy(key)) == 1
+    rows = rows.withColumn("some", some).where(~F.col("some") | F.col("open"))
+    order = W.partitionBy(key).orderBy(F.when(F.col("some"), 0).otherwise(-F.col("score")), "pos", "href")
+    return rows.select(key, (F.row_number().over(order) - 1).alias("place"), "href", "score")
