@@ -126,13 +126,6 @@ def import_pass(t):
     return new.select("page_id", "url", F.when(F.col("url").contains("/en/"), "specification").otherwise("unknown").alias("role"))
 
 
-@query("gd_02", "SELECT o_custkey, count(*) AS answered, CASE WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN round(avg((o_orderstatus = 'F')::INT) * 100, 4) END AS score FROM orders GROUP BY 1")
-def completion(t):
-    """A score only when nothing is pending."""
-    done = F.count_if(F.col("o_orderstatus") == "P") == 0
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("answered"), F.when(done, F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")) * 100, 4)).alias("score"))
-
-
 @query("src_09")
 def soup_blocks(t):
     """Headings first, then text blocks. Tested on literal pages."""

@@ -57,13 +57,6 @@ def registration(t):
     return t.orders.select("o_orderkey", F.when(d > _as_of(), "upcoming").when(d + F.expr("INTERVAL 30 DAY") >= _as_of(), "open").when(F.col("o_orderstatus") == "P", "unknown").otherwise("closed").alias("status"))
 
 
-@query("lc_04", "SELECT l_orderkey, CASE WHEN count(DISTINCT year(l_shipdate)) = 1 THEN any_value(year(l_shipdate)) END AS year FROM lineitem GROUP BY 1")
-def year_resolution(t):
-    """Conflicting years give none."""
-    years = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.year("l_shipdate")).alias("y"))
-    return years.select("l_orderkey", F.when(F.size("y") == 1, F.col("y")[0]).cast("long").alias("year"))
-
-
 @query("lc_05", "SELECT c_custkey, CASE WHEN old = 'F' THEN 'F' WHEN old = 'O' AND new = 'P' THEN 'O' ELSE coalesce(new, old) END AS status FROM (SELECT o_custkey AS c_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS old, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS new FROM orders GROUP BY 1)")
 def sticky_status(t):
     at = F.struct("o_orderdate", "o_orderkey")
