@@ -79,7 +79,12 @@ def tagged_shingles(w: Column) -> Column:
     n = F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))
     shingles = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, F.lit(SHINGLE)), " "))
     copies = lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1))  # noqa: E731  (of a sorted list)
-    numbered = lambda d: F.transform(d, lambda x, i: F.concat_ws(" #", x, i - F.array_position(d, x) + 3))
+
+    def numbered(d: Column) -> Column:
+        """Each run of equal copies counts from 2; runs are found by where they begin, so no copy is looked for."""
+        begins = F.filter(F.transform(d, lambda x, i: F.when(~x.eqNullSafe(F.get(d, i - 1)), i)), lambda i: i.isNotNull())
+        runs = lambda b: F.transform(b, lambda first, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(b, j + 1), F.size(d)) - first - 1), lambda k: F.concat_ws(" #", F.get(d, first), k + 2)))
+        return F.when(F.size(d) > 0, F.flatten(bind(begins, runs))).otherwise(F.array().cast("array<string>"))
 
     def tagged(s: Column) -> Column:
         return F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(F.concat(F.array_distinct(s), bind(bind(F.sort_array(s), copies), numbered)))
@@ -105,18 +110,21 @@ def _starts(p: Column, length: Column, gram: Column, n_text: Column, least: Colu
     n = length - gram + 1
     need = F.ceil(n * THRESHOLD).cast("int")
 
-    def passes(s: Column, i: Column) -> Column:
-        held = F.size(F.filter(F.slice(p, i + 1, n), lambda y: y < s + n))
+    # how many places lie before each position up to the last place
+    before = F.flatten(F.transform(p, lambda x, i: F.array_repeat(i, x - F.coalesce(F.get(p, i - 1), F.lit(-1)))))
+
+    def passes(s: Column, i: Column, ranks: Column) -> Column:
+        held = F.coalesce(F.get(ranks, s + n), F.size(p)) - i
         ours = F.least(s + length, n_text) - F.greatest(s, F.lit(0)) - gram + 1
         within = s.between(F.least(least, F.lit(0)), F.greatest(greatest, n_text - length))
         return within & (held >= THRESHOLD * (n + ours - held))
 
-    def of(x: Column, i: Column) -> Column:
+    def of(x: Column, i: Column, ranks: Column) -> Column:
         first = F.greatest(F.get(p, i + need - 1) - n + 1, F.when(i > 0, F.get(p, i - 1) + 1))
         fits = F.get(p, i + need - 1).isNotNull() & (first <= x)
-        return F.when(fits, F.filter(F.sequence(F.least(first, x), x), lambda s: passes(s, i))).otherwise(F.array().cast("array<int>"))
+        return F.when(fits, F.filter(F.sequence(F.least(first, x), x), lambda s: passes(s, i, ranks))).otherwise(F.array().cast("array<int>"))
 
-    return F.flatten(F.transform(p, of))
+    return bind(before, lambda ranks: F.flatten(F.transform(p, lambda x, i: of(x, i, ranks))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
