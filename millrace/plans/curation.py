@@ -511,11 +511,6 @@ def purge(t):
     return out.where("free AND last < 900").select("key")
 
 
-@query("gt_04", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'quarantined' WHEN quality = 0 THEN 'demoted' ELSE 'published' END AS status FROM labels")
-def demote(t):
-    return t.labels.select("doc_id", F.when(F.col("toxic") == 1, "quarantined").when(F.col("quality") == 0, "demoted").otherwise("published").alias("status"))
-
-
 @query("st_03", rf"SELECT doc_id, pos, regexp_replace(regexp_replace('- ' || line, '^\s*(?:[-*•]|\d+[.)]|[a-zA-Z][)])\s+', ''), '\s+$', '') AS line FROM {LINES}")
 def list_markers(t):
     marked = C.lines_of(t.documents)

@@ -130,31 +130,6 @@ def mentions(t):
     return parts(t.documents, "doc_id").join(parts(t.benchmark, "item_id"), "p").select("doc_id", "item_id").distinct()
 
 
-@query("gt_03", "SELECT CASE WHEN quality = 1 THEN 'published' ELSE 'failed' END AS decision, count(*) AS verdicts, sum(toxic)::BIGINT AS flagged FROM labels GROUP BY 1")
-def verdict_metrics(t):
-    return t.labels.groupBy(F.when(F.col("quality") == 1, "published").otherwise("failed").alias("decision")).agg(F.count("*").alias("verdicts"), F.sum("toxic").alias("flagged"))
-
-
-@query("cr_01", "SELECT text AS artifact, min(doc_id) AS doc_id, count(*) AS seen FROM documents GROUP BY text")
-def registration(t):
-    return t.documents.groupBy(F.col("text").alias("artifact")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen"))
-
-
-@query("cr_02", "SELECT doc_id, CASE WHEN quality = 0 THEN 'evidence' ELSE 'knowledge' END AS role, CASE WHEN quality IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN quality IS NULL THEN 'rules' ELSE 'admin_override' END AS method FROM documents LEFT JOIN labels USING (doc_id)")
-def relabel(t):
-    d = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    q = F.col("quality")
-    return d.select("doc_id", F.when(q == 0, "evidence").otherwise("knowledge").alias("role"), F.when(q.isNull(), 0.5).otherwise(1.0).alias("confidence"), F.when(q.isNull(), "rules").otherwise("admin_override").alias("method"))
-
-
-@query("cr_05", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 'patched' END, o_orderpriority) AS priority, o_orderstatus AS status FROM orders")
-def patch(t):
-    """Only provided fields change."""
-    changes = t.orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("patched").alias("new_priority"), F.lit(None).cast("string").alias("new_status"))
-    both = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus").join(changes, "o_orderkey", "left")
-    return both.select("o_orderkey", F.coalesce("new_priority", "o_orderpriority").alias("priority"), F.coalesce("new_status", "o_orderstatus").alias("status"))
-
-
 @query("sy_07", "SELECT n_nationkey, n_name, coalesce(s, 0) AS units FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey WHERE n_nationkey NOT IN (SELECT n_regionkey FROM nation)")
 def active_leaves(t):
     units = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("units"))
@@ -173,8 +148,3 @@ def triage(t):
     e = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n"), F.max("ts").alias("last"))
     due = F.col("last") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00' - INTERVAL 24 HOUR")
     return e.select("user_id", F.least(F.col("n"), F.lit(3)).alias("attempts"), (due & (F.col("n") < 3)).alias("again"))
-
-
-@query("str_22", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN value END AS score FROM events")
-def hidden_scores(t):
-    return t.events.select("event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("score"))

@@ -103,29 +103,12 @@ def content_address(t):
     return t.pages.select("page_id", F.concat(F.lit("artifacts/"), F.sha2("html", 256)).alias("key"))
 
 
-@query("cr_03", "SELECT l_orderkey, count(*) AS evidence, count(p_partkey) AS resolved FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 20 GROUP BY 1")
-def resolved_evidence(t):
-    known = t.part.where("p_size > 20").select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("hit"))
-    return t.lineitem.join(known, "l_partkey", "left").groupBy("l_orderkey").agg(F.count("*").alias("evidence"), F.count("hit").alias("resolved"))
-
-
-@query("cr_04", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 AND s_suppkey % 2 = 0 THEN 'suspect' ELSE 'active' END AS status FROM supplier")
-def flag_suspects(t):
-    return t.supplier.select("s_suppkey", F.when((F.col("s_acctbal") < 0) & (F.col("s_suppkey") % 2 == 0), "suspect").otherwise("active").alias("status"))
-
-
 @query("cr_07", "SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS place FROM documents ORDER BY doc_id DESC LIMIT 10")
 def snapshot(t):
     listed = t.documents.orderBy(F.desc("doc_id")).limit(10).agg(F.sort_array(F.collect_list("doc_id"), asc=False).alias("ids"))
     return listed.select(F.posexplode("ids").alias("place", "doc_id")).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query("cr_10", "SELECT min(page_id) AS page_id, url, CASE WHEN url LIKE '%/en/%' THEN 'specification' ELSE 'unknown' END AS role FROM pages WHERE page_id >= 10 AND url NOT IN (SELECT url FROM pages WHERE page_id < 10) GROUP BY url")
-def import_pass(t):
-    new = T.insert_or_ignore(t.pages.where("page_id < 10"), t.pages.where("page_id >= 10"), ["url"], [F.col("page_id")])
-    return new.select("page_id", "url", F.when(F.col("url").contains("/en/"), "specification").otherwise("unknown").alias("role"))
-
-
 @query("src_09")
 def soup_blocks(t):
     """Headings first, then text blocks. Tested on literal pages."""

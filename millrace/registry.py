@@ -6,9 +6,9 @@ FLAGSHIP = "chunk_eligibility_by_source"
 
 
 def _catalogs():
-    from millrace.plans import aggregates, booklets, curation, detail, exams, items, joins, layout, likeness, more, passes, planning, portal, records, roles, rules, sites, states, syllabus, web
+    from millrace.plans import aggregates, bank, booklets, curation, detail, exams, items, joins, layout, likeness, more, passes, planning, portal, records, roles, rules, sites, states, syllabus, web
 
-    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules, exams, sites, syllabus, booklets, likeness, planning, layout, portal, detail, records, passes)]
+    return [m.catalog for m in (joins, aggregates, curation, web, states, items, more, roles, rules, exams, sites, syllabus, booklets, likeness, planning, layout, portal, detail, records, passes, bank)]
 
 
 def queries() -> dict:
