@@ -47,20 +47,23 @@ PROVA TIPO 1
 B
 81 1
 C C
+5 6
+2
+D
 """
 
 
 def test_answer_grids(spark):
     rows = B.answer_grids(spark.createDataFrame([("k", KEY)], "id string, text string"), ["id"]).collect()
     found = {(r.booklet, r.number): r.answer for r in rows}
-    # a grid of another width, other letters or with a blank between is none; a lone digit under numbers is a number
-    assert found == {(1, 1): 2, (1, 2): 1, (1, 3): 2, (1, 4): 3, (2, 9): 2, (2, 10): 3} | {}
+    # a grid of another width or of other letters is none, a heading without a digit is the next booklet, later answers replace earlier ones, and a lone digit names a booklet unless it stands under numbers
+    assert found == {(1, 1): 3, (1, 2): 0, (1, 3): 2, (1, 4): 3, (2, 9): 2, (2, 10): 3, (2, 1): 2, (2, 2): 3}
     assert not any(r.definitive for r in rows)
 
 
 def test_correspondence_and_rekeying(spark):
     text = "1 2 3 4\nGABARITO DEFINITIVO\nPROVA TIPO 1\n1 2\nA B\nPROVA TIPO 2\n2 1 3\nA B C\nTabela de correspondência\nTIPO 1 TIPO 2 TIPO 3 TIPO 4\n1 2 1 2   2 1 2 1\n3 4 5\n90 1 1 1\n1 2 3 4 5"
-    keys = spark.createDataFrame([("e", text), ("bare", "PROVA TIPO 1\n1\nC\nPROVA TIPO 3\n1\nC")], "id string, text string")
+    keys = spark.createDataFrame([("e", text), ("bare", "PROVA TIPO 1\n1 2\nC D\nPROVA TIPO 3\n1 2\nC D")], "id string, text string")
     answers, table = B.answer_grids(keys, ["id"]), B.correspondences(keys, ["id"])
     assert {(r.id, r.canonical, r.booklet): r.number for r in table.collect()} == {("e", 1, 1): 1, ("e", 1, 2): 2, ("e", 1, 3): 1, ("e", 1, 4): 2, ("e", 2, 1): 2, ("e", 2, 2): 1, ("e", 2, 3): 2, ("e", 2, 4): 1}
     questions = [(i, b, n, True) for i, b, n in [("e", 1, 1), ("e", 1, 3), ("e", 2, 2), ("e", 2, 3), ("e", 4, 1), ("bare", 1, 1), ("bare", 3, 1)]]
@@ -150,9 +153,9 @@ def test_replacements_match_a_loop(spark):
 
 
 def test_heading_levels_at_their_borders(spark):
-    rows = [("d", 1, k, t, 0.0, 0.0, 0.0, 0.0, s, False) for k, (t, s) in enumerate([("a", 10.0), ("b", 10.0), ("c", 10.0), ("d", 10.0), ("e", 11.4), ("f", 11.5), ("g", 13.0), ("h", 15.0), ("x" * 121, 15.0), ("n", None)])]
+    rows = [("d", 1, k, t, 0.0, 0.0, 0.0, 0.0, s, False) for k, (t, s) in enumerate([("a", 10.0)] * 8 + [("e", 11.4), ("f", 11.5), ("g", 13.0), ("h", 15.0), ("x" * 121, 15.0), ("n", None)])]
     found = L.blocks(spark.createDataFrame(rows, "doc string, page int, place int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean"))
-    assert [(r.kind[0], r.level) for r in sorted(found.collect(), key=lambda r: r.place)] == [("p", None)] * 5 + [("h", 3), ("h", 2), ("h", 1), ("p", None), ("p", None)]
+    assert [(r.kind[0], r.level) for r in sorted(found.collect(), key=lambda r: r.place)] == [("p", None)] * 9 + [("h", 3), ("h", 2), ("h", 1), ("p", None), ("p", None)]
     assert L.blocks(found.limit(0).select("doc", "page", "place", "text", F.lit(1.0).alias("size"))).count() == 0
 
 
@@ -166,7 +169,7 @@ def test_lines_are_joined(spark):
 
 
 def test_section_levels_and_lists(spark):
-    texts = [("1. Um", 1), ("1.2.3) Três", 3), ("IV - Quatro", 1), ("B. Letra", 2), ("DAS PROVAS", 1), ("Art. 5º x", 2), ("frase", 2)]
+    texts = [("1. Um", 1), ("1.2.3) Três", 3), ("IV) Quatro", 1), ("B. Letra", 2), ("DAS PROVAS", 1), ("Art. 5º x", 2), ("frase", 2)]
     rows = spark.createDataFrame(texts, "t string, n int").select("n", S.heading_level(F.lit(None).cast("int"), F.col("t")).alias("found"), S.heads(F.lit("paragraph"), F.col("t")).alias("heads")).collect()
     assert [r.found for r in rows] == [n for _, n in texts] and [r.heads for r in rows] == [True] * 6 + [False]
     plain = spark.range(1).select(S.plain_lists(F.lit("a) um\n  • dois\nIV – três\n(10) quatro\n-cinco\n  seis")).alias("t")).first().t
