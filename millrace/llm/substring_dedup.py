@@ -334,16 +334,19 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
-), p AS (
-  SELECT r, doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), l AS (
+  SELECT r, doc_id, list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i:i + 49], ' '))) AS wins FROM w
 ), h AS (
-  SELECT r, doc_id, i, words[i] AS word, CASE WHEN i + 49 <= len(words) THEN md5(array_to_string(words[i:i + 49], ' ')) END AS win FROM p
+  SELECT r, doc_id, unnest(wins) AS win, generate_subscripts(wins, 1) AS i FROM l
 ), m AS (
-  SELECT win, min(doc_id) AS first FROM h WHERE win IS NOT NULL GROUP BY win
+  SELECT win, min(doc_id) AS first FROM h GROUP BY win
+), hits AS (
+  SELECT h.r, h.i FROM h JOIN m ON h.win = m.win WHERE m.first < h.doc_id
+), p AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
 ), c AS (
-  SELECT h.r, h.i, h.word,
-    max(CASE WHEN m.first < h.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY h.r ORDER BY h.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
-  FROM h LEFT JOIN m ON h.win = m.win
+  SELECT p.r, p.i, p.word, max((hits.i IS NOT NULL)::INT) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM p LEFT JOIN hits ON p.r = hits.r AND p.i = hits.i
 ), g AS (
   SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY r
 )
