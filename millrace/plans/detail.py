@@ -11,7 +11,7 @@ from millrace.plans.roles import has, quoted
 from millrace.plans.rules import TIDY
 from millrace.plans.sites import PICK, RANGES, STARTS
 from millrace.plans.syllabus import EACH, LET, ONLY, SLUG, SQUEEZE
-from millrace.plans.web import ANCHORED, LISTED, PATTERNS, _sql_decoded
+from millrace.plans.web import ANCHORED, LISTED, _sql_decoded
 from millrace.sources import detail as D
 from millrace.sources import listings as L
 from millrace.sources import pages as P

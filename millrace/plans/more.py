@@ -1,18 +1,14 @@
-"""Further rules: relevance and grounding, hosts, years, roles, editions, circuits, cascades."""
+"""Posts, replies, circuits, deferrals, content addresses, snapshots, blocks (FLT-23, VA-01, STR-12, STR-15, STR-19, SRC-22, CR-07, SRC-09)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import host_of
-from millrace.operators import curation as C
 from millrace.operators import items as I
 from millrace.operators import states as S
-from millrace.operators import tables as T
 from millrace.plans import Catalog
 from millrace.plans.roles import has
-from millrace.plans.web import HOST, HOST_OF, TITLE
+from millrace.plans.web import HOST_OF
 from millrace.sources import pages as P
 from millrace.sources.soup import read_blocks
 from millrace.streaming import jobs

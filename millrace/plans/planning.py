@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import planning as P
@@ -87,7 +88,7 @@ def _focus(t):
     applies = F.when(c("p_partkey") % 5 == 0, text("one", "two")).when(c("p_partkey") % 5 == 1, text("two")).otherwise(text())
     topics = parts.join(firsts, ["p_brand", "p_type"], "left").select(c("p_brand").alias("exam"), F.concat(F.lit("t-"), key).alias("node"), under.alias("parent"), F.when(c("p_partkey") % 4 == 0, 2).otherwise(1).alias("depth"), c("p_name").alias("title"), applies.alias("positions"), F.lpad(key, 12, "0").alias("place"))
     # places of heads and topics are only compared among each other
-    nodes = heads.unionByName(topics).withColumn("place", F.rank().over(P.W.partitionBy("exam").orderBy("place")))
+    nodes = heads.unionByName(topics).withColumn("place", F.rank().over(W.partitionBy("exam").orderBy("place")))
     by_node = parts.where("p_size % 2 = 0").select(c("p_brand").alias("exam"), F.concat(F.lit("t-"), key).alias("node"), (c("p_size") % 3).alias("n"))
     positions = parts.select(c("p_brand").alias("exam"), (c("e") % 3 == 0).alias("implicit")).distinct().withColumn("position", F.explode(text("one", "two"))).withColumns({"title": F.concat(F.lit("Cargo "), "position"), "slug": F.concat(F.lit("cargo-"), "position")})
     by_position = parts.where("e % 4 = 1 AND p_size > 40").groupBy(c("p_brand").alias("exam")).agg(F.count("*").alias("n")).withColumn("position", F.lit("one"))
