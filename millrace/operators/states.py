@@ -102,6 +102,21 @@ def backoff_seconds(attempt: Column, first: int = 30, most: int = 3600) -> Colum
     return F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), attempt - 1))
 
 
+def failed_job(attempts: Column, most: Column, at: Column, jitter: Column, first: int = 30, longest: int = 3600) -> Column:
+    """struct(status, available_at, finished_at) of a job after a failed attempt: dead after its last one, else queued again within a time that doubles with each, at the share of it that ``jitter`` (0 to 1) draws."""
+    cap = F.least(F.lit(float(longest)), first * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))))
+    wait = F.floor(jitter * cap * 1000) / 1000
+    dead = attempts >= most
+    ready = at + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait.cast("decimal(18,6)"))
+    return F.struct(F.when(dead, "dead").otherwise("queued").alias("status"), F.when(~dead, ready).alias("available_at"), F.when(dead, at).alias("finished_at"))
+
+
+def dead_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
+    """(kind, place, job, finished_at) of the dead jobs of each kind that ended last."""
+    order = W.partitionBy("kind").orderBy(F.desc("finished_at"), F.desc("job"))
+    return jobs.where("status = 'dead'").withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < min(limit, 200)).select("kind", "place", "job", "finished_at")
+
+
 def deferral_seconds(failures: Column) -> Column:
     """How long an item is put off after so many failures in a row: a minute doubled with each (six at most), half an hour at most."""
     return F.least(F.lit(1800.0), 60 * F.pow(F.lit(2.0), F.least(F.lit(6), failures)))

@@ -89,9 +89,25 @@ def deferral(t):
     return last.select("user_id", F.col("l.failures").alias("failures"), until.alias("until")).crossJoin(F.broadcast(now)).select("user_id", "failures", "until", F.coalesce(F.col("until") > F.col("now"), F.lit(False)).alias("excluded"))
 
 
-@query("str_19", "SELECT event_type AS kind, count(*) AS dead FROM events WHERE event_id % 9 >= 6 GROUP BY 1")
+_FAILED = """(SELECT event_id AS job, event_type AS kind, ts, event_id % 7 + 1 AS attempts, event_id * 7919 % 1000 / 1000.0 AS jitter FROM events)"""
+
+
+def _failed(t):
+    e = F.col("event_id")
+    rows = t.events.select(e.alias("job"), F.col("event_type").alias("kind"), S.failed_job(e % 7 + 1, F.lit(5), F.col("ts"), e * 7919 % 1000 / 1000.0).alias("f"))
+    return rows.select("job", "kind", "f.*")
+
+
+@query("str_19", f"SELECT kind, row_number() OVER w - 1 AS place, job, ts AS finished_at FROM {_FAILED} WHERE attempts >= 5 WINDOW w AS (PARTITION BY kind ORDER BY ts DESC, job DESC) QUALIFY row_number() OVER w <= 50")
 def dead_jobs(t):
-    return t.events.where("event_id % 9 >= 6").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("dead"))
+    """The dead jobs of each kind that ended last."""
+    return S.dead_jobs(_failed(t))
+
+
+@query("str_19_failed", f"SELECT job, CASE WHEN attempts >= 5 THEN 'dead' ELSE 'queued' END AS status, CASE WHEN attempts < 5 THEN ts + to_milliseconds(floor(jitter * least(3600, 30 * 2 ** (attempts - 1)) * 1000)::BIGINT) END AS available_at FROM {_FAILED}")
+def failed_jobs(t):
+    """Every event as a failed attempt: queued again after a drawn wait, or dead after the fifth."""
+    return _failed(t).select("job", "status", "available_at")
 
 
 @query("src_22", "SELECT page_id, 'artifacts/' || sha256(html) AS key FROM pages")
