@@ -287,15 +287,18 @@ def chunk_eligibility_by_source(t):
 
 
 @query("flt_12", f"""SELECT doc_id, CASE WHEN r = 'ok' THEN 'eligible' WHEN r = 'unmapped' THEN 'parked' ELSE 'ineligible' END AS status, r AS reason FROM (
-SELECT doc_id, CASE WHEN {ROLE_SQL} NOT IN ('knowledge', 'mixed') THEN 'role' WHEN doc_id % 7 = 0 THEN 'section_role' WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN {NO} > 0.3 THEN 'noise' WHEN n_chars < 300 OR n_chars > 4000 THEN 'size' WHEN doc_id % 11 = 0 THEN 'duplicate'
-WHEN doc_id % 13 < 6 THEN 'unmapped' ELSE 'ok' END AS r FROM (SELECT *, text AS x FROM documents))""")
+SELECT doc_id, CASE WHEN {ROLE_SQL} NOT IN ('knowledge', 'mixed') THEN 'role' WHEN doc_id % 7 = 0 THEN 'section_role' WHEN lang NOT IN ('en', 'de') THEN 'language' WHEN {NO} > 0.3 THEN 'noise' WHEN doc_id % 17 / 40.0 > 0.35 THEN 'metadata' WHEN (doc_id + 5) % 19 / 20.0 < 0.45 THEN 'low_quality' WHEN n_chars < 300 OR n_chars > 4000 THEN 'size' WHEN first < doc_id THEN 'duplicate'
+WHEN doc_id % 13 < 2 OR doc_id % 13 / 13.0 < 0.62 THEN 'unmapped' ELSE 'ok' END AS r FROM (SELECT *, text AS x, min(doc_id) OVER (PARTITION BY text) AS first FROM documents))""")
 def eligibility_ladder(t):
+    """Every rung of the ladder; duplicates are texts that an earlier document has, and every thirteenth document but one has no mapping or a weak one."""
     k = F.col("doc_id")
+    firsts = t.documents.groupBy(F.xxhash64("text").alias("text_key")).agg(F.min("doc_id").alias("first"))
+    rows = t.documents.withColumn("text_key", F.xxhash64("text")).join(firsts, "text_key")
     verdict = C.eligibility(
-        _role(), F.when(k % 7 == 0, "nav").otherwise("content"), F.col("lang"), C.noise(F.col("text")), F.lit(0.0), F.lit(1.0), F.col("n_chars"),
-        k % 11 == 0, F.when(k % 13 < 6, 0.1).otherwise(0.9), ("en", "de"),
+        _role(), F.when(k % 7 == 0, "nav").otherwise("content"), F.col("lang"), C.noise(F.col("text")), k % 17 / 40.0, (k + 5) % 19 / 20.0, F.col("n_chars"),
+        F.col("first") < k, F.when(k % 13 >= 2, k % 13 / 13.0), ("en", "de"),
     )
-    return t.documents.select("doc_id", verdict.alias("v")).select("doc_id", "v.status", "v.reason")
+    return rows.select("doc_id", verdict.alias("v")).select("doc_id", "v.status", "v.reason")
 
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\p{{N}}', '0', 'g'), '\s+', ' ', 'g'))".format
