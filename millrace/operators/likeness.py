@@ -69,14 +69,20 @@ def simhash_pairs(prints: DataFrame, key: str, most: int = 3) -> DataFrame:
     widths = [64 // BLOCKS + (b < 64 % BLOCKS) for b in range(BLOCKS)]
     masks = [((1 << w) - 1) << sum(widths[:b]) for b, w in enumerate(widths)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    choices = [signed(sum(masks[b] for b in c)) for c in combinations(range(BLOCKS), BLOCKS - most)]
+    chosen = list(combinations(range(BLOCKS), BLOCKS - most))
+    choices = [signed(sum(masks[b] for b in c)) for c in chosen]
+    # a pair meets under each choice of blocks in which it agrees; it is taken at the first, whose blocks are its first equal ones
+    passed_over = F.array(*[F.array(*[F.lit(signed(masks[b])).cast("long") for b in range(c[-1]) if b not in c]).cast("array<bigint>") for c in chosen])
     first = prints.groupBy("simhash").agg(F.min(key).alias("first"))
-    members = prints.join(first, "simhash").where(F.col(key) != F.col("first")).select(F.col("first").alias(key), F.col(key).alias("other"), F.lit(0).alias("bits"))
+    # merge joins: an estimate of the prints knows nothing of the twenty keys of each, and a broadcast of them fills the driver
+    members = prints.join(first.hint("merge"), "simhash").where(F.col(key) != F.col("first")).select(F.col("first").alias(key), F.col(key).alias("other"), F.lit(0).alias("bits"))
     banded = first.select(F.col("first").alias(key), "simhash", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m).cast("long")) for m in choices])).alias("choice", "value"))
     other = banded.select(F.col(key).alias("other"), F.col("simhash").alias("theirs"), "choice", "value")
-    bits = F.bit_count(F.col("simhash").bitwiseXOR(F.col("theirs"))).cast("int")
-    near = banded.join(other, ["choice", "value"]).where(F.col(key) < F.col("other")).select(key, "other", bits.alias("bits")).where(F.col("bits") <= most)
-    return near.distinct().unionByName(members)
+    apart = F.col("simhash").bitwiseXOR(F.col("theirs"))
+    bits = F.bit_count(apart).cast("int")
+    near = banded.join(other.hint("merge"), ["choice", "value"]).where((F.col(key) < F.col("other")) & (bits <= most))
+    near = near.where(F.forall(F.get(passed_over, F.col("choice")), lambda m: apart.bitwiseAND(m) != 0))
+    return near.select(key, "other", bits.alias("bits")).unionByName(members)
 
 
 def _fnv(data: str, start: int = 2166136261) -> int:
