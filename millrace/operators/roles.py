@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import count, let, trim
-from millrace.operators.curation import link_density, spark_regex
+from millrace.functions.text import SPACE, count, let
+from millrace.operators.curation import folded, link_density, may_match, spark_regex
 
 # Patterns of each vote. ``\b`` stands for an ASCII word boundary; case does not matter.
 SPECIFICATION = (
@@ -75,12 +75,12 @@ def times(text: Column, pattern: str) -> Column:
     return count(text, spark_regex(pattern))
 
 
-def _any(text: Column, patterns) -> Column:
-    """Whether any pattern occurs; (pattern, n) must occur n times."""
+def _any(text: Column, low: Column, patterns) -> Column:
+    """Whether any pattern occurs in a text, which also comes folded; (pattern, n) must occur n times."""
     out = F.lit(False)
     for p in patterns:
         pattern, least = (p, 1) if isinstance(p, str) else p
-        out = out | (has(text, pattern) if least == 1 else times(text, pattern) >= least)
+        out = out | (may_match(low, pattern) & (has(text, pattern) if least == 1 else times(text, pattern) >= least))
     return out
 
 
@@ -93,7 +93,7 @@ def hint_vote(role_hint: Column, kind_hint: Column) -> Column:
 
 
 def _paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, r"\n{2,}"), lambda p: trim(p) != "")
+    return F.filter(F.split(text, r"\n{2,}"), lambda p: p.rlike(f"[^{SPACE}]"))
 
 
 def _knowledge_body(text: Column, density: Column) -> Column:
@@ -119,20 +119,27 @@ def _administrative_body(text: Column, density: Column) -> Column:
 
 def lexical_votes(title_block: Column, sample: Column, density: Column) -> Column:
     """struct of a weight for each role: 0.5 for its wording, 0.3 for its build; evidence has no build, and is null without a vote."""
+    # all patterns read the same texts, which are cut and folded once
+    texts = F.struct(title_block.alias("title"), sample.alias("sample"), folded(title_block).alias("low_title"), folded(sample).alias("low"), density.alias("density"))
+    return let(texts, lambda t: _votes(t.title, t.low_title, t["sample"], t.low, t.density))
+
+
+def _votes(title_block: Column, low_title: Column, sample: Column, low: Column, density: Column) -> Column:
     yes = lambda c, w: F.when(c, w).otherwise(0.0)
-    body = sum((has(sample, p).cast("int") for p in SPECIFICATION_BODY), F.lit(0)) >= 3
-    both = lambda patterns: _any(title_block, patterns) | _any(sample, patterns)
+    body = sum(((may_match(low, p) & has(sample, p)).cast("int") for p in SPECIFICATION_BODY), F.lit(0)) >= 3
+    both = lambda patterns: _any(title_block, low_title, patterns) | _any(sample, low, patterns)
     return F.struct(
         (yes(both(SPECIFICATION), 0.5) + yes(body, 0.3)).alias("specification"),
-        F.when(_any(sample, EVIDENCE), 0.5).alias("evidence"),
-        (yes(_any(sample, KNOWLEDGE), 0.5) + yes(_knowledge_body(sample, density), 0.3)).alias("knowledge"),
+        F.when(_any(sample, low, EVIDENCE), 0.5).alias("evidence"),
+        (yes(_any(sample, low, KNOWLEDGE), 0.5) + yes(_knowledge_body(sample, density), 0.3)).alias("knowledge"),
         (yes(both(ADMINISTRATIVE), 0.5) + yes(_administrative_body(sample, density), 0.3)).alias("administrative"),
     )
 
 
 def decide(votes: Column) -> Column:
     """struct(role, confidence) from a weight (or null) for each role; of equals the first named leads."""
-    cast = F.filter(F.array(*[F.struct((-votes[r]).alias("w"), F.lit(i).alias("i"), F.lit(r).alias("role")) for i, r in enumerate(ROLES)]), lambda v: v.w.isNotNull())
+    weights = lambda v: F.array(*[F.struct((-v[r]).alias("w"), F.lit(i).alias("i"), F.lit(r).alias("role")) for i, r in enumerate(ROLES)])
+    cast = F.filter(let(votes, weights), lambda v: v.w.isNotNull())
 
     def ranked(v: Column) -> Column:
         top, second = -v[0].w, F.coalesce(-F.get(v, F.lit(1)).w, F.lit(0.0))
@@ -140,7 +147,8 @@ def decide(votes: Column) -> Column:
         sure = F.when(mixed, F.least(F.lit(0.9), top)).when(top - second >= 0.3, F.least(F.lit(0.95), top + 0.2)).otherwise(F.greatest(F.lit(0.4), top))
         return F.struct(F.when(mixed, "mixed").otherwise(v[0].role).alias("role"), sure.alias("confidence"))
 
-    return F.when(F.size(cast) == 0, F.struct(F.lit("unknown").alias("role"), F.lit(0.0).alias("confidence"))).otherwise(let(F.array_sort(cast), ranked))
+    unknown = F.struct(F.lit("unknown").alias("role"), F.lit(0.0).alias("confidence"))
+    return let(F.array_sort(cast), lambda v: F.when(F.size(v) == 0, unknown).otherwise(ranked(v)))
 
 
 def administrative_notice(title_block: Column, text: Column) -> Column:
