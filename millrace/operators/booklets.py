@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import fold, let, squeeze, trim
+from millrace.operators import tables as T
 from millrace.operators.roles import has
+from millrace.workspace import materialize
 
 # Shape of the paper and marks to pass.
 QUESTIONS, LETTERS, TYPES, CANONICAL = 80, "ABCD", (1, 2, 3, 4), 1
@@ -55,8 +57,7 @@ def _regex(pattern: str) -> str:
 
 
 def _first(c: Column, pattern: str, group: int = 1) -> Column:
-    found = F.regexp_extract(c, _regex(pattern), group)
-    return F.when(found != "", found)
+    return let(F.regexp_extract(c, _regex(pattern), group), lambda found: F.when(found != "", found))
 
 
 def _lines(text: Column) -> Column:
@@ -104,9 +105,10 @@ def booklet_questions(booklets: DataFrame, keys: list[str]) -> DataFrame:
     rows = booklets.select(*keys, booklet_type(F.col("text")).alias("booklet"), lines.alias("lines"))
     heads = _chain(_numbered(F.col("lines"), lambda x: _first(x, NUMBER)), QUESTIONS)
     rows = rows.withColumn("heads", F.concat(heads, F.array(F.size("lines"))))
-    rows = rows.where(F.size("heads") > 1).select(*keys, "booklet", "lines", "heads", F.explode(F.sequence(F.lit(1), F.size("heads") - 1)).alias("number"))
-    block = _between(F.col("lines"), F.element_at("heads", F.col("number")), F.element_at("heads", F.col("number") + 1))
-    rows = rows.select(*keys, "booklet", "number", F.filter(block, lambda x: trim(x) != "").alias("block"))
+    # blocks are cut before they are dealt, so that no question carries its whole booklet
+    block = lambda at, i: F.filter(_between(F.col("lines"), at, F.element_at("heads", i + 2)), lambda x: trim(x) != "")
+    blocks = F.transform(F.slice("heads", F.lit(1), F.size("heads") - 1), block)
+    rows = T.dealt(rows, [*keys, "booklet"], blocks, "at", "block").withColumn("number", F.col("at") + 1).drop("at")
     letter = lambda x: F.when(x.rlike(OPTION), F.instr(F.lit(LETTERS), F.regexp_extract(x, OPTION, 1)))
     marks = F.concat(_chain(_numbered(F.col("block"), letter), len(LETTERS)), F.array(F.size("block")))
     rows = rows.withColumn("marks", marks)
@@ -157,7 +159,8 @@ def answer_grids(keys_: DataFrame, keys: list[str]) -> DataFrame:
     cut = F.get(F.filter(F.transform(lines, lambda x, i: F.when(has(x, CORRESPONDENCE), i)), lambda i: i.isNotNull()), F.lit(0))
     lines = let(lines, lambda ls: F.slice(ls, F.lit(1), F.coalesce(cut, F.size(ls))))
     start = F.from_json(F.lit('{"order":0,"pending":[],"found":[]}'), _STATE)
-    rows = keys_.select(*keys, has(F.col("text"), DEFINITIVE).alias("definitive"), F.posexplode(F.aggregate(lines, start, lambda s, x: _grid_step(s, x).cast(_STATE), lambda s: s.found)).alias("place", "a"))
+    found = F.aggregate(lines, start, lambda s, x: _grid_step(s, x).cast(_STATE), lambda s: s.found)
+    rows = T.dealt(keys_, [*keys, has(F.col("text"), DEFINITIVE).alias("definitive")], found, "place", "a")
     return rows.groupBy(*keys, "a.booklet", "a.number", "definitive").agg(F.max_by("a.answer", "place").alias("answer"))
 
 
@@ -189,9 +192,13 @@ def rekeyed_questions(questions: DataFrame, answers: DataFrame, table: DataFrame
 
     A booklet without answers, or one that is not canonical in an edition without a table, gives nothing.
     """
+    # each is read several times, and a filter on what reading gives would read again: written once
+    answers, table = materialize(answers, "answers"), materialize(table, "correspondence")
     keyed = canonical_numbers(answers.select(*keys, "booklet", "number", "answer"), table, keys).where("canonical IS NOT NULL")
     keyed = keyed.groupBy(*keys, "booklet", "canonical").agg(F.max("answer").alias("correct_index"))
+    keyed = materialize(keyed, "keyed")
     usable = keyed.select(*keys, "booklet").distinct()
+    questions = materialize(questions, "questions")
     rows = canonical_numbers(questions.where("ok AND booklet IS NOT NULL").join(usable, [*keys, "booklet"], "left_semi"), table, keys)
     rows = rows.join(keyed, [*keys, "booklet", "canonical"], "left")
     status = F.when(F.col("canonical").isNull(), "unkeyed").when(F.col("correct_index").isNull(), "annulled").otherwise("ok")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let, trim
+from millrace.operators import tables as T
 from millrace.operators.exams import reading_order
 
 # Pages that are read, lines that may be headings, gaps and sizes relative to the median.
@@ -72,7 +73,7 @@ def paragraphs(lines: DataFrame, width: float) -> DataFrame:
     pages = pages.withColumns({"body": body, "height": height})
     start = F.from_json(F.lit('{"done":[]}'), _STATE)
     merged = F.aggregate("all", start, lambda s, x: _joined(s, x, F.col("body"), F.col("height")), lambda s: F.concat(s.done, F.array(s.at)))
-    return pages.select("doc", "page", F.posexplode(merged).alias("place", "p")).select("doc", "page", "place", "p.*")
+    return T.dealt(pages, ["doc", "page"], merged, "place", "p").select("doc", "page", "place", "p.*")
 
 
 def blocks(found: DataFrame) -> DataFrame:

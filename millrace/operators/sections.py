@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import B, trim
+from millrace.operators import tables as T
 
 # What a heading looks like; markers of list lines.
 OUTLINE = r"^(\d+(?:\.\d+)*|[IVXLC]+|[A-Z])[.)\-–]\s+(.+)$"
@@ -83,7 +84,7 @@ def sections(blocks: DataFrame, tables: DataFrame, key: str = "doc") -> DataFram
     whole = F.when(body != "", trim(F.concat("heading", F.lit("\n\n"), body))).otherwise(F.col("heading"))
     parts = parts.withColumn("text", F.when(F.col("any") == 1, whole).otherwise(F.col("body"))).withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy("part")) - 1)
     listed = parts.where("any = 1").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "level", F.col("heading").alias("text")))).alias("h"))
-    above = listed.select(key, F.posexplode(trails(F.col("h"))).alias("ordinal", "path"))
+    above = T.dealt(listed, [key], trails(F.col("h")), "ordinal", "path")
     out = parts.join(above, [key, "ordinal"], "left")
     legal = F.coalesce(is_article(F.col("heading")), F.lit(False))
     return out.select(key, "ordinal", "heading", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("path", F.array().cast("array<string>")).alias("path"), "text", "first_block", "last_block", "first_page", "last_page", legal.alias("legal"))
