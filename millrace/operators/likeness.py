@@ -91,11 +91,15 @@ def _fnv(data: str, start: int = 2166136261) -> int:
     return start
 
 
-def minhash_words(words: list[str]) -> np.ndarray:
-    """128 least FNV hashes of "seed:word" over the words; all ones without words. All words go a character at a time."""
-    own = sorted(set(words), key=len, reverse=True)
-    if not own:
-        return np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
+#: Words whose hashes a worker keeps at a time (half a kilobyte each).
+KEPT_WORDS = 1 << 16
+_kept: dict[str, np.ndarray] = {}
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """128 FNV hashes of "seed:word" for each word. All words go a character at a time."""
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    own = [words[i] for i in order]
     prefix = np.array([_fnv(f"{i}:") for i in range(PERMUTATIONS)], np.uint64)
     hashes = np.repeat(prefix[None, :], len(own), axis=0)
     sizes = np.array([len(w) for w in own])
@@ -103,7 +107,25 @@ def minhash_words(words: list[str]) -> np.ndarray:
         many = int((sizes > at).sum())
         codes = np.array([ord(w[at]) for w in own[:many]], np.uint64)
         hashes[:many] = ((hashes[:many] ^ codes[:, None]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
-    return hashes.min(axis=0)
+    out = np.empty((len(own), PERMUTATIONS), np.uint32)
+    out[order] = hashes
+    return out
+
+
+def minhash_words(words: list[str]) -> np.ndarray:
+    """128 least FNV hashes of "seed:word" over the words; all ones without words. A word is hashed once as long as it is kept."""
+    own = list(set(words))
+    least = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(own), KEPT_WORDS):
+        part = own[at : at + KEPT_WORDS]
+        new = [w for w in part if w not in _kept]
+        if len(_kept) + len(new) > KEPT_WORDS:
+            _kept.clear()
+            new = part
+        if new:
+            _kept.update(zip(new, _word_hashes(new)))
+        least = np.minimum(least, np.minimum.reduce([_kept[w] for w in part]))
+    return least.astype(np.uint64)
 
 
 def minhash_signatures(rows: DataFrame, key: str, norm: str) -> DataFrame:
@@ -125,28 +147,38 @@ def minhash_likeness(a: Column, b: Column) -> Column:
     return F.size(equal) / F.lit(float(PERMUTATIONS))
 
 
-def _leaders(pdf):
-    """Within one document: exact duplicates, else the first leader that is near; duplicates never lead."""
-    import pandas as pd
-
-    leaders, exact, out = [], {}, []
-    for row in pdf.sort_values("ordinal").itertuples(index=False):
-        if row.content_hash in exact:
-            out.append((row.doc_id, row.ordinal, exact[row.content_hash]))
-            continue
-        sign = minhash_words(row.norm.split())
-        near = next((o for o, s in leaders if (s == sign).mean() >= NEAR), None)
-        out.append((row.doc_id, row.ordinal, near))
-        exact[row.content_hash] = row.ordinal
-        if near is None:
-            leaders.append((row.ordinal, sign))
-    return pd.DataFrame(out, columns=["doc_id", "ordinal", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+def _leaders(batches):
+    """Within each document, whose chunks come in a row: exact duplicates, else the first leader that is near; duplicates never lead."""
+    import pyarrow as pa
+
+    document, signs, ordinals, exact = None, np.empty((16, PERMUTATIONS), np.uint32), [], {}
+    for batch in batches:
+        found = []
+        docs, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for doc, ordinal, content, norm in zip(docs, places, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if doc != document:
+                document, signs, ordinals, exact = doc, signs[:16], [], {}
+            if content in exact:
+                found.append(exact[content])
+                continue
+            sign = minhash_words(norm.split()).astype(np.uint32)
+            # equal minhashes of all leaders at once
+            close = np.flatnonzero((signs[: len(ordinals)] == sign).mean(axis=1) >= NEAR) if ordinals else ()
+            near = ordinals[close[0]] if len(close) else None
+            found.append(near)
+            exact[content] = ordinal
+            if near is None:
+                if len(ordinals) == len(signs):
+                    signs = np.concatenate([signs, np.empty_like(signs)])
+                signs[len(ordinals)] = sign
+                ordinals.append(ordinal)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "ordinal", "duplicate_of"])
 
 
 def greedy_leaders(chunks: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, duplicate_of) of chunks; a document's chunks are one bounded group."""
+    """(doc_id, ordinal, duplicate_of) of chunks; the chunks of a document stream through one task in order."""
     rows = chunks.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "content_hash", dedup_normalised(F.col("chunk")).alias("norm"))
-    return rows.groupBy("doc_id").applyInPandas(_leaders, "doc_id long, ordinal long, duplicate_of long")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ordinal").mapInArrow(_leaders, "doc_id long, ordinal long, duplicate_of long")
 
 
 # --- near-duplicate joins ----------------------------------------------------------------------------
