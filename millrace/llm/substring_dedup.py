@@ -9,12 +9,13 @@ order of doc_id, are streamed through the suffix automaton of those before them,
 maximal spans of at least ``length`` words, and then each is added to the automaton.
 
 A shard holds at most ``MOST_CONTEXTS`` contexts. An anchor with more surroundings (a passage that a third of the corpus
-repeats has them at its edges) is cut into its windows: a window's context is the window, so what differs falls apart,
-and what is equal meets in an aggregate with map-side combination. Nothing is dropped either way.
+repeats has them at its edges) has its windows cut into ranges, by how many words they have before the anchor: ranges that
+one document alone holds fall out, ranges that an earlier document has wholly are copies, both by aggregates with map-side combination,
+and only those between are cut again, down to single windows. Nothing is dropped either way.
 
 Text travels twice at most: whole documents meet their marks once, and only those that hold the first copy of a context
 with neighbours are read again. Words, anchors and contexts are told apart by 64-bit hashes (a context beside its
-anchor, so by 128 bits), windows by 128 bits; the automata compare the words themselves.
+anchor or core, so by 128 bits); the automata compare the words themselves.
 
 Defined results: a null or blank text has no words and its digest is that of the empty string; a row without a doc_id is earlier
 or later than none, so it is neither judged nor a reference; rows that repeat a doc_id are judged each, and not against
@@ -40,6 +41,9 @@ MOST_CONTEXTS = 512
 KNOWN_WORDS = 60_000
 SLICE_BYTES = 4 << 20
 COPY, MIXED, CROWDED = 0, 1, 2
+#: Parts that a range of windows around a crowded anchor is cut into at a time.
+CUTS = 4
+SPANS = "doc_id long, row long, start int, stop int"
 MARKS = "array<struct<pos:int,kind:int,key:bigint,ctx:bigint>>"
 RESULT = "n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept_sha256 string"
 
@@ -63,14 +67,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # bytes are split at exactly the six white-space characters
 
 
+def gram_keys(hashes: np.ndarray, gram: int) -> np.ndarray:
+    grams = np.zeros(len(hashes) - gram + 1, np.uint64)
+    for k in range(gram):
+        grams = grams * np.uint64(0x9FB21C651E98DF25) + hashes[k : len(grams) + k]
+    return mixed(grams)
+
+
 def anchors(hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and keys of anchors: every window of ``length`` words holds one that has the least key of the window."""
     if len(hashes) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = np.zeros(len(hashes) - gram + 1, np.uint64)
-    for k in range(gram):
-        grams = grams * np.uint64(0x9FB21C651E98DF25) + hashes[k : len(grams) + k]
-    grams = mixed(grams)
+    grams = gram_keys(hashes, gram)
     width = length - gram + 1
     least, reach = grams, 1
     while reach < width:
@@ -179,24 +187,37 @@ def _contexts(batches: Iterator, length: int, gram: int) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 
 
-def _windows(batches: Iterator, length: int, gram: int) -> Iterator:
-    """Each window that holds a crowded anchor, by its 128-bit hash."""
+def _surroundings(batches: Iterator, length: int, gram: int) -> Iterator:
+    """The word hashes around each crowded anchor, and how many of them are before it.
+
+    A window may hold its key several times; it counts to the last of them, so what follows reaches no window that holds a later one.
+    """
     import pyarrow as pa
-    import xxhash
 
     known = WordHashes()
+    most = length - gram
     for whole in batches:
         for batch in slices_by_bytes(whole, "text", SLICE_BYTES // 16):
-            prints, ids, rows, places = [], [], [], []
+            out = []
             for doc_id, row, text, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "marks")), strict=True):
                 hashes = known.of(words_of(text))
-                starts = {s for m in marks if m["kind"] == CROWDED for s in range(max(0, m["pos"] - length + gram), min(m["pos"], len(hashes) - length) + 1)}
-                for s in sorted(starts):
-                    prints.append(xxhash.xxh3_128_digest(hashes[s : s + length].data))
-                    places.append(s)
-                ids += [doc_id] * len(starts)
-                rows += [row] * len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32())], ["print", "doc_id", "row", "at"])
+                grams = gram_keys(hashes, gram).view(np.int64)
+                crowded: dict[int, list[int]] = {}
+                for m in marks:
+                    if m["kind"] == CROWDED:
+                        crowded.setdefault(m["key"], []).append(m["pos"])
+                held: dict[int, list[int]] = {}
+                for at in np.flatnonzero(np.isin(grams, np.array(list(crowded), np.int64))).tolist():
+                    held.setdefault(int(grams[at]), []).append(at)
+                for key, places in crowded.items():
+                    marked = np.sort(np.array(places))
+                    for at, later in zip(held[key], [*held[key][1:], len(hashes) + length]):
+                        near = np.searchsorted(marked, at - most)
+                        a, b = max(0, at - most), min(len(hashes), at + length, later + gram - 1)
+                        if near < len(marked) and marked[near] <= at + most and b - a >= length:
+                            out.append((key, doc_id, row, at, at - a, hashes[a:b].view(np.int64)))
+            kinds = [("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("words", pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 
 
 class SuffixAutomaton:
@@ -289,6 +310,41 @@ def _finish(batches: Iterator, length: int, gram: int) -> Iterator:
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def crowded_spans(around: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc_id, row, start, stop) of windows around crowded anchors that a smaller doc_id holds.
+
+    ``around`` has key, doc_id, row, pos, before and words. Windows are told by how many words they have before the anchor; a range of
+    them is one part. All its windows hold its core; together they reach its words. A part whose core one document alone holds has no
+    copies, one whose words an earlier document has is a copy as a whole, and what is left is cut in ``CUTS`` again, down to single windows.
+    """
+    most = length - gram
+    c = F.col
+    nodes = around.withColumns({"low": F.lit(0), "high": F.lit(most)})
+    found = around.sparkSession.createDataFrame([], SPANS)
+    width = most + 1
+    while width > 1:
+        width = -(-width // CUTS)
+        parts = nodes.select("key", "doc_id", "row", "pos", "before", "words", "high", F.explode(F.sequence("low", "high", F.lit(width))).alias("from"))
+        parts = parts.withColumn("to", F.least(c("from") + width - 1, "high"))
+        # the windows that the document has room for
+        parts = parts.withColumns({"a": F.greatest("from", most + gram + c("before") - F.size("words")), "b": F.least("to", "before")}).where("a <= b")
+        core = F.xxhash64(F.slice("words", c("before") - c("from") + 1, c("from") + length - c("to")))
+        words = F.slice("words", c("before") - c("b") + 1, c("b") + length - c("a"))
+        parts = parts.select("key", "from", "to", "doc_id", "row", "pos", "a", "b", core.alias("core"), words.alias("words"))
+        parts = parts.withColumn("ctx", F.xxhash64("words", "a", "b"))
+        contexts = materialize(parts.groupBy("key", "from", "core", "ctx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "contexts")
+        cores = contexts.groupBy("key", "from", "core").agg(F.min("first").alias("low"), F.max("last").alias("high"), F.count("*").alias("n")).where("low < high")
+        shared = contexts.join(cores, ["key", "from", "core"]).select("key", "from", "core", "ctx", "first", "n")
+        told = parts.join(shared, ["key", "from", "core", "ctx"]).withColumn("copy", c("doc_id") > c("first")).where("copy OR n > 1 AND from < to")
+        told = materialize(told.select("key", "from", "to", "doc_id", "row", "pos", "a", "b", "copy", F.when(~c("copy"), c("words")).alias("words")), "told")
+        discard(contexts)
+        found = found.unionByName(told.where("copy").select("doc_id", "row", (c("pos") - c("b")).alias("start"), (c("pos") - c("a") + length).alias("stop")))
+        nodes = told.where("NOT copy").select("key", "doc_id", "row", "pos", c("b").alias("before"), "words", c("from").alias("low"), c("to").alias("high"))
+        if nodes.isEmpty():
+            break
+    return found
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_words, n_removed, removed (maximal spans of words) and kept_sha256 (of the other words, joined by one space) of every row."""
     of = partial(partial, length=length, gram=gram)
@@ -317,10 +373,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, m
         return open_.where(F.exists("marks", lambda m: m.kind == kind))
 
     mixed_ = with_kind(MIXED).mapInArrow(of(_contexts), "key long, doc_id long, ctx long, row long, at int, words string")
-    spans = mixed_.repartition("key").sortWithinPartitions("key", "doc_id", "ctx").mapInArrow(partial(_match, length=length), "doc_id long, row long, start int, stop int")
-    windows = materialize(with_kind(CROWDED).mapInArrow(of(_windows), "print binary, doc_id long, row long, at int"), "windows")
-    firsts = materialize(windows.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("print", "first"), "firsts")
-    crowded = windows.join(firsts, "print").where("first < doc_id").select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+    spans = mixed_.repartition("key").sortWithinPartitions("key", "doc_id", "ctx").mapInArrow(partial(_match, length=length), SPANS)
+    around = materialize(with_kind(CROWDED).mapInArrow(of(_surroundings), "key long, doc_id long, row long, pos int, before int, words array<bigint>"), "around")
+    crowded = crowded_spans(around, length, gram)
     found = spans.unionByName(crowded).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     finished = open_.join(found, ["doc_id", "row"], "left").mapInArrow(of(_finish), schema)
     columns = ["doc_id", "n_words", "n_removed", "removed", "kept_sha256"]
