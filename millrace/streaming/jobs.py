@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +120,67 @@ def words_alike(ours: list[str], theirs: list[str], least: int) -> bool:
     return alike(texts[0], texts[1]) or alike(texts[0], texts[2]) or alike(texts[1], texts[2])
 
 
+class Published:
+    """Published stems, as sorted word sets, in the order of their publishing; ``first_alike`` screens all of them at once."""
+
+    BUCKETS = 64
+
+    def __init__(self, least: int):
+        self.least, self.items, self.words = least, [], []
+        self._sizes, self._bags = np.zeros(16, np.int64), np.zeros((16, self.BUCKETS), np.int32)
+        self._holders: dict[str, list[int]] = {}
+        self._judged: dict[str, int | None] = {}
+
+    def _bag(self, text: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % self.BUCKETS, minlength=self.BUCKETS)
+
+    def add(self, item: int, words: list[str]) -> None:
+        at, text = len(self.items), " ".join(words)
+        if at == len(self._sizes):
+            self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
+            self._bags = np.concatenate([self._bags, np.zeros_like(self._bags)])
+        self.items.append(item)
+        self.words.append(words)
+        self._sizes[at], self._bags[at] = len(text), self._bag(text)
+        for w in words:
+            self._holders.setdefault(w, []).append(at)
+        self._judged.setdefault(text, item)
+
+    def first_alike(self, words: list[str]) -> int | None:
+        """The first item that is alike, or None. Equal words have equal answers: what is published later never comes before it."""
+        text = " ".join(words)
+        if text not in self._judged:
+            found = self._search(words, text)
+            if found is None:
+                return None
+            self._judged[text] = found
+        return self._judged[text]
+
+    def _search(self, words: list[str], text: str) -> int | None:
+        n, mine = len(self.items), len(text)
+        sizes = self._sizes[:n]
+        if not mine or not n:
+            empty = np.flatnonzero(sizes == 0)
+            return self.items[empty[0]] if not mine and len(empty) else None
+        shared = np.zeros(n, np.int64)
+        for w in words:
+            if w in self._holders:
+                shared[self._holders[w]] += len(w) + 1
+        shared = np.maximum(shared - 1, 0)
+        rounded = lambda part, whole: (part / np.maximum(whole, 1) * 100 + 0.5).astype(np.int64)
+        # the shared words begin either side's text, so they are as many edits away from it as it is longer
+        sure = (shared > 0) & ((rounded(shared, mine) >= self.least) | (rounded(shared, sizes) >= self.least))
+        # sides are at least as many edits apart as letters that the one has more of than the other
+        more = self._bags[:n] - self._bag(text)
+        apart = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+        longest = np.maximum(sizes, mine)
+        may = (sizes > 0) & (rounded(longest - apart, longest) >= self.least)
+        for at in np.flatnonzero(sure | may):
+            if sure[at] or words_alike(words, self.words[at], self.least):
+                return self.items[at]
+        return None
+
+
 def pass_decisions(items: DataFrame, least: int = 85) -> DataFrame:
     """(leaf, item, duplicate_of) of items (leaf, place, item, stem), in the order of place: an item whose stem is like one that
     its leaf has published before, in this micro-batch or any earlier one, is a duplicate of the first such; the others are published and join what later items are compared with.
@@ -132,16 +194,18 @@ def pass_decisions(items: DataFrame, least: int = 85) -> DataFrame:
 
         import pandas as pd
 
-        published = [(i, w.split(" ") if w else []) for i, w in zip(*state.get)] if state.exists else []
+        published = Published(least)
+        for i, w in zip(*state.get) if state.exists else ():
+            published.add(i, w.split(" ") if w else [])
         rows = pd.concat(list(batches)).sort_values(["place", "item"])
         out = []
         for item, stem in zip(rows["item"], rows["stem"]):
             words = sorted(set(re.sub(r"[^\w\s]|_", " ", (stem or "").lower()).split()))
-            near = next((i for i, w in published if words_alike(words, w, least)), None)
+            near = published.first_alike(words)
             if near is None:
-                published.append((int(item), words))
+                published.add(int(item), words)
             out.append((key[0], item, near))
-        state.update(([i for i, _ in published], [" ".join(w) for _, w in published]))
+        state.update((published.items, [" ".join(w) for w in published.words]))
         yield pd.DataFrame(out, columns=["leaf", "item", "duplicate_of"]).astype({"duplicate_of": "Int64"})
 
     rows = items.select("leaf", "place", "item", "stem")
