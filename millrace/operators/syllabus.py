@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import SPACE, fold, let, squeeze, trim
-from millrace.operators.curation import token_set_ratio
+from millrace.operators.curation import bag_ratio, token_set_ratio, word_bag
 from millrace.operators.exams import ANNEX, PROGRAMME_START
 from millrace.operators.roles import has
+from millrace.operators.tables import dealt
 
 # Subjects (id, title, aliases) in their order.
 SUBJECTS = (
@@ -333,11 +334,13 @@ def replacements(previous: DataFrame, corrected: DataFrame, key: str = "exam") -
 
     ``previous`` and ``corrected`` have key, node, place, path and title; a notice's leaves are a bounded list.
     """
-    mine = corrected.select(key, F.col("node").alias("new"), F.col("place").alias("at"), "title", subject_key(F.col("path")).alias("subject"))
-    theirs = previous.select(key, "node", "place", F.col("title").alias("old_title"), subject_key(F.col("path")).alias("old_subject"))
+    subject = subject_key(F.col("path"))
+    mine = corrected.select(key, F.col("node").alias("new"), F.col("place").alias("at"), word_bag(F.col("title")).alias("title"), subject.alias("subject"), word_bag(subject).alias("subject_words"))
+    theirs = previous.select(key, "node", "place", word_bag(F.col("title")).alias("old_title"), subject.alias("old_subject"), word_bag(subject).alias("old_subject_words"))
     a, b = F.col("subject"), F.col("old_subject")
-    like = (a == b) | a.contains(b) | b.contains(a) | (token_set_ratio(a, b) >= NEAR_SUBJECT)
-    pairs = mine.join(theirs, key).where(like).withColumn("score", token_set_ratio(F.col("title"), F.col("old_title"))).where(F.col("score") >= REPLACES)
+    like = (a == b) | a.contains(b) | b.contains(a) | (bag_ratio(F.col("subject_words"), F.col("old_subject_words")) >= NEAR_SUBJECT)
+    score = F.filter(F.array(F.when(like, bag_ratio(F.col("title"), F.col("old_title")))), lambda s: s >= REPLACES)
+    pairs = dealt(mine.join(theirs, key), [key, "at", "new", "place", "node"], score, "one", "score")
     pairs = pairs.groupBy(key, "at", "new").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "place", "node"))).alias("likes"))
     # in the order of the correction, each takes the first of its likes that is left
     listed = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "new", "likes"))).alias("all"))
