@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SPACE, fold, let, squeeze, trim
-from millrace.operators.curation import bag_ratio, token_set_ratio, word_bag
+from millrace.functions.text import ONE_SPACE, SPACE, SPACES, fold, let, squeeze, trim
+from millrace.operators.curation import bag_ratio, folded, token_set_ratio, word_bag
 from millrace.operators.exams import ANNEX, PROGRAMME_START
 from millrace.operators.roles import has
 from millrace.operators.tables import dealt
@@ -36,6 +36,8 @@ SUBJECTS = (
 # What lines and items look like. Patterns of the second group tell upper case from lower.
 BASIC, SPECIFIC = r"conhecimentos?\s+(b[aá]sicos|gerais|comuns)", r"conhecimentos?\s+espec[íi]ficos"
 ADMIN = r"\b(vagas?|remunera[cç][ãa]o|sal[aá]rio|taxa|inscri[cç][ãa]o|cronograma|boleto)\b"
+#: What every match of the pattern begins with.
+ADMIN_STEMS = ("vaga", "remunera", "sal", "taxa", "inscri", "cronograma", "boleto")
 NO_SUBJECT = r"conte[úu]do\s+program[áa]tico|cronograma|\banexo\b|inscri|vagas"
 OF_THE, QUALIFICATION, PAGE = r"^(das?|dos?)\s+", r"^habilita[çc][ãa]o\b", r"^p[áa]gina\s+\d+"
 POSITION, FOR_POSITION = r"conhecimentos espec[íi]ficos\s*[—–-]\s*([^\n:]+)", r"para o cargo de\s+([^\n.;]+)"
@@ -68,17 +70,23 @@ def _map(pairs: dict) -> Column:
 
 def item(c: Column) -> Column:
     """An item's title: single spaces, no closing punctuation, a capital first."""
-    tidy = F.regexp_replace(squeeze(c), rf"[.;,{SPACE}]+$", "")
+    tidy = F.rtrim(squeeze(c), F.lit(".;," + SPACES))
     return let(tidy, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30)))
 
 
+def administrative(c: Column) -> Column:
+    """Whether a text speaks of the contest; the pattern runs only where one of its stems stands."""
+    some = lambda low: F.exists(F.array(*map(F.lit, ADMIN_STEMS)), low.contains)
+    return let(folded(c), some) & has(c, ADMIN)
+
+
 def _usable(items: Column, least: int) -> Column:
-    return F.filter(items, lambda t: F.char_length(t).between(least, LONGEST_ITEM) & ~has(t, ADMIN))
+    return F.filter(items, lambda t: F.char_length(t).between(least, LONGEST_ITEM) & ~administrative(t))
 
 
 def slug_key(c: Column, longest: int = 64) -> Column:
     made = F.substring(F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, longest)
-    return F.when(made == "", "unknown").otherwise(made)
+    return F.regexp_replace(made, "^$", "unknown")
 
 
 def path(*parts: Column) -> Column:
@@ -87,7 +95,7 @@ def path(*parts: Column) -> Column:
 
 def subject_id(c: Column) -> Column:
     """The known subject that a label names: its key, else the first key that holds the label or that the label holds."""
-    key = F.btrim(F.regexp_replace(F.regexp_replace(fold(c), r"[^\p{L}\p{N}\s]", " "), rf"[{SPACE}]+", " "))
+    key = F.btrim(F.regexp_replace(F.regexp_replace(fold(c), r"[^\p{L}\p{N}\s]", " "), f"{ONE_SPACE}+", " "))
     keys = F.array(*map(F.lit, KEYS))
 
     def found(k: Column) -> Column:
@@ -107,9 +115,8 @@ def exact_subject_id(c: Column, norm, more: int) -> Column:
     def agrees(id_: Column) -> Column:
         title = F.element_at(_map({s[0]: norm(s[1]) for s in SUBJECTS}), id_)
         aliases = F.element_at(_map({s[0]: [norm(a) for a in s[2]] for s in SUBJECTS}), id_)
-        t = norm(c)
-        held = t.contains(title) & (F.char_length(t) <= F.char_length(title) + more)
-        return F.when((t == title) | F.array_contains(aliases, t) | held, id_)
+        held = lambda t: t.contains(title) & (F.char_length(t) <= F.char_length(title) + more)
+        return F.when(id_.isNotNull() & let(norm(c), lambda t: (t == title) | F.array_contains(aliases, t) | held(t)), id_)
 
     return let(subject_id(c), agrees)
 
@@ -126,7 +133,7 @@ def lettered(c):
 
 def outline_items(body: Column) -> Column:
     """Numbered or lettered items of a text; without any, its lines; without lines, what semicolons part."""
-    listed = F.filter(F.transform(F.regexp_extract_all(body, F.lit("(?i)" + ITEM), 1), item), lambda t: F.char_length(t).between(1, LONGEST_ITEM) & ~has(t, ADMIN))
+    listed = F.filter(F.transform(F.regexp_extract_all(body, F.lit("(?i)" + ITEM), 1), item), lambda t: F.char_length(t).between(1, LONGEST_ITEM) & ~administrative(t))
     lines = _usable(F.transform(F.split(body, r"\n+"), lambda p: item(F.regexp_replace(p, rf"^[•\-*–—]\s*", ""))), 4)
     parts = _usable(F.transform(F.split(body, r";\s+"), item), 4)
     by_line = let(lines, lambda found: F.when(body.contains("\n") & (F.size(found) > 0), found).otherwise(parts))
@@ -138,8 +145,9 @@ def topics(body: Column) -> Column:
 
     def split(text: Column) -> Column:
         numbered = _usable(F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), 1), item), 4)
-        pieces = [F.split(text, p) for p in (r";\s*", r"\.\s+(?=[A-ZÁÉÍÓÚ])", r",\s+(?=[A-ZÁÉÍÓÚ])")]
-        raw = F.when(F.size(pieces[0]) >= 3, pieces[0]).when(F.size(pieces[1]) >= 3, pieces[1]).when(F.size(pieces[2]) >= 3, pieces[2]).otherwise(pieces[1])
+        semicolons, sentences, commas = (F.split(text, p) for p in (r";\s*", r"\.\s+(?=[A-ZÁÉÍÓÚ])", r",\s+(?=[A-ZÁÉÍÓÚ])"))
+        three = lambda pieces, rest: let(pieces, lambda p: F.when(F.size(p) >= 3, p).otherwise(rest(p)))
+        raw = three(semicolons, lambda _: three(sentences, lambda s: three(commas, lambda _: s)))
         return let(numbered, lambda n: F.when(F.size(n) >= 3, n).otherwise(_usable(F.transform(raw, item), 4)))
 
     return let(squeeze(body), split)
@@ -151,7 +159,7 @@ def is_subject_line(line: Column) -> Column:
     def judged(t: Column) -> Column:
         letters = F.char_length(F.regexp_replace(t, f"[^A-Za-z{UPPER[3:]}áéíóúâêôàãõç]", ""))
         upper = F.char_length(F.regexp_replace(t, f"[^{UPPER}]", ""))
-        shape = F.char_length(t).between(4, 90) & ~has(t, ANNEX) & ~has(t, ADMIN) & ~t.rlike(r"^\d") & t.rlike(f"[{UPPER}]{{3}}")
+        shape = F.char_length(t).between(4, 90) & ~has(t, ANNEX) & ~administrative(t) & ~t.rlike(r"^\d") & t.rlike(f"[{UPPER}]{{3}}")
         return shape & (((letters >= 4) & (upper >= 0.9 * letters)) | subject_id(t).isNotNull())
 
     return let(F.regexp_replace(trim(line), ":$", ""), judged)
@@ -171,7 +179,7 @@ def subject_of_line(line: Column) -> Column:
 def subject_of_heading(heading: Column) -> Column:
     """struct(title, id) of a heading: as a line, else the heading itself if it is no scope, notice or annex."""
     bare = trim(F.regexp_replace(heading, ":$", ""))
-    free = F.char_length(bare).between(4, 80) & ~has(bare, BASIC) & ~has(bare, SPECIFIC) & ~has(bare, ADMIN) & ~has(bare, OF_THE) & ~has(bare, NO_SUBJECT)
+    free = F.char_length(bare).between(4, 80) & ~has(bare, BASIC) & ~has(bare, SPECIFIC) & ~administrative(bare) & ~has(bare, OF_THE) & ~has(bare, NO_SUBJECT)
     return F.coalesce(subject_of_line(heading), F.when(free, F.struct(item(bare).alias("title"), F.lit(None).cast("string").alias("id"))))
 
 
@@ -188,7 +196,7 @@ def programme_nodes(span: DataFrame, positions: DataFrame | None = None, key: st
     """Subjects and topics of programme spans: labels within a line head lines of their own, running headers go, repeated subjects are one."""
     whole = F.concat(F.coalesce("heading", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
     hoisted = F.regexp_replace(whole, rf"(?md){LABEL}\s+(?=[A-ZÁÉÍÓÚ0-9(])", "$1\n$2:\n")
-    lines = span.select(key, F.col("ordinal").alias("section"), F.posexplode(F.split(hoisted, r"\n+")).alias("place", "raw"))
+    lines = dealt(span, [key, F.col("ordinal").alias("section")], F.split(hoisted, r"\n+"), "place", "raw")
     lines = lines.select(key, "section", "place", trim(F.col("raw")).alias("line")).where("line <> ''").repartition(key)
     lines = lines.withColumn("seen", F.count("*").over(W.partitionBy(key, "line")))
     running = (F.char_length("line") >= 4) & (F.col("seen") >= 3)
@@ -210,8 +218,8 @@ def programme_nodes(span: DataFrame, positions: DataFrame | None = None, key: st
     leaf = lambda t: F.struct(F.lit(1).alias("depth"), t.alias("title"), F.lit(None).cast("string").alias("subject_id"))
     kind = "array<struct<depth:int,title:string,subject_id:string>>"
     leaves = F.when(F.col("body") != "", F.transform(topics(F.col("body")), leaf)).otherwise(F.array().cast(kind))
-    nodes = parts.select(key, "part", "scope", "current", F.posexplode(F.concat(F.when(F.col("own").isNotNull(), F.array(head)).otherwise(F.array().cast(kind)), leaves)).alias("place", "node"))
-    nodes = nodes.select(key, "part", "place", "scope", "node.*", path(F.col("current")).alias("root"), F.when(F.col("node.depth") == 1, path(F.col("current"), F.col("node.title"))).otherwise(path(F.col("current"))).alias("path"))
+    nodes = dealt(parts, [key, "part", "scope", path(F.col("current")).alias("root")], F.concat(F.when(F.col("own").isNotNull(), F.array(head)).otherwise(F.array().cast(kind)), leaves), "place", "node")
+    nodes = nodes.select(key, "part", "place", "scope", "node.*", "root", F.when(F.col("node.depth") == 1, F.concat_ws("/", "root", slug_key(F.col("node.title")))).otherwise(F.col("root")).alias("path"))
     nodes = nodes.withColumn("leaves", F.sum("depth").over(W.partitionBy(key, "root"))).where("leaves > 0")
     nodes = nodes.withColumn("turn", F.row_number().over(W.partitionBy(key, "path").orderBy("part", "place"))).where("turn = 1")
     nodes = nodes.withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy("part", "place")) - 1)
@@ -233,7 +241,8 @@ def outline_nodes(sections: DataFrame, positions: DataFrame | None = None, key:
     rows = rows.select(key, F.col("ordinal").alias("section"), "role", "heading_subject", scope(F.coalesce("heading", "text")).alias("turn"), outline_items(F.col("text")).alias("items"), F.when(F.col("heading_subject").isNull(), lines).otherwise(none).alias("lines"))
     rows = rows.repartition(key)
     # a section's own row has place 0; its lines follow
-    rows = rows.select(key, "section", "role", "heading_subject", "turn", "items", F.posexplode(F.concat(F.array(F.lit("")), F.col("lines"))).alias("place", "line"))
+    rows = dealt(rows, [key, "section", "role", "heading_subject", "turn", "items"], F.concat(F.array(F.lit("")), F.col("lines")), "place", "line")
+    rows = rows.withColumn("items", F.when(F.col("place") == 0, F.col("items")))
     own = F.col("place") == 0
     rows = rows.withColumn("turn", F.when(own, F.col("turn")).otherwise(line_scope(F.col("line"))))
     rows = rows.withColumn("subject", F.when(own, F.col("heading_subject")).when(F.col("turn").isNull(), subject_of_line(F.col("line"))))
@@ -249,9 +258,10 @@ def outline_nodes(sections: DataFrame, positions: DataFrame | None = None, key:
     rows = rows.withColumns({"scope": F.coalesce(F.last("turn", True).over(order), F.lit("basic")), "current": F.last("subject", True).over(W.partitionBy(key, "section").orderBy("place"))})
     listed = F.when(own & F.col("subject").isNotNull(), F.col("items")).when(~own & F.col("turn").isNull() & F.col("subject").isNull() & F.col("current").isNotNull(), outline_items(F.col("line"))).otherwise(none)
     titles = F.concat(F.when(F.col("subject").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(none), listed)
-    nodes = rows.select(key, "section", "place", "scope", "current", own.alias("headed"), F.posexplode(titles).alias("turn", "leaf"))
+    headed = rows.where(F.col("current").isNotNull()).withColumn("root", path(F.col("current.title")))
+    nodes = dealt(headed, [key, "section", "place", "scope", "current", "root", own.alias("headed")], titles, "turn", "leaf")
     deep = F.col("leaf").isNotNull()
-    nodes = nodes.withColumns({"depth": deep.cast("int"), "title": F.coalesce("leaf", "current.title"), "parent": F.when(deep, path(F.col("current.title"))), "path": F.when(deep, path(F.col("current.title"), F.col("leaf"))).otherwise(path(F.col("current.title")))})
+    nodes = nodes.withColumns({"depth": deep.cast("int"), "title": F.coalesce("leaf", "current.title"), "parent": F.when(deep, F.col("root")), "path": F.when(deep, F.concat_ws("/", "root", slug_key(F.col("leaf")))).otherwise(F.col("root"))})
     nodes = nodes.withColumn("subject_id", F.when(~deep, F.col("current.id"))).withColumn("ordinal", F.row_number().over(whole.orderBy("section", "place", "turn")) - 1)
     confidence = F.when(deep, 0.75).when(F.col("subject_id").isNotNull(), 0.9).when(F.col("headed"), 0.75).otherwise(0.7)
     return _with_positions(nodes.withColumn("confidence", confidence), positions, key).select(key, *NODE)
