@@ -184,7 +184,8 @@ def canonical_numbers(booklets: DataFrame, table: DataFrame, keys: list[str]) ->
     """
     other = table.where(F.col("booklet") != CANONICAL).groupBy(*keys, "booklet", "number").agg(F.max("canonical").alias("canonical"))
     own = booklets.where(F.col("booklet") == CANONICAL).withColumn("canonical", F.col("number"))
-    return own.unionByName(booklets.where(F.col("booklet") != CANONICAL).join(other, [*keys, "booklet", "number"], "left"))
+    # merge joins here and below: files of such regular numbers take less than a byte a row, so a broadcast planned by their size fills the driver
+    return own.unionByName(booklets.where(F.col("booklet") != CANONICAL).join(other.hint("merge"), [*keys, "booklet", "number"], "left"))
 
 
 def rekeyed_questions(questions: DataFrame, answers: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,8 +200,8 @@ def rekeyed_questions(questions: DataFrame, answers: DataFrame, table: DataFrame
     keyed = materialize(keyed, "keyed")
     usable = keyed.select(*keys, "booklet").distinct()
     questions = materialize(questions, "questions")
-    rows = canonical_numbers(questions.where("ok AND booklet IS NOT NULL").join(usable, [*keys, "booklet"], "left_semi"), table, keys)
-    rows = rows.join(keyed, [*keys, "booklet", "canonical"], "left")
+    rows = canonical_numbers(questions.where("ok AND booklet IS NOT NULL").join(usable.hint("merge"), [*keys, "booklet"], "left_semi"), table, keys)
+    rows = rows.join(keyed.hint("merge"), [*keys, "booklet", "canonical"], "left")
     status = F.when(F.col("canonical").isNull(), "unkeyed").when(F.col("correct_index").isNull(), "annulled").otherwise("ok")
     return rows.withColumn("status", status)
 
