@@ -86,12 +86,20 @@ SPACES = "[\\s\\x0b\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F
 DENSITY = "CASE WHEN len(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')) = 0 THEN 0.0 ELSE least(1.0, len(regexp_extract_all({x}, '(?i)" + C.LINK + "')) / greatest(len(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')) / 20, 1.0)) END::DOUBLE"
 PARAGRAPHS = "list_filter(string_split_regex(%s, '\\n{2,}'), lambda p: NOT regexp_full_match(p, '" + SPACES + "*'))"
 INPUT = f"""(SELECT *, coalesce(heading, '') || '\n' || substr(text, 1, 600) AS block, substr(text, 1, 8000) AS sample, coalesce(heading, '') || '\n' || text AS whole FROM {ROWS})"""
-MEASURED = f"(SELECT *, {DENSITY.format(x='sample')} AS density, {PARAGRAPHS % 'sample'} AS ps FROM {INPUT})"
-COUNTED = "(SELECT *, len(ps) AS n, coalesce(list_sum(list_transform(ps, lambda p: length(p))), 0) AS total, len(list_filter(ps, lambda p: length(p) >= 300)) AS long_ps, len(list_filter(ps, lambda p: length(p) < 80 AND regexp_matches(p, '(?i)href|http'))) AS links FROM " + MEASURED + ")"
-VOTES = f"""(SELECT *, (CASE WHEN {either('block', R.SPECIFICATION)} OR {either('sample', R.SPECIFICATION)} THEN 0.5 ELSE 0 END)::DOUBLE + (CASE WHEN {' + '.join(f'{has("sample", p)}::INT' for p in R.SPECIFICATION_BODY)} >= 3 THEN 0.3 ELSE 0 END)::DOUBLE AS specification,
+WHOLE = f"""(SELECT *, coalesce(heading, '') || '\n' || text AS block, text AS sample FROM {ROWS})"""
+
+
+def _votes(rows: str) -> str:
+    """Votes on rows that have a block (heading and text) and a sample."""
+    measured = f"(SELECT *, {DENSITY.format(x='sample')} AS density, {PARAGRAPHS % 'sample'} AS ps FROM {rows})"
+    counted = "(SELECT *, len(ps) AS n, coalesce(list_sum(list_transform(ps, lambda p: length(p))), 0) AS total, len(list_filter(ps, lambda p: length(p) >= 300)) AS long_ps, len(list_filter(ps, lambda p: length(p) < 80 AND regexp_matches(p, '(?i)href|http'))) AS links FROM " + measured + ")"
+    return f"""(SELECT *, (CASE WHEN {either('block', R.SPECIFICATION)} OR {either('sample', R.SPECIFICATION)} THEN 0.5 ELSE 0 END)::DOUBLE + (CASE WHEN {' + '.join(f'{has("sample", p)}::INT' for p in R.SPECIFICATION_BODY)} >= 3 THEN 0.3 ELSE 0 END)::DOUBLE AS specification,
 CASE WHEN {either('sample', R.EVIDENCE)} THEN 0.5 END::DOUBLE AS evidence,
 (CASE WHEN {either('sample', R.KNOWLEDGE)} THEN 0.5 ELSE 0 END)::DOUBLE + (CASE WHEN n > 0 AND long_ps >= 0.6 * n AND {plain('sample', R.HEADING)} / n BETWEEN 0.02 AND 0.2 AND density < 0.1 AND total >= 300 * n THEN 0.3 ELSE 0 END)::DOUBLE AS knowledge,
-(CASE WHEN {either('block', R.ADMINISTRATIVE)} OR {either('sample', R.ADMINISTRATIVE)} THEN 0.5 ELSE 0 END)::DOUBLE + (CASE WHEN n > 0 AND (density > 0.3 OR total < 120 * n OR links >= 0.4 * n) THEN 0.3 ELSE 0 END)::DOUBLE AS administrative FROM {COUNTED})"""
+(CASE WHEN {either('block', R.ADMINISTRATIVE)} OR {either('sample', R.ADMINISTRATIVE)} THEN 0.5 ELSE 0 END)::DOUBLE + (CASE WHEN n > 0 AND (density > 0.3 OR total < 120 * n OR links >= 0.4 * n) THEN 0.3 ELSE 0 END)::DOUBLE AS administrative FROM {counted})"""
+
+
+VOTES = _votes(INPUT)
 RANKED = f"""(SELECT doc_id, first(role ORDER BY w DESC, i) AS top, max(w) AS w1, coalesce(list(w ORDER BY w DESC, i)[2], 0) AS w2 FROM (
 {' UNION ALL '.join(f"SELECT doc_id, {i} AS i, '{r}' AS role, {r} AS w FROM votes WHERE {r} IS NOT NULL" for i, r in enumerate(R.ROLES))}) GROUP BY 1)"""
 MIXED = "w1 >= 0.5 AND top IN ('specification', 'evidence') AND w2 >= 0.5"
@@ -117,11 +125,12 @@ def lexical_votes(t):
     return _with_blocks(t).select("doc_id", R.lexical_votes(F.col("block"), F.col("sample"), F.col("density")).alias("v")).select("doc_id", "v.*")
 
 
-@query("ag_18", f"WITH votes AS (SELECT doc_id, specification, evidence, knowledge, administrative FROM {VOTES}) SELECT doc_id, role, round(confidence, 6) AS confidence FROM {DECIDED}")
+@query("ag_18", f"WITH votes AS (SELECT doc_id, specification, evidence, knowledge, administrative FROM {_votes(WHOLE)}) SELECT doc_id, role, round(confidence, 6) AS confidence FROM {DECIDED}")
 def role_votes(t):
-    """A margin raises confidence; two strong roles make a mixed document."""
-    votes = R.lexical_votes(F.col("block"), F.col("sample"), F.col("density"))
-    return _with_blocks(t).select("doc_id", R.decide(votes).alias("d")).select("doc_id", "d.role", F.round("d.confidence", 6).alias("confidence"))
+    """A margin raises confidence; two strong roles make a mixed document. Whole texts vote."""
+    whole = F.concat(F.coalesce("heading", F.lit("")), F.lit("\n"), F.col("text"))
+    votes = R.lexical_votes(whole, F.col("text"), C.link_density(F.col("text")))
+    return _rows(t).select("doc_id", R.decide(votes).alias("d")).select("doc_id", "d.role", F.round("d.confidence", 6).alias("confidence"))
 
 
 @query("cf_03", f"""WITH votes AS MATERIALIZED (SELECT doc_id, specification, evidence, knowledge, administrative, {HINT} AS hint, {WEIGHT} AS weight, {has('block', R.NOTICE)} AND NOT {has('whole', R.PROGRAMME)} AS notice FROM {VOTES})
