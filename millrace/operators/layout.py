@@ -10,21 +10,22 @@ from millrace.functions.text import let, trim
 from millrace.operators import tables as T
 from millrace.operators.exams import reading_order
 
-# Pages that are read, lines that may be headings, gaps and sizes relative to the median.
+# Pages that are read unless all are asked for, lines that may be headings, gaps and sizes relative to the median.
 MOST_PAGES, LONGEST_HEADING, LONGEST_LINE, LONGEST_LARGE, LONGEST_BOLD = 300, 120, 90, 80, 60
 GAP, LARGE, LEVELS, BODY = 1.4, 1.15, ((1.5, 1), (1.3, 2)), 12.0
 _LINE = "struct<text:string,x0:double,y0:double,x1:double,y1:double,size:double,bold:boolean>"
 _STATE = f"struct<done:array<{_LINE}>,at:{_LINE}>"
 
 
-def lines_of_spans(spans: DataFrame) -> DataFrame:
+def lines_of_spans(spans: DataFrame, most_pages: int | None = MOST_PAGES) -> DataFrame:
     """(doc, page, line, text, x0, y0, x1, y1, size, bold): the spans of a line joined, its largest size, and whether any of its fonts is bold.
 
-    ``spans`` has doc, page, line, span, text, size, font and the line's box. Blank lines and pages beyond the 300th are left out.
+    ``spans`` has doc, page, line, span, text, size, font and the line's box. Blank lines are left out, and pages beyond ``most_pages``; None reads all.
     """
+    spans = spans if most_pages is None else spans.where(F.col("page") <= most_pages)
     parts = F.array_sort(F.collect_list(F.struct("span", F.coalesce("text", F.lit("")).alias("text"))))
     box = [F.first(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
-    rows = spans.where(F.col("page") <= MOST_PAGES).groupBy("doc", "page", "line").agg(
+    rows = spans.groupBy("doc", "page", "line").agg(
         trim(F.array_join(F.transform(parts, lambda s: s.text), "")).alias("text"), *box,
         F.max(F.when(F.col("size") != 0, F.col("size").cast("double"))).alias("size"), F.coalesce(F.bool_or(F.lower("font").contains("bold")), F.lit(False)).alias("bold"),
     )

@@ -56,7 +56,7 @@ def _step(s: str, x: str) -> str:
     return f"CASE WHEN {goes_on} THEN list_append({s}[1:-2], {more}) ELSE list_concat({s}, {x}) END"
 
 
-PARAGRAPHS = f"""WITH l AS (SELECT doc, page, line, {TIDY('text')} AS text, size, bold, x0, x1, y0, y0 + 12 AS y1, (x0 + x1) / 2 AS c FROM {SPANS} WHERE page <= {L.MOST_PAGES} AND {TIDY('text')} <> ''),
+PARAGRAPHS = f"""WITH l AS (SELECT doc, page, line, {TIDY('text')} AS text, size, bold, x0, x1, y0, y0 + 12 AS y1, (x0 + x1) / 2 AS c FROM {SPANS} WHERE {TIDY('text')} <> ''),
 m AS (SELECT doc, page, avg(c) FILTER (c < 290) AS a, avg(c) FILTER (c > 310) AS b, count(*) AS n, list_sort(list(size) FILTER (size IS NOT NULL)) AS sizes FROM l GROUP BY 1, 2),
 near AS (SELECT doc, page, count(*) FILTER (abs(c - a) < 40 OR abs(c - b) < 40) AS near FROM l JOIN m USING (doc, page) GROUP BY 1, 2),
 o AS (SELECT l.*, sizes[len(sizes) // 2 + 1] AS body, CASE WHEN n >= 4 AND a IS NOT NULL AND b IS NOT NULL AND near >= 0.7 * n AND abs(a - 300) >= 30 AND abs(b - 300) >= 30 AND abs(c - a) > abs(c - b) THEN 1 ELSE 0 END AS side FROM l JOIN m USING (doc, page) JOIN near USING (doc, page)),
@@ -64,9 +64,14 @@ f AS (SELECT doc, page, list_reduce(list([{{'text': text, 'y1': y1, 'y0': y0, 's
 p AS (SELECT doc, page, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS place FROM f)"""
 
 
+def _paragraphs(t):
+    """Paragraphs of all pages."""
+    return L.paragraphs(L.lines_of_spans(_spans(t), most_pages=None), WIDTH)
+
+
 @query("src_06", f"{PARAGRAPHS} SELECT doc, page, place, p.text AS text, p.size AS size, p.bold AS bold FROM p")
 def page_paragraphs(t):
-    return L.paragraphs(L.lines_of_spans(_spans(t)), WIDTH).select("doc", "page", "place", "text", "size", "bold")
+    return _paragraphs(t).select("doc", "page", "place", "text", "size", "bold")
 
 
 BLOCKS = f"""{PARAGRAPHS}, d AS (SELECT doc, list_sort(list(p.size) FILTER (p.size IS NOT NULL)) AS sizes FROM p GROUP BY 1), b AS (SELECT *, coalesce(sizes[len(sizes) // 2 + 1], 12) AS body FROM p JOIN d USING (doc)),
@@ -75,7 +80,7 @@ blocks AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, place)
 
 
 def _blocks(t):
-    return L.blocks(L.paragraphs(L.lines_of_spans(_spans(t)), WIDTH))
+    return L.blocks(_paragraphs(t))
 
 
 @query("src_04", f"{BLOCKS} SELECT * FROM blocks")
